@@ -12,6 +12,9 @@ so a lost executor leaves no half file behind.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,53 +25,87 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from factloom.llm.common import blocks, bounds, column, ragged_take, texts
+from factloom.llm.pretokens import latin
 
 #: Ids in a block.
 BLOCK_IDS = 1 << 16
-#: Words whose ids a task remembers; it starts anew beyond them, which changes no result.
+#: Bytes of text that a task encodes at once.
+TEXT_BYTES = 8 << 20
+#: Pieces of words whose ids a task remembers, and as many that it met before these; others are encoded again, which changes no result.
 REMEMBERED = 200_000
 
 _CHUNK = "part int, chunk int, first long, n_ids int, planes array<binary>, crc32 long, piece_docs array<struct<doc_id:long,ordinal:long,offset:int,n:int,of:long>>"
 
 
-class WordIds(dict):
-    """Word (no white space inside) -> its ids, as little-endian 32-bit integers."""
+class WordIds:
+    """Word (no white space inside) -> its ids, as little-endian 32-bit integers.
+
+    Words are lowered and cut by the file's own pattern, and the library encodes each
+    distinct piece; that gives the ids of a whole text only if the file asks for just
+    these steps, so any other file, or any other than a Latin letter, goes whole.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-
-    def learn(self, words: list[str]) -> list[bytes]:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = words
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self[word] = np.asarray(got.ids, dtype="<u4").tobytes()
-        return [self[w] for w in words]
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        with open(path) as file:
+            told = json.load(file)
+        steps = [(n["type"], n.get("pattern"), n.get("content")) for n in (told["normalizer"] or {}).get("normalizers", ())]
+        cut, *rest = (told["pre_tokenizer"] or {}).get("pretokenizers", ({},))
+        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.by_word = steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)] and (cut.get("type"), cut.get("behavior"), cut.get("invert"), rest, told["post_processor"]) == ("Split", "Removed", True, [level], None)
+        if self.by_word:
+            self.split = re.compile(latin(cut["pattern"]["Regex"]) + r"|\n").findall
+            self.pieces = Tokenizer(self.whole.model)
+            self.pieces.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, text: str) -> np.ndarray:
+        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, end to end, and the bounds of each word's. Words hold no white space, so a line end can stand between them."""
+        coded = pa.array(self.split("\n".join([*words, ""]).lower()), pa.large_string()).dictionary_encode()
+        pieces, ids, unknown = coded.dictionary.to_pylist(), [], []
+        for k, p in enumerate(pieces):
+            got = b"" if p == "\n" else self.new.get(p) or self.old.get(p)
+            ids.append(got)
+            if got is None:
+                unknown.append(k)
+        for a in range(0, len(unknown), 2048):
+            some = unknown[a : a + 2048]
+            for k, got in zip(some, self.pieces.encode_batch_fast([pieces[k] for k in some], add_special_tokens=False), strict=True):
+                ids[k] = np.asarray(got.ids, dtype="<u4").tobytes()
+        for p, got in zip(pieces, ids, strict=True):
+            if len(self.new) >= REMEMBERED:
+                self.old, self.new = self.new, {}
+            self.new[p] = got
+        codes = np.asarray(coded.indices).astype(np.int64)
+        flat, each = ragged_take(bounds(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4), np.frombuffer(b"".join(ids), "<u4"), codes)
+        ends = np.nonzero(codes == (pieces.index("\n") if words else -1))[0]
+        return flat, np.append(0, np.cumsum(each)[ends])
 
 
 def encoded(text: pa.Array, words: WordIds) -> tuple[np.ndarray, np.ndarray]:
     """The ids of texts end to end, and how many each has.
 
-    The tokenizer drops white space and lets no piece cross it, so it encodes each
-    distinct word of the block once. Texts with other than Latin letters are
-    encoded as a whole: their normal form may reach across words.
+    The tokenizer drops white space and lets no piece cross it, so each distinct word
+    of the block is looked at once. Texts with other than Latin letters are encoded as
+    a whole: their normal form may reach across words.
     """
-    odd = np.asarray(pc.match_substring_regex(text, r"[^\x00-\x{024f}]"))
+    odd = np.asarray(pc.match_substring_regex(text, r"[^\x00-\x{24f}]")) if words.by_word else np.ones(len(text), dtype=bool)
     parts = pc.ascii_split_whitespace(text.filter(pa.array(~odd)) if odd.any() else text)
     offsets = np.asarray(parts.offsets).astype(np.int64)
     inner = parts.values.slice(offsets[0], offsets[-1] - offsets[0]) if len(parts) else pa.array([], pa.large_string())
     coded = inner.dictionary_encode()
     offsets -= offsets[0]
-    per_word = words.learn(coded.dictionary.to_pylist())
-    lengths = np.fromiter(map(len, per_word), dtype=np.int64, count=len(per_word)) // 4
-    flat, each = ragged_take(bounds(lengths), np.frombuffer(b"".join(per_word), "<u4"), np.asarray(coded.indices).astype(np.int64))
+    values, at = words.learn(coded.dictionary.to_pylist()) if len(coded.dictionary) else (np.zeros(0, "<u4"), np.zeros(1, np.int64))
+    flat, each = ragged_take(at, values, np.asarray(coded.indices).astype(np.int64))
     counts = np.diff(bounds(each)[offsets])
     if not odd.any():
         return flat, counts
@@ -76,7 +113,7 @@ def encoded(text: pa.Array, words: WordIds) -> tuple[np.ndarray, np.ndarray]:
     n[~odd] = counts
     for i, is_odd in enumerate(odd.tolist()):
         if is_odd:
-            out.append(np.asarray(words.tokenizer.encode(text[i].as_py(), add_special_tokens=False).ids, dtype="<u4"))
+            out.append(words.of(text[i].as_py()))
             n[i] = len(out[-1])
         else:
             out.append(flat[at[k] : at[k + 1]])
@@ -134,7 +171,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, part
             held, size, docs, chunk, done = [rest], size - n, later, chunk + 1, done + n
             return out
 
-        for rows in blocks(batches):
+        for rows in blocks(batches, TEXT_BYTES):
             flat, counts = encoded(column(rows, "text"), words)
             at = bounds(counts)
             for i, (p, doc_id) in enumerate(zip(rows.column("part").to_pylist(), rows.column("doc_id").to_pylist(), strict=True)):

@@ -26,15 +26,20 @@ _LATIN = "[^\x00-\u024f]"
 _IRREGULAR = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 
 
+def latin(pattern: str) -> str:
+    """The pattern with classes spelled out for Latin letters, for the faster standard module."""
+    out = pattern.replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}")
+    out = out.replace(r"[^\s\p{L}\p{N}]", f"[^{WHITE_SPACE}{_LETTERS}{_NUMBERS}]").replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", f"[{_NUMBERS}]")
+    return out.replace(r"\s", f"[{WHITE_SPACE}]").replace(r"\S", f"[^{WHITE_SPACE}]")
+
+
 @functools.lru_cache(maxsize=8)
 def splitter(pattern: str):
     """text -> pieces. Parts of Latin letters go through the faster standard module, by the same rules."""
     exact = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
     if r"[^\s\p{L}\p{N}]" not in pattern:
         return exact
-    latin = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{WHITE_SPACE}{_LETTERS}{_NUMBERS}]").replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", f"[{_NUMBERS}]")
-    latin = latin.replace(r"\s", f"[{WHITE_SPACE}]").replace(r"\S", f"[^{WHITE_SPACE}]")
-    quick, beyond = re.compile(latin).findall, re.compile(_LATIN).search
+    quick, beyond = re.compile(latin(pattern)).findall, re.compile(_LATIN).search
     return lambda text: exact(text) if beyond(text) else quick(text)
 
 
