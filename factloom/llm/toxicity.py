@@ -31,11 +31,11 @@ from factloom.llm.common import blocks, bounds, column, texts
 #: Labelled documents of each class that training reads at most.
 SAMPLE = 2500
 #: Words of each class that the machine is fitted to at most, and landmarks of each class.
-WORDS, LANDMARKS = 12_000, 64
+WORDS, LANDMARKS = 4_000, 112
 #: The kernel: longest span and decay for each character of a gap.
 SPAN, DECAY = 6, 0.5
 #: Characters with a number of their own; others share one.
-ALPHABET = 48
+ALPHABET = 40
 #: Longest piece of a word that is scored at once; longer words are scored by overlapping pieces.
 PIECE = 32
 #: A document is predicted toxic from this score.
@@ -121,19 +121,31 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def _machine(features: np.ndarray, sign: np.ndarray, cost: np.ndarray, rounds: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss by accelerated gradient descent."""
+def _machine(features: np.ndarray, sign: np.ndarray, cost: np.ndarray, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss in the primal: Newton steps, each a least-squares fit to the words inside the margin."""
     x = np.hstack([features, np.ones((len(features), 1))]).astype(np.float64)
-    step = 1 / (2 * np.linalg.norm((x * np.sqrt(cost)[:, None]).T @ (x * np.sqrt(cost)[:, None]), 2) + ridge)
-    w = before = np.zeros(x.shape[1])
-    for k in range(rounds):
-        v = w + k / (k + 3) * (w - before)
-        slack = np.maximum(0, 1 - sign * (x @ v))
-        grad = -2 * x.T @ (cost * sign * slack) + ridge * np.append(v[:-1], 0)
-        before, w = w, v - step * grad
+    w, inside = np.zeros(x.shape[1]), np.ones(len(x), dtype=bool)
+    flat = ridge * np.append(np.ones(x.shape[1] - 1), 1e-3)
+    loss = lambda v: float((cost * np.maximum(0, 1 - sign * (x @ v)) ** 2).sum() + (flat * v * v).sum())
+    for _ in range(25):
+        own = x[inside]
+        step = np.linalg.solve((own * cost[inside, None]).T @ own + np.diag(flat), own.T @ (cost * sign)[inside]) - w
+        size = 1.0
+        while size > 1e-3 and loss(w + size * step) > loss(w):
+            size /= 2
+        w = w + size * step
+        now = sign * (x @ w) < 1
+        if (now == inside).all():
+            break
+        inside = now
     return w[:-1], w[-1]
 
 
+def variants(word: str) -> list[str]:
+    """A normal word with one character doubled or a stranger put in, inside of it."""
+    return [word[:k] + c + word[k:] for k in range(2, len(word) - 1) for c in dict.fromkeys((word[k], "x", "i"))]
+
+
 def fit(counts: list[tuple[str, int, int]]) -> Model | None:
     """counts: (normal word, surroundings in toxic documents, surroundings in others), any order. None if no word stands out."""
     counts = sorted(counts)
@@ -153,26 +165,34 @@ def fit(counts: list[tuple[str, int, int]]) -> Model | None:
     if not insults:
         return None
     positive = [w for w, _ in sorted(insults, key=lambda x: (-x[1], x[0]))][:WORDS]
+    often = dict(insults)
     own = set(positive)
     clean = [w for w, _, o in sorted(counts, key=lambda x: (-x[2], x[0])) if o and w not in own]
     negative = clean[: WORDS // 2] + clean[WORDS // 2 :: max(1, (len(clean) - WORDS // 2) // (WORDS // 2) + 1)]
     letters = Counter(c for w in [*positive, *negative] for c in w if ord(c) < 1 << 16)
     kernel = Subsequences("".join(sorted(c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 2])))
     spread = lambda xs: [xs[k * len(xs) // LANDMARKS] for k in range(min(len(xs), LANDMARKS))] if len(xs) > LANDMARKS else xs
+    known = {w for w, _, o in counts if o}
+    sure_words = [w for w in positive if often[w] >= least]
+    altered = [v for v in dict.fromkeys(v for w in sure_words if often[w] >= 10 * least for v in variants(w)) if v not in known and v not in own]
+    altered = altered[:: len(altered) // WORDS + 1]
     hard: list[str] = []
     for _ in range(3):
         landmarks = list(dict.fromkeys([*spread(positive), *hard[: LANDMARKS // 2], *spread(negative)[: LANDMARKS - min(len(hard), LANDMARKS // 2)]]))
         table = kernel.table([pieces(w)[0] for w in landmarks])
         values, vectors = np.linalg.eigh(kernel.sums([pieces(w)[0] for w in landmarks], table).astype(np.float64))
         root = vectors * (1 / np.sqrt(np.maximum(values, 1e-6 * values.max()))) @ vectors.T
-        train = [pieces(w)[0] for w in [*positive, *negative, *hard]]
-        sign = np.where(np.arange(len(train)) < len(positive), 1.0, -1.0)
-        cost = np.where(sign > 0, 1 / len(positive), 2 / (len(train) - len(positive)))
+        train = [pieces(w)[0] for w in [*positive, *altered, *negative, *hard]]
+        insulting = len(positive) + len(altered)
+        sign = np.where(np.arange(len(train)) < insulting, 1.0, -1.0)
+        sure = np.array([min(often[w], least) for w in positive])  # words that were seen seldom say less, altered ones less again
+        cost = np.concatenate([sure / sure.sum(), np.full(len(altered), 0.1 / max(1, len(altered))), np.full(len(train) - insulting, 2 / (len(train) - insulting))])
         weights, shift = _machine(kernel.sums(train, table) @ root, sign, cost)
         model = Model(kernel.letters, (table @ (root @ weights).astype(np.float32)).astype(np.float32), float(shift), 1.0)
         found = model.words(clean)
         hard = [clean[k] for k in np.argsort(-found, kind="stable")[: WORDS // 6]]
-    high, low = float(found.max(initial=-1.0)), float(np.quantile(model.words(positive), 0.02))
+    # the border lies between words of other documents and the weakest insults that were seen often enough
+    high, low = float(found.max(initial=-1.0)), float(model.words(sure_words or positive).min())
     border = (high + low) / 2 if high < low else max(float(np.quantile(found, 0.9999)), 0.0)
     model.shift -= border
     model.steep = 4 / max(0.05, (low - high) / 2 if low > high else 0.05)
