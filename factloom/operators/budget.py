@@ -37,9 +37,20 @@ def short_references(sent: DataFrame, key: str, letter: str = "F") -> DataFrame:
     return first.select(key, F.concat(F.lit(letter), F.row_number().over(Window.orderBy("seq", key)).cast("string")).alias("short"))
 
 
-def compact(sent: DataFrame, fields: list[str]) -> DataFrame:
-    """Rows with the number of their combination of common fields, and that combination: expand() is the inverse."""
-    return sent.withColumn("common", F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256))
+def compact(sent: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with the key of their combination of common fields in place of these, and the table of combinations."""
+    keyed = sent.withColumn("common", F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256))
+    return keyed.drop(*fields), keyed.select("common", *fields).dropDuplicates(["common"])
+
+
+def expand(rows: DataFrame, common: DataFrame) -> DataFrame:
+    """The inverse of compact()."""
+    return rows.join(common, "common").drop("common")
+
+
+def briefing(facts: DataFrame, order: list[str], size: Column, budget: int, most: int = 200) -> DataFrame:
+    """The longest prefix of at most `most` facts that fits the budget."""
+    return prefix(facts.orderBy(*order).limit(most), order, size, budget, ranges=1)
 
 
 def source_piece(lines: Column, first: int, most_lines: int = 200, most_bytes: int = 16_384) -> Column:

@@ -266,3 +266,37 @@ def nearest_single(candidates: DataFrame, keys: list[str]) -> DataFrame:
     levels = candidates.groupBy(*keys, "level").agg(F.min("candidate").alias("candidate"), F.countDistinct("candidate").alias("n"))
     best = levels.groupBy(*keys).agg(F.min(F.struct("level", "n", "candidate")).alias("x"))
     return best.select(*keys, F.when(F.col("x.n") == 1, F.col("x.candidate")).alias("candidate"), F.when(F.col("x.n") > 1, "AMBIGUOUS").alias("reason"))
+
+
+def analysis_frontier(steps: list[Step], catalogs: DataFrame, executions: DataFrame, unread: DataFrame) -> DataFrame:
+    """Why a walk may lack edges as a whole: CONTEXT for a relation that no successful producer states, KNOWLEDGE for a language that its producers don't read.
+
+    catalogs: producer_id, relation; executions: producer_id, status; unread: producer_id, language.
+    """
+    spark = catalogs.sparkSession
+    asked = spark.createDataFrame([(r,) for r in dict.fromkeys(s.relation for s in steps)], "relation string")
+    able = catalogs.join(executions.where("status = 'SUCCESS'").select("producer_id").distinct(), "producer_id")
+    context = asked.join(able.select("relation").distinct(), "relation", "left_anti").select("relation", F.lit("CONTEXT").alias("kind"), F.lit(None).cast("string").alias("language"))
+    gaps = able.join(F.broadcast(asked), "relation").join(unread, "producer_id").select("relation", F.lit("KNOWLEDGE").alias("kind"), "language").distinct()
+    return context.unionByName(gaps)
+
+
+def local_frontier(nodes: DataFrame, proofs: DataFrame, gaps: DataFrame, most: int = 2_000) -> DataFrame:
+    """Coverage gaps (subject, reason) of a tile's nodes (reference) and of the files that prove its edges (path): at most `most` references, which is the tile's own bound."""
+    asked = nodes.select(F.col("reference").alias("subject")).unionByName(proofs.select(F.concat(F.lit("file:"), F.col("path")).alias("subject"))).distinct().orderBy("subject").limit(most)
+    return gaps.join(F.broadcast(asked), "subject", "left_semi").orderBy("subject", "reason")
+
+
+def call_paths(ranked: DataFrame, endpoint: str, depth: int = 4, methods: int = 30) -> Tile:
+    """The walk of a route: its handlers, then what these call."""
+    return tile(ranked, endpoint, [Step("HANDLED_BY"), Step("CALLS")], depth, Limits(nodes=methods + 1, edges=1_000, bytes=1_000_000))
+
+
+def rules_of_chains(matched: DataFrame, validated: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rules of the matched patterns of an endpoint's validated chains: matched (endpoint, pattern, filter_chain), validated (endpoint, filter_chain), rules (pattern, filter_chain, authority)."""
+    return matched.join(validated, ["endpoint", "filter_chain"]).join(rules, ["pattern", "filter_chain"])
+
+
+def tile_view(own: Tile, fields: tuple[str, ...] = ("node", "far", "level", "revisit")) -> list[dict]:
+    """A tile's elements with the listed fields alone."""
+    return [{f: e[f] for f in fields} for e in own.elements]

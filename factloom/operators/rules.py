@@ -103,3 +103,16 @@ def endpoints(mappings: DataFrame) -> DataFrame:
     rows = mappings.select("handler", one("prefixes", "").alias("prefix"), "paths", "verbs").select("handler", "prefix", one("paths", "").alias("path"), "verbs").select("handler", "prefix", "path", one("verbs", "ANY").alias("verb"))
     route = F.regexp_replace(F.concat(F.lit("/"), "prefix", F.lit("/"), "path"), "/+", "/")
     return rows.select("handler", "verb", route.alias("route"), F.concat(F.lit("endpoint:"), "verb", F.lit(" "), route).alias("endpoint"))
+
+
+def guards(methods: DataFrame, annotations: DataFrame) -> DataFrame:
+    """symbol, expression: the guard of each method, its own or else that of its type. methods (symbol, type), annotations (target, expression)."""
+    own = annotations.groupBy(F.col("target").alias("symbol")).agg(F.min("expression").alias("own"))
+    of_type = annotations.groupBy(F.col("target").alias("type")).agg(F.min("expression").alias("of_type"))
+    rows = methods.join(own, "symbol", "left").join(of_type, "type", "left")
+    return rows.select("symbol", F.coalesce("own", "of_type").alias("expression")).where("expression is not null")
+
+
+def home_made(types: DataFrame, bases: list[str]) -> DataFrame:
+    """Types that extend or implement one of the base types of access mechanisms: each is a gap, as what it does isn't interpreted. types (type, supers array)."""
+    return types.where(F.arrays_overlap("supers", F.array(*map(F.lit, bases)))).select(F.concat(F.lit("symbol:"), "type").alias("subject"), F.lit("NOT_INTERPRETED").alias("coverage_type"))

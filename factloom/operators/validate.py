@@ -98,3 +98,9 @@ def output_issues(facts: DataFrame, catalog: DataFrame) -> DataFrame:
 def orphans(occurrences: DataFrame, executions: DataFrame) -> DataFrame:
     """Occurrences whose execution isn't recorded, or is one of another producer: must be empty before a write."""
     return occurrences.join(executions.select("analysis_id", "execution_id", "producer_id"), ["analysis_id", "execution_id", "producer_id"], "left_anti")
+
+
+def engine_coverage(executions: DataFrame, repository: str) -> DataFrame:
+    """Coverage that the engine itself states: an unsupported execution covers nothing (OUT_OF_SCOPE), a failed one read nothing (NOT_INTERPRETED)."""
+    kind = F.when(F.col("status") == "UNSUPPORTED", "OUT_OF_SCOPE").when(F.col("status") == "FAILED", "NOT_INTERPRETED")
+    return executions.withColumn("coverage_type", kind).where("coverage_type is not null").select(F.lit("COVERAGE").alias("kind"), F.lit(f"repository:{repository}").alias("subject"), "coverage_type", "producer_id", F.lower("status").alias("reason"))

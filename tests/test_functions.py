@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from factloom.functions import canonical, dates, diff, names, protect, scores
+from factloom.functions import canonical, dates, diff, names, protect, scores, sources
 
 VALUES = st.recursive(st.none() | st.booleans() | st.integers(-(2**53) + 1, 2**53 - 1) | st.floats(allow_nan=False, allow_infinity=False).filter(lambda x: not x.is_integer() or abs(x) < 2**53) | st.text(st.characters(exclude_categories=["Cs"])), lambda v: st.lists(v, max_size=4) | st.dictionaries(st.text(st.characters(exclude_categories=["Cs"])), v, max_size=4), max_leaves=12)
 
@@ -204,3 +204,15 @@ def test_changed_lines(spark):
 def test_line_ends_count():
     assert [r[0] for r in diff.rows("a\r\n", "a\n")] == ["CHANGED"]
     assert re.match("SAME|CHANGED", diff.rows("a\nb", "a\nb\n")[-1][0])
+
+
+def test_source_text(spark):
+    text = 'import a.B; // import c.D;\n/* import e.F;\n*/ import static g.H.*;\nString s = "// no";\n'
+    assert sources.imports(text) == ["a.B", "g.H.*"]
+    assert len(sources.blanked(text)) == len(text) and '"// no"' in sources.blanked(text)
+    row = spark.createDataFrame([("Who calls `OwnerRepo` via /api/x in VetController?", "a\nb\nc")], "q string, t string").select(sources.anchors(F.col("q")).alias("a"), sources.line_of(F.col("t"), F.lit(3)).alias("l")).first()
+    assert row.a == ["OwnerRepo", "/api/x", "VetController"] and row.l == 2
+    assert sources.asks_for_author("Qui a \u00e9crit ce fichier ?") and not sources.asks_for_author("what is this")
+    named = spark.createDataFrame([("b", "symbol:a.B"), ("c", "symbol:x.C"), ("c", "symbol:y.C")], "name_key string, reference string")
+    asked = spark.createDataFrame([("B", "b"), ("C", "c"), ("D", "d")], "anchor string, name_key string")
+    assert {r.anchor: r.status for r in sources.resolved(asked, named).collect()} == {"B": "RESOLVED", "C": "AMBIGUOUS", "D": "NOT_FOUND"}

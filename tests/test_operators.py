@@ -372,3 +372,44 @@ def test_answers_in_pieces(spark, tmp_path):
 def test_revisions(spark):
     rows = spark.createDataFrame([(1, 1, 0), (1, 2, 0), (1, 3, 1)], "job_id long, event_id long, expected long")
     assert tuple(journal.revisions(rows).first()) == (1, 2, 1)
+
+
+def test_frontiers(spark):
+    steps = [graph.Step("CALLS"), graph.Step("EXTENDS")]
+    catalogs = spark.createDataFrame([("p", "CALLS"), ("q", "EXTENDS")], "producer_id string, relation string")
+    runs = spark.createDataFrame([("p", "SUCCESS"), ("q", "FAILED")], "producer_id string, status string")
+    unread = spark.createDataFrame([("p", "kotlin")], "producer_id string, language string")
+    assert {tuple(r) for r in graph.analysis_frontier(steps, catalogs, runs, unread).collect()} == {("EXTENDS", "CONTEXT", None), ("CALLS", "KNOWLEDGE", "kotlin")}
+    gaps = spark.createDataFrame([("file:a", "r"), ("n", "s"), ("m", "t")], "subject string, reason string")
+    found = graph.local_frontier(spark.createDataFrame([("n",)], "reference string"), spark.createDataFrame([("a",)], "path string"), gaps)
+    assert [r.subject for r in found.collect()] == ["file:a", "n"]
+
+
+def test_call_paths(spark):
+    edges = [("endpoint:GET /a", "HANDLED_BY", "symbol:C#m"), ("symbol:C#m", "CALLS", "symbol:S#n"), ("symbol:S#n", "CALLS", "symbol:R#o")]
+    frame = spark.createDataFrame([(i, *e) for i, e in enumerate(edges)], "occ_id long, subject string, relation string, object string")
+    own = graph.call_paths(graph.ranked_both(frame), "endpoint:GET /a")
+    assert [e["far"] for e in graph.tile_view(own)] == ["symbol:C#m", "symbol:S#n", "symbol:R#o"]
+    assert graph.paths(own)["symbol:R#o"] == [0, 1, 2]
+
+
+def test_guards_and_gaps(spark):
+    methods = spark.createDataFrame([("C#m", "C"), ("C#n", "C"), ("D#x", "D")], "symbol string, type string")
+    notes = spark.createDataFrame([("C", "T"), ("C#m", "M")], "target string, expression string")
+    assert {tuple(r) for r in rules.guards(methods, notes).collect()} == {("C#m", "M"), ("C#n", "T")}
+    assert [r.subject for r in rules.home_made(spark.createDataFrame([("F", ["Filter"]), ("G", [])], "type string, supers array<string>"), ["Filter"]).collect()] == ["symbol:F"]
+    runs = spark.createDataFrame([("p", "FAILED"), ("q", "UNSUPPORTED"), ("r", "SUCCESS")], "producer_id string, status string")
+    assert {(r.producer_id, r.coverage_type) for r in validate.engine_coverage(runs, "r").collect()} == {("p", "NOT_INTERPRETED"), ("q", "OUT_OF_SCOPE")}
+
+
+def test_compact_form_is_exact(spark):
+    rows = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "b", "x")], "id int, p string, q string")
+    short, common = budget.compact(rows, ["p", "q"])
+    assert common.count() == 2 and sorted(map(tuple, budget.expand(short, common).select("id", "p", "q").collect())) == sorted(map(tuple, rows.collect()))
+    assert budget.briefing(rows, ["id"], F.lit(10), 20).count() == 2
+
+
+def test_output_issues(spark):
+    told = spark.createDataFrame([("p", "ASSERTION", "CALLS", None), ("q", "COVERAGE", None, "ANALYSED")], "producer_id string, kind string, relation string, coverage_type string")
+    catalog = spark.createDataFrame([("q", "ANALYSED")], "producer_id string, code string")
+    assert {tuple(r) for r in validate.output_issues(told, catalog).collect()} == {("p", "UNDECLARED", "CALLS"), ("p", "NO_COVERAGE", None)}
