@@ -9,7 +9,8 @@ pair within the radius meets in some table, none is left to chance.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ BITS = 64
 RADIUS = 2
 WORDS = 3
 SEED = 42
-#: Distinct fingerprints that one task compares as one bucket; larger buckets are dealt out by further bits, nothing is left out.
+#: Distinct fingerprints that one task compares as one bucket; larger buckets are dealt out by further bits, and nothing is left out.
 BUCKET = 4096
 
 
@@ -50,12 +51,12 @@ def majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long) of every row; null and blank texts have 0."""
+def fingerprints(documents: DataFrame, hashes: Callable[[str], list[int]] = shingle_hashes) -> DataFrame:
+    """doc_id and fp (the fingerprint's bits as a long) of every row, from the hashes of its features; null and blank texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in blocks(batches, 1 << 21):
-            own = [shingle_hashes(t.as_py(), words) for t in column(rows, "text")]
+            own = [hashes(t.as_py()) for t in column(rows, "text")]
             counts = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
             flat = np.fromiter((h for hs in own for h in hs), dtype="<u8", count=int(counts.sum()))
             yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), pa.array(majorities(flat, counts).view("<i8"), pa.int64())], names=["doc_id", "fp"])
@@ -63,21 +64,29 @@ def fingerprints(documents: DataFrame, words: int = WORDS) -> DataFrame:
     return texts(documents).mapInArrow(run, "doc_id long, fp long")
 
 
+@lru_cache(maxsize=256)
+def _covering(n: int, radius: int) -> tuple[int, ...]:
+    """Masks over n positions. Vectors are dealt out in turn, or, where there are fewer positions than vectors, with the top bit set: of these two, those whose smallest mask is larger."""
+    most = (1 << radius + 1) - 1
+    top = 1 << radius
+    dealt = ([1 + i % most for i in range(n)], [top | i % top for i in range(n)])
+    found = [[sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, most + 1)] for vectors in dealt]
+    return tuple(max(found, key=lambda ms: min(m.bit_count() for m in ms)))
+
+
+def covering(bits: list[int], radius: int) -> list[int]:
+    """2^(radius + 1) - 1 masks of these bit positions: any `radius` of them are all left out by one of the masks."""
+    return [sum(1 << b for i, b in enumerate(bits) if m >> i & 1) for m in _covering(len(bits), radius)]
+
+
 def masks(radius: int = RADIUS) -> list[int]:
-    """The covering masks of all bit positions, 2^(radius + 1) - 1 of them."""
-    n = (1 << radius + 1) - 1
-    return [sum(1 << i for i in range(BITS) if ((1 + i % n) & v).bit_count() & 1) for v in range(1, n + 1)]
+    """The covering masks of all bit positions."""
+    return covering(list(range(BITS)), radius)
 
 
-def finer(mask: int) -> list[int]:
-    """Masks that hold more bits than this one, such that two fingerprints that agree under it and differ in two other bits at most agree under one of them."""
-    free = [i for i in range(BITS) if not mask >> i & 1]
-    halves = [free[: len(free) // 2], free[len(free) // 2 :]]
-    out = []
-    for fixed in halves:
-        whole = mask | sum(1 << i for i in fixed)
-        out += [whole & ~(1 << i) for i in free]
-    return sorted(set(out))
+def finer(mask: int, radius: int = RADIUS) -> list[int]:
+    """Masks that hold about half of the free bits more, such that two fingerprints that agree under this one, and differ in `radius` bits at most, agree under one of them."""
+    return sorted({mask | m for m in covering([i for i in range(BITS) if not mask >> i & 1], radius)})
 
 
 def _signed(x: int) -> int:
@@ -125,7 +134,37 @@ def linked(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return [(signed[k], lowest[t]) for k, t in enumerate(tops) if lowest[t] != signed[k]]
 
 
-def _buckets(keyed: DataFrame, cap: int | None, radius: int) -> DataFrame:
+def spanning(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """(a, b), b < a: the edges of a minimum spanning forest of these distinct fingerprints, of those that differ in `radius` bits at most. Near pairs are linked first, so that what is nearest is compared later on.
+
+    More than BUCKET of them are taken in runs of the order of their free bits, which is
+    another order in every table, with the runs' first members linked; what two runs
+    of one table keep apart meets in others.
+    """
+    if len(fps) > BUCKET:
+        runs = np.array_split(np.sort(fps), -(-2 * len(fps) // BUCKET))
+        return [e for r in [*runs, np.unique([r[0] for r in runs])] if len(r) > 1 for e in spanning(r, radius)]
+    x = fps.view("<u8")
+    if len(x) == 2:
+        a, b = fps.tolist()
+        return [(max(a, b), min(a, b))] if (int(x[0]) ^ int(x[1])).bit_count() <= radius else []
+    apart, near = np.bitwise_count(x ^ x[0]).astype(np.int16), np.zeros(len(x), dtype=np.int64)
+    apart[0] = 1000
+    out = []
+    for _ in range(len(x) - 1):
+        k = int(apart.argmin())
+        if apart[k] <= radius:
+            a, b = int(fps[k]), int(fps[near[k]])
+            out.append((max(a, b), min(a, b)))
+        now = np.bitwise_count(x ^ x[k]).astype(np.int16)
+        closer = (now < apart) & (apart < 1000)
+        near[closer] = k
+        apart = np.where(closer, now, apart)
+        apart[k] = 1000
+    return out
+
+
+def _buckets(keyed: DataFrame, cap: int | None, radius: int, link=linked) -> DataFrame:
     """tab, key, fp -> edges (a, b) of each bucket; members of buckets beyond the cap come out with a alone and their table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +179,7 @@ def _buckets(keyed: DataFrame, cap: int | None, radius: int) -> DataFrame:
             fps = np.concatenate(members)
             if over:
                 return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(fps), pa.int32()), pa.array(fps, pa.int64()), pa.nulls(len(fps), pa.int64())], names=["tab", "a", "b"])
-            pairs = linked(np.unique(fps), radius)
+            pairs = link(np.unique(fps), radius)
             return pa.RecordBatch.from_arrays([pa.array([None] * len(pairs), pa.int32()), pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["tab", "a", "b"]) if pairs else None
 
         for batch in batches:
@@ -166,25 +205,27 @@ def _buckets(keyed: DataFrame, cap: int | None, radius: int) -> DataFrame:
 
 
 def _keyed(fps: DataFrame, tables: list[tuple[int, int]]) -> DataFrame:
-    each = F.explode(F.array(*[F.struct(F.lit(t).alias("tab"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in tables]))
-    return fps.select("fp", each.alias("x")).select("x.tab", "x.key", "fp")
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("tab"), F.lit(_signed(m)).alias("mask")) for t, m in tables]))
+    return fps.select("fp", each.alias("x")).select("x.tab", F.col("fp").bitwiseAND(F.col("x.mask")).alias("key"), "fp")
 
 
-def links(fps: DataFrame, radius: int = RADIUS, cap: int = BUCKET) -> DataFrame:
-    """Distinct fp -> edges (a, b) with b < a that connect just what links of at most `radius` differing bits connect.
+def links(fps: DataFrame, radius: int = RADIUS, cap: int | None = BUCKET, link=linked) -> DataFrame:
+    """Distinct fp -> edges (a, b), found bucket by bucket by `link`; with linked() they connect just what links of at most `radius` differing bits connect.
 
-    Buckets of more than cap members are keyed anew by masks of about half of the bits that were free, so no bucket of these exceeds 2^15 members whatever the input.
+    Buckets of more than cap members are keyed anew by masks that hold about half of the
+    bits that were free: so a bucket of these has 2^(a quarter of the bits) members at
+    most, whatever the input.
     """
     spark = fps.sparkSession
-    first = written(_buckets(_keyed(fps, list(enumerate(masks(radius)))), cap if radius == 2 else None, radius), shared_dir(spark, "simhash-edges"))
+    whole = (1 << BITS) - 1  # under it only equal fingerprints meet
+    first = written(_buckets(_keyed(fps, [(t, m) for t, m in enumerate(masks(radius)) if m != whole]), cap, radius, link), shared_dir(spark, "simhash-edges"))
     edges = first.where("b is not null").select("a", "b")
     large = first.where("b is null").select("tab", F.col("a").alias("fp"))
-    again = []
-    for t in [r.tab for r in large.select("tab").distinct().collect()]:  # at most a row a table
+    crowded = sorted(r.tab for r in large.select("tab").distinct().collect())  # at most a row a table
+    for t in crowded:
         inner = large.where(F.col("tab") == t).select("fp").distinct()
-        again.append(_keyed(inner, [(1000 * (t + 1) + k, m) for k, m in enumerate(finer(masks(radius)[t]))]))
-    for more in again:
-        edges = edges.unionByName(_buckets(more, None, radius).select("a", "b"))
+        more = _keyed(inner, [(1000 * (t + 1) + k, m) for k, m in enumerate(finer(masks(radius)[t], radius))])
+        edges = edges.unionByName(_buckets(more, None, radius, link).select("a", "b"))
     return edges.distinct()
 
 
@@ -222,10 +263,73 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, words: int = WOR
     it has no other. An empty table gives an empty result; texts are hashed whole.
     """
     spark = documents.sparkSession
-    own = written(fingerprints(documents, words), shared_dir(spark, "fingerprints"))
+    own = written(fingerprints(documents, partial(shingle_hashes, words=words)), shared_dir(spark, "fingerprints"))
     classes = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(links(classes.select("fp"), radius, cap))
+    return _placed(own, classes, found).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _placed(own: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Every row's fingerprint and the smallest doc_id of what its fingerprint is connected to."""
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     placed = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return own.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(placed, "fp")
+
+
+#: For near copies: words of a shingle, the least share of common shingles, and the radius in which candidates are sought.
+COPY_WORDS, COPY_SHARE, COPY_RADIUS = 5, 0.8, 6
+#: Bits of the filter of documents that a candidate pair names: its size is fixed.
+FILTER_BITS = 1 << 24
+
+
+def word_hashes(text: str) -> list[int]:
+    """XXH64 of each distinct word: a fingerprint of these moves little when single words change, where one of shingles moves with every shingle that holds the word."""
+    return [xxhash.xxh64_intdigest(w, SEED) for w in set(text.encode().lower().split())]
+
+
+def shared(a: str, b: str, words: int = COPY_WORDS) -> float:
+    """The share of the shingles of either text that both have; 1 for two texts without words."""
+    one, two = (set(shingle_hashes(t, words)) for t in (a, b))
+    return len(one & two) / len(one | two) if one or two else 1.0
+
+
+def near_copies(documents: DataFrame, words: int = COPY_WORDS, share: float = COPY_SHARE, radius: int = COPY_RADIUS) -> DataFrame:
+    """doc_id and component_id, by links between texts that share `share` of their shingles.
+
+    Candidates are found by covering masks over fingerprints of the texts' distinct
+    words, within `radius` bits; of every bucket a minimum spanning forest is kept, and
+    its edges are checked against the texts themselves. Texts of one fingerprint count
+    as copies. Rows, nulls and repeats are treated as by near_duplicates().
+    """
+    spark = documents.sparkSession
+    own = written(fingerprints(documents, hashes=word_hashes), shared_dir(spark, "word-fingerprints"))
+    classes = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    pairs = links(classes.select("fp"), radius, None, spanning)
+    named = classes.where("first is not null")
+    pairs = pairs.join(named.select(F.col("fp").alias("a"), F.col("first").alias("doc_a")), "a").join(named.select(F.col("fp").alias("b"), F.col("first").alias("doc_b")), "b")
+    pairs = written(pairs, shared_dir(spark, "copy-pairs"))
+    asked = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words_set = asked.select((place / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) % 64 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    bits = np.zeros(FILTER_BITS // 64, dtype="<i8")
+    for row in words_set.collect():  # at most a row for each 64 bits
+        bits[row.w] = row.bits
+    kept = spark.sparkContext.broadcast(bits.tobytes())
+
+    def named_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = np.frombuffer(kept.value, "u1")
+        for batch in batches:
+            at = np.asarray(batch.column("place"))
+            yield batch.filter(pa.array((have[at >> 3] >> (at & 7).astype("u1")) & 1 == 1)).select(["doc_id", "text"])
+
+    read = texts(documents).where("doc_id is not null").withColumn("place", place).mapInArrow(named_only, "doc_id long, text string").dropDuplicates(["doc_id"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in blocks(batches, 1 << 21, "text_a"):
+            good = [shared(a.as_py(), b.as_py(), words) >= share for a, b in zip(rows.column("text_a"), rows.column("text_b"), strict=True)]
+            yield from rows.filter(pa.array(good, pa.bool_())).select(["a", "b"]).to_batches()
+
+    both = pairs.join(read.withColumnsRenamed({"doc_id": "doc_a", "text": "text_a"}), "doc_a").join(read.withColumnsRenamed({"doc_id": "doc_b", "text": "text_b"}), "doc_b")
+    edges = both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return _placed(own, classes, components(edges)).select("doc_id", "component_id")
