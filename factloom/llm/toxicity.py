@@ -236,7 +236,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     read = texts(documents).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "word string, toxic int, around string")
     each = read.select("word", "toxic", F.xxhash64("around").alias("around")).distinct()
     counts = each.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
-    return fit([(w, t, o) for w, t, o in zip(*(counts.toArrow().column(c).to_pylist() for c in ("word", "t", "o")), strict=True)])
+    rows = counts.toArrow()  # words of at most 2 * sample documents
+    return fit(list(zip(*(rows.column(c).to_pylist() for c in ("word", "t", "o")), strict=True)))
 
 
 def decisions(text: pa.Array, model: Model) -> np.ndarray:
