@@ -234,6 +234,8 @@ def test_edit_column(spark, odd, none):
         new = t[:1] + "new words" + t[3:] if t and len(t) > 4 else t or ""
         assert (got[i].text, got[i].n_tokens) == (new, len(encode(new)))
     assert got[14].n_encoded_again < 300 < got[14].tokens_before
+    once = edit_counts.count_and_edit(odd, lambda t: [(1, 3, "new words"), (len(t), len(t), "")] if len(t) > 4 else [], RANKS, PATTERN)
+    assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, got.values()), key=str)
     assert edit_counts.counted(none, RANKS, PATTERN).collect() == []
     with pytest.raises(Exception, match="overlap or lie outside"):
         bad = counted.withColumn("edits", F.expr("array(named_struct('start', 0, 'end', 9999999, 'text', ''))"))
@@ -278,7 +280,7 @@ def test_simhash(spark, odd, none):
     assert simhash.near_duplicates(none).collect() == []
 
 
-@pytest.mark.parametrize("radius", [1, 2, 3])
+@pytest.mark.parametrize("radius", [1, 2, 3, 6])
 def test_masks_cover_every_pair(radius):
     rng = random.Random(1)
     masks = simhash.masks(radius)
@@ -292,6 +294,7 @@ def test_masks_cover_every_pair(radius):
             differ = sum(1 << b for b in rng.sample(free, rng.randint(0, 2)))
             assert any(not f & differ for f in simhash.finer(m))
             assert all(64 - f.bit_count() <= 16 for f in simhash.finer(m))
+    assert min(m.bit_count() for m in simhash.masks(6)) == 32 and min(m.bit_count() for m in simhash.masks(2)) == 36
 
 
 @pytest.mark.parametrize("n", [200, 700])
@@ -316,6 +319,58 @@ def test_large_buckets_lose_no_link(spark):
     assert len(same) == len(set(of.values())) == len({b for _, b in same})
 
 
+def test_spanning_forests():
+    rng = random.Random(5)
+    for n in (2, 3, 60):
+        fps = sorted({simhash._signed(rng.getrandbits(6) << 20) for _ in range(n)} | {simhash._signed(rng.getrandbits(64)) for _ in range(2)})
+        edges = simhash.spanning(np.array(fps, "<i8"), 2)
+        root = {f: f for f in fps}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            assert ((a ^ b) % 2**64).bit_count() <= 2 and find(a) != find(b)
+            root[find(a)] = find(b)
+        of = classes({f % 2**64 for f in fps})
+        assert len({find(f) for f in fps}) == len(set(of.values()))
+
+
+def test_spanning_forests_of_many(monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 16)
+    fps = np.unique([1 << 40 ^ (k << 7) for k in range(100)]).astype("<i8")
+    edges = simhash.spanning(fps, 6)
+    assert {x for e in edges for x in e} == set(fps.tolist())
+
+
+def test_near_copies(spark, none):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=rng.randint(2, 7)))
+    base = [[word() for _ in range(rng.randint(120, 300))] for _ in range(30)]
+    texts, group = [], []
+    for g, words in enumerate(base):
+        texts.append(" ".join(words))
+        group.append(g)
+        for _ in range(g % 4):
+            copy = list(words)
+            for _ in range(rng.randint(1, 2)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+            group.append(g)
+        half = " ".join(words[: len(words) // 2] + [word() for _ in words])
+        texts.append(half)
+        group.append(1000 + g)
+    texts += [None, "", None]
+    group += [-1, -1, -1]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, texts)).collect()}
+    assert all(group[got[i]] == g for i, g in enumerate(group))  # nothing else is put together
+    assert sum(got[i] == group.index(g) for i, g in enumerate(group)) >= 0.95 * len(group)  # candidates lie within the radius, most copies do
+    assert simhash.near_copies(none).collect() == []
+    assert simhash.shared("a b c d e f", "A  b c d e f") == 1.0 and simhash.shared("a b", "a c") == 0.0
+
+
 def test_components_of_a_chain(spark):
     frame = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 99), (100, 100)], "a long, b long")
     assert {r.node: r.root for r in simhash.components(frame).collect()} == {**dict.fromkeys(range(41), 0), 99: 99, 100: 99}
