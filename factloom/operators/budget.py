@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +18,13 @@ def prefix(rows: DataFrame, order: list[str], size: Column, budget: int, ranges:
     spark = rows.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sized = rows.withColumn("_size", size)
-    cuts = sorted(set(sized.approxQuantile(order[0], [k / n for k in range(1, n)], 0.5 / n))) if n > 1 else []
-    number = F.coalesce(F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda a, c: a + (F.col(order[0]) > c).cast("int")), F.lit(0)) if cuts else F.lit(0)
-    sized = sized.withColumn("_range", number)
+    cuts = np.unique(sized.approxQuantile(order[0], [k / n for k in range(1, n)], 0.5 / n)) if n > 1 else np.zeros(0)
+
+    @F.pandas_udf("int")
+    def number(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, keys.to_numpy(dtype=float)).astype(np.int32))
+
+    sized = sized.withColumn("_range", number(F.col(order[0]).cast("double")) if len(cuts) else F.lit(0))
     sums = sized.groupBy("_range").agg(F.sum("_size").alias("_sum"))  # a row for each range
     before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("_before") <= budget).select("_range", "_before")
     running = F.sum("_size").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
