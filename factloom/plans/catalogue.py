@@ -507,3 +507,102 @@ def qualifiers(spark, sf_dir):
     """1.2: JSON qualifiers in canonical form and a value of them."""
     return table(spark, sf_dir, "events").select("event_id", "props", F.get_json_object("props", "$.k").alias("k"))
 
+
+
+@query("SELECT user_id AS producer_id, count(DISTINCT event_type) AS unknown_zones FROM events WHERE value < 5 GROUP BY user_id")
+def unknown_zones(spark, sf_dir):
+    """Distinct unread subjects by producer."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("producer_id"), F.col("event_type").alias("subject"), F.when(F.col("value") < 5, "READ_ERROR").otherwise("ANALYSED").alias("coverage_type"))
+    return summaries.unknown_zones(rows)
+
+
+@query("SELECT lang AS analysis_id, sum(n_chars)::BIGINT AS fact_count, array_to_string(list_sort(list(DISTINCT source) FILTER (doc_id % 50 = 0)), ',') AS failed FROM documents GROUP BY lang")
+def analysis_choices(spark, sf_dir):
+    """Facts and failed producers of each analysis."""
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("analysis_id"), F.col("n_chars").alias("facts"), F.col("source").alias("producer_id"), F.when(F.col("doc_id") % 50 == 0, "FAILED").otherwise("SUCCESS").alias("status"))
+    return summaries.analysis_choices(rows).withColumn("failed", F.array_join("failed", ","))
+
+
+@query("SELECT event_type AS model, sum(user_id)::BIGINT AS input_tokens, sum(event_id)::BIGINT AS output_tokens, count(*) AS calls FROM events GROUP BY event_type")
+def usage(spark, sf_dir):
+    """Totals by model."""
+    return summaries.usage(table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), F.col("user_id").alias("input_tokens"), F.col("event_id").alias("output_tokens")))
+
+
+@query("""
+WITH s AS (SELECT CASE event_type WHEN 'click' THEN 'UNKNOWN' WHEN 'view' THEN 'AMBIGUOUS' END AS c FROM events)
+SELECT c AS category, 'AT_LEAST' AS precision, (SELECT count(*) FROM s WHERE s.c = d.c) AS n FROM (SELECT unnest(['UNKNOWN', 'AMBIGUOUS', 'UNSUPPORTED', 'OUT_OF_SCOPE']) AS c) d""")
+def diagnostic_counts(spark, sf_dir):
+    """A5: counts by category where sites were cut off: all four, zeros too."""
+    kind = F.when(F.col("event_type") == "click", "UNKNOWN").when(F.col("event_type") == "view", "AMBIGUOUS")
+    return summaries.diagnostic_counts(table(spark, sf_dir, "events").select(kind.alias("category")), True)
+
+
+@query("""
+WITH k AS (SELECT DISTINCT l_suppkey s, l_partkey p FROM lineitem WHERE l_suppkey <= 20), r AS (SELECT s, 'part:' || p AS o, row_number() OVER (PARTITION BY s ORDER BY 'part:' || p) AS n, count(*) OVER (PARTITION BY s) AS c FROM k)
+SELECT 'supplier:' || s AS claim_id, string_agg(o, ',' ORDER BY n) FILTER (n <= 10) AS objects, greatest(max(c) - 10, 0)::INT AS more FROM r GROUP BY s""")
+def known_objects(spark, sf_dir):
+    """The first ten established objects of a claim, and how many more there are."""
+    edges = derived.supplied_by(spark, sf_dir).select(F.col("object").alias("subject"), F.lit("SUPPLIES").alias("relation"), F.col("subject").alias("object"))
+    claims = table(spark, sf_dir, "supplier").where("s_suppkey <= 20").select(ref("supplier", "s_suppkey").alias("claim_id"), ref("supplier", "s_suppkey").alias("subject"), F.lit("SUPPLIES").alias("relation"), F.lit("none").alias("object"))
+    return knowledge.known_objects(claims, edges).withColumn("objects", F.array_join("objects", ","))
+
+
+@query("SELECT 'document:' || d.doc_id AS subject, CASE WHEN l.doc_id IS NULL THEN 'NOT_ANALYSED' ELSE 'ANALYSED' END AS coverage_type FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def envelope_coverage(spark, sf_dir):
+    """Coverage of subjects, never empty."""
+    known = derived.coverage(spark, sf_dir).where("coverage_type = 'ANALYSED'")
+    return knowledge.envelope_coverage(known, table(spark, sf_dir, "documents").select(ref("document", "doc_id").alias("subject")))
+
+
+@query("""
+WITH d AS (SELECT p_brand AS t, p_size AS a, min(p_partkey) AS s, count(DISTINCT p_partkey) AS n FROM part GROUP BY 1, 2)
+SELECT o_orderkey AS site_id, CASE WHEN d.n = 1 THEN d.s END AS target, CASE WHEN d.n IS NULL THEN 'NO_DECLARATION' WHEN d.n > 1 THEN 'SEVERAL_DECLARATIONS' END AS reason
+FROM orders LEFT JOIN d ON d.t = 'Brand#' || (1 + o_orderkey % 5) || (1 + o_custkey % 5) AND d.a = 1 + o_orderkey % 60 WHERE o_orderkey < 3000""")
+def resolved_calls(spark, sf_dir):
+    """The only declaration of a name and number of arguments, or why there is none."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("type"), F.lit("m").alias("method"), F.col("p_size").alias("arity"), F.col("p_partkey").alias("symbol"))
+    brand = F.concat(F.lit("Brand#"), (1 + F.col("o_orderkey") % 5).cast("string"), (1 + F.col("o_custkey") % 5).cast("string"))
+    sites = table(spark, sf_dir, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("site_id"), brand.alias("receiver_type"), F.lit("m").alias("method"), (1 + F.col("o_orderkey") % 60).cast("int").alias("arity"))
+    supers = sites.select(F.col("receiver_type").alias("type")).distinct().select("type", F.col("type").alias("reference"), F.lit(0).alias("level"))
+    return calls.resolve(sites, supers, parts, spark.createDataFrame([], "type string"))
+
+
+@query("SELECT DISTINCT 'part:' || l_partkey AS symbol, 'size:' || p_size AS declares FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey = 7")
+def implementations(spark, sf_dir):
+    """Class methods with the interface methods of their signature."""
+    parts = table(spark, sf_dir, "part")
+    methods = parts.select(F.col("p_brand").alias("type"), F.concat_ws("|", "p_partkey", "p_size").alias("signature"), ref("part", "p_partkey").alias("symbol"))
+    wanted = table(spark, sf_dir, "lineitem").where("l_suppkey = 7").join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("I"), F.col("p_brand")).alias("type"), F.concat_ws("|", "p_partkey", "p_size").alias("signature"), ref("size", "p_size").alias("symbol"))
+    implements = parts.select(F.col("p_brand").alias("type"), F.concat(F.lit("I"), F.col("p_brand")).alias("interface")).distinct()
+    return calls.implementations(methods, wanted, implements)
+
+
+@query("SELECT 'nation:' || n_nationkey AS reference, 1 AS level FROM nation WHERE n_regionkey IN (1, 2) UNION ALL SELECT 'region:' || r, 0 FROM (SELECT unnest([1, 2]) AS r)")
+def merged_tiles(spark, sf_dir):
+    """Nodes of several tiles once each, at their smallest level."""
+    edges = derived.located(spark, sf_dir).where("relation = 'IN_REGION'").select(F.col("object").alias("src"), F.col("subject").alias("dst"))
+    one, two = (graph.reach(edges, spark.createDataFrame([(r,)], "reference string"), 1) for r in ("region:1", "region:2"))
+    return compare.merge_tiles(one.unionByName(two).unionByName(one.withColumn("level", F.lit(3))))
+
+
+@query("""
+SELECT 'symbol:' || p_partkey AS symbol, CASE WHEN p_size < 10 THEN 'M' || p_size ELSE 'T' || p_brand END AS expression FROM part WHERE p_size < 10 OR p_brand LIKE '%1'""")
+def guards(spark, sf_dir):
+    """The guard of a method, its own or else that of its type."""
+    parts = table(spark, sf_dir, "part")
+    methods = parts.select(ref("symbol", "p_partkey").alias("symbol"), F.col("p_brand").alias("type"))
+    own = parts.where("p_size < 10").select(ref("symbol", "p_partkey").alias("target"), F.concat(F.lit("M"), F.col("p_size").cast("string")).alias("expression"))
+    of_type = parts.where(F.col("p_brand").like("%1")).select(F.col("p_brand").alias("target"), F.concat(F.lit("T"), F.col("p_brand")).alias("expression")).distinct()
+    return rules.guards(methods, own.unionByName(of_type))
+
+
+@query("""
+SELECT DISTINCT 'document:' || doc_id AS node, 'file:' || source AS subject, 'lang ' || lang AS reason FROM documents JOIN (SELECT DISTINCT source AS s, lang AS l FROM documents WHERE doc_id < 20) g ON g.s = source AND g.l = lang""")
+def evidence_gaps(spark, sf_dir):
+    """Nodes whose proof lies in a file with a coverage gap."""
+    rows = table(spark, sf_dir, "documents")
+    gaps = rows.where("doc_id < 20").select(ref("file", "source").alias("subject"), F.concat(F.lit("lang "), "lang").alias("reason")).distinct()
+    proofs = rows.select(ref("document", "doc_id").alias("node"), F.col("source").alias("path"))
+    languages = rows.select(ref("document", "doc_id").alias("node"), F.concat(F.lit("lang "), "lang").alias("reason"))
+    return project.evidence_gaps(proofs, gaps).join(languages, ["node", "reason"], "left_semi").select("node", "subject", "reason")

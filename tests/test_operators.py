@@ -369,6 +369,18 @@ def test_answers_in_pieces(spark, tmp_path):
     assert "".join(r.added for r in spark.table("answers").collect()) == last
 
 
+def test_fold_over_a_stream(spark, tmp_path):
+    rows = [(1, 1, 0), (1, 2, 0), (1, 3, 1), (2, 4, 5)]
+    for k, part in enumerate((rows[:2], rows[2:])):
+        spark.createDataFrame(part, "job_id long, event_id long, expected long").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema("job_id long, event_id long, expected long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    run = journal.fold(stream).writeStream.format("memory").queryName("folded").outputMode("update").trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = {r.job_id: (r.revision, r.conflicts) for r in spark.table("folded").orderBy("revision", "conflicts").collect()}
+    batch = journal.revisions(spark.createDataFrame(rows, "job_id long, event_id long, expected long"))
+    assert last == {r.job_id: (r.revision, r.conflicts) for r in batch.collect()} == {1: (2, 1), 2: (0, 1)}
+
+
 def test_revisions(spark):
     rows = spark.createDataFrame([(1, 1, 0), (1, 2, 0), (1, 3, 1)], "job_id long, event_id long, expected long")
     assert tuple(journal.revisions(rows).first()) == (1, 2, 1)
