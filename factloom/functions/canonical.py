@@ -23,6 +23,7 @@ IDENTITY_FIELDS = {
     "COVERAGE": ("kind", "subject", "coverage_type", "scope", "producer_id"),
 }
 SAFE = 2**53 - 1
+#: What is hashed in front of an identity; stores that share hashes share it.
 TAG = b"fact-identity/1\n"
 
 
@@ -105,7 +106,7 @@ def identity_of(fact: dict) -> dict:
     given = {**fact, "producer_id": (fact.get("produced_by") or {}).get("producer_id", fact.get("producer_id"))}
     out = nfc({k: given[k] for k in fields if given.get(k) is not None})
     if isinstance(out.get("scope"), dict):
-        out["scope"] = {k: sorted(set(v), key=utf16) if isinstance(v, list) else v for k, v in out["scope"].items()}
+        out["scope"] = {k: sorted(set(v), key=utf16) if isinstance(v, list) else v for k, v in out["scope"].items() if k != "exclude" or v}
     return out
 
 

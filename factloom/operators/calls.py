@@ -9,13 +9,17 @@ from factloom.operators.graph import closure_with_paths, nearest_single, reach
 
 #: Why a call isn't resolved, by category (fixed values).
 CATEGORIES = {
-    "RECEIVER_UNKNOWN": "UNKNOWN",
-    "TYPE_UNKNOWN": "UNKNOWN",
-    "NO_DECLARATION": "UNKNOWN",
-    "SEVERAL_DECLARATIONS": "AMBIGUOUS",
-    "SEVERAL_TYPES": "AMBIGUOUS",
-    "EXPRESSION": "UNSUPPORTED",
-    "EXTERNAL_TYPE": "OUT_OF_SCOPE",
+    "RECEIVER_TYPE_UNKNOWN": "UNKNOWN",
+    "RECEIVER_TYPE_AMBIGUOUS": "AMBIGUOUS",
+    "OVERLOAD_AMBIGUOUS": "AMBIGUOUS",
+    "NO_MATCHING_DECLARATION": "UNKNOWN",
+    "TARGET_DECLARATION_OUTSIDE_SNAPSHOT": "UNKNOWN",
+    "TARGET_TYPE_OUTSIDE_SNAPSHOT": "UNKNOWN",
+    "SUPER_TYPE_UNRESOLVED": "UNKNOWN",
+    "UNSUPPORTED_CALL_FORM": "UNSUPPORTED",
+    "RECEIVER_KIND_DEFERRED": "UNSUPPORTED",
+    "LAMBDA_OR_LOCAL_CONTEXT": "UNSUPPORTED",
+    "PARSE_ERROR": "UNKNOWN",
 }
 
 
@@ -52,7 +56,7 @@ def resolve(sites: DataFrame, supers: DataFrame, declared: DataFrame, external:
     found = up.join(declared.select(F.col("type").alias("reference"), "method", "arity", F.col("symbol").alias("candidate")), ["reference", "method", "arity"])
     best = nearest_single(found, ["site_id"])
     rows = sites.select("site_id", "receiver_type").join(best, "site_id", "left").join(outside, "site_id")
-    reason = F.when(F.col("receiver_type").isNull(), "RECEIVER_UNKNOWN").when(F.col("outside"), "EXTERNAL_TYPE").when(F.col("reason") == "AMBIGUOUS", "SEVERAL_DECLARATIONS").when(F.col("candidate").isNull(), "NO_DECLARATION")
+    reason = F.when(F.col("receiver_type").isNull(), "RECEIVER_TYPE_UNKNOWN").when(F.col("outside"), "TARGET_TYPE_OUTSIDE_SNAPSHOT").when(F.col("reason") == "AMBIGUOUS", "OVERLOAD_AMBIGUOUS").when(F.col("candidate").isNull(), "NO_MATCHING_DECLARATION")
     return rows.select("site_id", F.when(reason.isNull(), F.col("candidate")).alias("target"), reason.alias("reason"))
 
 

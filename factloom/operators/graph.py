@@ -28,12 +28,12 @@ def both_ways(relations: list[str]) -> list[Step]:
     return [Step(r, d) for r in relations for d in ("OUT", "IN")]
 
 
-#: Declared walks: a name, the kinds of anchor that it allows, its steps (fixed values).
+#: Declared walks: the kinds of anchor that each allows, its depth and its steps (fixed values).
 PROFILES = {
-    "method-context/1": (("symbol",), [Step("CONTAINS", "IN"), Step("CALLS"), Step("CALLS", "IN"), Step("ANNOTATED_WITH"), Step("HANDLED_BY", "IN")]),
-    "calls/1": (("symbol",), [Step("CALLS"), Step("CALLS", "IN")]),
-    "structure/1": (("repository", "module", "directory", "file"), [Step("CONTAINS"), Step("DEPENDS_ON")]),
-    "security/2": (("endpoint",), [Step("HANDLED_BY"), Step("MATCHED_BY"), Step("AUTHORIZED_BY"), Step("PERMITS_ALL")]),
+    "method-context/1": (("symbol",), 1, [Step("CONTAINS", "IN"), Step("ANNOTATED_WITH"), Step("CALLS"), Step("CALLS", "IN"), Step("IMPLEMENTS"), Step("IMPLEMENTS", "IN")]),
+    "calls/1": (("endpoint", "symbol"), 2, [Step("HANDLED_BY"), Step("CALLS"), Step("DISPATCHES_TO")]),
+    "structure/1": (("module", "application"), 1, [Step("CONTAINS"), Step("DEPENDS_ON"), Step("BUILT_FROM")]),
+    "security/2": (("endpoint",), 2, [Step("HANDLED_BY"), Step("SERVED_BY"), Step("MATCHED_BY"), Step("AUTHORIZED_BY")]),
 }
 
 
@@ -172,6 +172,14 @@ def tile(ranked: DataFrame, root: str, steps: list[Step], depth: int, limits: Li
     return own
 
 
+def profiled(ranked: DataFrame, root: str, profile: str, **more) -> Tile:
+    """The tile of a declared walk; an anchor of another kind is refused."""
+    anchors, depth, steps = PROFILES[profile]
+    if root.partition(":")[0] not in anchors:
+        raise ValueError(f"{profile} starts from {', '.join(anchors)}")
+    return tile(ranked, root, steps, more.pop("depth", depth), **more)
+
+
 def unexpanded(own: Tile, depth: int) -> list[tuple[str, str]]:
     """Nodes that were neither expanded nor cut: DEPTH, or NOT_REACHED for those behind a stop."""
     cut = {c["node"] for c in own.cuts} | ({own.stop["node"]} if own.stop else set())

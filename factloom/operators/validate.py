@@ -7,16 +7,44 @@ from pyspark.sql import functions as F
 
 #: Kinds of references (fixed values).
 REFERENCE_TYPES = ("repository", "module", "directory", "file", "symbol", "endpoint", "route-pattern", "technology", "language", "annotation", "role", "permission", "policy-rule", "commit", "person", "application")
-#: Relations (fixed values).
-RELATIONS = (
-    "CONTAINS", "WRITTEN_IN", "USES_TECHNOLOGY", "DECLARED_BY", "ANNOTATED_WITH", "CALLS", "WRITES_CALL", "IMPLEMENTS", "EXTENDS", "TYPED_AS",
-    "TYPE_ARGUMENT", "DISPATCHES_TO", "HANDLED_BY", "ACCEPTS", "RETURNS", "PERMITS_ALL", "AUTHORIZED_BY", "MATCHED_BY", "PROTECTED_BY", "CONFIGURES",
-    "HAS_COMMIT", "AUTHORED_BY", "CHILD_OF", "CHANGES", "DEPENDS_ON", "BUILT_FROM", "SERVED_BY",
-)
+#: Relations with the kinds of their subjects and objects (none: an object isn't a reference) and their statuses (fixed values).
+RELATIONS = {
+    "CONTAINS": ("repository module file symbol", "module file symbol", "OBSERVED INFERRED"),
+    "WRITTEN_IN": ("file", "language", "OBSERVED"),
+    "USES_TECHNOLOGY": ("repository module", "technology", "OBSERVED"),
+    "DECLARED_BY": ("technology", "file", "OBSERVED"),
+    "ANNOTATED_WITH": ("symbol", "annotation", "OBSERVED"),
+    "CALLS": ("symbol", "symbol", "INFERRED"),
+    "WRITES_CALL": ("symbol", "", "OBSERVED"),
+    "IMPLEMENTS": ("symbol", "symbol", "OBSERVED INFERRED"),
+    "EXTENDS": ("symbol", "symbol", "OBSERVED"),
+    "TYPED_AS": ("symbol", "symbol", "OBSERVED"),
+    "TYPE_ARGUMENT": ("symbol", "symbol", "OBSERVED"),
+    "DISPATCHES_TO": ("symbol", "symbol", "INFERRED"),
+    "HANDLED_BY": ("endpoint", "symbol", "OBSERVED"),
+    "ACCEPTS": ("endpoint", "symbol", "OBSERVED"),
+    "RETURNS": ("endpoint", "symbol", "OBSERVED"),
+    "PERMITS_ALL": ("route-pattern", "", "OBSERVED"),
+    "AUTHORIZED_BY": ("route-pattern symbol", "symbol", "OBSERVED"),
+    "MATCHED_BY": ("endpoint", "route-pattern", "INFERRED"),
+    "PROTECTED_BY": ("endpoint", "symbol policy-rule", "INFERRED HUMAN_VALIDATED"),
+    "CONFIGURES": ("symbol", "policy-rule", "OBSERVED"),
+    "HAS_COMMIT": ("repository", "commit", "OBSERVED"),
+    "AUTHORED_BY": ("commit", "person", "OBSERVED"),
+    "CHILD_OF": ("commit", "commit", "OBSERVED"),
+    "CHANGES": ("commit", "file", "OBSERVED"),
+    "DEPENDS_ON": ("module", "module", "OBSERVED"),
+    "BUILT_FROM": ("application", "module", "OBSERVED"),
+    "SERVED_BY": ("endpoint", "application", "INFERRED"),
+}
+#: What may hold what (fixed values).
+HOLDS = {"repository": ("module", "file"), "module": ("module", "file"), "file": ("symbol",), "symbol": ("symbol",)}
+#: Which producers may give a status (fixed values).
+PRODUCERS = {"OBSERVED": ("EVALUATOR",), "INFERRED": ("EVALUATOR", "PROJECTION"), "HUMAN_VALIDATED": ("HUMAN",)}
 KINDS = ("ASSERTION", "ABSENCE", "COVERAGE")
 STATUSES = ("OBSERVED", "INFERRED", "HUMAN_VALIDATED")
 VALIDITIES = ("VALID", "STALE", "REVALIDATION_REQUIRED")
-COVERAGE_TYPES = ("ANALYSED", "EXCLUDED", "NOT_INTERPRETED", "OUT_OF_SCOPE", "READ_ERROR")
+COVERAGE_TYPES = ("ANALYSED", "RECOGNIZED", "NOT_INTERPRETED", "OUT_OF_SCOPE", "READ_ERROR")
 
 _REFERENCE = rf"^(?:{'|'.join(REFERENCE_TYPES)}):\S(?:.*\S)?$"
 _COMMIT = r"^(?:[0-9a-f]{40}|[0-9a-f]{64})$"
@@ -54,9 +82,10 @@ def rules() -> dict[str, Column]:
     head = lambda c: F.substring_index(c, ":", 1)
     some = lambda test: F.coalesce(F.exists(evidence, test), F.lit(False))
     assertion, covered = kind == "ASSERTION", kind == "COVERAGE"
-    holders = {"repository": ("module", "directory", "file"), "module": ("directory", "file", "symbol"), "directory": ("directory", "file"), "file": ("symbol",), "symbol": ("symbol",)}
+    among = lambda part: F.try_element_at(F.create_map(*[x for r, told in RELATIONS.items() for x in (F.lit(r), F.array(*map(F.lit, told[part].split())).cast("array<string>"))]), F.col("relation"))
+    given = F.try_element_at(F.create_map(*[x for s, ps in PRODUCERS.items() for x in (F.lit(s), F.array(*map(F.lit, ps)))]), status)
     pair = F.lit(False)
-    for holder, held in holders.items():
+    for holder, held in HOLDS.items():
         pair = pair | ((head("subject") == holder) & head("object").isin(*held))
     return {
         "KIND": kind.isNull() | ~kind.isin(*KINDS),
@@ -65,13 +94,16 @@ def rules() -> dict[str, Column]:
         "RELATION": assertion & (F.col("relation").isNull() | ~F.col("relation").isin(*RELATIONS)),
         "SUBJECT": (assertion | covered) & ~is_reference(F.col("subject")),
         "OBJECT": assertion & F.col("object").isNotNull() & F.contains("object", F.lit(":")) & head("object").isin(*REFERENCE_TYPES) & ~is_reference(F.col("object")),
+        "SUBJECT_KIND": F.coalesce(assertion & ~F.array_contains(among(0), head("subject")), F.lit(False)),
+        "OBJECT_KIND": F.coalesce(assertion & F.when(F.size(among(1)) == 0, F.col("object").isNotNull()).otherwise(F.col("object").isNull() | ~F.array_contains(among(1), head("object"))), F.lit(False)),
+        "RELATION_STATUS": F.coalesce(assertion & ~F.array_contains(among(2), status), F.lit(False)),
         "CONTAINS_PAIR": F.coalesce(assertion & (key == "CONTAINS") & ~pair, F.lit(False)),
         "COVERAGE_TYPE": covered & (F.col("coverage_type").isNull() | ~F.col("coverage_type").isin(*COVERAGE_TYPES)),
         "SCOPE": (kind != "ASSERTION") & (F.col("scope").isNull() | (F.coalesce(F.size("scope.include"), F.lit(0)) < 1)),
         "REASON": covered & (F.col("coverage_type") != "ANALYSED") & blank(F.col("reason")),
         "PATTERN": (kind == "ABSENCE") & (blank(F.col("pattern.value")) | blank(F.col("method"))),
         "SNAPSHOT": F.col("snapshot").isNull() | ~F.coalesce(F.rlike("snapshot.commit", F.lit(_COMMIT)), F.lit(False)) | ~F.coalesce(F.col("snapshot.mode").isin("COMMIT", "WORKING_TREE"), F.lit(False)),
-        "PRODUCER": producer.isNull() | blank(F.col("produced_by.producer_id")) | ((status == "HUMAN_VALIDATED") != (producer == "HUMAN")),
+        "PRODUCER": producer.isNull() | blank(F.col("produced_by.producer_id")) | ~F.coalesce(F.array_contains(given, producer), F.lit(False)),
         "EVIDENCE": assertion & (status == "OBSERVED") & (F.size(evidence) < 1),
         "EVIDENCE_SNAPSHOT": some(lambda e: ~e["commit"].eqNullSafe(F.col("snapshot.commit")) | ~e["repository"].eqNullSafe(F.col("snapshot.repository"))),
         "EVIDENCE_HASH": some(lambda e: e["path"].isNotNull() & ~F.coalesce(F.rlike(e["content_hash"], F.lit(_DIGEST)), F.lit(False))),

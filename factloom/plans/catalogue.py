@@ -557,7 +557,7 @@ def envelope_coverage(spark, sf_dir):
 
 @query("""
 WITH d AS (SELECT p_brand AS t, p_size AS a, min(p_partkey) AS s, count(DISTINCT p_partkey) AS n FROM part GROUP BY 1, 2)
-SELECT o_orderkey AS site_id, CASE WHEN d.n = 1 THEN d.s END AS target, CASE WHEN d.n IS NULL THEN 'NO_DECLARATION' WHEN d.n > 1 THEN 'SEVERAL_DECLARATIONS' END AS reason
+SELECT o_orderkey AS site_id, CASE WHEN d.n = 1 THEN d.s END AS target, CASE WHEN d.n IS NULL THEN 'NO_MATCHING_DECLARATION' WHEN d.n > 1 THEN 'OVERLOAD_AMBIGUOUS' END AS reason
 FROM orders LEFT JOIN d ON d.t = 'Brand#' || (1 + o_orderkey % 5) || (1 + o_custkey % 5) AND d.a = 1 + o_orderkey % 60 WHERE o_orderkey < 3000""")
 def resolved_calls(spark, sf_dir):
     """The only declaration of a name and number of arguments, or why there is none."""

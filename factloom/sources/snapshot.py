@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 from collections.abc import Iterator
 
@@ -11,12 +12,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from factloom.functions.names import normal_form
 
-#: Suffix -> language and file name -> technology (fixed values).
-LANGUAGES = {".java": "java", ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".kt": "kotlin", ".go": "go"}
-TECHNOLOGIES = {"Dockerfile": "docker", "docker-compose.yml": "docker-compose", "compose.yaml": "docker-compose", "Jenkinsfile": "jenkins", ".gitlab-ci.yml": "gitlab-ci"}
-#: Files that are never shown, and files that tools generate (fixed values).
-CONFIDENTIAL = r"(^|/)\.env[^/]*$"
-GENERATED = r"(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|Cargo\.lock|go\.sum)$|\.min\.(js|css)$|\.map$"
+#: Suffix -> language (fixed values).
+LANGUAGES = {".java": "Java", ".py": "Python", ".ts": "TypeScript", ".tsx": "TypeScript", ".js": "JavaScript", ".jsx": "JavaScript", ".sql": "SQL"}
+#: Folders that an inventory leaves out (fixed values).
+IGNORED = (".git", "node_modules", ".venv", "venv", "dist", "build", "target", "__pycache__", ".python-packages")
+#: Files that are never shown, and files that tools make (fixed values).
+CONFIDENTIAL = r"(^|/)\.env(\.[^/]*)?$"
+GENERATED_NAMES = ("package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "poetry.lock", "pipfile.lock", "uv.lock", "cargo.lock", "go.sum", "composer.lock", "gemfile.lock", "gradle.lockfile")
+GENERATED_ENDS = (".min.js", ".min.css", ".map", ".snap")
 
 
 def working_tree(spark: SparkSession, path: str) -> DataFrame:
@@ -40,7 +43,11 @@ def confidential(path) -> F.Column:
 
 
 def generated(path) -> F.Column:
-    return F.rlike(path, F.lit(GENERATED))
+    name = F.lower(F.substring_index(path, "/", -1))
+    out = name.isin(*GENERATED_NAMES)
+    for end in GENERATED_ENDS:
+        out = out | F.endswith(name, F.lit(end))
+    return out
 
 
 def diff_refusal(mode, size, binary, most: int = 1 << 20) -> F.Column:
@@ -50,6 +57,7 @@ def diff_refusal(mode, size, binary, most: int = 1 << 20) -> F.Column:
 
 def inventory(files: DataFrame, repository: str) -> DataFrame:
     """Facts of a tree: the repository CONTAINS its directories and files, files are WRITTEN_IN languages, the repository USES_TECHNOLOGY."""
+    files = files.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, IGNORED))))
     name, suffix = F.substring_index("path", "/", -1), F.concat(F.lit("."), F.substring_index("path", ".", -1))
     pick = lambda table, key: F.try_element_at(F.create_map(*[F.lit(x) for p in table.items() for x in p]), key)
     root, file = F.lit(f"repository:{repository}"), F.concat(F.lit("file:"), F.col("path"))
@@ -57,7 +65,9 @@ def inventory(files: DataFrame, repository: str) -> DataFrame:
     parts = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
     folders = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("d")).where("d <> ''").distinct() if files.columns else files
     rows = fact(files, root, "CONTAINS", file).unionByName(fact(folders, root, "CONTAINS", F.concat(F.lit("directory:"), F.col("d"))))
-    language, technology = pick(LANGUAGES, suffix), F.coalesce(pick(TECHNOLOGIES, name), F.when(F.startswith("path", F.lit(".github/workflows/")), "github-actions"))
+    language = pick(LANGUAGES, suffix)
+    workflow = F.startswith("path", F.lit(".github/workflows/")) & suffix.isin(".yml", ".yaml")
+    technology = F.coalesce(language, F.when((name == "Dockerfile") | F.startswith(name, F.lit("Dockerfile.")), "Docker").when(workflow, "GitHub Actions"))
     rows = rows.unionByName(fact(files.withColumn("_l", language).where("_l is not null"), file, "WRITTEN_IN", F.concat(F.lit("language:"), F.col("_l"))))
     rows = rows.unionByName(fact(files.withColumn("_t", technology).where("_t is not null"), root, "USES_TECHNOLOGY", F.concat(F.lit("technology:"), F.col("_t"))))
     return rows.dropDuplicates(["subject", "relation", "object"])
@@ -120,7 +130,7 @@ class GitTreeReader(DataSourceReader):
         for entry in filter(None, out.split("\0")):
             meta, path = entry.split("\t", 1)
             mode, kind, oid, size = meta.split()
-            if kind == "blob" and mode != "120000" and not path.rpartition("/")[2].startswith(".env"):
+            if kind == "blob" and mode != "120000" and not re.search(CONFIDENTIAL, path):
                 rows.append((path, oid, int(size)))
         return rows
 

@@ -202,7 +202,7 @@ def test_calls(spark):
     declared = spark.createDataFrame([("B", "m", 0, "B#m"), ("C", "m", 0, "C#m"), ("C", "two", 0, "C#two1"), ("C", "two", 0, "C#two2")], "type string, method string, arity int, symbol string")
     external = spark.createDataFrame([("Y",)], "type string")
     out = calls.categories(calls.resolve(sites, supers, declared, external))
-    assert {r.site_id: (r.target, r.reason, r.category) for r in out.collect()} == {1: ("B#m", None, None), 2: (None, "NO_DECLARATION", "UNKNOWN"), 3: (None, "RECEIVER_UNKNOWN", "UNKNOWN"), 4: (None, "EXTERNAL_TYPE", "OUT_OF_SCOPE"), 5: (None, "SEVERAL_DECLARATIONS", "AMBIGUOUS")}
+    assert {r.site_id: (r.target, r.reason, r.category) for r in out.collect()} == {1: ("B#m", None, None), 2: (None, "NO_MATCHING_DECLARATION", "UNKNOWN"), 3: (None, "RECEIVER_TYPE_UNKNOWN", "UNKNOWN"), 4: (None, "TARGET_TYPE_OUTSIDE_SNAPSHOT", "UNKNOWN"), 5: (None, "OVERLOAD_AMBIGUOUS", "AMBIGUOUS")}
     values = calls.constants(spark.createDataFrame([("a", "1")], "name string, value string"), spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "x")], "name string, other string"))
     assert {r.name: r.value for r in values.collect()} == {"a": "1", "b": "1", "c": "1"}
     state = calls.loading(spark.createDataFrame([("r", "a"), ("a", "b"), ("r", "c")], "src string, dst string"), spark.createDataFrame([("b",)], "type string"), spark.createDataFrame([("r",)], "reference string"))
@@ -243,11 +243,13 @@ def good_fact(**more):
     [
         ({}, []),
         ({"relation": "KNOWS"}, ["RELATION"]),
-        ({"subject": "thing:a"}, ["SUBJECT", "CONTAINS_PAIR"]),
-        ({"object": "repository:x"}, ["CONTAINS_PAIR"]),
+        ({"subject": "thing:a"}, ["SUBJECT", "SUBJECT_KIND", "CONTAINS_PAIR"]),
+        ({"object": "repository:x"}, ["OBJECT_KIND", "CONTAINS_PAIR"]),
+        ({"relation": "CALLS", "subject": "symbol:a"}, ["RELATION_STATUS"]),
+        ({"relation": "WRITES_CALL", "subject": "symbol:a", "object": None}, []),
         ({"evidence": []}, ["EVIDENCE"]),
         ({"status": "INFERRED"}, ["DERIVATION"]),
-        ({"status": "HUMAN_VALIDATED"}, ["PRODUCER", "VALIDATION"]),
+        ({"status": "HUMAN_VALIDATED"}, ["RELATION_STATUS", "PRODUCER", "VALIDATION"]),
         ({"qualifiers": '{"confidence": 1}'}, ["CONFIDENCE"]),
         ({"kind": "COVERAGE", "relation": None, "coverage_type": "NOT_INTERPRETED", "scope": {"include": ["file:a"], "exclude": []}}, ["REASON"]),
         ({"kind": "COVERAGE", "relation": None, "coverage_type": "ANALYSED", "scope": {"include": [], "exclude": []}}, ["SCOPE"]),
@@ -335,7 +337,7 @@ def test_git_sources(spark, tmp_path):
     files = snapshot.working_tree(spark, str(tmp_path))
     assert [r.path for r in files.collect()] == ["src/B.java"]
     assert len(snapshot.fingerprint(files).first()[0]) == 64
-    assert ("WRITTEN_IN", "language:java") in {(r.relation, r.object) for r in snapshot.inventory(files, "r").collect()}
+    assert ("WRITTEN_IN", "language:Java") in {(r.relation, r.object) for r in snapshot.inventory(files, "r").collect()}
     assert [r.author_name for r in snapshot.authors(log).collect()] == ["Ada"]
     with pytest.raises(ValueError):
         snapshot.recent(log, 0)
@@ -403,6 +405,9 @@ def test_call_paths(spark):
     own = graph.call_paths(graph.ranked_both(frame), "endpoint:GET /a")
     assert [e["far"] for e in graph.tile_view(own)] == ["symbol:C#m", "symbol:S#n", "symbol:R#o"]
     assert graph.paths(own)["symbol:R#o"] == [0, 1, 2]
+    assert [e["far"] for e in graph.profiled(graph.ranked_both(frame), "endpoint:GET /a", "calls/1").elements] == ["symbol:C#m", "symbol:S#n"]
+    with pytest.raises(ValueError):
+        graph.profiled(None, "file:x", "calls/1")
 
 
 def test_guards_and_gaps(spark):
