@@ -10,7 +10,7 @@ edit; the sums above the changed leaves are then brought up to date.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import blocks, bounds
+from factloom.llm.common import blocks, bounds, texts
 from factloom.llm.pretokens import encoding, pieces_of
 
 #: Pre-tokens in a leaf as first built.
@@ -121,6 +121,26 @@ def ends(pattern: str):
     return lambda text, begin: (m.end() for m in found(text, begin))
 
 
+#: Bytes of text that a task holds at once.
+TEXT_BYTES = 4 << 20
+
+
+class Trees:
+    """The trees of a block of texts: tokens of each text, number of its leaves, and all leaves' characters and tokens end to end."""
+
+    def __init__(self, rows: pa.Table, encode, pattern: str):
+        words, flat, counts = pieces_of(rows, pattern)
+        own = np.fromiter((len(encode(w)) for w in words), dtype=np.int64, count=len(words))
+        self.known = dict(zip(words, own.tolist(), strict=True))
+        tokens, chars = own[flat], np.fromiter(map(len, words), dtype=np.int64, count=len(words))[flat]
+        at = bounds(counts)
+        self.per_text = (counts + LEAF - 1) // LEAF
+        number = np.arange(int(self.per_text.sum())) - np.repeat(bounds(self.per_text)[:-1], self.per_text)
+        cuts = np.append(np.repeat(at[:-1], self.per_text) + number * LEAF, at[-1])
+        self.chars, self.tokens = (np.diff(bounds(x)[cuts]).astype(np.int32) for x in (chars, tokens))
+        self.totals = np.diff(bounds(tokens)[at])
+
+
 def counted(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """The documents' columns, n_tokens and their trees' leaves (characters and tokens of each).
 
@@ -134,22 +154,59 @@ def counted(documents: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(path, pattern).encode_ordinary
-        for rows in blocks(batches):
-            words, flat, counts = pieces_of(rows, pattern)
-            tokens = np.fromiter((len(encode(w)) for w in words), dtype=np.int64, count=len(words))[flat] if len(flat) else np.zeros(0, np.int64)
-            chars = np.fromiter(map(len, words), dtype=np.int64, count=len(words))[flat] if len(flat) else np.zeros(0, np.int64)
-            at, per_leaf = bounds(counts), (counts + LEAF - 1) // LEAF
-            number = np.arange(int(per_leaf.sum())) - np.repeat(bounds(per_leaf)[:-1], per_leaf)
-            cuts = np.append(np.repeat(at[:-1], per_leaf) + number * LEAF, at[-1])
-            sums = [np.diff(bounds(x)[cuts]).astype(np.int32) for x in (chars, tokens)]
-            lists = [pa.ListArray.from_arrays(pa.array(bounds(per_leaf), pa.int32()), pa.array(s, pa.int32())) for s in sums]
-            total = np.diff(bounds(tokens)[at])
-            for batch in pa.table([*(rows.column(c) for c in rows.column_names), pa.array(total, pa.int64()), *lists], names=[*rows.column_names, "n_tokens", "leaf_chars", "leaf_tokens"]).to_batches():
-                yield batch
+        for rows in blocks(batches, TEXT_BYTES):
+            own = Trees(rows, encode, pattern)
+            lists = [pa.ListArray.from_arrays(pa.array(bounds(own.per_text), pa.int32()), pa.array(s, pa.int32())) for s in (own.chars, own.tokens)]
+            yield from pa.table([*(rows.column(c) for c in rows.column_names), pa.array(own.totals, pa.int64()), *lists], names=[*rows.column_names, "n_tokens", "leaf_chars", "leaf_tokens"]).to_batches()
 
     return inner.mapInArrow(run, schema)
 
 
+class Counter:
+    """Tokens of a piece; those met before are remembered, up to a bound."""
+
+    def __init__(self, encode):
+        self.encode, self.known = encode, {}
+
+    def __call__(self, piece: str) -> int:
+        n = self.known.get(piece)
+        if n is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            n = self.known[piece] = len(self.encode(piece))
+        return n
+
+
+_EDITED = f"doc_id long, text string, tokens_before long, n_tokens long, n_edits int, n_encoded_again long, {TREE}"
+_EDITED_TYPES = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("tokens_before", pa.int64()), ("n_tokens", pa.int64()), ("n_edits", pa.int32()), ("n_encoded_again", pa.int64()), ("leaf_chars", pa.list_(pa.int32())), ("leaf_tokens", pa.list_(pa.int32()))])
+
+
+def _edited_row(doc_id: int | None, text: str, before: int, leaves: list[tuple[int, int]], edits: list[tuple[int, int, str]], split, count) -> dict:
+    if any(a[1] > b[0] for a, b in zip(edits, edits[1:], strict=False)) or any(not 0 <= s <= e <= len(text) for s, e, _ in edits):
+        raise ValueError(f"edits of document {doc_id} overlap or lie outside its text")
+    new, after, tree, again = edited(text, leaves, edits, split, count)
+    return {"doc_id": doc_id, "text": new, "tokens_before": before, "n_tokens": tree.total, "n_edits": len(edits), "n_encoded_again": again, "leaf_chars": [c for c, _ in after], "leaf_tokens": [t for _, t in after]}
+
+
+def count_and_edit(documents: DataFrame, find: Callable[[str], list[tuple[int, int, str]]], path: str, pattern: str) -> DataFrame:
+    """counted() and apply_edits() in one pass over the texts, for edits that a function finds in a text: (start, end, new text) by start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, split = Counter(encoding(path, pattern).encode_ordinary), ends(pattern)
+        for rows in blocks(batches, TEXT_BYTES):
+            own = Trees(rows, count.encode, pattern)
+            at, chars, tokens = bounds(own.per_text).tolist(), own.chars.tolist(), own.tokens.tolist()
+            known = lambda p, has=own.known: has[p] if p in has else count(p)
+            out = []
+            for i, (doc_id, text) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("text"), strict=True)):
+                text = text.as_py()
+                leaves = list(zip(chars[at[i] : at[i + 1]], tokens[at[i] : at[i + 1]], strict=True))
+                out.append(_edited_row(doc_id, text, int(own.totals[i]), leaves, find(text), split, known))
+            yield pa.RecordBatch.from_pylist(out, _EDITED_TYPES)
+
+    return texts(documents).mapInArrow(run, _EDITED)
+
+
 def apply_edits(counted_documents: DataFrame, edits: str, path: str, pattern: str) -> DataFrame:
     """Of rows of counted(): doc_id, the new text, n_tokens before and after, leaves and number of pre-tokens encoded again.
 
@@ -157,30 +214,15 @@ def apply_edits(counted_documents: DataFrame, edits: str, path: str, pattern: st
     none. They are taken by start; one that reaches back before the end of the one
     before it, or beyond the text, is an error.
     """
-    schema = f"doc_id long, text string, tokens_before long, n_tokens long, n_edits int, n_encoded_again long, {TREE}"
     inner = counted_documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "n_tokens", "leaf_chars", "leaf_tokens", F.coalesce(F.col(edits).cast(EDITS), F.array().cast(EDITS)).alias("edits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, split = encoding(path, pattern).encode_ordinary, ends(pattern)
-        known: dict[str, int] = {}
-
-        def count(piece: str) -> int:
-            if len(known) > 200_000:
-                known.clear()
-            n = known.get(piece)
-            if n is None:
-                n = known[piece] = len(encode(piece))
-            return n
-
-        for rows in blocks(batches):
-            out = {k: [] for k in ("doc_id", "text", "tokens_before", "n_tokens", "n_edits", "n_encoded_again", "leaf_chars", "leaf_tokens")}
+        count, split = Counter(encoding(path, pattern).encode_ordinary), ends(pattern)
+        for rows in blocks(batches, TEXT_BYTES):
+            out = []
             for row in rows.to_pylist():
                 todo = sorted((e["start"], e["end"], e["text"] or "") for e in row["edits"])
-                if any(a[1] > b[0] for a, b in zip(todo, todo[1:], strict=False)) or any(not 0 <= s <= e <= len(row["text"]) for s, e, _ in todo):
-                    raise ValueError(f"edits of document {row['doc_id']} overlap or lie outside its text")
-                text, leaves, tree, again = edited(row["text"], list(zip(row["leaf_chars"], row["leaf_tokens"], strict=True)), todo, split, count)
-                for k, v in zip(out, (row["doc_id"], text, row["n_tokens"], tree.total, len(todo), again, [c for c, _ in leaves], [t for _, t in leaves]), strict=True):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("tokens_before", pa.int64()), ("n_tokens", pa.int64()), ("n_edits", pa.int32()), ("n_encoded_again", pa.int64()), ("leaf_chars", pa.list_(pa.int32())), ("leaf_tokens", pa.list_(pa.int32()))]))
+                out.append(_edited_row(row["doc_id"], row["text"], row["n_tokens"], list(zip(row["leaf_chars"], row["leaf_tokens"], strict=True)), todo, split, count))
+            yield pa.RecordBatch.from_pylist(out, _EDITED_TYPES)
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(run, _EDITED)

@@ -32,6 +32,8 @@ class Rule:
     failed: Column | str
 
 
+#: Version of the rules that a ledger was made by.
+VERSION = 1
 #: A rule's bit and meaning never change; a new meaning takes a new bit.
 RULES = (
     Rule(0, "few_words", "n_words < 10"),

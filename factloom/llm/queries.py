@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import bpe, chat, decontaminate, edit_counts, planes, quality, secrets, shards, simhash, toxicity
-from factloom.llm.common import shared_dir, table
+from factloom.llm.common import shared_dir, table, written
 
 RANKS = "byte_bpe_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
@@ -54,30 +54,18 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def redactions(documents: DataFrame) -> DataFrame:
-    """doc_id, text and edits: every secret of the base kinds becomes a mark, and a line end is put behind the text."""
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            edits = []
-            for text in batch.column("text").to_pylist():
-                own, at = [], 0
-                for start, kind, end in secrets.spans(text):
-                    if kind < len(secrets.BASE) and start >= at:
-                        own.append({"start": start, "end": end, "text": "<SECRET>"})
-                        at = end
-                edits.append([*own, {"start": len(text), "end": len(text), "text": "\n"}])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(edits, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())])))], names=["doc_id", "text", "edits"])
-
-    inner = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return inner.mapInArrow(run, f"doc_id long, text string, edits {edit_counts.EDITS}")
+def redactions(text: str) -> list[tuple[int, int, str]]:
+    """Edits of a text: every secret of the base kinds becomes a mark, and a line end is put behind the text."""
+    own, at = [], 0
+    for start, kind, end in secrets.spans(text):
+        if kind < len(secrets.BASE) and start >= at:
+            own.append((start, end, secrets.MARK))
+            at = end
+    return [*own, (len(text), len(text), "\n")]
 
 
 def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(RANKS)
-    counted = edit_counts.counted(redactions(table(spark, sf_dir, "documents")), path, public_tokenizers.PATTERN)
-    after = edit_counts.apply_edits(counted, "edits", path, public_tokenizers.PATTERN)
+    after = edit_counts.count_and_edit(table(spark, sf_dir, "documents"), redactions, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return after.select("doc_id", "tokens_before", "n_tokens", F.col("n_edits").cast("long").alias("n_edits"), "n_encoded_again", F.size("leaf_tokens").cast("long").alias("n_leaves"))
 
 
@@ -96,7 +84,7 @@ def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.ledger(table(spark, sf_dir, "documents"))
+    rows = written(quality.ledger(table(spark, sf_dir, "documents")), shared_dir(spark, f"quality-ledger-{quality.VERSION}"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality.passes(quality.BASE)).alias("base_failed"), quality.passes(quality.POLICIES["standard/1"]).alias("kept"), "failed")
 
 

@@ -8,11 +8,17 @@ from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
+#: Bytes of a batch between Spark and Python. Spark's own bound (64 MB) lets a batch of long texts, and its copies on both sides, fill an executor.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def importable(spark: SparkSession) -> SparkSession:
-    """Adds this package's folder to the path of Python workers, however the session was started."""
+    """Adds this package's folder to the path of Python workers, however the session was started, and keeps batches small unless the session sets them."""
+    if spark.conf.get(_BATCH, "").rstrip("b") in ("", str(64 << 20)):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     environment = spark.sparkContext.environment
     parts = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in parts:
