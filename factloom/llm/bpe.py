@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from factloom.llm.common import blocks, bounds, column, ragged_take, texts
 from factloom.llm.pretokens import encoding, pieces_of, token_bytes
 
+#: Bytes of text of a block: the larger, the fewer times a frequent word is sent.
+TEXT_BYTES = 8 << 20
 _BLOCK = "block long, doc_ids binary, known binary, counts binary, sequence binary, words binary"
 _MESSAGE = "bucket int, block long, words binary"
 _ANSWER = "block long, bucket int, ids binary"
@@ -54,7 +56,7 @@ def exploded(documents: DataFrame, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
-        for k, rows in enumerate(blocks(batches)):
+        for k, rows in enumerate(blocks(batches, TEXT_BYTES)):
             words, flat, counts = pieces_of(rows, pattern)
             ids = column(rows, "doc_id")
             yield pa.RecordBatch.from_pydict({

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Bytes of text that a task holds as one block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 5 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +70,15 @@ def blocks(batches: Iterable[pa.RecordBatch], most: int = BLOCK_BYTES, column: s
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held = []
+    release()
+
+
+def release() -> None:
+    """Hands freed memory back: a Python worker outlives its task, and what it keeps is lost to the tasks of others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def column(rows: pa.Table, name: str) -> pa.Array:

@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -130,13 +131,15 @@ def from_planes(planes: list[bytes]) -> np.ndarray:
 
 
 def in_parts(documents: DataFrame, parts: int) -> DataFrame:
-    """Texts with the number of the doc_id range that they belong to: ranges of about equally many documents."""
+    """Texts with the number of the doc_id range that they belong to: ranges of about equally many documents. Null ids are in the first."""
     ids = documents.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    cuts = sorted(set(ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    part = F.lit(0)
-    if cuts:
-        part = F.coalesce(F.aggregate(F.array(*[F.lit(int(c)) for c in cuts]), F.lit(0), lambda n, c: n + (F.col("doc_id") > c).cast("int")), F.lit(0))
-    return texts(documents).withColumn("part", part)
+    cuts = np.unique(np.asarray(ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else [], dtype=np.int64))
+
+    @F.pandas_udf("int")
+    def part(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, ids.to_numpy()).astype(np.int32))
+
+    return texts(documents).withColumn("part", part(F.coalesce("doc_id", F.lit(-(2**63)))))
 
 
 def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, parts: int | None = None, block_ids: int = BLOCK_IDS) -> None:
