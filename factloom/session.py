@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
@@ -17,7 +18,7 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 def importable(spark: SparkSession) -> SparkSession:
     """Adds this package's folder to the path of Python workers, however the session was started, and keeps batches small unless the session sets them."""
-    if spark.conf.get(_BATCH, "").rstrip("b") in ("", str(64 << 20)):
+    if re.fullmatch(r"67108864b?|64mb?", spark.conf.get(_BATCH).lower()):
         spark.conf.set(_BATCH, str(BATCH_BYTES))
     environment = spark.sparkContext.environment
     parts = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
