@@ -520,7 +520,7 @@ def unknown_zones(spark, sf_dir):
 def analysis_choices(spark, sf_dir):
     """Facts and failed producers of each analysis."""
     rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("analysis_id"), F.col("n_chars").alias("facts"), F.col("source").alias("producer_id"), F.when(F.col("doc_id") % 50 == 0, "FAILED").otherwise("SUCCESS").alias("status"))
-    return summaries.analysis_choices(rows).withColumn("failed", F.array_join("failed", ","))
+    return summaries.analysis_choices(rows).withColumn("failed", F.when(F.size("failed") > 0, F.array_join("failed", ",")))
 
 
 @query("SELECT event_type AS model, sum(user_id)::BIGINT AS input_tokens, sum(event_id)::BIGINT AS output_tokens, count(*) AS calls FROM events GROUP BY event_type")
