@@ -16,6 +16,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +36,17 @@ from factloom.llm.pretokens import latin
 BLOCK_IDS = 1 << 16
 #: Bytes of text that a task encodes at once.
 TEXT_BYTES = 8 << 20
-#: Pieces of words whose ids a task remembers, and as many that it met before these; others are encoded again, which changes no result.
+#: Pieces of words whose ids a task remembers (or a block's, if those are more), and as many that it met before these; others are encoded again, which changes no result.
 REMEMBERED = 200_000
 
 _CHUNK = "part int, chunk int, first long, n_ids int, planes array<binary>, crc32 long, piece_docs array<struct<doc_id:long,ordinal:long,offset:int,n:int,of:long>>"
 
 
+def strings(values: pa.Array) -> list[str]:
+    """The strings of an array without nulls, made in one call rather than a scalar each."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordIds:
     """Word (no white space inside) -> its ids, as little-endian 32-bit integers.
 
@@ -72,20 +78,19 @@ class WordIds:
     def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, end to end, and the bounds of each word's. Words hold no white space, so a line end can stand between them."""
         coded = pa.array(self.split("\n".join([*words, ""]).lower()), pa.large_string()).dictionary_encode()
-        pieces, ids, unknown = coded.dictionary.to_pylist(), [], []
-        for k, p in enumerate(pieces):
-            got = b"" if p == "\n" else self.new.get(p) or self.old.get(p)
-            ids.append(got)
-            if got is None:
-                unknown.append(k)
+        pieces = strings(coded.dictionary)
+        ids = list(map(self.new.get, pieces))
+        ids = [self.old.get(p) if got is None else got for p, got in zip(pieces, ids, strict=True)] if self.old else ids
+        if words:
+            ids[pieces.index("\n")] = b""
+        unknown = [k for k, got in enumerate(ids) if got is None]
         for a in range(0, len(unknown), 2048):
             some = unknown[a : a + 2048]
             for k, got in zip(some, self.pieces.encode_batch_fast([pieces[k] for k in some], add_special_tokens=False), strict=True):
-                ids[k] = np.asarray(got.ids, dtype="<u4").tobytes()
-        for p, got in zip(pieces, ids, strict=True):
-            if len(self.new) >= REMEMBERED:
-                self.old, self.new = self.new, {}
-            self.new[p] = got
+                ids[k] = array("I", got.ids).tobytes()
+        if len(self.new) + len(unknown) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        self.new.update(zip(pieces, ids, strict=True))
         codes = np.asarray(coded.indices).astype(np.int64)
         flat, each = ragged_take(bounds(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4), np.frombuffer(b"".join(ids), "<u4"), codes)
         ends = np.nonzero(codes == (pieces.index("\n") if words else -1))[0]
@@ -105,7 +110,7 @@ def encoded(text: pa.Array, words: WordIds) -> tuple[np.ndarray, np.ndarray]:
     inner = parts.values.slice(offsets[0], offsets[-1] - offsets[0]) if len(parts) else pa.array([], pa.large_string())
     coded = inner.dictionary_encode()
     offsets -= offsets[0]
-    values, at = words.learn(coded.dictionary.to_pylist()) if len(coded.dictionary) else (np.zeros(0, "<u4"), np.zeros(1, np.int64))
+    values, at = words.learn(strings(coded.dictionary)) if len(coded.dictionary) else (np.zeros(0, "<u4"), np.zeros(1, np.int64))
     flat, each = ragged_take(at, values, np.asarray(coded.indices).astype(np.int64))
     counts = np.diff(bounds(each)[offsets])
     if not odd.any():
