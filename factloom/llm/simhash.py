@@ -14,11 +14,12 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import blocks, bounds, column, shared_dir, texts, written
+from factloom.llm.common import blocks, bounds, column, ragged_take, shared_dir, texts, written
 
 BITS = 64
 RADIUS = 2
@@ -269,18 +270,54 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, words: int = WOR
     return _placed(own, classes, found).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _placed(own: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Every row's fingerprint and the smallest doc_id of what its fingerprint is connected to."""
-    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def _placed(own: DataFrame, classes: DataFrame, found: DataFrame, by: str = "fp") -> DataFrame:
+    """Every row and the smallest doc_id of what its fingerprint, or its column `by`, is connected to."""
+    rooted = classes.join(found.withColumnRenamed("node", by), by, "left").withColumn("root", F.coalesce("root", by))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    placed = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return own.join(placed, "fp")
+    placed = rooted.select(by, "root").join(ids, "root").select(by, "component_id")
+    return own.join(placed, by)
+
+
+def nearest(fps: np.ndarray, places: np.ndarray, radius: int) -> list[tuple[int, int, int]]:
+    """(a, b, a), b < a: of these distinct fingerprints, each that has others within the radius with one of the nearest of them."""
+    if len(fps) <= 256:
+        return [(a, b, a) for a, b in spanning(fps, radius)]
+    out = set()
+    for k, apart in _apart(fps):
+        apart[np.arange(len(apart)), np.arange(k, k + len(apart))] = BITS + 1
+        at = apart.argmin(axis=1)
+        for i in np.nonzero(apart[np.arange(len(apart)), at] <= radius)[0].tolist():
+            a, b = int(fps[k + i]), int(fps[at[i]])
+            out.add((max(a, b), min(a, b), max(a, b)))
+    return sorted(out)
+
+
+def _apart(fps: np.ndarray, rows: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+    """Differing bits between fingerprints and all of these, some rows at a time, with the number of the first of them."""
+    x = fps.view("<u8")
+    for k in range(0, len(x), rows):
+        yield k, np.bitwise_count(x[k : k + rows, None] ^ x[None, :])
+
+
+def tiled(fps: np.ndarray, places: np.ndarray, radius: int) -> list[tuple[int, int, int]]:
+    """(lower block, higher block, fp) for both ends of every pair of these within the radius, each once; `places` are the fingerprints' blocks."""
+    names, at = np.unique(places, return_inverse=True)
+    n, found = len(fps), []
+    for k, apart in _apart(fps):
+        a, b = np.nonzero(apart <= radius)
+        a, b = a[a + k < b] + k, b[a + k < b]
+        tile = np.minimum(at[a], at[b]) * len(names) + np.maximum(at[a], at[b])
+        found.append(np.unique(np.concatenate([tile * n + a, tile * n + b])))
+    tile, member = np.divmod(np.unique(np.concatenate(found)), n)
+    return list(zip(names[tile // len(names)].tolist(), names[tile % len(names)].tolist(), fps[member].tolist(), strict=True))
 
 
 #: For near copies: words of a shingle, the least share of common shingles, and the radius in which candidates are sought.
 COPY_WORDS, COPY_SHARE, COPY_RADIUS = 5, 0.8, 6
 #: Bits of the filter of documents that a candidate pair names: its size is fixed.
 FILTER_BITS = 1 << 24
+#: Bytes of text in a block of a family; a task holds two blocks, and larger sets are dealt out by pairs of parts.
+TILE_BYTES = 2 << 20
 
 
 def word_hashes(text: str) -> list[int]:
@@ -294,42 +331,133 @@ def shared(a: str, b: str, words: int = COPY_WORDS) -> float:
     return len(one & two) / len(one | two) if one or two else 1.0
 
 
+def joined(nodes: list[int], fps: list[int], sets: list[np.ndarray], radius: int, share: float) -> list[tuple[int, int]]:
+    """(a, b): a forest that connects what pairs within the radius whose sorted sets share `share` connect. A pair is left out only where earlier links join it; those with most neighbours come first, since they join most."""
+    n = len(nodes)
+    x = np.array(fps, "<i8").view("<u8")
+    sizes = np.array([len(s) for s in sets])
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    offsets = bounds(np.bincount(ids, minlength=len(values)))
+    owners = np.repeat(np.arange(n), sizes)[np.argsort(ids, kind="stable")]
+    starts = bounds(sizes)
+    degree = np.concatenate([(apart <= radius).sum(axis=1) for _, apart in _apart(x)])
+    group, out = np.arange(n), []
+    for a in np.argsort(-degree, kind="stable").tolist():
+        others = np.nonzero((np.bitwise_count(x ^ x[a]) <= radius) & (group != group[a]))[0]
+        if not len(others):
+            continue
+        if len(others) <= 8:
+            common = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for b in others])
+        else:
+            common = np.bincount(ragged_take(offsets, owners, ids[starts[a] : starts[a + 1]])[0], minlength=n)[others]
+        union = sizes[a] + sizes[others] - common
+        for b in others[(common / np.maximum(union, 1) >= share)].tolist():
+            if group[a] != group[b]:
+                group[group == group[b]] = group[a]
+                out.append((nodes[a], nodes[b]))
+    return out
+
+
+def _near(keyed: DataFrame, radius: int, link: Callable[[np.ndarray, np.ndarray, int], list[tuple[int, int, int]]]) -> DataFrame:
+    """tab, key, fp, block -> lo, hi, fp: what `link` gives for the fingerprints and blocks of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def close() -> pa.RecordBatch:
+            fps, places = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, "<i8") for k in (0, 1))
+            rows = link(fps, places, radius) if len(fps) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["lo", "hi", "fp"])
+
+        for batch in batches:
+            tab, keys, fps, places = (np.asarray(batch.column(c)) for c in ("tab", "key", "fp", "block"))
+            cuts = [0, *(np.nonzero((tab[1:] != tab[:-1]) | (keys[1:] != keys[:-1]))[0] + 1).tolist(), len(tab)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b and (now := (int(tab[a]), int(keys[a]))) != key:
+                    if sum(len(h[0]) for h in held) > 1:
+                        yield close()
+                    key, held = now, []
+                held.append((fps[a:b], places[a:b]))
+        yield close()
+
+    return keyed.select("tab", "key", "fp", "block").repartition("tab", "key").sortWithinPartitions("tab", "key").mapInArrow(run, "lo long, hi long, fp long")
+
+
 def near_copies(documents: DataFrame, words: int = COPY_WORDS, share: float = COPY_SHARE, radius: int = COPY_RADIUS) -> DataFrame:
     """doc_id and component_id, by links between texts that share `share` of their shingles.
 
-    Candidates are found by covering masks over fingerprints of the texts' distinct
-    words, within `radius` bits; of every bucket a minimum spanning forest is kept, and
-    its edges are checked against the texts themselves. Texts of one fingerprint count
-    as copies. Rows, nulls and repeats are treated as by near_duplicates().
+    Candidates are all pairs whose fingerprints of distinct words differ in `radius` bits
+    at most; each is compared by its whole texts, unless compared texts join it already.
+    What candidates connect is a family. Its texts are dealt into blocks, and two blocks
+    that have candidates between them meet in a tile, so that a text of a large group is
+    read once for each block of it, not once for each pair. Texts of one fingerprint
+    count as copies. Rows, nulls and repeats are treated as by near_duplicates().
     """
     spark = documents.sparkSession
-    own = written(fingerprints(documents, hashes=word_hashes), shared_dir(spark, "word-fingerprints"))
-    classes = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    pairs = links(classes.select("fp"), radius, None, spanning)
-    named = classes.where("first is not null")
-    pairs = pairs.join(named.select(F.col("fp").alias("a"), F.col("first").alias("doc_a")), "a").join(named.select(F.col("fp").alias("b"), F.col("first").alias("doc_b")), "b")
-    pairs = written(pairs, shared_dir(spark, "copy-pairs"))
-    asked = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id"))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words_set = asked.select((place / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) % 64 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    own = written(_copy_keys(documents).select("doc_id", "fp", "node", "bytes"), shared_dir(spark, "word-fingerprints"))
+    classes = written(own.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first"), F.max("bytes").alias("bytes")), shared_dir(spark, "copy-classes"))
+    each = classes.groupBy("fp").agg(F.sum("bytes").alias("bytes"))
+    tables = [(t, m) for t, m in enumerate(masks(radius)) if m != (1 << BITS) - 1]
+    edges = _near(_keyed(each, tables).withColumn("block", F.lit(0).cast("long")), radius, nearest)
+    family = each.join(components(edges.select(F.col("lo").alias("a"), F.col("hi").alias("b"))).withColumnRenamed("node", "fp"), "fp")
+    parts = family.groupBy("root").agg(F.ceil(F.sum("bytes") / TILE_BYTES).alias("parts"))
+    place = F.expr("pmod(xxhash64(fp), greatest(parts, 1))")
+    family = written(family.join(parts, "root").select("fp", F.xxhash64("root", place).alias("block")), shared_dir(spark, "copy-families"))
+    met = _near(_keyed(family, tables).join(family, "fp"), radius, tiled)
+    members = met.select(F.xxhash64("lo", "hi").alias("tile"), "fp").distinct().join(classes, "fp")
+    members = written(members.select("tile", "node", "fp", "bytes"), shared_dir(spark, "copy-tiles"))
+    parts = members.groupBy("tile").agg(F.ceil(F.sum("bytes") / (4 * TILE_BYTES)).alias("parts"))
+    dealt = members.join(parts, "tile").withColumns({"one": F.expr("pmod(xxhash64(node, 1), greatest(parts, 1))"), "two": F.explode(F.expr("sequence(0L, greatest(parts, 1) - 1)"))})
+    dealt = dealt.select(F.xxhash64("tile", F.least("one", "two"), F.greatest("one", "two")).alias("tile"), "node", "fp")
+    return _placed(own, classes, components(_compared(documents, dealt, words, share, radius)), "node").select("doc_id", "component_id")
+
+
+def _copy_keys(documents: DataFrame) -> DataFrame:
+    """doc_id, text, the fingerprint fp of its words, the node that stands for it, and its bytes, of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in blocks(batches, 1 << 21):
+            own = [word_hashes(t.as_py()) for t in column(rows, "text")]
+            counts = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+            fps = pa.array(majorities(np.fromiter((h for hs in own for h in hs), dtype="<u8", count=int(counts.sum())), counts).view("<i8"), pa.int64())
+            lengths = pc.cast(pc.binary_length(column(rows, "text")), pa.int64())
+            yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), column(rows, "text").cast(pa.string()), fps, fps, lengths], names=["doc_id", "text", "fp", "node", "bytes"])
+
+    return texts(documents).mapInArrow(run, "doc_id long, text string, fp long, node long, bytes long")
+
+
+def _compared(documents: DataFrame, dealt: DataFrame, words: int, share: float, radius: int) -> DataFrame:
+    """tile, node, fp -> edges (a, b): the links within each tile, by the texts themselves."""
+    spark = documents.sparkSession
+    place = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    words_set = dealt.select((place / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {FILTER_BITS}) % 64 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
     bits = np.zeros(FILTER_BITS // 64, dtype="<i8")
     for row in words_set.collect():  # at most a row for each 64 bits
         bits[row.w] = row.bits
     kept = spark.sparkContext.broadcast(bits.tobytes())
 
-    def named_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.frombuffer(kept.value, "u1")
         for batch in batches:
             at = np.asarray(batch.column("place"))
-            yield batch.filter(pa.array((have[at >> 3] >> (at & 7).astype("u1")) & 1 == 1)).select(["doc_id", "text"])
-
-    read = texts(documents).where("doc_id is not null").withColumn("place", place).mapInArrow(named_only, "doc_id long, text string").dropDuplicates(["doc_id"])
+            yield batch.filter(pa.array((have[at >> 3] >> (at & 7).astype("u1")) & 1 == 1)).select(["node", "text"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in blocks(batches, 1 << 21, "text_a"):
-            good = [shared(a.as_py(), b.as_py(), words) >= share for a, b in zip(rows.column("text_a"), rows.column("text_b"), strict=True)]
-            yield from rows.filter(pa.array(good, pa.bool_())).select(["a", "b"]).to_batches()
-
-    both = pairs.join(read.withColumnsRenamed({"doc_id": "doc_a", "text": "text_a"}), "doc_a").join(read.withColumnsRenamed({"doc_id": "doc_b", "text": "text_b"}), "doc_b")
-    edges = both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
-    return _placed(own, classes, components(edges)).select("doc_id", "component_id")
+        tile, held = None, []
+
+        def close() -> pa.RecordBatch:
+            found = joined(*map(list, zip(*held, strict=True)), radius, share) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for rows in blocks(batches, 1 << 20):
+            for now, node, fp, text in zip(*(rows.column(c).to_pylist() for c in ("tile", "node", "fp", "text")), strict=True):
+                if now != tile:
+                    if len(held) > 1:
+                        yield close()
+                    tile, held = now, []
+                held.append((node, fp, np.unique(np.array(shingle_hashes(text, words), dtype="<u8"))))
+        yield close()
+
+    read = _copy_keys(documents).select("node", "text").withColumn("place", place).mapInArrow(asked, "node long, text string").dropDuplicates(["node"])
+    both = dealt.join(read, "node").select("tile", "node", "fp", "text")
+    return both.repartition("tile").sortWithinPartitions("tile").mapInArrow(check, "a long, b long")

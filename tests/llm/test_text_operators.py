@@ -529,3 +529,39 @@ def test_kernel_table_equals_the_kernel():
 
 def test_odd_texts_are_what_they_claim():
     assert unicodedata.normalize("NFC", ODD[10]) != ODD[10] and "\x1c" in ODD[7]
+
+
+def copies_by_pairs(texts):
+    """The smallest number that links of the given law reach, by all pairs."""
+    names = [" ".join(t.lower().split()) for t in texts]
+    fps = [int(simhash.majorities(np.array(h, "<u8"), np.array([len(h)]))[0]) for h in map(simhash.word_hashes, texts)]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if root[a] != root[b] and (names[a] == names[b] or (fps[a] ^ fps[b]).bit_count() <= simhash.COPY_RADIUS and simhash.shared(texts[a], texts[b]) >= simhash.COPY_SHARE):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def edited_copies(rng, n):
+    """An original of 300 words in the middle of n copies with six words replaced each: copies share less with each other than with it."""
+    base = ["".join(rng.choices("abcdefghijklm", k=rng.randint(2, 7))) for _ in range(300)]
+    copies = [list(base) for _ in range(n)]
+    for copy in copies:
+        for k in rng.sample(range(0, 300, 5), 6):
+            copy[k] = "".join(rng.choices("nopqrstuvwxyz", k=5))
+    copies.insert(n // 2, base)
+    return [" ".join(c) for c in copies]
+
+
+@pytest.mark.parametrize("tile", [40_000])
+def test_every_copy_of_an_original_is_compared_with_it(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE_BYTES", tile)
+    texts = edited_copies(random.Random(3), 150)
+    original = texts[75]
+    kept = {int(simhash.majorities(np.array(h, "<u8"), np.array([len(h)]))[0]): t for t in [*texts, original] for h in [simhash.word_hashes(t)]}
+    texts = list(kept.values())  # one text a fingerprint
+    assert original in texts
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == copies_by_pairs(texts)
