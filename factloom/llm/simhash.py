@@ -325,6 +325,11 @@ def word_hashes(text: str) -> list[int]:
     return [xxhash.xxh64_intdigest(w, SEED) for w in set(text.encode().lower().split())]
 
 
+def text_hash(text: str) -> int:
+    """XXH3 of the sequence of words: equal for texts that differ in case and white space alone."""
+    return xxhash.xxh3_64_intdigest(b" ".join(text.encode().lower().split()), SEED)
+
+
 def shared(a: str, b: str, words: int = COPY_WORDS) -> float:
     """The share of the shingles of either text that both have; 1 for two texts without words."""
     one, two = (set(shingle_hashes(t, words)) for t in (a, b))
@@ -390,20 +395,23 @@ def near_copies(documents: DataFrame, words: int = COPY_WORDS, share: float = CO
     at most; each is compared by its whole texts, unless compared texts join it already.
     What candidates connect is a family. Its texts are dealt into blocks, and two blocks
     that have candidates between them meet in a tile, so that a text of a large group is
-    read once for each block of it, not once for each pair. Texts of one fingerprint
-    count as copies. Rows, nulls and repeats are treated as by near_duplicates().
+    read once for each block of it, not once for each pair. Only texts of equal words in
+    equal order count as copies unseen; others of one fingerprint are candidates like
+    any. Rows, nulls and repeats are treated as by near_duplicates().
     """
     spark = documents.sparkSession
     own = written(_copy_keys(documents).select("doc_id", "fp", "node", "bytes"), shared_dir(spark, "word-fingerprints"))
     classes = written(own.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first"), F.max("bytes").alias("bytes")), shared_dir(spark, "copy-classes"))
-    each = classes.groupBy("fp").agg(F.sum("bytes").alias("bytes"))
+    each = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("texts"), F.sum("bytes").alias("bytes"))
     tables = [(t, m) for t, m in enumerate(masks(radius)) if m != (1 << BITS) - 1]
     edges = _near(_keyed(each, tables).withColumn("block", F.lit(0).cast("long")), radius, nearest)
-    family = each.join(components(edges.select(F.col("lo").alias("a"), F.col("hi").alias("b"))).withColumnRenamed("node", "fp"), "fp")
+    found = components(edges.select(F.col("lo").alias("a"), F.col("hi").alias("b"))).withColumnRenamed("node", "fp")
+    family = each.join(found, "fp", "left").where("root is not null or texts > 1").withColumn("root", F.coalesce("root", "fp"))
     parts = family.groupBy("root").agg(F.ceil(F.sum("bytes") / TILE_BYTES).alias("parts"))
     place = F.expr("pmod(xxhash64(fp), greatest(parts, 1))")
-    family = written(family.join(parts, "root").select("fp", F.xxhash64("root", place).alias("block")), shared_dir(spark, "copy-families"))
+    family = written(family.join(parts, "root").select("fp", "texts", F.xxhash64("root", place).alias("block")), shared_dir(spark, "copy-families"))
     met = _near(_keyed(family, tables).join(family, "fp"), radius, tiled)
+    met = met.unionByName(family.where("texts > 1").select(F.col("block").alias("lo"), F.col("block").alias("hi"), "fp"))
     members = met.select(F.xxhash64("lo", "hi").alias("tile"), "fp").distinct().join(classes, "fp")
     members = written(members.select("tile", "node", "fp", "bytes"), shared_dir(spark, "copy-tiles"))
     parts = members.groupBy("tile").agg(F.ceil(F.sum("bytes") / (4 * TILE_BYTES)).alias("parts"))
@@ -413,7 +421,7 @@ def near_copies(documents: DataFrame, words: int = COPY_WORDS, share: float = CO
 
 
 def _copy_keys(documents: DataFrame) -> DataFrame:
-    """doc_id, text, the fingerprint fp of its words, the node that stands for it, and its bytes, of every row."""
+    """doc_id, text, the fingerprint fp of its words, the hash of its word sequence (node), and its bytes, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in blocks(batches, 1 << 21):
@@ -421,7 +429,8 @@ def _copy_keys(documents: DataFrame) -> DataFrame:
             counts = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
             fps = pa.array(majorities(np.fromiter((h for hs in own for h in hs), dtype="<u8", count=int(counts.sum())), counts).view("<i8"), pa.int64())
             lengths = pc.cast(pc.binary_length(column(rows, "text")), pa.int64())
-            yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), column(rows, "text").cast(pa.string()), fps, fps, lengths], names=["doc_id", "text", "fp", "node", "bytes"])
+            nodes = pa.array(np.fromiter((text_hash(t.as_py()) for t in column(rows, "text")), dtype="<u8", count=len(own)).view("<i8"), pa.int64())
+            yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), column(rows, "text").cast(pa.string()), fps, nodes, lengths], names=["doc_id", "text", "fp", "node", "bytes"])
 
     return texts(documents).mapInArrow(run, "doc_id long, text string, fp long, node long, bytes long")
 

@@ -565,3 +565,16 @@ def test_every_copy_of_an_original_is_compared_with_it(spark, monkeypatch, tile)
     assert original in texts
     got = {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == copies_by_pairs(texts)
+
+
+@pytest.mark.parametrize("tile", [20_000])
+def test_texts_of_one_fingerprint_are_compared(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE_BYTES", tile)
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklm", k=6)) for _ in range(120)]
+    orders = [rng.sample(words, len(words)) for _ in range(60)]
+    texts = [" ".join(o) for o in orders] + ["spam", "spam " * 1000, "SPAM", *edited_copies(rng, 40)]
+    texts += [" ".join(o[1:60] + o[:1] + o[60:]) for o in orders[:20]]  # one fingerprint with those, and copies of some
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == copies_by_pairs(texts)
+    assert got[1] == 1 and got[61] == 61 and got[62] == 60
