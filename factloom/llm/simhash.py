@@ -364,28 +364,53 @@ def joined(nodes: list[int], fps: list[int], sets: list[np.ndarray], radius: int
 
 
 def _near(keyed: DataFrame, radius: int, link: Callable[[np.ndarray, np.ndarray, int], list[tuple[int, int, int]]]) -> DataFrame:
-    """tab, key, fp, block -> lo, hi, fp: what `link` gives for the fingerprints and blocks of each bucket."""
+    """tab, key, fp, block -> lo, hi, fp: what `link` gives for the fingerprints and blocks of each bucket.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+    A bucket of over BUCKET fingerprints is dealt into parts, and each two of them meet
+    in a task: so each pair does, and no task holds more than about BUCKET fingerprints.
+    """
+    spark, cap = keyed.sparkSession, BUCKET
+
+    def run(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+        key, held, over = None, [], False
 
         def close() -> pa.RecordBatch:
             fps, places = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, "<i8") for k in (0, 1))
-            rows = link(fps, places, radius) if len(fps) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["lo", "hi", "fp"])
+            if over:
+                columns = [[key[0]] * len(fps), [key[1]] * len(fps), places, places, fps]
+            else:
+                rows = link(fps, places, radius) if len(fps) > 1 else []
+                columns = [[None] * len(rows), [None] * len(rows), *([r[k] for r in rows] for k in range(3))]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.int64()] * 4], strict=True)], names=["tab", "key", "lo", "hi", "fp"])
 
         for batch in batches:
             tab, keys, fps, places = (np.asarray(batch.column(c)) for c in ("tab", "key", "fp", "block"))
             cuts = [0, *(np.nonzero((tab[1:] != tab[:-1]) | (keys[1:] != keys[:-1]))[0] + 1).tolist(), len(tab)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a < b and (now := (int(tab[a]), int(keys[a]))) != key:
-                    if sum(len(h[0]) for h in held) > 1:
+                    if over or sum(len(h[0]) for h in held) > 1:
                         yield close()
-                    key, held = now, []
+                    key, held, over = now, [], False
                 held.append((fps[a:b], places[a:b]))
+                if most and sum(len(h[0]) for h in held) > most:
+                    over = True
+                if over:
+                    yield close()
+                    held = []
         yield close()
 
-    return keyed.select("tab", "key", "fp", "block").repartition("tab", "key").sortWithinPartitions("tab", "key").mapInArrow(run, "lo long, hi long, fp long")
+    def met(rows: DataFrame, most: int | None) -> DataFrame:
+        dealt = rows.select("tab", "key", "fp", "block").repartition("tab", "key").sortWithinPartitions("tab", "key")
+        return dealt.mapInArrow(partial(run, most=most), "tab int, key long, lo long, hi long, fp long")
+
+    first = written(met(keyed, cap), shared_dir(spark, "copy-buckets"))
+    found, crowded = first.where("tab is null"), first.where("tab is not null").select("tab", "key", "fp", F.col("lo").alias("block"))
+    if crowded.isEmpty():
+        return found.select("lo", "hi", "fp")
+    parts = crowded.groupBy("tab", "key").agg(F.ceil(F.count(F.lit(1)) * 2 / cap).alias("parts"))
+    pairs = crowded.join(parts, ["tab", "key"]).withColumns({"one": F.expr("pmod(xxhash64(fp), parts)"), "two": F.explode(F.expr("sequence(0L, parts - 1)"))})
+    pairs = pairs.select("tab", F.xxhash64("tab", "key", F.least("one", "two"), F.greatest("one", "two")).alias("key"), "fp", "block")
+    return found.unionByName(met(pairs, None)).select("lo", "hi", "fp")
 
 
 def near_copies(documents: DataFrame, words: int = COPY_WORDS, share: float = COPY_SHARE, radius: int = COPY_RADIUS) -> DataFrame:

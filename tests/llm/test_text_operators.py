@@ -578,3 +578,19 @@ def test_texts_of_one_fingerprint_are_compared(spark, monkeypatch, tile):
     got = {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == copies_by_pairs(texts)
     assert got[1] == 1 and got[61] == 61 and got[62] == 60
+
+
+@pytest.mark.parametrize("cap", [16, 4096])
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch, cap):
+    monkeypatch.setattr(simhash, "BUCKET", cap)
+    rng = random.Random(9)
+    fps = sorted({simhash._signed(1 << 63 | sum(1 << b for b in rng.sample(range(40), 4))) for _ in range(90)})
+    rows = spark.createDataFrame([(0, 0, f, i % 3) for i, f in enumerate(fps)], "tab int, key long, fp long, block long")
+    found = {tuple(r) for r in simhash._near(rows, 6, simhash.tiled).collect()}
+    near = [(i, j) for j in range(len(fps)) for i in range(j) if ((fps[i] ^ fps[j]) % 2**64).bit_count() <= 6]
+    assert near and found == {(*sorted((i % 3, j % 3)), fps[k]) for i, j in near for k in (i, j)}
+    linked = simhash._near(rows, 6, simhash.nearest).collect()
+    assert {x for r in linked for x in (r.lo, r.hi)} == {fps[k] for pair in near for k in pair}
+    counted = lambda own, places, radius: [(len(own), 0, 0)]
+    sizes = [r.lo for r in simhash._near(rows, 6, counted).collect()]
+    assert max(sizes) <= max(2 * cap, 16)
