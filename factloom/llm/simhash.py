@@ -205,9 +205,9 @@ def _buckets(keyed: DataFrame, cap: int | None, radius: int, link=linked) -> Dat
     return keyed.repartition("tab", "key").sortWithinPartitions("tab", "key").mapInArrow(run, "tab int, a long, b long")
 
 
-def _keyed(fps: DataFrame, tables: list[tuple[int, int]]) -> DataFrame:
+def _keyed(fps: DataFrame, tables: list[tuple[int, int]], *also: str) -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(t).alias("tab"), F.lit(_signed(m)).alias("mask")) for t, m in tables]))
-    return fps.select("fp", each.alias("x")).select("x.tab", F.col("fp").bitwiseAND(F.col("x.mask")).alias("key"), "fp")
+    return fps.select("fp", *also, each.alias("x")).select("x.tab", F.col("fp").bitwiseAND(F.col("x.mask")).alias("key"), "fp", *also)
 
 
 def links(fps: DataFrame, radius: int = RADIUS, cap: int | None = BUCKET, link=linked) -> DataFrame:
@@ -431,16 +431,16 @@ def near_copies(documents: DataFrame, words: int = COPY_WORDS, share: float = CO
     tables = [(t, m) for t, m in enumerate(masks(radius)) if m != (1 << BITS) - 1]
     edges = _near(_keyed(each, tables).withColumn("block", F.lit(0).cast("long")), radius, nearest)
     found = components(edges.select(F.col("lo").alias("a"), F.col("hi").alias("b"))).withColumnRenamed("node", "fp")
-    family = each.join(found, "fp", "left").where("root is not null or texts > 1").withColumn("root", F.coalesce("root", "fp"))
+    family = each.join(found.hint("merge"), "fp", "left").where("root is not null or texts > 1").withColumn("root", F.coalesce("root", "fp"))
     parts = family.groupBy("root").agg(F.ceil(F.sum("bytes") / TILE_BYTES).alias("parts"))
     place = F.expr("pmod(xxhash64(fp), greatest(parts, 1))")
-    family = written(family.join(parts, "root").select("fp", "texts", F.xxhash64("root", place).alias("block")), shared_dir(spark, "copy-families"))
-    met = _near(_keyed(family, tables).join(family, "fp"), radius, tiled)
+    family = written(family.join(parts.hint("merge"), "root").select("fp", "texts", F.xxhash64("root", place).alias("block")), shared_dir(spark, "copy-families"))
+    met = _near(_keyed(family, tables, "block"), radius, tiled)
     met = met.unionByName(family.where("texts > 1").select(F.col("block").alias("lo"), F.col("block").alias("hi"), "fp"))
-    members = met.select(F.xxhash64("lo", "hi").alias("tile"), "fp").distinct().join(classes, "fp")
+    members = met.select(F.xxhash64("lo", "hi").alias("tile"), "fp").distinct().join(classes.hint("merge"), "fp")
     members = written(members.select("tile", "node", "fp", "bytes"), shared_dir(spark, "copy-tiles"))
     parts = members.groupBy("tile").agg(F.ceil(F.sum("bytes") / (4 * TILE_BYTES)).alias("parts"))
-    dealt = members.join(parts, "tile").withColumns({"one": F.expr("pmod(xxhash64(node, 1), greatest(parts, 1))"), "two": F.explode(F.expr("sequence(0L, greatest(parts, 1) - 1)"))})
+    dealt = members.join(parts.hint("merge"), "tile").withColumns({"one": F.expr("pmod(xxhash64(node, 1), greatest(parts, 1))"), "two": F.explode(F.expr("sequence(0L, greatest(parts, 1) - 1)"))})
     dealt = dealt.select(F.xxhash64("tile", F.least("one", "two"), F.greatest("one", "two")).alias("tile"), "node", "fp")
     return _placed(own, classes, components(_compared(documents, dealt, words, share, radius)), "node").select("doc_id", "component_id")
 
@@ -493,5 +493,5 @@ def _compared(documents: DataFrame, dealt: DataFrame, words: int, share: float,
         yield close()
 
     read = _copy_keys(documents).select("node", "text").withColumn("place", place).mapInArrow(asked, "node long, text string").dropDuplicates(["node"])
-    both = dealt.join(read, "node").select("tile", "node", "fp", "text")
+    both = dealt.join(read.hint("merge"), "node").select("tile", "node", "fp", "text")
     return both.repartition("tile").sortWithinPartitions("tile").mapInArrow(check, "a long, b long")
