@@ -42,14 +42,18 @@ def shingle_hashes(text: str, words: int = WORDS) -> list[int]:
 
 
 def majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Of runs of hashes: the bits set in over half of each; zero for a run of none."""
-    out = np.zeros(len(counts), dtype="<u8")
-    some = counts > 0
-    if some.any():
-        bits = np.unpackbits(hashes.astype("<u8").view("u1").reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.add.reduceat(bits, bounds(counts[some])[:-1], axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * sums > counts[some][:, None], axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    """Of runs of hashes: the bits set in over half of each; zero for a run of none. Columns of hashes are taken each for itself."""
+    wide = (hashes if hashes.ndim == 2 else hashes[:, None]).astype("<u8", copy=False)
+    out = np.zeros((len(counts), wide.shape[1]), dtype="<u8")
+    ends = bounds(counts)
+    for i, n in enumerate(counts.tolist()):
+        if n:
+            total = np.zeros(64 * wide.shape[1], dtype=np.int64)
+            for k in range(int(ends[i]), int(ends[i + 1]), 4096):
+                own = np.ascontiguousarray(wide[k : min(k + 4096, int(ends[i + 1]))])
+                total += np.unpackbits(own.view("u1").reshape(len(own), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+            out[i] = np.packbits(2 * total > n, bitorder="little").view("<u8")
+    return out.reshape(-1) if hashes.ndim == 1 else out
 
 
 def fingerprints(documents: DataFrame, hashes: Callable[[str], list[int]] = shingle_hashes) -> DataFrame:
@@ -135,37 +139,7 @@ def linked(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return [(signed[k], lowest[t]) for k, t in enumerate(tops) if lowest[t] != signed[k]]
 
 
-def spanning(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """(a, b), b < a: the edges of a minimum spanning forest of these distinct fingerprints, of those that differ in `radius` bits at most. Near pairs are linked first, so that what is nearest is compared later on.
-
-    More than BUCKET of them are taken in runs of the order of their free bits, which is
-    another order in every table, with the runs' first members linked; what two runs
-    of one table keep apart meets in others.
-    """
-    if len(fps) > BUCKET:
-        runs = np.array_split(np.sort(fps), -(-2 * len(fps) // BUCKET))
-        return [e for r in [*runs, np.unique([r[0] for r in runs])] if len(r) > 1 for e in spanning(r, radius)]
-    x = fps.view("<u8")
-    if len(x) == 2:
-        a, b = fps.tolist()
-        return [(max(a, b), min(a, b))] if (int(x[0]) ^ int(x[1])).bit_count() <= radius else []
-    apart, near = np.bitwise_count(x ^ x[0]).astype(np.int16), np.zeros(len(x), dtype=np.int64)
-    apart[0] = 1000
-    out = []
-    for _ in range(len(x) - 1):
-        k = int(apart.argmin())
-        if apart[k] <= radius:
-            a, b = int(fps[k]), int(fps[near[k]])
-            out.append((max(a, b), min(a, b)))
-        now = np.bitwise_count(x ^ x[k]).astype(np.int16)
-        closer = (now < apart) & (apart < 1000)
-        near[closer] = k
-        apart = np.where(closer, now, apart)
-        apart[k] = 1000
-    return out
-
-
-def _buckets(keyed: DataFrame, cap: int | None, radius: int, link=linked) -> DataFrame:
+def _buckets(keyed: DataFrame, cap: int | None, radius: int) -> DataFrame:
     """tab, key, fp -> edges (a, b) of each bucket; members of buckets beyond the cap come out with a alone and their table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +154,7 @@ def _buckets(keyed: DataFrame, cap: int | None, radius: int, link=linked) -> Dat
             fps = np.concatenate(members)
             if over:
                 return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(fps), pa.int32()), pa.array(fps, pa.int64()), pa.nulls(len(fps), pa.int64())], names=["tab", "a", "b"])
-            pairs = link(np.unique(fps), radius)
+            pairs = linked(np.unique(fps), radius)
             return pa.RecordBatch.from_arrays([pa.array([None] * len(pairs), pa.int32()), pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["tab", "a", "b"]) if pairs else None
 
         for batch in batches:
@@ -210,8 +184,8 @@ def _keyed(fps: DataFrame, tables: list[tuple[int, int]], *also: str) -> DataFra
     return fps.select("fp", *also, each.alias("x")).select("x.tab", F.col("fp").bitwiseAND(F.col("x.mask")).alias("key"), "fp", *also)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, cap: int | None = BUCKET, link=linked) -> DataFrame:
-    """Distinct fp -> edges (a, b), found bucket by bucket by `link`; with linked() they connect just what links of at most `radius` differing bits connect.
+def links(fps: DataFrame, radius: int = RADIUS, cap: int | None = BUCKET) -> DataFrame:
+    """Distinct fp -> edges (a, b) that connect just what links of at most `radius` differing bits connect.
 
     Buckets of more than cap members are keyed anew by masks that hold about half of the
     bits that were free: so a bucket of these has 2^(a quarter of the bits) members at
@@ -219,14 +193,14 @@ def links(fps: DataFrame, radius: int = RADIUS, cap: int | None = BUCKET, link=l
     """
     spark = fps.sparkSession
     whole = (1 << BITS) - 1  # under it only equal fingerprints meet
-    first = written(_buckets(_keyed(fps, [(t, m) for t, m in enumerate(masks(radius)) if m != whole]), cap, radius, link), shared_dir(spark, "simhash-edges"))
+    first = written(_buckets(_keyed(fps, [(t, m) for t, m in enumerate(masks(radius)) if m != whole]), cap, radius), shared_dir(spark, "simhash-edges"))
     edges = first.where("b is not null").select("a", "b")
     large = first.where("b is null").select("tab", F.col("a").alias("fp"))
     crowded = sorted(r.tab for r in large.select("tab").distinct().collect())  # at most a row a table
     for t in crowded:
         inner = large.where(F.col("tab") == t).select("fp").distinct()
         more = _keyed(inner, [(1000 * (t + 1) + k, m) for k, m in enumerate(finer(masks(radius)[t], radius))])
-        edges = edges.unionByName(_buckets(more, None, radius, link).select("a", "b"))
+        edges = edges.unionByName(_buckets(more, None, radius).select("a", "b"))
     return edges.distinct()
 
 
@@ -278,56 +252,46 @@ def _placed(own: DataFrame, classes: DataFrame, found: DataFrame, by: str = "fp"
     return own.join(placed, by)
 
 
-def nearest(fps: np.ndarray, places: np.ndarray, radius: int) -> list[tuple[int, int, int]]:
-    """(a, b, a), b < a: of these distinct fingerprints, each that has others within the radius with one of the nearest of them."""
-    if len(fps) <= 256:
-        return [(a, b, a) for a, b in spanning(fps, radius)]
-    out = set()
-    for k, apart in _apart(fps):
-        apart[np.arange(len(apart)), np.arange(k, k + len(apart))] = BITS + 1
-        at = apart.argmin(axis=1)
-        for i in np.nonzero(apart[np.arange(len(apart)), at] <= radius)[0].tolist():
-            a, b = int(fps[k + i]), int(fps[at[i]])
-            out.add((max(a, b), min(a, b), max(a, b)))
-    return sorted(out)
-
-
-def _apart(fps: np.ndarray, rows: int = 256) -> Iterator[tuple[int, np.ndarray]]:
-    """Differing bits between fingerprints and all of these, some rows at a time, with the number of the first of them."""
-    x = fps.view("<u8")
-    for k in range(0, len(x), rows):
-        yield k, np.bitwise_count(x[k : k + rows, None] ^ x[None, :])
-
-
-def tiled(fps: np.ndarray, places: np.ndarray, radius: int) -> list[tuple[int, int, int]]:
-    """(lower block, higher block, fp) for both ends of every pair of these within the radius, each once; `places` are the fingerprints' blocks."""
-    names, at = np.unique(places, return_inverse=True)
-    n, found = len(fps), []
-    for k, apart in _apart(fps):
-        a, b = np.nonzero(apart <= radius)
-        a, b = a[a + k < b] + k, b[a + k < b]
-        tile = np.minimum(at[a], at[b]) * len(names) + np.maximum(at[a], at[b])
-        found.append(np.unique(np.concatenate([tile * n + a, tile * n + b])))
-    tile, member = np.divmod(np.unique(np.concatenate(found)), n)
-    return list(zip(names[tile // len(names)].tolist(), names[tile % len(names)].tolist(), fps[member].tolist(), strict=True))
-
-
-#: For near copies: words of a shingle, the least share of common shingles, and the radius in which candidates are sought.
-COPY_WORDS, COPY_SHARE, COPY_RADIUS = 5, 0.8, 6
-#: Bits of the filter of documents that a candidate pair names: its size is fixed.
+#: For near copies: words of a shingle, the least share of common shingles, the fingerprints of a text, and the radius within which two of one number make a candidate.
+COPY_WORDS, COPY_SHARE, COPY_PRINTS, COPY_RADIUS = 5, 0.8, 8, 3
+#: Bits of the filter of texts that a candidate names: its size is fixed.
 FILTER_BITS = 1 << 24
-#: Bytes of text in a block of a family; a task holds two blocks, and larger sets are dealt out by pairs of parts.
+#: Bytes of text in a block of a family; a task compares the texts of two blocks.
 TILE_BYTES = 2 << 20
-
-
-def word_hashes(text: str) -> list[int]:
-    """XXH64 of each distinct word: a fingerprint of these moves little when single words change, where one of shingles moves with every shingle that holds the word."""
-    return [xxhash.xxh64_intdigest(w, SEED) for w in set(text.encode().lower().split())]
-
-
-def text_hash(text: str) -> int:
-    """XXH3 of the sequence of words: equal for texts that differ in case and white space alone."""
-    return xxhash.xxh3_64_intdigest(b" ".join(text.encode().lower().split()), SEED)
+#: Odd multipliers that make several hashes of one: the first multiples of 2^64 over the golden ratio, made odd.
+_MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1 for k in range(64)], dtype="<u8")
+
+
+def several(hashes: np.ndarray, prints: int) -> np.ndarray:
+    """Columns of hashes that differ from each other as those of other seeds would."""
+    out = hashes[:, None] * _MULTIPLIERS[None, :prints]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        out = (out ^ (out >> np.uint64(shift))) * np.uint64(factor)
+    return out ^ (out >> np.uint64(31))
+
+
+def text_hashes(text: pa.Array) -> pa.Array:
+    """XXH3 of each text's sequence of words: equal for texts that differ in case and white space alone."""
+    found = (xxhash.xxh3_64_intdigest(b" ".join(t.as_py().encode().lower().split()), SEED) for t in text)
+    return pa.array(np.fromiter(found, dtype="<u8", count=len(text)).view("<i8"), pa.int64())
+
+
+def word_prints(text: pa.Array, prints: int = COPY_PRINTS) -> np.ndarray:
+    """Fingerprints of each text's set of words: such a one moves little when single words change, where one of shingles moves with every shingle that holds the word."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    offsets = np.asarray(parts.offsets).astype(np.int64)
+    coded = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    offsets = offsets - offsets[0]
+    words = coded.dictionary.to_pylist()
+    empty = words.index("") if "" in words else -1
+    hashes = several(np.fromiter((xxhash.xxh64_intdigest(w.encode(), SEED) for w in words), dtype="<u8", count=len(words)), prints)
+    codes = np.asarray(coded.indices).astype(np.int64)
+    fps = np.zeros((len(text), prints), dtype="<u8")
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        own = np.unique(codes[a:b])
+        own = own[own != empty]
+        fps[i] = majorities(hashes[own], np.array([len(own)]))[0]
+    return fps
 
 
 def shared(a: str, b: str, words: int = COPY_WORDS) -> float:
@@ -336,19 +300,38 @@ def shared(a: str, b: str, words: int = COPY_WORDS) -> float:
     return len(one & two) / len(one | two) if one or two else 1.0
 
 
-def joined(nodes: list[int], fps: list[int], sets: list[np.ndarray], radius: int, share: float) -> list[tuple[int, int]]:
-    """(a, b): a forest that connects what pairs within the radius whose sorted sets share `share` connect. A pair is left out only where earlier links join it; those with most neighbours come first, since they join most."""
+def families(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """(a, b): places of fingerprints; what these edges connect is what pairs within the radius connect."""
+    x, left, out = fps.view("<u8"), np.arange(len(fps)), []
+    while len(left):
+        root, left = int(left[0]), left[1:]
+        front = [root]
+        while front and len(left):
+            near = np.bitwise_count(x[left] ^ x[front.pop()]) <= radius
+            found, left = left[near].tolist(), left[~near]
+            out += [(root, k) for k in found]
+            front += found
+    return out
+
+
+def within(fps: np.ndarray, one: np.ndarray, radius: int) -> np.ndarray:
+    """Which of these texts have a fingerprint within the radius of that of the same number. fps: a row for each text."""
+    return (np.bitwise_count(fps ^ one[None, :]) <= radius).any(axis=1)
+
+
+def joined(nodes: list[int], fps: np.ndarray, sets: list[np.ndarray], radius: int, share: float) -> list[tuple[int, int]]:
+    """(a, b): a forest that connects what candidates whose sorted sets share `share` connect. A pair is left out only where earlier links join it; those with most candidates come first, since they join most."""
     n = len(nodes)
-    x = np.array(fps, "<i8").view("<u8")
     sizes = np.array([len(s) for s in sets])
     values, ids = np.unique(np.concatenate(sets), return_inverse=True)
     offsets = bounds(np.bincount(ids, minlength=len(values)))
     owners = np.repeat(np.arange(n), sizes)[np.argsort(ids, kind="stable")]
     starts = bounds(sizes)
-    degree = np.concatenate([(apart <= radius).sum(axis=1) for _, apart in _apart(x)])
+    degree = np.array([int(within(fps, fps[a], radius).sum()) for a in range(n)])
     group, out = np.arange(n), []
     for a in np.argsort(-degree, kind="stable").tolist():
-        others = np.nonzero((np.bitwise_count(x ^ x[a]) <= radius) & (group != group[a]))[0]
+        others = np.nonzero(group != group[a])[0]
+        others = others[within(fps[others], fps[a], radius)] if len(others) else others
         if not len(others):
             continue
         if len(others) <= 8:
@@ -356,18 +339,18 @@ def joined(nodes: list[int], fps: list[int], sets: list[np.ndarray], radius: int
         else:
             common = np.bincount(ragged_take(offsets, owners, ids[starts[a] : starts[a + 1]])[0], minlength=n)[others]
         union = sizes[a] + sizes[others] - common
-        for b in others[(common / np.maximum(union, 1) >= share)].tolist():
+        for b in others[common / np.maximum(union, 1) >= share].tolist():
             if group[a] != group[b]:
                 group[group == group[b]] = group[a]
                 out.append((nodes[a], nodes[b]))
     return out
 
 
-def _near(keyed: DataFrame, radius: int, link: Callable[[np.ndarray, np.ndarray, int], list[tuple[int, int, int]]]) -> DataFrame:
-    """tab, key, fp, block -> lo, hi, fp: what `link` gives for the fingerprints and blocks of each bucket.
+def _families(keyed: DataFrame, radius: int) -> DataFrame:
+    """key, fp, node -> edges (a, b) between nodes that connect what pairs within the radius in one bucket connect.
 
-    A bucket of over BUCKET fingerprints is dealt into parts, and each two of them meet
-    in a task: so each pair does, and no task holds more than about BUCKET fingerprints.
+    A bucket of over BUCKET members is dealt into parts, and each two of them meet in a
+    task: so each pair does, and no task holds more than about BUCKET of them.
     """
     spark, cap = keyed.sparkSession, BUCKET
 
@@ -375,123 +358,122 @@ def _near(keyed: DataFrame, radius: int, link: Callable[[np.ndarray, np.ndarray,
         key, held, over = None, [], False
 
         def close() -> pa.RecordBatch:
-            fps, places = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, "<i8") for k in (0, 1))
+            fps, nodes = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, "<i8") for k in (0, 1))
             if over:
-                columns = [[key[0]] * len(fps), [key[1]] * len(fps), places, places, fps]
+                columns = [np.full(len(fps), key), nodes, fps]
             else:
-                rows = link(fps, places, radius) if len(fps) > 1 else []
-                columns = [[None] * len(rows), [None] * len(rows), *([r[k] for r in rows] for k in range(3))]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.int64()] * 4], strict=True)], names=["tab", "key", "lo", "hi", "fp"])
+                found = np.array(families(fps, radius), dtype=np.int64).reshape(-1, 2)
+                columns = [pa.nulls(len(found), pa.int64()), nodes[found[:, 0]], nodes[found[:, 1]]]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "a", "b"])
 
         for batch in batches:
-            tab, keys, fps, places = (np.asarray(batch.column(c)) for c in ("tab", "key", "fp", "block"))
-            cuts = [0, *(np.nonzero((tab[1:] != tab[:-1]) | (keys[1:] != keys[:-1]))[0] + 1).tolist(), len(tab)]
+            keys, fps, nodes = (np.asarray(batch.column(c)) for c in ("key", "fp", "node"))
+            cuts = [0, *(np.nonzero(keys[1:] != keys[:-1])[0] + 1).tolist(), len(keys)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                if a < b and (now := (int(tab[a]), int(keys[a]))) != key:
+                if a < b and (now := int(keys[a])) != key:
                     if over or sum(len(h[0]) for h in held) > 1:
                         yield close()
                     key, held, over = now, [], False
-                held.append((fps[a:b], places[a:b]))
-                if most and sum(len(h[0]) for h in held) > most:
-                    over = True
+                held.append((fps[a:b], nodes[a:b]))
+                over = over or bool(most) and sum(len(h[0]) for h in held) > most
                 if over:
                     yield close()
                     held = []
         yield close()
 
     def met(rows: DataFrame, most: int | None) -> DataFrame:
-        dealt = rows.select("tab", "key", "fp", "block").repartition("tab", "key").sortWithinPartitions("tab", "key")
-        return dealt.mapInArrow(partial(run, most=most), "tab int, key long, lo long, hi long, fp long")
+        return rows.select("key", "fp", "node").repartition("key").sortWithinPartitions("key").mapInArrow(partial(run, most=most), "key long, a long, b long")
 
     first = written(met(keyed, cap), shared_dir(spark, "copy-buckets"))
-    found, crowded = first.where("tab is null"), first.where("tab is not null").select("tab", "key", "fp", F.col("lo").alias("block"))
+    found, crowded = first.where("key is null").select("a", "b"), first.where("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("fp"))
     if crowded.isEmpty():
-        return found.select("lo", "hi", "fp")
-    parts = crowded.groupBy("tab", "key").agg(F.ceil(F.count(F.lit(1)) * 2 / cap).alias("parts"))
-    pairs = crowded.join(parts, ["tab", "key"]).withColumns({"one": F.expr("pmod(xxhash64(fp), parts)"), "two": F.explode(F.expr("sequence(0L, parts - 1)"))})
-    pairs = pairs.select("tab", F.xxhash64("tab", "key", F.least("one", "two"), F.greatest("one", "two")).alias("key"), "fp", "block")
-    return found.unionByName(met(pairs, None)).select("lo", "hi", "fp")
+        return found
+    parts = crowded.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 2 / cap).alias("parts"))
+    pairs = crowded.join(parts, "key").withColumns({"one": F.expr("pmod(xxhash64(node), parts)"), "two": F.explode(F.expr("sequence(0L, parts - 1)"))})
+    pairs = pairs.select(F.xxhash64("key", F.least("one", "two"), F.greatest("one", "two")).alias("key"), "fp", "node")
+    return found.unionByName(met(pairs, None).select("a", "b"))
 
 
-def near_copies(documents: DataFrame, words: int = COPY_WORDS, share: float = COPY_SHARE, radius: int = COPY_RADIUS) -> DataFrame:
+def near_copies(documents: DataFrame, words: int = COPY_WORDS, share: float = COPY_SHARE, prints: int = COPY_PRINTS, radius: int = COPY_RADIUS) -> DataFrame:
     """doc_id and component_id, by links between texts that share `share` of their shingles.
 
-    Candidates are all pairs whose fingerprints of distinct words differ in `radius` bits
-    at most; each is compared by its whole texts, unless compared texts join it already.
-    What candidates connect is a family. Its texts are dealt into blocks, and two blocks
-    that have candidates between them meet in a tile, so that a text of a large group is
-    read once for each block of it, not once for each pair. Only texts of equal words in
-    equal order count as copies unseen; others of one fingerprint are candidates like
-    any. Rows, nulls and repeats are treated as by near_duplicates().
+    A text has several fingerprints of its set of words. Two texts are candidates if those
+    of any one number differ in `radius` bits at most; covering masks bring all of these
+    together. What candidates connect is a family. Its texts are dealt into blocks of
+    about TILE_BYTES, each two blocks meet in a tile, and there every pair of candidates
+    is compared by its whole texts, unless compared texts join it already. Only texts of
+    equal words in equal order count as copies unseen. Rows, nulls and repeats are treated
+    as by near_duplicates(); texts without words are copies of each other.
     """
     spark = documents.sparkSession
-    own = written(_copy_keys(documents).select("doc_id", "fp", "node", "bytes"), shared_dir(spark, "word-fingerprints"))
-    classes = written(own.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first"), F.max("bytes").alias("bytes")), shared_dir(spark, "copy-classes"))
-    each = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("texts"), F.sum("bytes").alias("bytes"))
-    tables = [(t, m) for t, m in enumerate(masks(radius)) if m != (1 << BITS) - 1]
-    edges = _near(_keyed(each, tables).withColumn("block", F.lit(0).cast("long")), radius, nearest)
-    found = components(edges.select(F.col("lo").alias("a"), F.col("hi").alias("b"))).withColumnRenamed("node", "fp")
-    family = each.join(found.hint("merge"), "fp", "left").where("root is not null or texts > 1").withColumn("root", F.coalesce("root", "fp"))
-    parts = family.groupBy("root").agg(F.ceil(F.sum("bytes") / TILE_BYTES).alias("parts"))
-    place = F.expr("pmod(xxhash64(fp), greatest(parts, 1))")
-    family = written(family.join(parts.hint("merge"), "root").select("fp", "texts", F.xxhash64("root", place).alias("block")), shared_dir(spark, "copy-families"))
-    met = _near(_keyed(family, tables, "block"), radius, tiled)
-    met = met.unionByName(family.where("texts > 1").select(F.col("block").alias("lo"), F.col("block").alias("hi"), "fp"))
-    members = met.select(F.xxhash64("lo", "hi").alias("tile"), "fp").distinct().join(classes.hint("merge"), "fp")
-    members = written(members.select("tile", "node", "fp", "bytes"), shared_dir(spark, "copy-tiles"))
-    parts = members.groupBy("tile").agg(F.ceil(F.sum("bytes") / (4 * TILE_BYTES)).alias("parts"))
-    dealt = members.join(parts.hint("merge"), "tile").withColumns({"one": F.expr("pmod(xxhash64(node, 1), greatest(parts, 1))"), "two": F.explode(F.expr("sequence(0L, greatest(parts, 1) - 1)"))})
-    dealt = dealt.select(F.xxhash64("tile", F.least("one", "two"), F.greatest("one", "two")).alias("tile"), "node", "fp")
-    return _placed(own, classes, components(_compared(documents, dealt, words, share, radius)), "node").select("doc_id", "component_id")
-
-
-def _copy_keys(documents: DataFrame) -> DataFrame:
-    """doc_id, text, the fingerprint fp of its words, the hash of its word sequence (node), and its bytes, of every row."""
+    own = written(_copy_keys(documents, prints), shared_dir(spark, "word-fingerprints"))
+    classes = written(own.groupBy("node").agg(F.min("fps").alias("fps"), F.min("doc_id").alias("first"), F.max("bytes").alias("bytes")), shared_dir(spark, "copy-classes"))
+    tables = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t"), F.lit(_signed(m)).alias("mask")) for k in range(prints) for t, m in enumerate(masks(radius))])
+    each = classes.select("node", "fps", F.explode(tables).alias("x")).select("node", F.get("fps", F.col("x.k")).alias("fp"), "x")
+    keyed = each.select(F.xxhash64("x.k", "x.t", F.col("fp").bitwiseAND(F.col("x.mask"))).alias("key"), "fp", "node")
+    found = components(_families(keyed, radius))
+    family = written(classes.join(found.hint("merge"), "node").select("root", "node", "fps", "bytes"), shared_dir(spark, "copy-families"))
+    # written, so that the join has exchanges of its own and a large family's rows can be split
+    parts = written(family.groupBy("root").agg(F.greatest(F.ceil(F.sum("bytes") / TILE_BYTES), F.lit(1)).alias("parts")), shared_dir(spark, "copy-parts"))
+    dealt = family.join(parts.hint("merge"), "root").withColumns({"one": F.expr("pmod(xxhash64(node), parts)"), "two": F.explode(F.expr("sequence(0L, parts - 1)"))})
+    dealt = dealt.select(F.xxhash64("root", F.least("one", "two"), F.greatest("one", "two")).alias("tile"), "node", "fps")
+    return _placed(own.select("doc_id", "node"), classes.select("node", "first"), components(_compared(documents, family, dealt, words, share, prints, radius)), "node").select("doc_id", "component_id")
+
+
+def _copy_keys(documents: DataFrame, prints: int) -> DataFrame:
+    """doc_id, the hash of its word sequence (node), fingerprints and bytes of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in blocks(batches, 1 << 21):
-            own = [word_hashes(t.as_py()) for t in column(rows, "text")]
-            counts = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
-            fps = pa.array(majorities(np.fromiter((h for hs in own for h in hs), dtype="<u8", count=int(counts.sum())), counts).view("<i8"), pa.int64())
-            lengths = pc.cast(pc.binary_length(column(rows, "text")), pa.int64())
-            nodes = pa.array(np.fromiter((text_hash(t.as_py()) for t in column(rows, "text")), dtype="<u8", count=len(own)).view("<i8"), pa.int64())
-            yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), column(rows, "text").cast(pa.string()), fps, nodes, lengths], names=["doc_id", "text", "fp", "node", "bytes"])
+        for rows in blocks(batches, 1 << 20):
+            text = column(rows, "text")
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1) * prints, pa.int32()), pa.array(word_prints(text, prints).reshape(-1).view("<i8"), pa.int64()))
+            yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), text_hashes(text), lists, pc.cast(pc.binary_length(text), pa.int64())], names=["doc_id", "node", "fps", "bytes"])
 
-    return texts(documents).mapInArrow(run, "doc_id long, text string, fp long, node long, bytes long")
+    return texts(documents).mapInArrow(run, "doc_id long, node long, fps array<long>, bytes long")
 
 
-def _compared(documents: DataFrame, dealt: DataFrame, words: int, share: float, radius: int) -> DataFrame:
-    """tile, node, fp -> edges (a, b): the links within each tile, by the texts themselves."""
+def _node_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and text of the texts whose node the wanted ones name (and few others): read again, behind a filter of fixed size, so that no other text is shuffled."""
     spark = documents.sparkSession
     place = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    words_set = dealt.select((place / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {FILTER_BITS}) % 64 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
     bits = np.zeros(FILTER_BITS // 64, dtype="<i8")
-    for row in words_set.collect():  # at most a row for each 64 bits
-        bits[row.w] = row.bits
+    held = wanted.select((place / 64).cast("int").alias("w"), (place % 64).cast("int").alias("at")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, at))").alias("bits")).toArrow()  # at most a row for each 64 bits
+    bits[np.asarray(held.column("w"))] = np.asarray(held.column("bits"))
     kept = spark.sparkContext.broadcast(bits.tobytes())
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.frombuffer(kept.value, "u1")
         for batch in batches:
             at = np.asarray(batch.column("place"))
             yield batch.filter(pa.array((have[at >> 3] >> (at & 7).astype("u1")) & 1 == 1)).select(["node", "text"])
 
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in blocks(batches, 1 << 20):
+            text = column(rows, "text")
+            yield pa.RecordBatch.from_arrays([text_hashes(text), text.cast(pa.string())], names=["node", "text"])
+
+    rows = texts(documents).select("text").mapInArrow(named, "node long, text string").withColumn("place", place)
+    return rows.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
+
+
+def _compared(documents: DataFrame, family: DataFrame, dealt: DataFrame, words: int, share: float, prints: int, radius: int) -> DataFrame:
+    """tile, node, fps -> edges (a, b): the links within each tile, by the texts themselves."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, held = None, []
 
         def close() -> pa.RecordBatch:
-            found = joined(*map(list, zip(*held, strict=True)), radius, share) if len(held) > 1 else []
+            found = joined([h[0] for h in held], np.array([h[1] for h in held], "<i8").view("<u8"), [h[2] for h in held], radius, share) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for rows in blocks(batches, 1 << 20):
-            for now, node, fp, text in zip(*(rows.column(c).to_pylist() for c in ("tile", "node", "fp", "text")), strict=True):
+            for now, node, fps, text in zip(*(rows.column(c).to_pylist() for c in ("tile", "node", "fps", "text")), strict=True):
                 if now != tile:
                     if len(held) > 1:
                         yield close()
                     tile, held = now, []
-                held.append((node, fp, np.unique(np.array(shingle_hashes(text, words), dtype="<u8"))))
+                held.append((node, fps, np.unique(np.array(shingle_hashes(text, words), dtype="<u8"))))
         yield close()
 
-    read = _copy_keys(documents).select("node", "text").withColumn("place", place).mapInArrow(asked, "node long, text string").dropDuplicates(["node"])
-    both = dealt.join(read.hint("merge"), "node").select("tile", "node", "fp", "text")
+    both = dealt.join(_node_texts(documents, family).hint("merge"), "node").select("tile", "node", "fps", "text")
     return both.repartition("tile").sortWithinPartitions("tile").mapInArrow(check, "a long, b long")
