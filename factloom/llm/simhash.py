@@ -278,19 +278,12 @@ def text_hashes(text: pa.Array) -> pa.Array:
 
 def word_prints(text: pa.Array, prints: int = COPY_PRINTS) -> np.ndarray:
     """Fingerprints of each text's set of words: such a one moves little when single words change, where one of shingles moves with every shingle that holds the word."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(text))
-    offsets = np.asarray(parts.offsets).astype(np.int64)
-    coded = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-    offsets = offsets - offsets[0]
-    words = coded.dictionary.to_pylist()
-    empty = words.index("") if "" in words else -1
-    hashes = several(np.fromiter((xxhash.xxh64_intdigest(w.encode(), SEED) for w in words), dtype="<u8", count=len(words)), prints)
-    codes = np.asarray(coded.indices).astype(np.int64)
+    number: dict[bytes, int] = {}
+    own = [[number.setdefault(w, len(number)) for w in set(t.as_py().encode().lower().split())] for t in text]
+    hashes = several(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in number), dtype="<u8", count=len(number)), prints)
     fps = np.zeros((len(text), prints), dtype="<u8")
-    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-        own = np.unique(codes[a:b])
-        own = own[own != empty]
-        fps[i] = majorities(hashes[own], np.array([len(own)]))[0]
+    for i, words in enumerate(own):
+        fps[i] = majorities(hashes[words], np.array([len(words)]))[0] if words else 0
     return fps
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from factloom.llm import bpe, chat, decontaminate, edit_counts, planes, pretokens, quality, queries, secrets, shards, simhash, toxicity
-from factloom.llm.common import blocks, bounds, ragged_take, shared_dir
+from factloom.llm.common import blocks, bounds, column, ragged_take, shared_dir
 
 RANKS, WORDS = public_tokenizers.path(queries.RANKS), public_tokenizers.path(queries.WORD_BPE)
 PATTERN = public_tokenizers.PATTERN
@@ -572,6 +572,15 @@ def test_near_copies_by_all_pairs(spark, monkeypatch, tile, cap):
     print(f"recall of pairs {1 - missed / true:.3f} of {true}")
 
 
+def test_word_prints_bit_by_bit():
+    texts = [*(t or "" for t in ODD), "Ä Ö Ü ß A B", "x"]
+    rows = pa.table({"text": pa.array(["skipped, so that offsets begin behind it", *texts]).slice(1)})
+    got = simhash.word_prints(column(rows, "text"))
+    for t, row in zip(texts, got.tolist(), strict=True):
+        words = [w.decode() for w in t.encode().lower().split()]
+        assert row == [fingerprint_of(words, k) if words else 0 for k in range(simhash.COPY_PRINTS)]
+
+
 def test_families_of_a_crowded_bucket(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", 16)
     rng = random.Random(9)
