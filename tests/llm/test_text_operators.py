@@ -433,10 +433,113 @@ def test_templates(spark, none):
     assert decontaminate.contaminated(none, bench).collect() == [] == decontaminate.contaminated(documents(spark, texts), bench.limit(0)).collect()
 
 
+def vocabulary(items):
+    known = np.zeros(decontaminate.WORD_BITS // 8, "u1")
+    for w in decontaminate.Templates(pa.array(items, pa.large_string())).common:
+        place = decontaminate._hash(w) % decontaminate.WORD_BITS
+        known[place >> 3] |= 1 << (place & 7)
+    return known
+
+
 def test_template_tokens():
-    own = decontaminate.Templates(pa.array(["We met Bob. Bob paid 3,5 km or two kg. Km", "a b"], pa.large_string()))
-    shown = [decontaminate._PLACE.get(int(k), own.lower[i]) for k, i in zip(own.kinds, own.ids, strict=True)]
-    assert shown == ["we", "met", "<name>", "bob", "paid", "<num>", "<unit>", "or", "<num>", "<unit>", "km", "a", "b"]
+    text = "We met Bob. Bob paid 3,5 km or two kg to Mary Ann, Eve and Jean-Luc Roy. Km. peter met we"
+    own = decontaminate.Templates(pa.array([text, "a b"], pa.large_string()), vocabulary(["we met or paid to and km", "a b"]))
+    shown = [decontaminate._PLACE.get(int(k), own.lower[own.ids[i]]) for k, i in zip(own.kinds, own.first, strict=False)]
+    assert shown == ["we", "met", "<name>", "<name>", "paid", "<num>", "<unit>", "or", "<num>", "<unit>", "to", "<name>", "<name>", "and", "<name>", "km", "<name>", "met", "we", "a", "b"]
+    assert own.rendered(11, 4)[1] == ["mary ann", "eve", "jean luc roy"] and own.ends.tolist() == [0, 19, 21]
+
+
+def tokens_by_hand(text, common):
+    """The template of a text token by token, and the slots: the docstring's rules once more, one at a time."""
+    words = [(m, part, k) for w in text.split() for m in [re.findall(r"[^\W_]+(?:[.,][0-9]+)*", w)] for k, part in enumerate(m) for part in [(part, k == len(m) - 1, w)]]
+    out, initial, gap = [], True, True
+    for _, (token, last, w), _ in words:
+        low, capital = token.lower(), len(token) > 1 and token[0].isupper() and token[1:].islower()
+        if re.fullmatch(r"[0-9]+(?:[.,][0-9]+)*", token) or low in decontaminate.NUMBER_WORDS:
+            out.append(["<num>", low, False, gap])
+        elif low in decontaminate.UNITS and out and out[-1][0] == "<num>":
+            out.append(["<unit>", low, False, gap])
+        elif capital and not initial or low not in common:
+            out.append(["<name>", low, capital, gap])
+        else:
+            out.append([low, None, False, gap])
+        initial = last and bool(re.search(r"[.!?:;\"”)\]]$", w))
+        gap = last and not w[-1].isalnum()
+    merged, run = [], []
+    for t in [*out, None]:
+        if run and (t is None or t[0] != "<name>" or not t[2] or t[3]):
+            merged += [("<name>", " ".join(x[1] for x in run))] if len(run) <= 4 else [("<name>", x[1]) for x in run]
+            run = []
+        if t is not None and t[0] == "<name>" and t[2]:
+            run.append(t)
+        elif t is not None:
+            merged.append((t[0], t[1]))
+    return merged
+
+
+def held_by_hand(texts, items):
+    """doc, item, matched windows: all pairs of texts, all shifts."""
+    common = set(decontaminate.Templates(pa.array([t for t in items.values() if t], pa.large_string())).common)
+    wins = lambda t: {i: t[i : i + 5] for i in range(len(t) - 4) if sum(s is None for _, s in t[i : i + 5]) >= 3}
+    found = {}
+    docs = [tokens_by_hand(t or "", common) for t in texts]
+    plain = [[w.lower() for w in re.findall(r"[^\W_]+(?:[.,][0-9]+)*", t or "")] for t in texts]
+    for item, text in items.items():
+        mine = wins(tokens_by_hand(text or "", common))
+        exact = [w.lower() for w in re.findall(r"[^\W_]+(?:[.,][0-9]+)*", text or "")]
+        for d, doc in enumerate(docs):
+            if not mine:
+                if len(exact) >= 4 and any(plain[d][k : k + len(exact)] == exact for k in range(len(plain[d]))):
+                    found[d, item] = 1
+                continue
+            matched = set()
+            for shift in range(-len(docs[d]) - 80, len(docs[d]) + 80):
+                hit = {i: (w, doc[i + shift : i + shift + 5]) for i, w in mine.items() if i + shift >= 0 and [t for t, _ in doc[i + shift : i + shift + 5]] == [t for t, _ in w]}
+                pairs = {(a, b) for w, v in hit.values() for (_, a), (_, b) in zip(w, v, strict=True) if a is not None}
+                if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
+                    matched |= set(hit)
+            if len(matched) >= max(0.5 * len(mine), min(len(mine), 4)):
+                found[d, item] = len(matched)
+    return found
+
+
+QUESTIONS = [
+    "{A} has {n} apples. {B} has {m}. How many apples do {A} and {B} have together?",
+    "If {A} buys {n} kg of rice for {m} dollars, how many dollars does {A} pay for {k} kg?",
+    "A train leaves the station at {n} km per hour. After {m} hours {A} starts to follow it by car. When does {A} reach the train?",
+    "{A} reads {n} pages each day while {B} reads {m} pages each day. After {k} days, who has read more pages, and how many more?",
+    "Every week {A} saves {n} euros and spends {m} euros on books. How many weeks does {A} need to save {k} euros?",
+]
+PEOPLE = ["Anna", "Peter", "Tom", "Lisa", "Mary Ann", "Jean-Luc", "Ada King Noel", "Bo"]
+
+
+def asked(rng, question, people=PEOPLE):
+    a, b = rng.sample(people, 2)
+    n, m, k = rng.sample(range(2, 90), 3)
+    return question.format(A=a, B=b, n=n, m=m, k=k)
+
+
+def test_reparameterised_questions_are_found(spark):
+    rng = random.Random(21)
+    items = {i: asked(rng, q) for i, q in enumerate(QUESTIONS)}
+    items[100], items[101], items[102], items[103] = "12 + 7 * 3 - 4 / 2", "1 2 3", "too short", None
+    noise = lambda n: " ".join(rng.choice(["and", "the", "lorem", "of", "pages", "has", "Ipsum", "7", "day", "dolor."]) for _ in range(n))
+    texts, wanted = [], []
+    for _ in range(12):
+        for i, q in enumerate(QUESTIONS):
+            body = asked(rng, q)
+            form = rng.randrange(4)
+            body = body if form else asked(rng, q, ["olga", "ivan", "zoe", "kim"])  # names in lower case
+            texts.append(f"{noise(rng.randint(0, 12))}. {body} {noise(rng.randint(0, 12))}")
+            wanted.append((len(texts) - 1, i))
+    texts += [noise(80) for _ in range(20)] + ["So 12 + 7 * 3 - 4 / 2 is", "12 + 7 * 3 - 5 / 2", "Anna has 3 apples and Tom has 4 pears", None, "too short 1 2 3"]
+    texts += ["Anna has 3 apples. Tom has 5. How many apples do Bo and Lisa have together?"]  # other people in the question
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_matched for r in decontaminate.contaminated(documents(spark, texts), bench).collect()}
+    assert got == held_by_hand(texts, items)
+    recall = sum(w in got for w in wanted) / len(wanted)
+    assert recall >= 0.9 and set(got) - set(wanted) == {(len(wanted) + 20, 100)}
+    print(f"recall of questions with other names, numbers and units {recall:.3f} of {len(wanted)}")
 
 
 def toxic_corpus(n, seed):
