@@ -4,10 +4,16 @@ Ids of all documents stand end to end in ascending doc_id order and are cut into
 blocks of a fixed number of ids. A block is transposed into its byte planes (all
 lowest bytes, then all next ones ...), and each plane is compressed by zstandard
 on its own: neighbouring ids differ mostly in their low plane, so the high planes
-shrink to almost nothing. A chunk row holds a block's planes; the chunk index has
-each chunk's place, counts and checksum; the document index has where each
-document's ids are. All three are Parquet tables, written by Spark's committers,
-so a lost executor leaves no half file behind.
+shrink to almost nothing. Under a path there are three Parquet tables, written by
+Spark's committers, so a lost executor leaves no half file behind:
+
+* chunks: part, chunk, the planes of a block, and the documents that lie in it;
+* chunk_index: where each chunk's ids begin among all, their number, the sizes of
+  its planes and its checksum;
+* documents: doc_id, where its ids begin among all, and their number.
+
+A range of ids, or a document, is read through the indexes: only chunks that hold
+it are opened.
 """
 
 from __future__ import annotations
@@ -20,10 +26,10 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -39,7 +45,10 @@ TEXT_BYTES = 8 << 20
 #: Pieces of words whose ids a task remembers (or a block's, if those are more), and as many that it met before these; others are encoded again, which changes no result.
 REMEMBERED = 200_000
 
-_CHUNK = "part int, chunk int, first long, n_ids int, planes array<binary>, crc32 long, piece_docs array<struct<doc_id:long,ordinal:long,offset:int,n:int,of:long>>"
+#: piece_docs: of each document the place in the part and in the chunk, how many ids lie here, how many there are, and whether it begins here.
+_CHUNK = "part int, chunk int, first long, n_ids int, planes array<binary>, sizes array<int>, crc32 long, piece_docs array<struct<doc_id:long,ordinal:long,offset:int,n:int,of:long,begins:boolean>>"
+_PIECE = pa.struct([("doc_id", pa.int64()), ("ordinal", pa.int64()), ("offset", pa.int32()), ("n", pa.int32()), ("of", pa.int64()), ("begins", pa.bool_())])
+_CHUNK_TYPES = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("planes", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("crc32", pa.int64()), ("piece_docs", pa.list_(_PIECE))])
 
 
 def strings(values: pa.Array) -> list[str]:
@@ -135,60 +144,40 @@ def from_planes(planes: list[bytes]) -> np.ndarray:
     return np.ascontiguousarray(np.stack([np.frombuffer(zstandard.decompress(p), "u1") for p in planes], axis=1)).view("<u4").ravel()
 
 
-def in_parts(documents: DataFrame, parts: int) -> DataFrame:
-    """Texts with the number of the doc_id range that they belong to: ranges of about equally many documents. Null ids are in the first."""
-    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    cuts = np.unique(np.asarray(ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else [], dtype=np.int64))
-
-    @F.pandas_udf("int")
-    def part(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy()).astype(np.int32))
-
-    return texts(documents).withColumn("part", part(F.coalesce("doc_id", F.lit(-(2**63)))))
-
-
 def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, parts: int | None = None, block_ids: int = BLOCK_IDS) -> None:
-    """Writes documents' ids, each document's followed by end_id, under path: chunks/, index/.
+    """Writes documents' ids, each document's followed by end_id, under path: chunks/, chunk_index/ and documents/.
 
     documents: doc_id, text (null: empty; null doc_ids come first; of equal doc_ids the
-    smaller text first; other columns are ignored). tokenizer: a file of the tokenizers
-    library. parts: files of about as many documents each, by ranges of doc_id.
+    order is that of the texts' hashes, then of the texts; other columns are ignored). tokenizer: a
+    file of the tokenizers library. parts: ranges of (doc_id, hash of the text), sampled
+    by Spark, so rows of one doc_id, or without any, are split like others; only rows
+    that agree in both stay together.
     """
     spark = documents.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
-        part, chunk, done, ordinal, held, size, docs = None, 0, 0, 0, [], 0, []
+        words, part = WordIds(tokenizer), TaskContext.get().partitionId()
+        chunk, done, ordinal, held, size, docs = 0, 0, 0, [], 0, []
 
         def cut(n: int) -> pa.RecordBatch:
             nonlocal held, size, docs, chunk, done
             ids = np.concatenate(held) if len(held) != 1 else held[0]
             block, rest = ids[:n], ids[n:]
-            own, later = [], []
-            for d in docs:
-                inside = min(d["n"], n - d["offset"])
-                if d["offset"] < n:
-                    own.append({**d, "n": inside})
-                if d["offset"] + d["n"] > n or d["offset"] >= n:
-                    later.append({**d, "offset": max(0, d["offset"] - n), "n": d["n"] - max(0, inside)})
-            out = pa.RecordBatch.from_pylist(
-                [{"part": part, "chunk": chunk, "first": done, "n_ids": n, "planes": to_planes(block), "crc32": zlib.crc32(block.astype("<u4").tobytes()), "piece_docs": own}],
-                pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("planes", pa.list_(pa.binary())), ("crc32", pa.int64()), ("piece_docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("ordinal", pa.int64()), ("offset", pa.int32()), ("n", pa.int32()), ("of", pa.int64())])))]),
-            )
-            held, size, docs, chunk, done = [rest], size - n, later, chunk + 1, done + n
-            return out
+            own = [{**d, "n": min(d["n"], n - d["offset"])} for d in docs]  # all of them begin before the cut
+            last = docs[-1]
+            over = last["offset"] + last["n"] - n
+            planes = to_planes(block)
+            row = {"part": part, "chunk": chunk, "first": done, "n_ids": n, "planes": planes, "sizes": list(map(len, planes)), "crc32": zlib.crc32(block.astype("<u4").tobytes()), "piece_docs": own}
+            held, size, docs, chunk, done = [rest], size - n, [{**last, "offset": 0, "n": over, "begins": False}] if over else [], chunk + 1, done + n
+            return pa.RecordBatch.from_pylist([row], _CHUNK_TYPES)
 
         for rows in blocks(batches, TEXT_BYTES):
             flat, counts = encoded(column(rows, "text"), words)
             at = bounds(counts)
-            for i, (p, doc_id) in enumerate(zip(rows.column("part").to_pylist(), rows.column("doc_id").to_pylist(), strict=True)):
-                if p != part:
-                    if size:
-                        yield cut(size)
-                    part, chunk, done, ordinal, held, size, docs = p, 0, 0, 0, [], 0, []
+            for i, doc_id in enumerate(rows.column("doc_id").to_pylist()):
                 n = int(counts[i]) + 1
-                docs.append({"doc_id": doc_id, "ordinal": ordinal, "offset": size, "n": n, "of": n})
+                docs.append({"doc_id": doc_id, "ordinal": ordinal, "offset": size, "n": n, "of": n, "begins": True})
                 held += [flat[at[i] : at[i + 1]], np.asarray([end_id], dtype="<u4")]
                 size += n
                 ordinal += 1
@@ -197,13 +186,50 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, part
         if size:
             yield cut(size)
 
-    dealt = in_parts(documents, parts).repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
+    keyed = texts(documents).withColumn("mix", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("mix").asc()]
+    dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     dealt.mapInArrow(run, _CHUNK).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
-    chunks = spark.read.schema(_CHUNK).parquet(f"{path}/chunks")
-    sizes = chunks.groupBy("part").agg(F.sum("n_ids").alias("ids"), F.sum(F.size(F.filter("piece_docs", lambda d: d["n"] > 0))).alias("pieces"))
-    # a row for each part, so at most `parts` rows in the one window
-    starts = sizes.withColumn("start", F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    starts.select("part", "ids", F.coalesce("start", F.lit(0)).alias("start")).coalesce(1).write.parquet(f"{path}/index")
+    chunks = spark.read.schema(_CHUNK).parquet(f"{path}/chunks").drop("planes")
+    sizes = chunks.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    # a row for each part, so at most `parts` rows in the one window, and in the broadcast
+    starts = F.broadcast(sizes.select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")))
+    placed = chunks.join(starts, "part").withColumn("start", F.col("before") + F.col("first"))
+    placed.select("part", "chunk", "start", "n_ids", "sizes", "crc32").write.parquet(f"{path}/chunk_index")
+    each = placed.select("part", "start", F.explode("piece_docs").alias("d")).where("d.begins")
+    each.select("d.doc_id", (F.col("start") + F.col("d.offset")).alias("start"), F.col("d.of").alias("n_tokens"), "part", "d.ordinal").write.parquet(f"{path}/documents")
+
+
+def read_range(spark: SparkSession, path: str, first: int, count: int) -> DataFrame:
+    """start, ids: the runs of ids from place `first` on, `count` in all; only chunks that the index names are opened."""
+    asked = spark.read.parquet(f"{path}/chunk_index").where((F.col("start") < first + count) & (F.col("start") + F.col("n_ids") > first))
+    inside = {(r.part, r.chunk): r.start for r in asked.select("part", "chunk", "start").collect()}  # as many as `count` ids fill
+    if not inside:
+        return spark.createDataFrame([], "start long, ids array<long>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {"start": [], "ids": []}
+            for part, chunk, planes, crc in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "planes", "crc32")), strict=True):
+                start, ids = inside[part, chunk], checked(planes, crc, part, chunk)
+                a, b = max(0, first - start), min(len(ids), first + count - start)
+                out["start"].append(start + a)
+                out["ids"].append(ids[a:b].tolist())
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("start", pa.int64()), ("ids", pa.list_(pa.int64()))]))
+
+    rows = spark.read.schema(_CHUNK).parquet(f"{path}/chunks").select("part", "chunk", "planes", "crc32")
+    wanted = F.lit(False)
+    for part in sorted({p for p, _ in inside}):
+        own = [c for p, c in inside if p == part]
+        wanted = wanted | ((F.col("part") == part) & F.col("chunk").between(min(own), max(own)))
+    return rows.where(wanted).mapInArrow(run, "start long, ids array<long>")
+
+
+def checked(planes: list[bytes], crc: int, part: int, chunk: int) -> np.ndarray:
+    ids = from_planes(planes)
+    if zlib.crc32(ids.tobytes()) != crc:
+        raise ValueError(f"chunk {chunk} of part {part} is damaged")
+    return ids
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -217,10 +243,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {k: [] for k in ("part", "ordinal", "doc_id", "first", "n", "of", "crc32", "bytes")}
-            for part, first, planes, crc, docs in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "planes", "crc32", "piece_docs")), strict=True):
-                raw = from_planes(planes).tobytes()
-                if zlib.crc32(raw) != crc:
-                    raise ValueError(f"part {part}: the chunk at {first} is damaged")
+            for part, chunk, first, planes, crc, docs in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "first", "planes", "crc32", "piece_docs")), strict=True):
+                raw = checked(planes, crc, part, chunk).tobytes()
                 for d in docs:
                     whole = d["n"] == d["of"]
                     own = raw[4 * d["offset"] : 4 * (d["offset"] + d["n"])]
@@ -228,9 +252,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("part", pa.int32()), *((k, pa.int64()) for k in ("ordinal", "doc_id", "first", "n", "of", "crc32")), ("bytes", pa.binary())]))
 
-    pieces = spark.read.schema(_CHUNK).parquet(f"{path}/chunks").select("part", "first", "planes", "crc32", "piece_docs").mapInArrow(run, piece)
+    pieces = spark.read.schema(_CHUNK).parquet(f"{path}/chunks").select("part", "chunk", "first", "planes", "crc32", "piece_docs").mapInArrow(run, piece)
     cut = pieces.where("bytes is not null").groupBy("part", "ordinal", "doc_id").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("first", F.hex("bytes").alias("hex")))).alias("all"))
     joined = cut.select("part", "ordinal", "doc_id", "first", "n", F.crc32(F.unhex(F.array_join(F.transform("all", lambda x: x["hex"]), ""))).alias("crc32"))
     both = pieces.where("bytes is null").select("part", "ordinal", "doc_id", "first", "n", "crc32").unionByName(joined)
-    index = spark.read.parquet(f"{path}/index")  # a row for each part
-    return both.join(F.broadcast(index), "part").select("doc_id", (F.col("start") + F.col("first")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc32").alias("ids_crc32"), "part", "ordinal")
+    # the first chunk of each part says where the part begins: a row for each part
+    begins = spark.read.parquet(f"{path}/chunk_index").where("chunk = 0").select("part", F.col("start").alias("before"))
+    return both.join(F.broadcast(begins), "part").select("doc_id", (F.col("before") + F.col("first")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc32").alias("ids_crc32"), "part", "ordinal")

@@ -93,22 +93,34 @@ def test_planes(spark, odd, block_ids):
     planes.write(odd, path, WORDS, parts=3, block_ids=block_ids)
     got = {r.doc_id: r for r in planes.read(spark, path).collect()}
     assert len(got) == len(ODD)
-    start = 0
+    start, everything = 0, []
+    index = {r.doc_id: (r.start, r.n_tokens) for r in spark.read.parquet(f"{path}/documents").collect()}
     for i, text in enumerate(ODD):
         ids = library.encode(text or "", add_special_tokens=False).ids + [2]
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert index[i] == (start, len(ids))
         start += len(ids)
-    assert spark.read.parquet(f"{path}/chunks").agg(F.max("n_ids")).first()[0] <= block_ids
+        everything += ids
+    chunks = spark.read.parquet(f"{path}/chunk_index").orderBy("start").collect()
+    assert max(c.n_ids for c in chunks) <= block_ids and [c.start for c in chunks] == np.cumsum([0, *(c.n_ids for c in chunks)])[:-1].tolist()
+    assert spark.read.parquet(f"{path}/chunks").select("part").distinct().count() > 1
+    for first, count in ((0, 1), (5, 9), (start - 3, 10), (start // 2, 2 * block_ids), (0, start), (start, 5)):
+        runs = sorted(planes.read_range(spark, path, first, count).collect())
+        assert [x for r in runs for x in r.ids] == everything[first : first + count]
+    some = planes.read_range(spark, path, *index[13])
+    assert [x for r in sorted(some.collect()) for x in r.ids] == library.encode(ODD[13], add_special_tokens=False).ids + [2]
 
 
 def test_planes_of_repeated_null_and_no_rows(spark, none):
     path = shared_dir(spark, "planes")
-    planes.write(documents(spark, ["b", "a", "c", None], [None, None, 7, 7]), path, WORDS, parts=2)
+    planes.write(documents(spark, ["b", "a", "c", None, *(f"x{k}" for k in range(40))], [None, None, 7, 7, *[None] * 40]), path, WORDS, parts=4, block_ids=5)
     rows = sorted(planes.read(spark, path).collect(), key=lambda r: r.start)
-    assert [r.doc_id for r in rows] == [None, None, 7, 7] and [r.start for r in rows] == [0, 2, 4, 5]
+    assert [r.doc_id for r in rows] == [*[None] * 42, 7, 7] and rows[0].start == 0
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
+    assert len({r.part for r in rows if r.doc_id is None}) > 1  # no doc_id stays in one task
     empty = shared_dir(spark, "planes")
     planes.write(none, empty, WORDS, parts=2)
-    assert planes.read(spark, empty).collect() == []
+    assert planes.read(spark, empty).collect() == [] == planes.read_range(spark, empty, 0, 5).collect()
 
 
 def test_plane_round_trip():
