@@ -7,17 +7,22 @@
    message for each block and bucket, so that each pre-token reaches one task and
    is encoded there once.
 3. The ids go back to the blocks that asked, and the texts are reassembled by position.
-4. Decoding looks the ids up in the token-byte table (as large as the vocabulary, so bounded).
+4. Decoding joins the token-byte table, whose place in a row is the id. It is as large as
+   the vocabulary, so it is broadcast as one row, and no token becomes a row of its own.
+
+A block's number is a hash of its content and place. If a lost executor makes a task
+run again on rows in another order, numbers no longer agree, and the join of ids
+refuses rather than mixes answers of two attempts.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,7 +36,8 @@ TEXT_BYTES = 8 << 20
 _BLOCK = "block long, doc_ids binary, known binary, counts binary, sequence binary, words binary"
 _MESSAGE = "bucket int, block long, words binary"
 _ANSWER = "block long, bucket int, ids binary"
-RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: Distinct pre-tokens whose ids a task remembers; those that come back beyond that are encoded again, which changes no result.
+REMEMBERED = 1_000_000
 
 
 def _pack(pieces: list[bytes]) -> bytes:
@@ -55,18 +61,21 @@ def exploded(documents: DataFrame, pattern: str) -> DataFrame:
     """One row a block: its documents' ids, lengths and sequences of pre-token numbers, and its distinct pre-tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() << 32
+        task = TaskContext.get().partitionId()
         for k, rows in enumerate(blocks(batches, TEXT_BYTES)):
             words, flat, counts = pieces_of(rows, pattern)
             ids = column(rows, "doc_id")
-            yield pa.RecordBatch.from_pydict({
-                "block": pa.array([task + k], pa.int64()),
-                "doc_ids": [np.asarray(ids.fill_null(0)).astype("<i8").tobytes()],
-                "known": [np.asarray(ids.is_valid()).astype("u1").tobytes()],
-                "counts": [counts.astype("<u4").tobytes()],
-                "sequence": [zstandard.compress(flat.astype("<u4").view("u1").reshape(-1, 4).T.tobytes(), 3)],
-                "words": [_pack([w.encode() for w in words])],
-            })
+            held = {
+                "doc_ids": np.asarray(ids.fill_null(0)).astype("<i8").tobytes(),
+                "known": np.asarray(ids.is_valid()).astype("u1").tobytes(),
+                "counts": counts.astype("<u4").tobytes(),
+                "sequence": zstandard.compress(flat.astype("<u4").view("u1").reshape(-1, 4).T.tobytes(), 3),
+                "words": _pack([w.encode() for w in words]),
+            }
+            number = xxhash.xxh3_64(str((task, k)))
+            for part in held.values():
+                number.update(part)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([number.intdigest() >> 1], pa.int64()), **{name: pa.array([part], pa.binary()) for name, part in held.items()}})
 
     return texts(documents).mapInArrow(run, _BLOCK)
 
@@ -83,6 +92,8 @@ def encoded_words(messages: DataFrame, path: str, pattern: str) -> DataFrame:
                 for word in _unpack(words):
                     ids = known.get(word)
                     if ids is None:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
                         ids = known[word] = np.asarray(encode(word.decode()), dtype="<u4").tobytes()
                     answer.append(ids)
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "bucket": pa.array([bucket], pa.int32()), "ids": [_pack(answer)]})
@@ -90,14 +101,14 @@ def encoded_words(messages: DataFrame, path: str, pattern: str) -> DataFrame:
     return messages.mapInArrow(run, _ANSWER)
 
 
-def encode_and_decode(documents: DataFrame, path: str, pattern: str, buckets: int | None = None) -> DataFrame:
-    """Per document: n_tokens, the hash of its ids and the hash of the bytes that they decode to.
+def encoded(documents: DataFrame, path: str, pattern: str, buckets: int | None = None) -> DataFrame:
+    """doc_id and ids (array<int>) of every row.
 
-    documents: doc_id, text. A null text counts as empty and has no tokens; a null
-    doc_id stays null; repeated rows are encoded each for itself; an empty table
-    gives an empty result; other columns are ignored. A text of any length is
-    encoded whole. path: a rank file; pattern: the splitting pattern; buckets: how
-    many hash buckets the distinct pre-tokens are dealt to (spark.sql.shuffle.partitions).
+    documents: doc_id, text. A null text counts as empty and has no ids; a null doc_id
+    stays null; repeated rows are encoded each for itself; an empty table gives an empty
+    result; other columns are ignored. A text of any length is encoded whole. path: a
+    rank file; pattern: the splitting pattern; buckets: how many hash buckets, each a
+    task, the distinct pre-tokens are dealt to (spark.sql.shuffle.partitions).
     """
     buckets = buckets or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = exploded(documents, pattern).repartition("block")
@@ -110,39 +121,41 @@ def encode_and_decode(documents: DataFrame, path: str, pattern: str, buckets: in
                     dealt.setdefault(_bucket(word, buckets), []).append(word)
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(list(dealt), pa.int32()), "block": pa.array([block] * len(dealt), pa.int64()), "words": pa.array(map(_pack, dealt.values()), pa.binary())})
 
-    answers = encoded_words(held.mapInArrow(ask, _MESSAGE).repartition("bucket"), path, pattern)
+    answers = encoded_words(held.mapInArrow(ask, _MESSAGE).repartitionById(buckets, F.col("bucket")), path, pattern)
 
     def join(key: tuple, asked: pa.Table, answered: pa.Table) -> pa.Table:
+        if asked.num_rows != 1:
+            raise ValueError("a block and its answers are of two attempts; run again on a written table")
         row = asked.to_pylist()[0]
         given = {b: iter(_unpack(ids)) for b, ids in zip(answered.column("bucket").to_pylist(), answered.column("ids").to_pylist(), strict=True)}
-        per_word = [next(given[_bucket(w, buckets)]) for w in _unpack(row["words"])]
+        words = _unpack(row["words"])
+        per_word = [next(given.get(_bucket(w, buckets), iter(())), None) for w in words]
+        if None in per_word:
+            raise ValueError("a block and its answers are of two attempts; run again on a written table")
         offsets = bounds(np.fromiter(map(len, per_word), dtype=np.int64, count=len(per_word)) // 4)
         raw = np.frombuffer(zstandard.decompress(row["sequence"]), "u1").reshape(4, -1).T
-        flat, each = ragged_take(offsets, np.frombuffer(b"".join(per_word), "<u4"), np.ascontiguousarray(raw).view("<u4").ravel())
-        ends = bounds(each)[bounds(np.frombuffer(row["counts"], "<u4").astype(np.int64))].tolist()
+        flat, each = ragged_take(offsets, np.frombuffer(b"".join(per_word), "<i4"), np.ascontiguousarray(raw).view("<u4").ravel())
+        ends = bounds(each)[bounds(np.frombuffer(row["counts"], "<u4").astype(np.int64))]
         known, doc_ids = np.frombuffer(row["known"], "u1"), np.frombuffer(row["doc_ids"], "<i8")
-        table = token_bytes(path)
-        shown = [str(i).encode() for i in range(len(table))]
-        ids_hash, bytes_hash = [], []
-        for a, b in zip(ends[:-1], ends[1:], strict=True):
-            ids = flat[a:b].tolist()
-            ids_hash.append(hashlib.sha256(b" ".join(map(shown.__getitem__, ids))).hexdigest())
-            bytes_hash.append(hashlib.sha256(b"".join(map(table.__getitem__, ids))).hexdigest())
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64(), mask=known == 0), "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids_sha256": ids_hash, "decoded_sha256": bytes_hash})
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64(), mask=known == 0), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))})
 
-    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, RESULT)
+    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, "doc_id long, ids array<int>")
 
 
-def decode(spark_ids: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (array<int>) -> doc_id and the decoded bytes: ids exploded by position, joined to the token-byte table, gathered by document.
+def decoded(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """The rows with bytes (binary), what their ids decode to; null lists decode to no bytes.
 
-    The table has a row for each token of the vocabulary; it is broadcast for that reason.
-    An id outside of the table is an error; null or empty lists decode to no bytes.
+    The token-byte table is one row of as many strings as the vocabulary has tokens,
+    joined by broadcast; an id is its place there. One outside of the table is an error.
     """
-    spark = spark_ids.sparkSession
-    tokens = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(token_bytes(path))], "id int, bytes binary")
-    keyed = spark_ids.select("doc_id", F.col("ids"), F.monotonically_increasing_id().alias("row"))
-    out = keyed.select("doc_id", "row", F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(tokens), "id", "left")
-    out = out.withColumn("bytes", F.when(F.col("id").isNotNull() & F.col("bytes").isNull(), F.raise_error(F.lit("unknown token id"))).otherwise(F.col("bytes")))
-    part = F.transform(F.array_sort(F.collect_list(F.struct("pos", "bytes"))), lambda x: F.hex(x["bytes"]))
-    return out.groupBy("doc_id", "row").agg(F.unhex(F.array_join(part, "")).alias("bytes")).drop("row")
+    tokens = rows.sparkSession.createDataFrame([([b.hex() for b in token_bytes(path)],)], "_table array<string>")
+    one = lambda i: F.coalesce(F.get(F.col("_table"), i), F.raise_error(F.lit("unknown token id")).cast("string"))
+    joined = rows.join(F.broadcast(tokens), F.lit(True))
+    return joined.withColumn("bytes", F.unhex(F.array_join(F.transform(F.coalesce(ids, F.array().cast("array<int>")), one), ""))).drop("_table")
+
+
+def encode_and_decode(documents: DataFrame, path: str, pattern: str, buckets: int | None = None) -> DataFrame:
+    """Per document: n_tokens, the hash of its ids and the hash of the bytes that they decode to. Rows are treated as by encoded()."""
+    rows = decoded(encoded(documents, path, pattern, buckets), path)
+    shown = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(shown.cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

@@ -78,11 +78,22 @@ def test_pieces_of_random_texts():
         assert [x for p in pieces for x in encode(p)] == encode(t)
 
 
-def test_decode_by_join(spark):
+def test_decoding_joins_the_table(spark, odd):
     rows = spark.createDataFrame([(1, reference().encode_ordinary("Grüße, 日本!")), (1, []), (2, None)], "doc_id int, ids array<int>")
-    assert sorted(bytes(r.bytes).decode() for r in bpe.decode(rows, RANKS).collect()) == ["", "", "Grüße, 日本!"]
+    assert sorted(bytes(r.bytes).decode() for r in bpe.decoded(rows, RANKS).collect()) == ["", "", "Grüße, 日本!"]
     with pytest.raises(Exception, match="unknown token id"):
-        bpe.decode(spark.createDataFrame([(1, [999_999])], "doc_id int, ids array<int>"), RANKS).collect()
+        bpe.decoded(spark.createDataFrame([(1, [999_999])], "doc_id int, ids array<int>"), RANKS).collect()
+    back = bpe.decoded(bpe.encoded(odd, RANKS, PATTERN, buckets=2), RANKS)
+    assert {r.doc_id: bytes(r.bytes).decode() for r in back.collect()} == {i: t or "" for i, t in enumerate(ODD)}
+
+
+def test_each_distinct_word_reaches_one_task(spark, odd, monkeypatch):
+    monkeypatch.setattr(bpe, "TEXT_BYTES", 100)
+    blocks_ = bpe.exploded(odd.repartition(3), PATTERN).collect()
+    assert len(blocks_) > 2 and len({r.block for r in blocks_}) == len(blocks_)
+    monkeypatch.setattr(bpe, "REMEMBERED", 2)
+    got = {r.doc_id: list(r.ids) for r in bpe.encoded(odd, RANKS, PATTERN, buckets=5).collect()}
+    assert got == {i: reference().encode_ordinary(t or "") for i, t in enumerate(ODD)}
 
 
 @pytest.mark.parametrize("block_ids", [7, 1000])
