@@ -65,8 +65,12 @@ def redactions(text: str) -> list[tuple[int, int, str]]:
 
 
 def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    after = edit_counts.count_and_edit(table(spark, sf_dir, "documents"), redactions, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    return after.select("doc_id", "tokens_before", "n_tokens", F.col("n_edits").cast("long").alias("n_edits"), "n_encoded_again", F.size("leaf_tokens").cast("long").alias("n_leaves"))
+    """Trees are counted and kept; the edits read them back."""
+    ranks = public_tokenizers.path(RANKS)
+    first = edit_counts.counted(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    kept = written(first, shared_dir(spark, "edit-trees"), compression="zstd")
+    after = edit_counts.apply_edits(kept, redactions, ranks, public_tokenizers.PATTERN)
+    return after.select("doc_id", "tokens_before", "n_tokens", F.col("n_edits").cast("long").alias("n_edits"), "n_encoded_again", "n_pieces", F.col("n_leaves").cast("long").alias("n_leaves"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

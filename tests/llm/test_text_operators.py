@@ -234,35 +234,61 @@ def test_edits_of_random_texts(monkeypatch):
         text = "".join(rng.choices(" \n'slx1.éab", k=rng.randint(0, 60)))
         cuts = [0, *ends(text, 0)]
         lengths = [b - a for a, b in zip(cuts, cuts[1:], strict=False)]
-        leaves = edit_counts._leaves(lengths, [len(encode(text[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)])
-        edits = random_edits(rng, text)
-        new, after, tree, _ = edit_counts.edited(text, leaves, edits, ends, lambda p: len(encode(p)))
-        wanted, at = [], 0
-        for a, b, t in edits:
-            wanted += [text[at:a], t]
-            at = b
-        assert new == "".join([*wanted, text[at:]])
-        assert tree.total == sum(t for _, t in after) == len(encode(new))
-        assert sum(c for c, _ in after) == len(new)
-        assert all(tree.sums[k] == tree.sums[2 * k] + tree.sums[2 * k + 1] for k in range(1, tree.size))
+        tree = edit_counts.Tree.over(edit_counts._leaves(lengths, [len(encode(text[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]))
+        for _ in range(2):  # an edit of what an edit left
+            edits = random_edits(rng, text)
+            new, tree, _ = edit_counts.edited(text, tree, edits, ends, lambda p: len(encode(p)))
+            wanted, at = [], 0
+            for a, b, t in edits:
+                wanted += [text[at:a], t]
+                at = b
+            assert new == "".join([*wanted, text[at:]])
+            text = new
+            assert tree.total == sum(tree.leaf(i)[1] for i in range(tree.n)) == len(encode(text))
+            assert tree.chars[1] == len(text)
+            assert all(x[k] == x[2 * k] + x[2 * k + 1] for x in (tree.chars, tree.tokens) for k in range(1, tree.size))
+            starts = np.cumsum([0, *(tree.leaf(i)[0] for i in range(tree.n))]).tolist()
+            for place in range(len(text)):
+                assert tree.at(place) == max((i, s) for i, s in enumerate(starts[:-1]) if s <= place)
+
+
+def test_an_edit_touches_few_sums(monkeypatch):
+    """Of a long text: what is encoded again and the sums that change stay few, whatever its length."""
+    encode, ends = reference().encode_ordinary, edit_counts.ends(PATTERN)
+    text = "some words of a long text, again " * 20_000
+    tree = edit_counts.Trees(pa.table({"text": [text]}), encode, PATTERN)
+    kept = edit_counts.Tree(int(tree.leaves[0]), tree.chars[0].tolist(), tree.tokens[0].tolist())
+    before = list(kept.tokens)
+    new, after, again = edit_counts.edited(text, kept, [(300_000, 300_004, "other things")], ends, lambda p: len(encode(p)))
+    assert after is kept and again <= 3 * edit_counts.LEAF and after.total == len(encode(new))
+    assert sum(x != y for x, y in zip(before, after.tokens, strict=True)) <= 2 * (after.size.bit_length() + 1)
 
 
 def test_edit_column(spark, odd, none):
     encode = reference().encode_ordinary
     counted = edit_counts.counted(odd, RANKS, PATTERN)
     assert {r.doc_id: r.n_tokens for r in counted.collect()} == {i: len(encode(t or "")) for i, t in enumerate(ODD)}
+    path = shared_dir(spark, "trees")
+    counted.write.parquet(path)
     edits = F.when(F.length("text") > 4, F.expr("array(named_struct('start', 1, 'end', 3, 'text', 'new words'), named_struct('start', length(text), 'end', length(text), 'text', null))"))
-    got = {r.doc_id: r for r in edit_counts.apply_edits(counted.withColumn("edits", edits), "edits", RANKS, PATTERN).collect()}
+    after = edit_counts.apply_edits(spark.read.parquet(path).withColumn("edits", edits), "edits", RANKS, PATTERN)
+    after.write.parquet(f"{path}-2")
+    got = {r.doc_id: r for r in spark.read.parquet(f"{path}-2").collect()}
     for i, t in enumerate(ODD):
         new = t[:1] + "new words" + t[3:] if t and len(t) > 4 else t or ""
         assert (got[i].text, got[i].n_tokens) == (new, len(encode(new)))
     assert got[14].n_encoded_again < 300 < got[14].tokens_before
-    once = edit_counts.count_and_edit(odd, lambda t: [(1, 3, "new words"), (len(t), len(t), "")] if len(t) > 4 else [], RANKS, PATTERN)
-    assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, got.values()), key=str)
+    by_function = edit_counts.apply_edits(spark.read.parquet(path), lambda t: [(1, 3, "new words"), (len(t), len(t), "")] if len(t) > 4 else [], RANKS, PATTERN)
+    assert sorted(map(tuple, by_function.collect()), key=str) == sorted(map(tuple, got.values()), key=str)
+    # what was kept is edited again
+    third = edit_counts.apply_edits(spark.read.parquet(f"{path}-2"), lambda t: [(0, 0, "A ")], RANKS, PATTERN)
+    assert {r.doc_id: (r.text, r.n_tokens) for r in third.collect()} == {i: (f"A {r.text}", len(encode(f"A {r.text}"))) for i, r in got.items()}
     assert edit_counts.counted(none, RANKS, PATTERN).collect() == []
-    with pytest.raises(Exception, match="overlap or lie outside"):
-        bad = counted.withColumn("edits", F.expr("array(named_struct('start', 0, 'end', 9999999, 'text', ''))"))
-        edit_counts.apply_edits(bad, "edits", RANKS, PATTERN).collect()
+    for bad in ("named_struct('start', 0, 'end', 9999999, 'text', '')", "named_struct('start', 1, 'end', 0, 'text', '')"):
+        with pytest.raises(Exception, match="overlap or lie outside"):
+            edit_counts.apply_edits(counted.withColumn("edits", F.expr(f"array({bad})")), "edits", RANKS, PATTERN).collect()
+    with pytest.raises(Exception, match="of another text"):
+        edit_counts.apply_edits(counted.withColumn("text", F.concat("text", F.lit("x"))), lambda t: [], RANKS, PATTERN).collect()
 
 
 def fingerprint(text):
