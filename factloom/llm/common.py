@@ -89,6 +89,26 @@ def column(rows: pa.Table, name: str) -> pa.Array:
     return whole.chunk(0) if whole.num_chunks == 1 else pa.concat_arrays(whole.chunks)
 
 
+#: Bits of a filter over hashes: its size is fixed, whatever it was made from.
+FILTER_BITS = 1 << 24
+
+
+def bit_filter(hashes: DataFrame, size: int = FILTER_BITS) -> bytes:
+    """So many bits, those of the column hash (a long) set: gathered as 64-bit words, of which there is a fixed number at most."""
+    place = F.col("hash").bitwiseAND(F.lit(size - 1))
+    words = hashes.select((place / 64).cast("int").alias("w"), (place % 64).cast("int").alias("at")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, at))").alias("bits")).toArrow()
+    out = np.zeros(size // 64, dtype="<i8")
+    out[np.asarray(words.column("w"))] = np.asarray(words.column("bits"))
+    return out.tobytes()
+
+
+def held_bits(kept, hashes):
+    """Whether a broadcast filter has these hashes (one, or an array of unsigned longs)."""
+    bits = np.frombuffer(kept.value, "u1")
+    places = np.asarray(hashes, dtype="<u8") & np.uint64(8 * len(bits) - 1)
+    return (bits[(places >> np.uint64(3)).astype(np.int64)] >> (places & np.uint64(7)).astype("u1")) & 1 == 1
+
+
 def ragged_take(offsets: np.ndarray, values: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lists number `picks` of a ragged array, end to end, and how long each is."""
     lengths = (offsets[1:] - offsets[:-1])[picks]

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import blocks, bounds, column, ragged_take, shared_dir, written
+from factloom.llm.common import bit_filter, blocks, bounds, column, held_bits, ragged_take, shared_dir, written
 
 #: Template tokens in a window, and how many of them must be words.
 WINDOW = 5
@@ -35,8 +35,8 @@ LEAST = 4
 LEAST_TOKENS = 4
 #: Words of a name at most; longer runs of capitalised words are read word by word.
 NAME_WORDS = 4
-#: The filters' bits, of windows and of words: their sizes are fixed, whatever the benchmark's.
-FILTER_BITS, WORD_BITS = 1 << 24, 1 << 22
+#: Bits of the filter of words: its size is fixed, whatever the benchmark's.
+WORD_BITS = 1 << 22
 #: Windows of the benchmark up to which they are broadcast to the join; beyond, both sides are shuffled.
 BROADCAST_WINDOWS = 200_000
 
@@ -78,10 +78,10 @@ def _capitalised(token: str) -> bool:
 class Templates:
     """The template tokens of a block of texts end to end: hash, kind, first and last word; `ends` bounds texts.
 
-    known: the filter of the benchmark's words; without one every word counts as known.
+    known: a broadcast filter of the benchmark's words; without one every word counts as known.
     """
 
-    def __init__(self, text: pa.Array, known: np.ndarray | None = None):
+    def __init__(self, text: pa.Array, known=None):
         parts = pc.ascii_split_whitespace(text)
         offsets = np.asarray(parts.offsets).astype(np.int64)
         inner = parts.values.slice(offsets[0], offsets[-1] - offsets[0]) if len(parts) else pa.array([], pa.large_string())
@@ -112,7 +112,7 @@ class Templates:
             return
         is_num = np.array([bool(_number(t)) or t in _numbers for t in self.lower], dtype=bool)
         is_unit = np.array([t in _units for t in self.lower], dtype=bool)
-        heard = _has(known, self.plain % np.uint64(WORD_BITS)) if known is not None else np.ones(len(self.plain), bool)
+        heard = held_bits(known, self.plain) if known is not None else np.ones(len(self.plain), bool)
         begins = np.zeros(n + 1, dtype=bool)
         begins[words[:-1]] = True
         behind_mark = begins.copy()
@@ -179,10 +179,6 @@ class Templates:
         return "= " + " ".join(self.lower[i] for i in self.ids[at : at + width].tolist())
 
 
-def _has(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return (bits[(places >> np.uint64(3)).astype(np.int64)] >> (places & np.uint64(7)).astype("u1")) & 1 == 1
-
-
 _WINDOW = "key long, pos int, width int, hash long, template string, slots array<string>"
 
 
@@ -195,13 +191,11 @@ def template_windows(rows: DataFrame, key: str, known, width: int = WINDOW, lite
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = np.frombuffer(known.value, "u1")
-        bits = np.frombuffer(only.value, "u1") if only is not None else None
         for block in blocks(batches):
-            found = Templates(column(block, "text"), vocabulary)
+            found = Templates(column(block, "text"), known)
             keys = column(block, "key")
             sets = [(width, found.windows(width, literals), found.ends, False)]
-            if bits is None:
+            if only is None:
                 sizes, have = np.diff(found.words), np.bincount(sets[0][1][1], minlength=block.num_rows)
                 for i in np.nonzero((have == 0) & (sizes >= LEAST_TOKENS))[0].tolist():
                     w = int(sizes[i])
@@ -209,8 +203,8 @@ def template_windows(rows: DataFrame, key: str, known, width: int = WINDOW, lite
                     sets.append((w, (at[whose == i], whose[whose == i], hashes[whose == i]), found.words, True))
             sets += [(w, found.verbatim(w), found.words, True) for w in widths]
             for w, (at, whose, hashes), ends, plain in sets:
-                if bits is not None:
-                    passed = _has(bits, hashes % np.uint64(FILTER_BITS))
+                if only is not None:
+                    passed = held_bits(only, hashes)
                     at, whose, hashes = at[passed], whose[passed], hashes[passed]
                 taken = keys.take(pa.array(whose))
                 for a in range(0, len(at), 50_000):
@@ -233,15 +227,6 @@ def benchmark_words(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "hash long")
 
 
-def _filter(hashes: DataFrame, size: int) -> bytes:
-    """So many bits, those of the hashes set: gathered as 64-bit words, of which there is a fixed number at most."""
-    place = F.col("hash").bitwiseAND(F.lit(size - 1))
-    words = hashes.select((place / 64).cast("int").alias("w"), (place % 64).cast("int").alias("at")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, at))").alias("bits")).toArrow()
-    out = np.zeros(size // 64, dtype="<i8")
-    out[np.asarray(words.column("w"))] = np.asarray(words.column("bits"))
-    return out.tobytes()
-
-
 def contaminated(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, literals: int = LITERALS, share: float = SHARE) -> DataFrame:
     """One row for each document and the benchmark item that it holds: doc_id, item_id, n_windows (of the item), n_matched, n_slots, same_slots (false: other values in the slots).
 
@@ -257,11 +242,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW
     """
     spark = documents.sparkSession
     told = benchmark.where("item_id is not null")
-    known = spark.sparkContext.broadcast(_filter(benchmark_words(told), WORD_BITS))
+    known = spark.sparkContext.broadcast(bit_filter(benchmark_words(told), WORD_BITS))
     items = written(template_windows(told, "item_id", known, width, literals), shared_dir(spark, "benchmark-windows"))
     sizes = items.groupBy(F.col("key").alias("item_id")).agg(F.countDistinct("pos").alias("n_windows"))
     widths = tuple(sorted(r.width for r in items.where(F.startswith("template", F.lit("= "))).select("width").distinct().collect()))  # lengths of items without windows
-    kept = spark.sparkContext.broadcast(_filter(items, FILTER_BITS))
+    kept = spark.sparkContext.broadcast(bit_filter(items))
     own = template_windows(documents, "doc_id", known, width, literals, kept, widths).select(F.col("key").alias("doc_id"), F.col("pos").alias("at"), "hash", "template", F.col("slots").alias("doc_slots"))
     asked = items.select(F.col("key").alias("item_id"), "pos", "hash", "template", F.col("slots").alias("item_slots"))
     if items.count() <= BROADCAST_WINDOWS:

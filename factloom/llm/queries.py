@@ -30,7 +30,10 @@ def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = secrets.summary(secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"], shared_dir(spark, "secret-ledger")))
+    """The first scan fills the ledger; the second one, of all documents again, finds every pair there and only joins."""
+    documents, ledger = table(spark, sf_dir, "documents"), shared_dir(spark, "secret-ledger")
+    secrets.scan(documents, ["doc_id"], ledger)
+    scanned = secrets.summary(secrets.scan(documents, ["doc_id"], ledger))
     return scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("listed").alias("spans"))
 
 

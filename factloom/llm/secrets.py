@@ -1,85 +1,113 @@
 """Secret scans with a ledger of scanned contents.
 
 Every version of every path is addressed by the SHA-256 of its content (its
-blob). The ledger is a table of (blob, rule version, spans); a scan reads only
-pairs that the ledger lacks, adds them, and joins findings back to all paths.
+blob). The ledger is a table of (blob, rule version, spans), and the rule version is a
+hash of the rules themselves; a scan reads only pairs that the ledger lacks, adds
+them, and joins findings back to all paths.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import astuple, dataclass
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import written
+from factloom.llm.common import bit_filter, held_bits, shared_dir, written
 
-#: Kinds in the order in which spans at one start are listed: first the base kinds, then those that this scan adds (fixed values).
+#: Base patterns and known forms (fixed values).
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+HEX = r"[0-9a-f]{24,}"
 PRIVATE = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----"
 TOKEN = r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"
-KINDS = ("assign", "access", "hex", "private", "token")
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A kind, the pattern of its leftmost matches apart from each other, and the least length of a group of these (0: the whole match). A text without the cue holds no match."""
+
+    kind: str
+    pattern: str
+    least: int = 0
+    group: int = 0
+    cue: str | None = None
+    any_case: bool = False
+
+
+#: In the order in which spans at one start are listed: the base kinds, then those that this scan adds.
+RULES = (
+    Rule("assign", ASSIGN, 6, 2, "passw|secret|token|api_?key", True),
+    Rule("access", ACCESS, 20, 0, "AKIA"),
+    Rule("hex", HEX),
+    Rule("private", PRIVATE, 0, 0, "PRIVATE KEY"),
+    Rule("token", TOKEN, 0, 0, "_|xox|AIza|eyJ"),
+)
+KINDS = tuple(r.kind for r in RULES)
 BASE = KINDS[:3]
-RULES_VERSION = "1"
 
-_assign, _access, _hex = re.compile(ASSIGN, re.IGNORECASE | re.ASCII), re.compile(ACCESS), re.compile(r"[0-9a-f]{24,}")
-_private, _token = re.compile(PRIVATE), re.compile(TOKEN)
-_cue = re.compile("passw|secret|token|api_?key", re.IGNORECASE | re.ASCII).search
+
+def version(rules: tuple[Rule, ...] = RULES) -> str:
+    """Rules that differ in anything have another version."""
+    return hashlib.sha256(repr(tuple(map(astuple, rules))).encode()).hexdigest()[:16]
+
+
+@functools.lru_cache(maxsize=16)
+def _compiled(rules: tuple[Rule, ...]) -> list[tuple]:
+    flags = lambda r: re.ASCII | (re.IGNORECASE if r.any_case else 0)
+    return [(k, re.compile(r.pattern, flags(r)).finditer, r.group, r.least, re.compile(r.cue, flags(r)).search if r.cue else None) for k, r in enumerate(rules)]
+
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 _FOUND = f"blob string, rules string, spans {SPAN}"
 _span_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
 
-def spans(text: str) -> list[tuple[int, int, int]]:
+def spans(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of each finding by start and kind; code points, end exclusive.
 
     Of each kind the leftmost matches that don't overlap are taken first; those that are too short are then dropped.
     """
     found = []
-    if _cue(text):
-        found += [(m.start(), 0, m.end()) for m in _assign.finditer(text) if len(m[2]) >= 6]
-    if "AKIA" in text:
-        found += [(m.start(), 1, m.end()) for m in _access.finditer(text) if m.end() - m.start() >= 20]
-    found += [(m.start(), 2, m.end()) for m in _hex.finditer(text)]
-    if "PRIVATE KEY" in text:
-        found += [(m.start(), 3, m.end()) for m in _private.finditer(text)]
-    if "_" in text or "xox" in text or "AIza" in text or "eyJ" in text:
-        found += [(m.start(), 4, m.end()) for m in _token.finditer(text)]
+    for k, matches, group, least, cue in _compiled(rules):
+        if cue is None or cue(text):
+            found += [(m.start(), k, m.end()) for m in matches(text) if m.end(group) - m.start(group) >= least]
     return sorted(found)
 
 
-def addressed(versions: DataFrame, keys: list[str], content: str = "text") -> DataFrame:
-    """The key columns and blob (hex SHA-256), with each content that a task meets for the first time, compressed; null contents count as empty."""
-    inner = versions.select(*[F.col(k) for k in keys], F.coalesce(F.col(content), F.lit("")).alias("_content"))
-    types = [f for f in inner.schema if f.name != "_content"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in types) + ", blob string, content binary"
+def contents(versions: DataFrame, content: str = "text", only=None) -> DataFrame:
+    """blob (hex SHA-256) and content, compressed, of each content that a task meets for the first time; null contents count as empty. only: a broadcast filter that a blob has to pass."""
+    inner = versions.select(F.coalesce(F.col(content), F.lit("")).alias("_content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
         pack = zstandard.ZstdCompressor(3).compress
         for batch in batches:
-            blobs, contents = [], []
+            blobs, packed = [], []
             for text in batch.column("_content"):
                 raw = text.as_buffer()
                 digest = hashlib.sha256(raw)
+                key = digest.digest()
+                if key in met or (only is not None and not held_bits(only, int.from_bytes(key[:8], "big"))):
+                    continue
                 blobs.append(digest.hexdigest())
-                contents.append(None if digest.digest() in met else pack(raw))
+                packed.append(pack(raw))
                 if len(met) < 1 << 20:  # beyond that a content may be sent again, which changes no result
-                    met.add(digest.digest())
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in types), pa.array(blobs, pa.string()), pa.array(contents, pa.binary())], names=[*(f.name for f in types), "blob", "content"])
+                    met.add(key)
+            yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.string()), pa.array(packed, pa.binary())], names=["blob", "content"])
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(run, "blob string, content binary")
 
 
-def findings(blobs: DataFrame, rules: str = RULES_VERSION) -> DataFrame:
+def findings(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """blob, content (compressed), all rows of a blob in one partition -> blob, rules, spans; each blob is scanned once."""
+    name = version(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[bytes] = set()
@@ -90,30 +118,32 @@ def findings(blobs: DataFrame, rules: str = RULES_VERSION) -> DataFrame:
                 key = bytes.fromhex(blob)
                 if key not in done:
                     done.add(key)
-                    out.append((blob, [{"start": s, "kind": k, "end": e} for s, k, e in spans(unpack(content.as_buffer()).decode())]))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.string()), pa.array([rules] * len(out), pa.string()), pa.array([s for _, s in out], _span_type)], names=["blob", "rules", "spans"])
+                    out.append((blob, [{"start": s, "kind": k, "end": e} for s, k, e in spans(unpack(content.as_buffer()).decode(), rules)]))
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.string()), pa.array([name] * len(out), pa.string()), pa.array([s for _, s in out], _span_type)], names=["blob", "rules", "spans"])
 
     return blobs.select("blob", "content").mapInArrow(run, _FOUND)
 
 
-def scan(versions: DataFrame, keys: list[str], ledger: str, content: str = "text", rules: str = RULES_VERSION) -> DataFrame:
+def scan(versions: DataFrame, keys: list[str], ledger: str, content: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """keys, blob and spans of every version; new findings are added to the ledger, a table at that path.
 
     Every row is a version and is returned, repeated rows and null keys too; null or
     empty contents have no findings; a content of any length is scanned whole; other
-    columns are ignored. Blobs that the ledger has under this rule version are not
-    scanned again. An empty table gives an empty result.
+    columns are ignored. Blobs that the ledger has under the version of these rules are
+    neither sent nor scanned again; of runs at once that add one blob, one counts. An empty
+    table gives an empty result.
     """
     spark = versions.sparkSession
-    all_versions = addressed(versions, keys, content).repartition("blob")
-    unseen = all_versions.where("content is not null")
+    paths, name, unseen = addressed_keys(versions, keys, content), version(rules), contents(versions, content)
     if exists(spark, ledger):
-        seen = spark.read.schema(_FOUND).parquet(ledger).where(F.col("rules") == rules).select("blob")
-        unseen = unseen.join(seen, "blob", "left_anti")
-    # only blobs with findings and the fact that a blob was scanned are kept, never contents
-    findings(unseen, rules).write.mode("append").parquet(ledger)
-    found = spark.read.schema(_FOUND).parquet(ledger).where((F.col("rules") == rules) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
-    paths = addressed_keys(versions, keys, content)
+        seen = spark.read.schema(_FOUND).parquet(ledger).where(F.col("rules") == name).select("blob")
+        new = written(paths.select("blob").distinct().join(seen, "blob", "left_anti"), shared_dir(spark, "unseen-blobs"))
+        bits = spark.sparkContext.broadcast(bit_filter(new.select(F.conv(F.substring("blob", 1, 16), 16, -10).cast("long").alias("hash"))))
+        unseen = None if new.isEmpty() else contents(versions, content, bits).join(new, "blob", "left_semi")
+    if unseen is not None:
+        # only blobs with findings and the fact that a blob was scanned are kept, never contents
+        findings(unseen.repartition("blob"), rules).write.mode("append").parquet(ledger)
+    found = spark.read.schema(_FOUND).parquet(ledger).where((F.col("rules") == name) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
     return paths.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {SPAN})")))
 
 

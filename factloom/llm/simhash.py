@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import blocks, bounds, column, ragged_take, shared_dir, texts, written
+from factloom.llm.common import bit_filter, blocks, bounds, column, held_bits, ragged_take, shared_dir, texts, written
 
 BITS = 64
 RADIUS = 2
@@ -254,8 +254,6 @@ def _placed(own: DataFrame, classes: DataFrame, found: DataFrame, by: str = "fp"
 
 #: For near copies: words of a shingle, the least share of common shingles, the fingerprints of a text, and the radius within which two of one number make a candidate.
 COPY_WORDS, COPY_SHARE, COPY_PRINTS, COPY_RADIUS = 5, 0.8, 8, 3
-#: Bits of the filter of texts that a candidate names: its size is fixed.
-FILTER_BITS = 1 << 24
 #: Bytes of text in a block of a family; a task compares the texts of two blocks.
 TILE_BYTES = 2 << 20
 #: Odd multipliers that make several hashes of one: the first multiples of 2^64 over the golden ratio, made odd.
@@ -428,24 +426,20 @@ def _copy_keys(documents: DataFrame, prints: int) -> DataFrame:
 def _node_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and text of the texts whose node the wanted ones name (and few others): read again, behind a filter of fixed size, so that no other text is shuffled."""
     spark = documents.sparkSession
-    place = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    bits = np.zeros(FILTER_BITS // 64, dtype="<i8")
-    held = wanted.select((place / 64).cast("int").alias("w"), (place % 64).cast("int").alias("at")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, at))").alias("bits")).toArrow()  # at most a row for each 64 bits
-    bits[np.asarray(held.column("w"))] = np.asarray(held.column("bits"))
-    kept = spark.sparkContext.broadcast(bits.tobytes())
+    hashed = F.xxhash64("node").alias("hash")
+    kept = spark.sparkContext.broadcast(bit_filter(wanted.select(hashed)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.frombuffer(kept.value, "u1")
         for batch in batches:
-            at = np.asarray(batch.column("place"))
-            yield batch.filter(pa.array((have[at >> 3] >> (at & 7).astype("u1")) & 1 == 1)).select(["node", "text"])
+            if batch.num_rows:
+                yield batch.filter(pa.array(held_bits(kept, np.asarray(batch.column("hash")).view("<u8")))).select(["node", "text"])
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in blocks(batches, 1 << 20):
             text = column(rows, "text")
             yield pa.RecordBatch.from_arrays([text_hashes(text), text.cast(pa.string())], names=["node", "text"])
 
-    rows = texts(documents).select("text").mapInArrow(named, "node long, text string").withColumn("place", place)
+    rows = texts(documents).select("text").mapInArrow(named, "node long, text string").withColumn("hash", hashed)
     return rows.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 

@@ -6,6 +6,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -172,7 +173,7 @@ def test_added_kinds():
     assert 4 in {k for _, k, _ in secrets.spans("ghp_" + "Z" * 36)}
 
 
-def test_ledger_scans_a_content_once(spark, odd, none, monkeypatch):
+def test_ledger_scans_a_content_once(spark, odd, none):
     ledger = shared_dir(spark, "ledger")
     got = {r.doc_id: r for r in secrets.summary(secrets.scan(odd, ["doc_id"], ledger)).collect()}
     for i, text in enumerate(ODD):
@@ -182,10 +183,26 @@ def test_ledger_scans_a_content_once(spark, odd, none, monkeypatch):
     assert seen.count() == seen.select("blob").distinct().count() == len({t or "" for t in ODD})
     assert secrets.scan(none, ["doc_id"], shared_dir(spark, "ledger")).collect() == []
     again = secrets.scan(odd.unionByName(documents(spark, ["new token=abcdefg"], [99])), ["doc_id"], ledger)
-    assert again.count() == len(ODD) + 1
+    assert again.count() == len(ODD) + 1 and again.where("doc_id = 99").first().spans
     assert spark.read.parquet(ledger).count() == len({t or "" for t in ODD}) + 1
-    secrets.scan(odd, ["doc_id"], ledger, rules="2").count()
-    assert spark.read.parquet(ledger).where("rules = '2'").count() == len({t or "" for t in ODD})
+    # another rule is another version: all contents are scanned by it, the old findings stay
+    rules = (*secrets.RULES[:2], secrets.Rule("word", "plain words"))
+    assert secrets.version(rules) != secrets.version() == secrets.version(tuple(secrets.RULES))
+    other = {r.doc_id: r.spans for r in secrets.scan(odd, ["doc_id"], ledger, rules=rules).collect()}
+    assert [(s.start, s.kind, s.end) for s in other[4]] == [(0, 2, 11)] and not got[4].spans
+    ledger_rows = spark.read.parquet(ledger)
+    assert ledger_rows.where(F.col("rules") == secrets.version(rules)).count() == len({t or "" for t in ODD}) == ledger_rows.count() - len({t or "" for t in ODD}) - 1
+
+
+def test_seen_contents_are_not_read_again(spark, odd, monkeypatch):
+    ledger = shared_dir(spark, "ledger")
+    first = sorted(map(tuple, secrets.scan(odd, ["doc_id"], ledger).collect()), key=str)
+
+    def refuse(*_):
+        raise AssertionError("scanned again")
+
+    monkeypatch.setattr(secrets, "findings", refuse)
+    assert sorted(map(tuple, secrets.scan(odd, ["doc_id"], ledger).collect()), key=str) == first
 
 
 def test_redaction_column(spark):
@@ -487,7 +504,7 @@ def vocabulary(items):
     for w in decontaminate.Templates(pa.array(items, pa.large_string())).common:
         place = decontaminate._hash(w) % decontaminate.WORD_BITS
         known[place >> 3] |= 1 << (place & 7)
-    return known
+    return SimpleNamespace(value=known.tobytes())
 
 
 def test_template_tokens():
