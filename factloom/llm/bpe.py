@@ -32,7 +32,7 @@ from factloom.llm.common import blocks, bounds, column, ragged_take, texts
 from factloom.llm.pretokens import encoding, pieces_of, token_bytes
 
 #: Bytes of text of a block: the larger, the fewer times a frequent word is sent.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 6 << 20
 _BLOCK = "block long, doc_ids binary, known binary, counts binary, sequence binary, words binary"
 _MESSAGE = "bucket int, block long, words binary"
 _ANSWER = "block long, bucket int, ids binary"

@@ -426,21 +426,16 @@ def _copy_keys(documents: DataFrame, prints: int) -> DataFrame:
 def _node_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and text of the texts whose node the wanted ones name (and few others): read again, behind a filter of fixed size, so that no other text is shuffled."""
     spark = documents.sparkSession
-    hashed = F.xxhash64("node").alias("hash")
-    kept = spark.sparkContext.broadcast(bit_filter(wanted.select(hashed)))
+    kept = spark.sparkContext.broadcast(bit_filter(wanted.select(F.col("node").alias("hash"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(held_bits(kept, np.asarray(batch.column("hash")).view("<u8")))).select(["node", "text"])
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in blocks(batches, 1 << 20):
             text = column(rows, "text")
-            yield pa.RecordBatch.from_arrays([text_hashes(text), text.cast(pa.string())], names=["node", "text"])
+            nodes = text_hashes(text)
+            some = pa.array(held_bits(kept, np.asarray(nodes).view("<u8")))
+            yield pa.RecordBatch.from_arrays([nodes.filter(some), text.filter(some).cast(pa.string())], names=["node", "text"])
 
-    rows = texts(documents).select("text").mapInArrow(named, "node long, text string").withColumn("hash", hashed)
-    return rows.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
+    return texts(documents).select("text").mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
 def _compared(documents: DataFrame, family: DataFrame, dealt: DataFrame, words: int, share: float, prints: int, radius: int) -> DataFrame:
