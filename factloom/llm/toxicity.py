@@ -1,13 +1,19 @@
 """Toxicity by a subsequence string kernel with Nyström landmarks and a linear support vector machine.
 
-The unit is a word, with marks at its ends. Two words are as similar as they share
-subsequences of three characters, each weighted by decay ** (its span - 3), gaps
+The kernel compares words, with marks at their ends. Two words are as similar as they
+share subsequences of three characters, each weighted by decay ** (its span - 3), gaps
 included up to a span of six; so inserted, dropped and spaced-out characters leave
-most of a word's subsequences in place. Labels say which documents are toxic, not
-which words: words count as insults if they hold a gram that toxic documents of the
-sample have in many different surroundings and others never.
+most of a word's subsequences in place.
 
-Training takes a bounded, documented sample; scoring takes every word of every text.
+Labels say which texts are toxic, not which words, so the machine is fitted to labelled
+texts as bags of words: a text counts by the word of it that the machine likes most.
+First candidates are words with a gram that toxic texts have in far more surroundings
+than others do; the machine is fitted, picks each labelled text's word anew, and is
+fitted to these picks, positive from toxic texts and negative from the others, for a few
+rounds. The border is then laid where it divides labelled texts best.
+
+Training takes a bounded, documented sample; counts are made by Spark, and what the
+driver gets of them is bounded by parameters. Scoring takes every word of every text.
 As the kernel's features are explicit, the machine's sum over landmarks folds into
 one weight for each subsequence, and a word is scored by looking those up.
 """
@@ -26,16 +32,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import blocks, bounds, column, texts
+from factloom.llm.common import blocks, bounds, column, shared_dir, texts, written
 
 #: Labelled documents of each class that training reads at most.
 SAMPLE = 2500
-#: Words of each class that the machine is fitted to at most, and landmarks of each class.
+#: Words of each class that one fit takes at most, those that most texts were picked by first, and landmarks of each class.
 WORDS, LANDMARKS = 4_000, 112
+#: Fits to the words that labelled texts were picked by.
+ROUNDS = 3
+#: How many times more often toxic texts have to have a gram for its words to be first candidates. Labels may be wrong in one text of about as many.
+RATIO = 20
 #: The kernel: longest span and decay for each character of a gap.
 SPAN, DECAY = 6, 0.5
-#: Characters with a number of their own; others share one.
-ALPHABET = 40
+#: Characters with a number of their own, the commonest of the words fitted to; and numbers that others share, by their code points.
+ALPHABET, SHARED = 40, 7
 #: Longest piece of a word that is scored at once; longer words are scored by overlapping pieces.
 PIECE = 32
 #: A document is predicted toxic from this score.
@@ -55,56 +65,67 @@ def pieces(word: str) -> list[str]:
     return [word] if len(word) <= PIECE else [word[k : k + PIECE] for k in range(0, len(word) - PIECE // 2, PIECE // 2)]
 
 
+@dataclass
+class Table:
+    """A row for each subsequence that occurs in some words, by its number; row 0 is for all others."""
+
+    index: np.ndarray
+    rows: np.ndarray
+
+
 class Subsequences:
     """The kernel's explicit features: numbers of three-character subsequences."""
 
     def __init__(self, letters: str):
         self.letters = letters
-        self.number = np.zeros(1 << 16, dtype=np.int32)  # 0: any other
+        self.number = (len(letters) + np.arange(1 << 16) % SHARED).astype(np.int32)
         for k, c in enumerate(letters):
-            self.number[ord(c)] = k + 1
-        self.base = len(letters) + 2  # the last number stands for "no character"
+            self.number[ord(c)] = k
+        self.base = len(letters) + SHARED + 1  # the last number stands for "no character"
 
     def coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         out = np.full((len(words), int(lengths.max(initial=0)) if len(words) else 0), self.base - 1, dtype=np.int32)
         flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
-        out[np.arange(out.shape[1]) < lengths[:, None]] = self.number[np.minimum(flat, (1 << 16) - 1)]
+        out[np.arange(out.shape[1]) < lengths[:, None]] = self.number[flat & 0xFFFF]
         return out, lengths
 
     def norms(self, lengths: np.ndarray) -> np.ndarray:
         total = sum(DECAY ** (2 * (b - 2)) * np.maximum(0, lengths - b) for _, b in _OFFSETS)
         return np.sqrt(np.maximum(total, 1e-12))
 
-    def sums(self, words: list[str], table: np.ndarray) -> np.ndarray:
+    def _numbers(self, codes: np.ndarray, a: int, b: int) -> np.ndarray:
+        wide = codes.shape[1] - b
+        return (codes[:, :wide] * self.base + codes[:, a : wide + a]) * self.base + codes[:, b:]
+
+    def sums(self, words: list[str], table: Table) -> np.ndarray:
         """For each word the weighted sum of table rows over its subsequences, over the word's norm."""
-        out = np.zeros((len(words), *table.shape[1:]), dtype=np.float32)
+        out = np.zeros((len(words), *table.rows.shape[1:]), dtype=np.float32)
         for k in range(0, len(words), 2048):
             codes, lengths = self.coded(words[k : k + 2048])
             for a, b in _OFFSETS:
                 if codes.shape[1] > b:
-                    number = (codes[:, : codes.shape[1] - b] * self.base + codes[:, a : codes.shape[1] - b + a]) * self.base + codes[:, b:]
-                    out[k : k + 2048] += DECAY ** (b - 2) * table[number].sum(axis=1)
-            out[k : k + 2048] /= self.norms(lengths).astype(np.float32).reshape(-1, *[1] * (table.ndim - 1))
+                    out[k : k + 2048] += DECAY ** (b - 2) * table.rows[table.index[self._numbers(codes, a, b)]].sum(axis=1)
+            out[k : k + 2048] /= self.norms(lengths).astype(np.float32).reshape(-1, *[1] * (table.rows.ndim - 1))
         return out
 
-    def table(self, words: list[str]) -> np.ndarray:
+    def table(self, words: list[str]) -> Table:
         """Column k: the features of word k over its norm; subsequences with no character at their end weigh nothing."""
-        out = np.zeros((self.base**3, len(words)), dtype=np.float32)
-        for k, w in enumerate(words):
-            codes, lengths = self.coded([w])
-            for a, b in _OFFSETS:
-                if codes.shape[1] > b:
-                    number = (codes[0, : codes.shape[1] - b] * self.base + codes[0, a : codes.shape[1] - b + a]) * self.base + codes[0, b:]
-                    np.add.at(out[:, k], number, DECAY ** (b - 2))
-            out[:, k] /= self.norms(lengths)[0]
-        return out
+        each = [(k, self.coded([w])) for k, w in enumerate(words)]
+        found = [(k, b, self._numbers(codes, a, b)[0]) for k, (codes, _) in each for a, b in _OFFSETS if codes.shape[1] > b]
+        used = np.unique(np.concatenate([n for *_, n in found])) if found else np.zeros(0, np.int64)
+        index = np.zeros(self.base**3, dtype=np.int32)
+        index[used] = np.arange(1, len(used) + 1)
+        rows = np.zeros((len(used) + 1, len(words)), dtype=np.float32)
+        for k, b, numbers in found:
+            np.add.at(rows[:, k], index[numbers], DECAY ** (b - 2))
+        return Table(index, rows / self.norms(np.array([len(w) for w in words], dtype=np.int64)).astype(np.float32))
 
 
 @dataclass
 class Model:
     letters: str
-    weights: np.ndarray  # by subsequence number
+    weights: Table  # one number for each subsequence
     shift: float
     steep: float
 
@@ -141,68 +162,43 @@ def _machine(features: np.ndarray, sign: np.ndarray, cost: np.ndarray, ridge: fl
     return w[:-1], w[-1]
 
 
-def variants(word: str) -> list[str]:
-    """A normal word with one character doubled or a stranger put in, inside of it."""
-    return [word[:k] + c + word[k:] for k in range(2, len(word) - 1) for c in dict.fromkeys((word[k], "x", "i"))]
-
-
-def fit(counts: list[tuple[str, int, int]]) -> Model | None:
-    """counts: (normal word, surroundings in toxic documents, surroundings in others), any order. None if no word stands out."""
-    counts = sorted(counts)
-    toxic_all, other_all = sum(t for _, t, _ in counts), sum(o for _, _, o in counts)
-    if not toxic_all or not other_all:
-        return None
-    grams: dict[str, list[int]] = {}
-    for w, t, o in counts:
-        for g in {w, *(w[k : k + 5] for k in range(max(1, len(w) - 4)))}:
-            have = grams.setdefault(g, [0, 0])
-            have[0] += t
-            have[1] += o
-    # so often by chance with less than 1 in 1000 for any gram at all
-    least = (math.log(len(grams)) + math.log(1000)) / -math.log(toxic_all / (toxic_all + other_all))
-    marked = {g for g, (t, o) in grams.items() if t >= least and 200 * o <= t}
-    insults = [(w, t) for w, t, o in counts if t and 200 * o <= t and not marked.isdisjoint({w, *(w[k : k + 5] for k in range(max(1, len(w) - 4)))})]
-    if not insults:
-        return None
-    positive = [w for w, _ in sorted(insults, key=lambda x: (-x[1], x[0]))][:WORDS]
-    often = dict(insults)
-    own = set(positive)
-    clean = [w for w, _, o in sorted(counts, key=lambda x: (-x[2], x[0])) if o and w not in own]
-    negative = clean[: WORDS // 2] + clean[WORDS // 2 :: max(1, (len(clean) - WORDS // 2) // (WORDS // 2) + 1)]
-    letters = Counter(c for w in [*positive, *negative] for c in w if ord(c) < 1 << 16)
-    kernel = Subsequences("".join(sorted(c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 2])))
-    spread = lambda xs: [xs[k * len(xs) // LANDMARKS] for k in range(min(len(xs), LANDMARKS))] if len(xs) > LANDMARKS else xs
-    known = {w for w, _, o in counts if o}
-    sure_words = [w for w in positive if often[w] >= least]
-    altered = [v for v in dict.fromkeys(v for w in sure_words if often[w] >= 10 * least for v in variants(w)) if v not in known and v not in own]
-    altered = altered[:: len(altered) // WORDS + 1]
-    hard: list[str] = []
-    for _ in range(3):
-        landmarks = list(dict.fromkeys([*spread(positive), *hard[: LANDMARKS // 2], *spread(negative)[: LANDMARKS - min(len(hard), LANDMARKS // 2)]]))
-        table = kernel.table([pieces(w)[0] for w in landmarks])
-        values, vectors = np.linalg.eigh(kernel.sums([pieces(w)[0] for w in landmarks], table).astype(np.float64))
-        root = vectors * (1 / np.sqrt(np.maximum(values, 1e-6 * values.max()))) @ vectors.T
-        train = [pieces(w)[0] for w in [*positive, *altered, *negative, *hard]]
-        insulting = len(positive) + len(altered)
-        sign = np.where(np.arange(len(train)) < insulting, 1.0, -1.0)
-        sure = np.array([min(often[w], least) for w in positive])  # words that were seen seldom say less, altered ones less again
-        cost = np.concatenate([sure / sure.sum(), np.full(len(altered), 0.1 / max(1, len(altered))), np.full(len(train) - insulting, 2 / (len(train) - insulting))])
-        weights, shift = _machine(kernel.sums(train, table) @ root, sign, cost)
-        model = Model(kernel.letters, (table @ (root @ weights).astype(np.float32)).astype(np.float32), float(shift), 1.0)
-        found = model.words(clean)
-        hard = [clean[k] for k in np.argsort(-found, kind="stable")[: WORDS // 6]]
-    # the border lies between words of other documents and the weakest insults that were seen often enough
-    high, low = float(found.max(initial=-1.0)), float(model.words(sure_words or positive).min())
-    border = (high + low) / 2 if high < low else max(float(np.quantile(found, 0.9999)), 0.0)
-    model.shift -= border
-    model.steep = 4 / max(0.05, (low - high) / 2 if low > high else 0.05)
-    return model
+def fit(positive: dict[str, float], negative: dict[str, float]) -> Model:
+    """The machine for words and how much each counts; long words count by their pieces."""
+    spread = lambda xs: [xs[k * len(xs) // LANDMARKS] for k in range(LANDMARKS)] if len(xs) > LANDMARKS else xs
+    by_weight = lambda words: sorted(words, key=lambda w: (-words[w], w))[:WORDS]
+    sides = [[(p, side[w] / len(pieces(w))) for w in by_weight(side) for p in pieces(w)] for side in (positive, negative)]
+    letters = Counter(c for side in sides for w, _ in side for c in w if ord(c) < 1 << 16)
+    kernel = Subsequences("".join(sorted(c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])))
+    landmarks = list(dict.fromkeys(w for side in sides for w in spread([w for w, _ in side])))
+    table = kernel.table(landmarks)
+    values, vectors = np.linalg.eigh(kernel.sums(landmarks, table).astype(np.float64))
+    root = vectors * (1 / np.sqrt(np.maximum(values, 1e-6 * values.max()))) @ vectors.T
+    words = [w for side in sides for w, _ in side]
+    sign = np.repeat([1.0, -1.0], [len(side) for side in sides])
+    cost = np.concatenate([np.array([c for _, c in side]) / sum(c for _, c in side) for side in sides]) * np.where(sign > 0, 1, 2)
+    weights, shift = _machine(kernel.sums(words, table) @ root, sign, cost)
+    return Model(kernel.letters, Table(table.index, (table.rows @ (root @ weights).astype(np.float32)).astype(np.float32)), float(shift), 1.0)
+
+
+def border(decision: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """Where texts' decisions divide toxic ones from others with the least balanced error, in the middle of the widest such gap, and half that gap."""
+    order = np.argsort(decision, kind="stable")
+    value, sign = decision[order], toxic[order]
+    missed = np.append(0, np.cumsum(sign)) / max(1, sign.sum())
+    false = (len(sign) - sign.sum() - np.append(0, np.cumsum(1 - sign))) / max(1, (1 - sign).sum())
+    low, high = np.append(value[0] - 1, value), np.append(value, value[-1] + 1)
+    open_ = high > low
+    error = np.where(open_, missed + false, np.inf)
+    best = np.nonzero(error <= error.min() + 1e-12)[0]
+    k = best[np.argmax((high - low)[best])]
+    return float((low[k] + high[k]) / 2), float((high[k] - low[k]) / 2)
 
 
 def trainable(labels: DataFrame) -> DataFrame:
-    """doc_id and toxic of the rows that may be learned from: crc32 of the id as text, modulo 4, isn't 2. Rows with nulls are left out."""
+    """doc_id and toxic of the rows that may be learned from: crc32 of the id as text, modulo 4, isn't 2. Rows with nulls are left out, and ids that are labelled both ways."""
     rows = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    return rows.where(~held_out(F.col("doc_id"))).distinct()
+    each = rows.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most"))
+    return each.where("toxic = _most").drop("_most")
 
 
 def held_out(doc_id):
@@ -214,39 +210,80 @@ def words_of(text: str) -> list[str]:
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model from the texts of at most `sample` labelled documents of each class, those first by a hash of the id."""
-    chosen = None
+    """A model from the texts of at most `sample` labelled documents of each class, those first by a hash of the id. None without texts of both classes; an error if no word tells them apart."""
+    spark, chosen = documents.sparkSession, None
     for kind in (1, 0):
         some = trainable(labels).where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = some if chosen is None else chosen.unionByName(some)
+    # at most 2 * sample ids: broadcast
+    read = written(texts(documents).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), shared_dir(spark, "toxicity-sample"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in blocks(batches):
-            found, toxic, around = [], [], []
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in blocks(batches, 1 << 20):
+            found, toxic, near = [], [], []
             for text, kind in zip(column(rows, "text").to_pylist(), rows.column("toxic").to_pylist(), strict=True):
                 own = ["", *words_of(text), ""]
                 seen = {(w, before, after) for before, w, after in zip(own, own[1:], own[2:], strict=False)}
                 found += [w for w, _, _ in seen]
-                around += [f"{before} {after}" for _, before, after in seen]
+                near += [f"{before} {after}" for _, before, after in seen]
                 toxic += [kind] * len(seen)
             for k in range(0, len(found), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000], kind) for x, kind in ((found, pa.string()), (toxic, pa.int32()), (around, pa.string()))], names=["word", "toxic", "around"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000], kind) for x, kind in ((found, pa.string()), (toxic, pa.int32()), (near, pa.string()))], names=["word", "toxic", "around"])
+
+    each = read.mapInArrow(around, "word string, toxic int, around string").select("word", "toxic", F.xxhash64("around").alias("around")).distinct()
+    words = written(each.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o")), shared_dir(spark, "toxicity-words"))
+    total = words.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("o"), F.lit(0)).alias("o")).first()
+    if not total.t or not total.o:
+        return None
+    grams = words.select("word", "t", "o", F.explode(F.expr("array_distinct(concat(array(word), transform(sequence(1, greatest(1, length(word) - 4)), k -> substring(word, k, 5))))")).alias("gram"))
+    counts = written(grams.groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), shared_dir(spark, "toxicity-grams"))
+    # so often by chance with less than 1 in 1000 for any gram at all
+    least = (math.log(counts.count()) + math.log(1000)) / -math.log(total.t / (total.t + total.o))
+    apart = lambda: (F.col("t") > 0) & (F.col("o") * total.t * RATIO <= F.col("t") * total.o)
+    marked = counts.where(apart() & (F.col("t") >= least)).select("gram")
+    first = grams.where(apart()).join(marked, "gram", "left_semi").select("word", "t").distinct().orderBy(F.desc("t"), "word").limit(WORDS)
+    positive = {r.word: float(min(r.t, least)) for r in first.toLocalIterator()}
+    if not positive:
+        raise ValueError("no word tells toxic texts from others")
+    often = words.where("o > 0").orderBy(F.desc("o"), "word").limit(WORDS // 2)
+    mixed = words.where("o > 0").orderBy(F.xxhash64("word"), "word").limit(WORDS // 2)
+    plain = {r.word: 1.0 for r in often.unionByName(mixed).select("word").toLocalIterator() if r.word not in positive}
+    model = fit(positive, plain)
+    for _ in range(ROUNDS):
+        picked = _picked(read, model)
+        rows = picked.groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").toArrow().to_pylist()  # a text gives a word, so at most 2 * sample
+        toxic_texts, other_texts = ({r["word"]: float(r["n"]) for r in rows if r["toxic"] == k} for k in (1, 0))
+        # words that toxic texts were picked by as seldom as others are no insults
+        share = sum(other_texts.values()) / max(1.0, sum(toxic_texts.values()))
+        positive = {w: n for w, n in toxic_texts.items() if n * share >= RATIO / 4 * other_texts.get(w, 0.0)} or positive
+        hard = {w: n for w, n in other_texts.items() if w not in positive}
+        model = fit(positive, {**plain, **{w: n + 1.0 for w, n in hard.items()}})
+    rows = _picked(read, model).select("decision", "toxic").toArrow()
+    place, gap = border(np.asarray(rows.column("decision")).astype(np.float64), np.asarray(rows.column("toxic")).astype(np.int64))
+    model.shift -= place
+    model.steep = 4 / max(0.05, gap)
+    return model
 
-    # at most 2 * sample ids: broadcast
-    read = texts(documents).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "word string, toxic int, around string")
-    each = read.select("word", "toxic", F.xxhash64("around").alias("around")).distinct()
-    counts = each.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
-    rows = counts.toArrow()  # words of at most 2 * sample documents
-    return fit(list(zip(*(rows.column(c).to_pylist() for c in ("word", "t", "o")), strict=True)))
 
+def _picked(read: DataFrame, model: Model) -> DataFrame:
+    """Of each text that has words: the word with the highest decision, the decision, and toxic."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in blocks(batches, 1 << 20):
+            values, words = decisions(column(rows, "text"), model)
+            some = pa.array(~np.isneginf(values))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()).filter(some), pa.array(values, pa.float64()).filter(some), column(rows, "toxic").filter(some)], names=["word", "decision", "toxic"])
 
-def decisions(text: pa.Array, model: Model) -> np.ndarray:
-    """The highest decision over each text's words, and over runs of four or more single letters read as one word; -inf without words."""
+    return read.mapInArrow(run, "word string, decision double, toxic int")
+
+
+def decisions(text: pa.Array, model: Model) -> tuple[np.ndarray, list[str]]:
+    """The highest decision over each text's words, and over runs of four or more single letters read as one word, and that word; -inf without words."""
     parts = pc.ascii_split_whitespace(text)
     offsets = np.asarray(parts.offsets).astype(np.int64)
-    out = np.full(len(text), -np.inf)
+    out, best = np.full(len(text), -np.inf), [""] * len(text)
     if offsets[-1] == offsets[0]:
-        return out
+        return out, best
     inner = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
     offsets -= offsets[0]
     listed = [normal(w) for w in inner.dictionary.to_pylist()]
@@ -255,18 +292,21 @@ def decisions(text: pa.Array, model: Model) -> np.ndarray:
     place = np.fromiter((known.get(w, -1) for w in listed), dtype=np.int64, count=len(listed))
     codes = np.asarray(inner.indices).astype(np.int64)
     per_word = values[place[codes]]
-    some = offsets[1:] > offsets[:-1]
-    out[some] = np.maximum.reduceat(per_word, offsets[:-1][some])
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        if b > a:
+            k = a + int(per_word[a:b].argmax())
+            out[i], best[i] = per_word[k], listed[codes[k]]
     single = np.fromiter((len(w) == 3 for w in listed), dtype=bool, count=len(listed))[codes]
     runs = np.nonzero(single[:-3] & single[1:-2] & single[2:-1] & single[3:])[0]
     whose = np.searchsorted(offsets, runs, side="right") - 1
     letters = [w[1:-1] for w in listed]
     for i in np.unique(whose[runs + 3 < offsets[whose + 1]]).tolist():
         own = codes[offsets[i] : offsets[i + 1]].tolist()
-        spelled = re.findall(r"(?:(?<=\s)|^)(?:\S\s){3,}\S(?=\s|$)", " ".join(letters[c] or "--" for c in own))
-        if spelled:
-            out[i] = max(out[i], *model.words([f"^{''.join(s.split())}$" for s in spelled]).tolist())
-    return out
+        spelled = [f"^{''.join(s.split())}$" for s in re.findall(r"(?:(?<=\s)|^)(?:\S\s){3,}\S(?=\s|$)", " ".join(letters[c] or "--" for c in own))]
+        for value, word in zip(model.words(spelled).tolist(), spelled, strict=True):
+            if value > out[i]:
+                out[i], best[i] = value, word
+    return out, best
 
 
 def scored(documents: DataFrame, model: Model | None) -> DataFrame:
@@ -280,7 +320,7 @@ def scored(documents: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in blocks(batches):
-            own = decisions(column(rows, "text"), model) if model else np.full(rows.num_rows, -np.inf)
+            own = decisions(column(rows, "text"), model)[0] if model else np.full(rows.num_rows, -np.inf)
             values = np.where(np.isneginf(own), 0.0, model.score(np.where(np.isneginf(own), 0.0, own)) if model else 0.0)
             yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), pa.array(values, pa.float64())], names=["doc_id", "score"])
 

@@ -638,7 +638,7 @@ def test_toxicity_on_held_out_documents(spark, none):
     assert toxicity.scored(none, model).collect() == []
     flipped = labels.where(toxicity.held_out(F.col("doc_id"))).withColumn("toxic", 1 - F.col("toxic")).unionByName(labels.where(~toxicity.held_out(F.col("doc_id"))))
     again = toxicity.train(docs, flipped)
-    assert (again.weights == model.weights).all() and again.shift == model.shift
+    assert (again.weights.rows == model.weights.rows).all() and again.shift == model.shift
 
 
 def test_no_model_without_labels(spark, odd):
@@ -659,7 +659,7 @@ def test_kernel_table_equals_the_kernel():
                 for j in range(i + 1, len(w)):
                     for k in range(j + 1, len(w)):
                         if k - i < toxicity.SPAN:
-                            out[tuple(c if c in kernel.letters else "?" for c in (w[i], w[j], w[k]))] += toxicity.DECAY ** (k - i - 2)
+                            out[tuple(c if c in kernel.letters else ord(c) % toxicity.SHARED for c in (w[i], w[j], w[k]))] += toxicity.DECAY ** (k - i - 2)
             return out
 
         x, y = features(a), features(b)
