@@ -52,8 +52,9 @@ def format_chats(turns: DataFrame, parts: str | None = None, trained: str = "ass
 
     turns: conv_id, turn, role, text, or a column of typed parts named by `parts`
     (array of kind, text, ref, units; an unknown kind counts as text). Null texts,
-    roles and parts count as empty; a null conv_id is a conversation of its own; turns
-    stand by turn, nulls first, ties by role and text; repeated rows stay; other columns
+    roles and parts count as empty; every row without a conv_id is a conversation of its
+    own; turns stand by turn, nulls first, ties by role, then by the texts of their parts
+    end to end, then by the parts; repeated rows stay; other columns
     are ignored; an empty table gives an empty result. A conversation becomes one
     string, so it has to fit a task; conversations of equal content share nothing.
     loss: of each trained turn its number, the start in formatted (code points, from 0),
@@ -61,17 +62,18 @@ def format_chats(turns: DataFrame, parts: str | None = None, trained: str = "ass
     kind, ref and tokens.
     """
     own = F.col(parts).cast(PART) if parts else F.array(F.struct(F.lit("text").alias("kind"), F.col("text").cast("string").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("units")))
-    rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(own, F.array().cast(PART)).alias("parts"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", F.to_json("parts"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+    rows = turns.select("conv_id", alone, "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(own, F.array().cast(PART)).alias("parts"))
+    order = Window.partitionBy("conv_id", "alone").orderBy("turn", "role", F.array_join(F.transform("parts", lambda p: p["text"]), ""), F.to_json("parts"))
     rows = rows.withColumn("n", F.row_number().over(order) - 1)
     shown = F.concat(F.lit(OPEN), F.replace(escape(F.col("role")), F.lit(":"), F.lit("\\c")), F.lit(AFTER_ROLE))
-    rows = rows.select("conv_id", "n", "role", shown.alias("head"), F.array_join(F.transform("parts", visitor(F.col("n"))), "").alias("body"), F.col("parts"))
+    rows = rows.select("conv_id", "alone", "n", "role", shown.alias("head"), F.array_join(F.transform("parts", visitor(F.col("n"))), "").alias("body"), F.col("parts"))
     size = F.length("head") + F.length("body") + len(CLOSE)
-    rows = rows.withColumn("start", F.coalesce(F.sum(size).over(Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    rows = rows.withColumn("start", F.coalesce(F.sum(size).over(Window.partitionBy("conv_id", "alone").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
     found = F.filter(F.transform("parts", lambda p, i: F.struct(F.col("n").alias("turn"), i.alias("part"), p["kind"].alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))), lambda a: a["kind"].isin(*EXPANSION))
     span = F.struct(F.col("n").alias("turn"), (F.col("start") + F.length("head")).alias("start"), F.length("head").alias("inside"), F.length("body").alias("length"))
-    rows = rows.select("conv_id", F.struct("n", F.concat("head", "body", F.lit(CLOSE)).alias("shown"), F.when(F.col("role") == trained, span).alias("span"), found.alias("found")).alias("x"))
-    out = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    rows = rows.select("conv_id", "alone", F.struct("n", F.concat("head", "body", F.lit(CLOSE)).alias("shown"), F.when(F.col("role") == trained, span).alias("span"), found.alias("found")).alias("x"))
+    out = rows.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     return out.select(
         "conv_id",
         F.array_join(F.transform("xs", lambda x: x["shown"]), "").alias("formatted"),

@@ -94,6 +94,12 @@ def passes(mask: int) -> Column:
     return F.col("failed").bitwiseAND(F.lit(mask).cast("long")) == 0
 
 
+def alone(mask: int) -> Column:
+    """The only rule of these that a ledger row breaks, as its bit; 0 if it breaks none or several: what would be kept without that rule."""
+    own = F.col("failed").bitwiseAND(F.lit(mask).cast("long"))
+    return F.when(F.bit_count(own) == 1, own).otherwise(F.lit(0).cast("long"))
+
+
 def ablation(ledger_rows: DataFrame, policy: str) -> DataFrame:
     """A row for each rule of the policy: documents that break it, that break it alone, and that the policy keeps without it."""
     mask = POLICIES[policy]

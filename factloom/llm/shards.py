@@ -13,6 +13,8 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.common import shared_dir, written
+
 #: Virtual slots. The map and the table of sums have at most so many rows, whatever the input.
 SLOTS = 8192
 _MAP = "version int, vslot int, shard int, bytes long, rows long"
@@ -86,16 +88,33 @@ def make_map(documents: DataFrame, shards: int, path: str, slots: int = SLOTS) -
     store_map(documents.sparkSession, path, 1, sums, deal([(s, b) for s, b, _ in sums], shards))
 
 
+def grow_map(spark: SparkSession, path: str, version: int, shards: int) -> None:
+    """The next version of the map at path, for one shard more."""
+    rows = load_map(spark, path, version).collect()  # a row for each slot
+    after = grow([(r.vslot, r.bytes) for r in rows], {r.vslot: r.shard for r in rows}, shards)
+    store_map(spark, path, version + 1, [(r.vslot, r.bytes, r["rows"]) for r in rows], after)
+
+
 def assign(documents: DataFrame, path: str, version: int = 1, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, vslot, shard, and slot: the record's place in its shard, without gaps.
 
-    A shard's virtual slots stand one behind the other, a record by its rank in its own,
-    so that no task has to order a whole shard. Repeated rows get places of their own; an
+    A shard's virtual slots stand one behind the other; a slot's records stand by the part
+    of the table that they came from, and by rank in that part: so no task orders a shard,
+    nor a slot that many equal rows fill. Repeated rows get places of their own; an
     empty table gives an empty result; other columns are ignored.
     """
     spark = documents.sparkSession
+    # written, so that counts and ranks see the same parts
+    rows = written(with_slots(documents, slots).withColumn("part", F.spark_partition_id()), shared_dir(spark, "slotted"))
+    counts = rows.groupBy("vslot", "part").agg(F.count(F.lit(1)).alias("n"))
+    inside = counts.withColumn("inside", F.coalesce(F.sum("n").over(Window.partitionBy("vslot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     placed = load_map(spark, path, version).withColumn("before", F.coalesce(F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
-    rows = with_slots(documents, slots).withColumn("rank", rank - 1)
-    return rows.join(F.broadcast(placed.select("vslot", "shard", "before")), "vslot").select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("before") + F.col("rank")).cast("long").alias("slot"))
+    rank = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size"))
+    ranked = rows.withColumn("rank", rank - 1).join(inside, ["vslot", "part"]).join(F.broadcast(placed.select("vslot", "shard", "before")), "vslot")  # a map has a row for each slot
+    return ranked.select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("before") + F.col("inside") + F.col("rank")).cast("long").alias("slot"))
+
+
+def moved(spark: SparkSession, path: str, version: int, to: int) -> DataFrame:
+    """vslot, shard, next_shard: the maps of two versions side by side."""
+    return load_map(spark, path, version).select("vslot", "shard").join(load_map(spark, path, to).select("vslot", F.col("shard").alias("next_shard")), "vslot")
 

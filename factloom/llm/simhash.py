@@ -188,7 +188,7 @@ def links(fps: DataFrame, radius: int = RADIUS, cap: int | None = BUCKET) -> Dat
     """Distinct fp -> edges (a, b) that connect just what links of at most `radius` differing bits connect.
 
     Buckets of more than cap members are keyed anew by masks that hold about half of the
-    bits that were free: so a bucket of these has 2^(a quarter of the bits) members at
+    bits that were free: so a bucket of these has 2^16 members (a quarter of the bits are free) at
     most, whatever the input.
     """
     spark = fps.sparkSession

@@ -226,6 +226,9 @@ def test_chats(spark):
             parts = [p.replace(old, new) for p in parts]
         assert "".join(parts) == r.loss_text
     assert chat.format_chats(frame.limit(0)).collect() == []
+    tied = spark.createDataFrame([(1, 0, "user", t) for t in ("a ", "a", 'b"', "b#", "b", "é", "")] + [(None, 0, "user", t) for t in ("x", "x", "y")], "conv_id long, turn long, role string, text string")
+    told = sorted([t.text for t in r.turns] for r in chat.read_chats(chat.format_chats(tied)).collect())
+    assert told == [sorted(["a ", "a", 'b"', "b#", "b", "é", ""]), ["x"], ["x"], ["y"]]  # by text; rows without a conv_id stand alone
 
 
 def test_chat_parts(spark):
@@ -430,6 +433,12 @@ def test_shards(spark, odd, none):
         sizes[r.shard] += r["size"]
         places.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(p) == list(range(len(p))) for p in places.values()) and max(sizes.values()) - min(sizes.values()) <= 150
+    shards.grow_map(spark, path, 1, 6)
+    both = {r.vslot: (r.shard, r.next_shard) for r in shards.moved(spark, path, 1, 2).collect()}
+    assert all(b in (a, 6) for a, b in both.values()) and any(b == 6 for _, b in both.values())
+    equal = documents(spark, ["same"] * 300, [1] * 300).repartition(3)
+    shards.make_map(equal, 2, again := shared_dir(spark, "map"))
+    assert sorted(r.slot for r in shards.assign(equal, again).collect()) == list(range(300))
     shards.make_map(none, 6, empty := shared_dir(spark, "map"))
     assert shards.assign(none, empty).collect() == []
 
@@ -478,6 +487,7 @@ def test_ablation(spark):
     rows = spark.createDataFrame([(0,), (1,), (1,), (3,), (4,), (2,)], "failed long")
     got = {r.rule: (r.broken, r.alone, r.kept_without) for r in quality.ablation(rows, "base/1").collect()}
     assert got == {"few_words": (3, 2, 4), "repeated_words": (2, 1, 3)}
+    assert [r[0] for r in rows.select(quality.alone(quality.BASE)).collect()] == [0, 1, 1, 0, 0, 2]
     assert rows.where(quality.passes(quality.POLICIES["standard/1"])).count() == 1
     assert {r.kept_without for r in quality.ablation(rows.limit(0), "base/1").collect()} == {0}
 
