@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.session import shared_base
+
 
 @dataclass(frozen=True)
 class Step:
@@ -224,10 +226,7 @@ def reach(edges: DataFrame, start: DataFrame, depth: int, *, guard: str | None =
     and each level is cut from its lineage by a checkpoint. guard: a condition on edges.
     """
     spark = edges.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="factloom-"))
+    shared_base(spark)
     steps = (edges.where(guard) if guard else edges).select("src", "dst").distinct()
     seen = start.select("reference").distinct().withColumn("level", F.lit(0))
     front = seen
@@ -241,10 +240,7 @@ def reach(edges: DataFrame, start: DataFrame, depth: int, *, guard: str | None =
 def closure_with_paths(edges: DataFrame, start: DataFrame, most: int = 32) -> DataFrame:
     """reference, path: everything that edges lead to, each with one shortest path, the smallest of equals; stops when a round finds nothing."""
     spark = edges.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="factloom-"))
+    shared_base(spark)
     seen = start.select("reference", F.array("reference").alias("path"))
     front = seen
     for _ in range(most):
