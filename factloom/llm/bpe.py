@@ -17,6 +17,7 @@ refuses rather than mixes answers of two attempts.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -102,7 +103,7 @@ def encoded_words(messages: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def encoded(documents: DataFrame, path: str, pattern: str, buckets: int | None = None) -> DataFrame:
-    """doc_id and ids (array<int>) of every row.
+    """doc_id, ids (array<int>) and ids_sha256 (of decimal ids, joined by spaces) of every row.
 
     documents: doc_id, text. A null text counts as empty and has no ids; a null doc_id
     stays null; repeated rows are encoded each for itself; an empty table gives an empty
@@ -137,9 +138,11 @@ def encoded(documents: DataFrame, path: str, pattern: str, buckets: int | None =
         flat, each = ragged_take(offsets, np.frombuffer(b"".join(per_word), "<i4"), np.ascontiguousarray(raw).view("<u4").ravel())
         ends = bounds(each)[bounds(np.frombuffer(row["counts"], "<u4").astype(np.int64))]
         known, doc_ids = np.frombuffer(row["known"], "u1"), np.frombuffer(row["doc_ids"], "<i8")
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64(), mask=known == 0), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))})
+        shown = [str(i).encode() for i in range(int(flat.max(initial=0)) + 1)]
+        digests = [hashlib.sha256(b" ".join(map(shown.__getitem__, flat[a:b].tolist()))).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64(), mask=known == 0), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), "ids_sha256": digests})
 
-    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, "doc_id long, ids array<int>")
+    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, "doc_id long, ids array<int>, ids_sha256 string")
 
 
 def decoded(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -148,14 +151,14 @@ def decoded(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     The token-byte table is one row of as many strings as the vocabulary has tokens,
     joined by broadcast; an id is its place there. One outside of the table is an error.
     """
-    tokens = rows.sparkSession.createDataFrame([([b.hex() for b in token_bytes(path)],)], "_table array<string>")
+    # a byte is a character of Latin-1, so that tokens can be joined as strings
+    tokens = rows.sparkSession.createDataFrame([([b.decode("latin-1") for b in token_bytes(path)],)], "_table array<string>")
     one = lambda i: F.coalesce(F.get(F.col("_table"), i), F.raise_error(F.lit("unknown token id")).cast("string"))
     joined = rows.join(F.broadcast(tokens), F.lit(True))
-    return joined.withColumn("bytes", F.unhex(F.array_join(F.transform(F.coalesce(ids, F.array().cast("array<int>")), one), ""))).drop("_table")
+    return joined.withColumn("bytes", F.encode(F.array_join(F.transform(F.coalesce(ids, F.array().cast("array<int>")), one), ""), "ISO-8859-1")).drop("_table")
 
 
 def encode_and_decode(documents: DataFrame, path: str, pattern: str, buckets: int | None = None) -> DataFrame:
     """Per document: n_tokens, the hash of its ids and the hash of the bytes that they decode to. Rows are treated as by encoded()."""
     rows = decoded(encoded(documents, path, pattern, buckets), path)
-    shown = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(shown.cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))

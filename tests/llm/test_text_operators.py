@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from factloom.llm import bpe, chat, decontaminate, edit_counts, planes, pretokens, quality, queries, secrets, shards, simhash, toxicity
-from factloom.llm.common import blocks, bounds, column, ragged_take, shared_dir
+from factloom.llm.common import blocks, bounds, column, ragged_take, scratch, shared_dir, written
 
 RANKS, WORDS = public_tokenizers.path(queries.RANKS), public_tokenizers.path(queries.WORD_BPE)
 PATTERN = public_tokenizers.PATTERN
@@ -414,6 +414,16 @@ def test_near_copies(spark, none):
     assert simhash.shared("a b c d e f", "A  b c d e f") == 1.0 and simhash.shared("a b", "a c") == 0.0
 
 
+def test_scratch_tables_go(spark):
+    outside = shared_dir(spark, "kept")
+    with scratch(spark):
+        inner = written(spark.range(3), shared_dir(spark, "gone"))
+        path = inner.inputFiles()[0].rsplit("/", 1)[0]
+        kept = written(inner, outside)
+        assert secrets.exists(spark, path)
+    assert not secrets.exists(spark, path) and kept.count() == 3
+
+
 def test_components_of_a_chain(spark):
     frame = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 99), (100, 100)], "a long, b long")
     assert {r.node: r.root for r in simhash.components(frame).collect()} == {**dict.fromkeys(range(41), 0), 99: 99, 100: 99}
