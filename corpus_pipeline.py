@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import bpe, decontaminate, secrets, simhash, toxicity
-from factloom.llm.common import shared_dir, table, written
+from factloom.llm.common import discard, scratch, shared_dir, table, written
 from factloom.llm.queries import RANKS
 from factloom.session import ready
 
@@ -22,31 +22,38 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model predicts toxic go."""
-    found = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    gone = written(found.where("predicted = 1").select("doc_id").distinct(), shared_dir(spark, "toxic-ids"))
+    path = shared_dir(spark, "toxic-ids")
+    with scratch(spark):
+        found = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+        gone = written(found.where("predicted = 1").select("doc_id").distinct(), path)
     return _without(docs, gone)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (80 % of five-word shingles in common) the document with the smallest id stays."""
-    found = simhash.near_copies(docs)
-    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), shared_dir(spark, "copied-ids"))
+    path = shared_dir(spark, "copied-ids")
+    with scratch(spark):
+        gone = written(simhash.near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct(), path)
     return _without(docs, gone)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    gone = written(found.select("doc_id").distinct(), shared_dir(spark, "leaked-ids"))
+    path = shared_dir(spark, "leaked-ids")
+    with scratch(spark):
+        gone = written(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), path)
     return _without(docs, gone)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; n_chars follows the text. Documents without any stay as they are."""
-    ledger = shared_dir(spark, "secret-ledger")
-    found = secrets.scan(docs, ["doc_id"], ledger).where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
+    path = shared_dir(spark, "secret-spans")
+    with scratch(spark):
+        found = secrets.scan(docs, ["doc_id"], shared_dir(spark, "secret-ledger")).where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
+        written(found, path)
+    found = spark.read.schema(found.schema).parquet(path)
     inner = docs.select(*COLUMNS).withColumn("blob", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    joined = inner.join(written(found, shared_dir(spark, "secret-spans")), "blob", "left")
+    joined = inner.join(found, "blob", "left")
     new = secrets.redact(joined.select(*COLUMNS, "spans"))
     return new.select(*COLUMNS)
 
@@ -67,9 +74,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other; a stage's table goes when the next one's is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, shared_dir(spark, name))
+            docs = written(docs, path := shared_dir(spark, name))
+            if last:
+                discard(spark, last)
+            last = path
     return docs
