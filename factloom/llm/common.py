@@ -19,7 +19,7 @@ from factloom.session import shared_base
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Bytes of text that a task holds as one block.
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -152,7 +152,7 @@ def ends(pattern: str):
 
 
 #: Bytes of text that a task holds at once.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 
 class Trees:

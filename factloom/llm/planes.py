@@ -41,7 +41,7 @@ from factloom.llm.pretokens import latin
 #: Ids in a block.
 BLOCK_IDS = 1 << 16
 #: Bytes of text that a task encodes at once.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 5 << 20
 #: Pieces of words whose ids a task remembers (or a block's, if those are more), and as many that it met before these; others are encoded again, which changes no result.
 REMEMBERED = 200_000
 
