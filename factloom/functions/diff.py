@@ -3,48 +3,52 @@
 from __future__ import annotations
 
 import difflib
+import itertools
+import os
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CONTEXT = 3
-#: Product of the sides' lines up to which they are aligned line by line; beyond it the differing middle is one replacement.
+#: Product of the sides' lines from which very frequent lines no longer start a match, as the standard library has it.
 EXACT = 2_000_000
 
 _ROW = T.StructType([T.StructField(n, t) for n, t in (("kind", T.StringType()), ("before_line", T.IntegerType()), ("before", T.StringType()), ("after_line", T.IntegerType()), ("after", T.StringType()))])
 
 
+def lines(text: str) -> list[str]:
+    """Lines with their line ends; only \\n ends a line."""
+    return [line + "\n" for line in text.split("\n")[:-1]] + [line for line in text.split("\n")[-1:] if line]
+
+
+def _aligned(old: list[tuple[int, str]], new: list[tuple[int, str]]) -> Iterator[tuple]:
+    """Rows of numbered lines: what is equal side by side, what differs paired in order as far as both sides go."""
+    texts = [[t for _, t in side] for side in (old, new)]
+    frequent = len(old) * len(new) > EXACT
+    for kind, a, b, c, d in difflib.SequenceMatcher(None, *texts, autojunk=frequent).get_opcodes():
+        for x, y in itertools.zip_longest(old[a:b], new[c:d]):
+            name = "SAME" if kind == "equal" else "ADDED" if x is None else "REMOVED" if y is None else "CHANGED"
+            yield (name, *(x or (None, None)), *(y or (None, None)))
+
+
 def rows(before: str, after: str) -> list[tuple]:
     """(kind, line, text, line, text): SAME, CHANGED, REMOVED, ADDED or GAP, with CONTEXT equal lines around changes. Line ends belong to lines, so a change of these is a change."""
-    a, b = before.splitlines(keepends=True), after.splitlines(keepends=True)
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    inner = difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if len(x) * len(y) <= EXACT else [("replace", 0, len(x), 0, len(y))]
-    codes = [("equal", 0, head, 0, head), *((t, i + head, j + head, k + head, m + head) for t, i, j, k, m in inner), ("equal", len(a) - tail, len(a), len(b) - tail, len(b))]
+    old, new = (list(enumerate(lines(t), 1)) for t in (before, after))
+    bare = [[t for _, t in side] for side in (old, new)]
+    head = len(os.path.commonprefix(bare))
+    tail = len(os.path.commonprefix([side[head:][::-1] for side in bare]))
+    ends = [len(side) - tail for side in bare]
+    every = [("SAME", *x, *y) for x, y in zip(old[:head], new[:head], strict=True)]
+    every += _aligned(old[head : ends[0]], new[head : ends[1]])
+    every += [("SAME", *x, *y) for x, y in zip(old[ends[0] :], new[ends[1] :], strict=True)]
+    changed = [k for k, r in enumerate(every) if r[0] != "SAME"]
+    near = {k + d for k in changed for d in range(-CONTEXT, CONTEXT + 1)}
     out: list[tuple] = []
-    for t, i, j, k, m in codes:
-        if t == "equal":
-            out += [("SAME", i + n + 1, a[i + n], k + n + 1, b[k + n]) for n in range(j - i)]
-            continue
-        both = min(j - i, m - k)
-        out += [("CHANGED", i + n + 1, a[i + n], k + n + 1, b[k + n]) for n in range(both)]
-        out += [("REMOVED", n + 1, a[n], None, None) for n in range(i + both, j)] + [("ADDED", None, None, n + 1, b[n]) for n in range(k + both, m)]
-    near = {q for p, r in enumerate(out) if r[0] != "SAME" for q in range(p - CONTEXT, p + CONTEXT + 1)}
-    shown, gap = [], False
-    for p, r in enumerate(out):
-        if p in near:
-            shown.append(r)
-            gap = False
-        elif not gap and near:
-            shown.append(("GAP", None, None, None, None))
-            gap = True
-    return shown
+    for shown, part in itertools.groupby(range(len(every)), near.__contains__):
+        out += [every[k] for k in part] if shown else [("GAP", None, None, None, None)] * bool(changed)
+    return out
 
 
 @F.pandas_udf(T.ArrayType(_ROW))

@@ -2,33 +2,26 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.session import cut
+
 
 def prefix(rows: DataFrame, order: list[str], size: Column, budget: int, ranges: int | None = None) -> DataFrame:
     """The rows of the longest prefix whose sizes add up to the budget at most, with used, the sum so far.
 
-    Two steps, so that no task orders all rows: sizes are summed by range of the first
-    order column, ranges before the one where the budget ends are taken whole, and the
-    running sum is made within ranges.
+    Rows are dealt by sampled ranges of the order columns, of any type, so that no task orders all:
+    ranges before the one where the budget ends are taken whole, and the running sum is
+    made within ranges. Equal rows of the order columns stay together.
     """
-    spark = rows.sparkSession
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sized = rows.withColumn("_size", size)
-    cuts = np.unique(sized.approxQuantile(order[0], [k / n for k in range(1, n)], 0.5 / n)) if n > 1 else np.zeros(0)
-
-    @F.pandas_udf("int")
-    def number(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, keys.to_numpy(dtype=float)).astype(np.int32))
-
-    sized = sized.withColumn("_range", number(F.col(order[0]).cast("double")) if len(cuts) else F.lit(0))
-    sums = sized.groupBy("_range").agg(F.sum("_size").alias("_sum"))  # a row for each range
+    dealt = cut(sized.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "prefix") if n > 1 else sized.withColumn("_range", F.lit(0))
+    sums = dealt.groupBy("_range").agg(F.sum("_size").alias("_sum"))  # a row for each range
     before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("_before") <= budget).select("_range", "_before")
     running = F.sum("_size").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return sized.join(F.broadcast(before), "_range").withColumn("used", F.col("_before") + running).where(F.col("used") <= budget).drop("_size", "_range", "_before")
+    return dealt.join(F.broadcast(before), "_range").withColumn("used", F.col("_before") + running).where(F.col("used") <= budget).drop("_size", "_range", "_before")
 
 
 def counted_prefix(rows: DataFrame, order: list[str], size: Column, budget: int) -> DataFrame:
@@ -38,9 +31,9 @@ def counted_prefix(rows: DataFrame, order: list[str], size: Column, budget: int)
 
 
 def short_references(sent: DataFrame, key: str, letter: str = "F") -> DataFrame:
-    """key, short: F1, F2 ... in the order of first appearance (column seq) in what one exchange sends, which its budget bounds."""
-    first = sent.groupBy(key).agg(F.min("seq").alias("seq"))
-    return first.select(key, F.concat(F.lit(letter), F.row_number().over(Window.orderBy("seq", key)).cast("string")).alias("short"))
+    """key, short: F1, F2 ... in the order of first appearance (column seq), numbered range by range."""
+    first = prefix(sent.groupBy(key).agg(F.min("seq").alias("seq")), ["seq", key], F.lit(1).cast("long"), 2**62)
+    return first.select(key, F.concat(F.lit(letter), F.col("used").cast("string")).alias("short"))
 
 
 def compact(sent: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:

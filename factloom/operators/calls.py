@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.graph import closure_with_paths, nearest_single, reach
+from factloom.session import cut
 
 #: Why a call isn't resolved, by category (fixed values).
 CATEGORIES = {
@@ -29,20 +30,21 @@ def written_calls(sites: DataFrame) -> DataFrame:
     return sites.groupBy("caller", "receiver", "method", "arity").agg(F.array_sort(F.collect_set(place)).alias("evidence"))
 
 
-def hierarchy(extends: DataFrame, types: DataFrame, most: int = 16) -> DataFrame:
+def hierarchy(extends: DataFrame, types: DataFrame) -> DataFrame:
     """type, reference, level: every supertype of each type and its distance, itself at 0. extends: type, super.
 
-    All types climb together, a join a level; repeated pairs keep their smallest level.
+    All types climb together, a join a level, until a level finds nothing; repeated pairs
+    keep their smallest level.
     """
-    pairs = types.select("type", F.col("type").alias("reference"), F.lit(0).alias("level"))
-    front = pairs
-    for level in range(1, most + 1):
+    pairs = front = types.select("type", F.col("type").alias("reference"), F.lit(0).alias("level"))
+    level = 0
+    while True:
+        level += 1
         up = front.join(extends.select(F.col("type").alias("reference"), "super"), "reference").select("type", F.col("super").alias("reference")).distinct()
-        front = up.join(pairs.select("type", "reference"), ["type", "reference"], "left_anti").withColumn("level", F.lit(level)).checkpoint()
+        front = cut(up.join(pairs.select("type", "reference"), ["type", "reference"], "left_anti").withColumn("level", F.lit(level)), "hierarchy")
         if front.isEmpty():
-            break
+            return pairs
         pairs = pairs.unionByName(front)
-    return pairs
 
 
 def resolve(sites: DataFrame, supers: DataFrame, declared: DataFrame, external: DataFrame) -> DataFrame:
@@ -73,15 +75,15 @@ def implementations(methods: DataFrame, interfaces: DataFrame, implements: DataF
     return wanted.join(methods.select("type", "signature", "symbol"), ["type", "signature"]).select("symbol", "declares").distinct()
 
 
-def constants(literal: DataFrame, names: DataFrame, most: int = 8) -> DataFrame:
-    """name, value of string constants: literals (name, value) and names that stand for other names (name, other), followed for `most` rounds or until nothing changes."""
+def constants(literal: DataFrame, names: DataFrame) -> DataFrame:
+    """name, value of string constants: literals (name, value) and names that stand for other names (name, other), until a round finds nothing."""
     known = literal.select("name", "value")
-    for _ in range(most):
-        new = names.join(known.withColumnRenamed("name", "other"), "other").select("name", "value").join(known, "name", "left_anti").groupBy("name").agg(F.min("value").alias("value"), F.countDistinct("value").alias("n")).where("n = 1").drop("n").checkpoint()
+    while True:
+        found = names.join(known.withColumnRenamed("name", "other"), "other").select("name", "value").join(known, "name", "left_anti")
+        new = cut(found.groupBy("name").agg(F.min("value").alias("value"), F.countDistinct("value").alias("n")).where("n = 1").drop("n"), "constants")
         if new.isEmpty():
-            break
+            return known
         known = known.unionByName(new)
-    return known
 
 
 def runtime_classpath(dependencies: DataFrame, applications: DataFrame, configurations: list[str]) -> DataFrame:
@@ -90,8 +92,8 @@ def runtime_classpath(dependencies: DataFrame, applications: DataFrame, configur
     return closure_with_paths(edges, applications.select(F.col("module").alias("reference")))
 
 
-def loading(imports: DataFrame, conditions: DataFrame, roots: DataFrame, most: int = 16) -> DataFrame:
+def loading(imports: DataFrame, conditions: DataFrame, roots: DataFrame) -> DataFrame:
     """type, state: LOADED if imports lead to it from a root without conditions, MAYBE if only with some. imports (src, dst), conditions (type), roots (reference)."""
     free = imports.join(conditions.select(F.col("type").alias("dst")).distinct(), "dst", "left_anti")
-    sure, any_way = reach(free.select("src", "dst"), roots, most), reach(imports, roots, most)
+    sure, any_way = reach(free.select("src", "dst"), roots), reach(imports, roots)
     return any_way.select("reference").join(sure.select("reference", F.lit("LOADED").alias("state")), "reference", "left").select(F.col("reference").alias("type"), F.coalesce("state", F.lit("MAYBE")).alias("state"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.canonical import flat_identity, utf16_key
 from factloom.functions.names import normal_form
+from factloom.session import cut
 
 #: Coverage types of what wasn't read (fixed values).
 UNREAD = ("NOT_INTERPRETED", "READ_ERROR")
@@ -102,27 +103,40 @@ def adjacency_rank(edges: DataFrame, anchor: str, neighbour: str, *ties: str, re
     return edges.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(utf16_key(shown), *ties)))
 
 
-def ranks_of_large(edges: DataFrame, anchor: str, neighbour: str, *ties: str, relation: str = "relation", prefix: int = 12) -> DataFrame:
-    """The same ranks without an anchor's whole adjacency in one task: places within the first characters of the neighbour plus the number of those before.
+#: Neighbours of an anchor from which its ranks are made by ranges.
+LARGE = 1_000_000
 
-    A window group is what shares these characters; a second, small window adds up the group sizes.
+
+def ranks_of_large(edges: DataFrame, anchor: str, neighbour: str, *ties: str, relation: str = "relation", large: int | None = None) -> DataFrame:
+    """The same ranks without a large anchor's whole adjacency in one task.
+
+    Anchors of more than `large` neighbours (LARGE) are dealt by sampled ranges of (anchor,
+    neighbour); a place is the rank within a range plus the numbers of those before, of
+    which there is a row for each anchor and range. All other anchors are one window group each.
     """
-    keys = [c for c in (anchor, relation) if c in edges.columns]
-    rows = edges.withColumn("_head", utf16_key(F.substring(F.col(neighbour), 1, prefix)))
-    sizes = rows.groupBy(*keys, "_head").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inner = F.row_number().over(Window.partitionBy(*keys, "_head").orderBy(utf16_key(F.col(neighbour)), *ties))
-    placed = rows.withColumn("_inner", inner).join(before, [*keys, "_head"])
-    return placed.withColumn("rank", (F.col("_inner") + F.col("_before")).cast("int")).drop("_head", "_inner", "_before")
+    keys, large = [c for c in (anchor, relation) if c in edges.columns], large or LARGE
+    order = [utf16_key(F.col(neighbour)), *map(F.col, ties)]
+    rows = cut(edges, "edges")
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large).select(*keys)
+    window = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    if hot.isEmpty():
+        return rows.withColumn("rank", window)
+    some = rows.join(hot, keys, "left_semi").withColumn("_key", order[0])
+    dealt = cut(some.repartitionByRange(*keys, "_key").withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inner = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_key", *ties))
+    placed = dealt.withColumn("_inner", inner).join(before, [*keys, "_range"]).withColumn("rank", (F.col("_inner") + F.col("_before")).cast("int"))
+    return rows.join(hot, keys, "left_anti").withColumn("rank", window).unionByName(placed.drop("_key", "_range", "_inner", "_before"))
 
 
 def rerank(ranked: DataFrame, batch: DataFrame, anchor: str, neighbour: str, *ties: str, relation: str = "relation") -> DataFrame:
-    """Ranks after a batch of edges: only adjacencies that the batch touches are ordered anew."""
+    """Ranks after a batch of edges: only adjacencies that the batch touches are ordered anew, large ones by ranges."""
     keys = [c for c in (anchor, relation) if c in ranked.columns]
     touched = batch.select(*keys).distinct()
     stay = ranked.join(touched, keys, "left_anti")
     again = ranked.drop("rank").join(touched, keys, "left_semi").unionByName(batch)
-    return stay.unionByName(adjacency_rank(again, anchor, neighbour, *ties, relation=relation))
+    return stay.unionByName(ranks_of_large(again, anchor, neighbour, *ties, relation=relation))
 
 
 def neighbours(ranked: DataFrame, anchor: str, reference: str, after: int = 0, limit: int = 20) -> DataFrame:

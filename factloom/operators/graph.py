@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.session import shared_base
+from factloom.session import cut
 
 
 @dataclass(frozen=True)
@@ -65,20 +65,31 @@ class Tile:
     work: int = 0
 
 
-def ranked_both(edges: DataFrame) -> DataFrame:
-    """Ranked adjacencies in both directions: anchor, direction, relation, far, rank, occ_id. edges: occ_id, subject, relation, object."""
+def both_directions(edges: DataFrame) -> DataFrame:
+    """Edges from both of their ends: anchor, direction, relation, far, occ_id. edges: occ_id, subject, relation, object."""
     out = edges.select(F.col("subject").alias("anchor"), F.lit("OUT").alias("direction"), "relation", F.col("object").alias("far"), "occ_id")
-    back = edges.where("object is not null").select(F.col("object").alias("anchor"), F.lit("IN").alias("direction"), "relation", F.col("subject").alias("far"), "occ_id")
-    order = Window.partitionBy("anchor", "direction", "relation").orderBy(F.encode("far", "UTF-16BE"), "occ_id")
-    return out.unionByName(back).withColumn("rank", F.row_number().over(order))
+    return out.unionByName(edges.where("object is not null").select(F.col("object").alias("anchor"), F.lit("IN").alias("direction"), "relation", F.col("subject").alias("far"), "occ_id"))
+
+
+def ranked_both(edges: DataFrame) -> DataFrame:
+    """The same with ranks, to be stored: a walk over them reads ranks rather than makes them."""
+    return both_directions(edges).withColumn("rank", F.row_number().over(Window.partitionBy("anchor", "direction", "relation").orderBy(F.encode("far", "UTF-16BE"), "occ_id")))
 
 
-def _adjacencies(ranked: DataFrame, wanted: list[tuple[str, int]], steps: list[Step], most: int, start: Cursor) -> dict[tuple[str, int], list]:
-    """The first rows of each wanted adjacency; at most `most` rows each, so the result is bounded by the request."""
-    spark = ranked.sparkSession
+def _adjacencies(edges: DataFrame, wanted: list[tuple[str, int]], steps: list[Step], most: int, start: Cursor) -> dict[tuple[str, int], list]:
+    """The first rows of each wanted adjacency; at most `most` rows each, so the result is bounded by the request.
+
+    edges: both directions, with stored ranks or without. Without, only wanted adjacencies
+    are ordered, and each task keeps as many rows of one as can be asked for.
+    """
+    spark = edges.sparkSession
     rows = [(node, k, steps[k].relation, steps[k].direction, start.after if (node, k) == (start.node, start.step) else 0) for node, k in wanted]
     asked = spark.createDataFrame(rows, "anchor string, step int, relation string, direction string, after int")
-    found = ranked.join(F.broadcast(asked), ["anchor", "relation", "direction"]).where((F.col("rank") > F.col("after")) & (F.col("rank") <= F.col("after") + most))
+    own = edges.where(F.col("relation").isin(*{s.relation for s in steps})).join(F.broadcast(asked), ["anchor", "relation", "direction"])  # a row for each node of a level, which budgets bound
+    if "rank" not in edges.columns:
+        order = Window.partitionBy("anchor", "direction", "relation", "step").orderBy(F.encode("far", "UTF-16BE"), "occ_id")
+        own = own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(r[-1] for r in rows) + most)
+    found = own.where((F.col("rank") > F.col("after")) & (F.col("rank") <= F.col("after") + most))
     out: dict[tuple[str, int], list] = {}
     for r in found.select("anchor", "step", "rank", "far", "occ_id").collect():
         out.setdefault((r.anchor, r.step), []).append((r.rank, r.far, r.occ_id))
@@ -91,8 +102,8 @@ class _Stop(Exception):
     """A budget refused: the whole tile ends here."""
 
 
-def tile(ranked: DataFrame, root: str, steps: list[Step], depth: int, limits: Limits = Limits(), fanout: int | None = None, capable: set[str] | None = None, start: Cursor | None = None, size=None, is_node=lambda far: far is not None and ":" in far) -> Tile:
-    """Breadth first, node by node, step by step, in rank order; the first budget that refuses ends the tile, a full fan-out only its node.
+def tile(edges: DataFrame, root: str, steps: list[Step], depth: int, limits: Limits = Limits(), fanout: int | None = None, capable: set[str] | None = None, start: Cursor | None = None, size=None, is_node=lambda far: far is not None and ":" in far) -> Tile:
+    """Breadth first, node by node, step by step, in rank order; the first budget that refuses ends the tile, a full fan-out only its node. edges: from both_directions() or ranked_both().
 
     An occurrence is shown once, a node entered once; a node met again is marked as a
     revisit. capable: relations that some producer can state; others are skipped without
@@ -165,7 +176,7 @@ def tile(ranked: DataFrame, root: str, steps: list[Step], depth: int, limits: Li
     try:
         for _ in range(depth):
             wanted = [(n, k) for n in frontier for k, s in enumerate(steps) if able(s)]
-            rows = _adjacencies(ranked, wanted, steps, limits.edges + 1, start) if wanted else {}
+            rows = _adjacencies(edges, wanted, steps, limits.edges + 1, start) if wanted else {}
             frontier = [f for n in frontier for f in visit(n, rows)]
             if not frontier:
                 break
@@ -174,12 +185,12 @@ def tile(ranked: DataFrame, root: str, steps: list[Step], depth: int, limits: Li
     return own
 
 
-def profiled(ranked: DataFrame, root: str, profile: str, **more) -> Tile:
+def profiled(edges: DataFrame, root: str, profile: str, **more) -> Tile:
     """The tile of a declared walk; an anchor of another kind is refused."""
     anchors, depth, steps = PROFILES[profile]
     if root.partition(":")[0] not in anchors:
         raise ValueError(f"{profile} starts from {', '.join(anchors)}")
-    return tile(ranked, root, steps, more.pop("depth", depth), **more)
+    return tile(edges, root, steps, more.pop("depth", depth), **more)
 
 
 def unexpanded(own: Tile, depth: int) -> list[tuple[str, str]]:
@@ -219,37 +230,35 @@ def read_cursor(token: str, snapshot: str, parameters: dict, revision: int) -> C
     return Cursor(node, step, after)
 
 
-def reach(edges: DataFrame, start: DataFrame, depth: int, *, guard: str | None = None) -> DataFrame:
-    """reference, level: what edges (src, dst) lead to within `depth` steps, at the smallest level. start: reference.
+def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, *, guard: str | None = None) -> DataFrame:
+    """reference, level: what edges (src, dst) lead to within `depth` steps (None: any), at the smallest level. start: reference.
 
     One join a level of the new nodes only; visited nodes are taken off by an anti-join,
-    and each level is cut from its lineage by a checkpoint. guard: a condition on edges.
+    and each level is written, so it is computed once and has no lineage. It ends when a
+    level finds nothing. guard: a condition on edges.
     """
-    spark = edges.sparkSession
-    shared_base(spark)
-    steps = (edges.where(guard) if guard else edges).select("src", "dst").distinct()
+    steps = (edges.where(guard) if guard else edges).select("src", "dst")
     seen = start.select("reference").distinct().withColumn("level", F.lit(0))
-    front = seen
-    for level in range(1, depth + 1):
+    front, level = seen, 0
+    while depth is None or level < depth:
+        level += 1
         found = front.join(steps, front["reference"] == steps["src"]).select(F.col("dst").alias("reference")).distinct()
-        front = found.join(seen.select("reference"), "reference", "left_anti").withColumn("level", F.lit(level)).checkpoint()
+        front = cut(found.join(seen.select("reference"), "reference", "left_anti").withColumn("level", F.lit(level)), "reach")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
 
-def closure_with_paths(edges: DataFrame, start: DataFrame, most: int = 32) -> DataFrame:
-    """reference, path: everything that edges lead to, each with one shortest path, the smallest of equals; stops when a round finds nothing."""
-    spark = edges.sparkSession
-    shared_base(spark)
-    seen = start.select("reference", F.array("reference").alias("path"))
-    front = seen
-    for _ in range(most):
+def closure_with_paths(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """reference, path: everything that edges lead to, each with one shortest path, the smallest of equals; ends when a round finds nothing, however long paths are."""
+    seen = front = start.select("reference", F.array("reference").alias("path"))
+    while True:
         found = front.join(edges.select("src", "dst"), F.col("reference") == F.col("src")).select(F.col("dst").alias("reference"), F.concat("path", F.array("dst")).alias("path"))
-        front = found.groupBy("reference").agg(F.min("path").alias("path")).join(seen.select("reference"), "reference", "left_anti").checkpoint()
+        front = cut(found.groupBy("reference").agg(F.min("path").alias("path")).join(seen.select("reference"), "reference", "left_anti"), "closure")
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
-    return seen
 
 
 def climb(holders: DataFrame, start: DataFrame, kind: str = "file", most: int = 8) -> DataFrame:
@@ -291,9 +300,9 @@ def local_frontier(nodes: DataFrame, proofs: DataFrame, gaps: DataFrame, most: i
     return gaps.join(F.broadcast(asked), "subject", "left_semi").orderBy("subject", "reason")
 
 
-def call_paths(ranked: DataFrame, endpoint: str, depth: int = 4, methods: int = 30) -> Tile:
+def call_paths(edges: DataFrame, endpoint: str, depth: int = 4, methods: int = 30) -> Tile:
     """The walk of a route: its handlers, then what these call."""
-    return tile(ranked, endpoint, [Step("HANDLED_BY"), Step("CALLS")], depth, Limits(nodes=methods + 1, edges=1_000, bytes=1_000_000))
+    return tile(edges, endpoint, [Step("HANDLED_BY"), Step("CALLS")], depth, Limits(nodes=methods + 1, edges=1_000, bytes=1_000_000))
 
 
 def rules_of_chains(matched: DataFrame, validated: DataFrame, rules: DataFrame) -> DataFrame:

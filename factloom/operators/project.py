@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
+import bisect
+import contextlib
+from graphlib import CycleError, TopologicalSorter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,23 +14,20 @@ from factloom.functions.dates import Request, in_period
 
 
 def ordered(commits: dict[str, float], parents: dict[str, list[str]]) -> list[str]:
-    """Children before parents; of what is free the newest first, then the smaller id. Unknown parents are ignored."""
-    waiting = dict.fromkeys(commits, 0)
+    """Children before parents; of what is free the newest first, then the smaller id. Unknown parents are ignored; commits of a cycle, and what only they lead to, are left out."""
+    graph = TopologicalSorter({c: () for c in commits})
     for child in commits:
-        for p in parents.get(child, ()):
-            if p in waiting:
-                waiting[p] += 1
-    free = [(-commits[c], c) for c, n in waiting.items() if n == 0]
-    heapq.heapify(free)
+        for parent in set(parents.get(child, ())) & commits.keys():
+            graph.add(parent, child)
+    with contextlib.suppress(CycleError):
+        graph.prepare()
+    free: list[tuple[float, str]] = []
     out = []
-    while free:
-        _, commit = heapq.heappop(free)
-        out.append(commit)
-        for p in parents.get(commit, ()):
-            if p in waiting:
-                waiting[p] -= 1
-                if waiting[p] == 0:
-                    heapq.heappush(free, (-commits[p], p))
+    while graph.is_active():
+        for commit in graph.get_ready():
+            bisect.insort(free, (-commits[commit], commit))
+        out.append(free.pop(0)[1])
+        graph.done(out[-1])
     return out
 
 

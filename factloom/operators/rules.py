@@ -18,7 +18,9 @@ _open = re.compile(r"\{\*[^{}]+\}").fullmatch
 
 @functools.lru_cache(maxsize=4096)
 def _segment(pattern: str):
-    return re.compile("".join({"*": "[^/]*", "?": "[^/]"}.get(c) or re.escape(c) for c in pattern)).fullmatch
+    """A segment's wildcards: a star for any characters, a question mark for one."""
+    wild = {"*": ".*", "?": "."}
+    return re.compile("".join(wild.get(t, re.escape(t)) for t in re.split(r"([*?])", pattern)), re.DOTALL).fullmatch
 
 
 def meets(pattern: str, route: str) -> int:
@@ -57,23 +59,55 @@ def path_match(patterns: pd.Series, routes: pd.Series) -> pd.Series:
 
 
 def verb_match(rule_verb: Column, verb: Column) -> Column:
-    return F.when(rule_verb.isNull(), ALL).when(verb == "ANY", SOME).when(rule_verb == verb, ALL).otherwise(NONE)
+    """A rule without a verb meets all; one with a verb meets some requests of an endpoint that takes any."""
+    open_, same = rule_verb.isNull(), rule_verb == verb
+    return F.when(open_ | same, F.when(~open_ & (verb == "ANY"), SOME).otherwise(ALL)).otherwise(F.when(verb == "ANY", SOME).otherwise(NONE))
+
+
+#: What restricts in an access expression: words, and calls that take quoted names (fixed values).
+RESTRICTIONS = ("isAuthenticated()", "isFullyAuthenticated()", "denyAll")
+RESTRICTING_CALLS = ("hasRole", "hasAnyRole", "hasAuthority", "hasAnyAuthority", "hasIpAddress")
 
 
 def restrictive(expression: Column) -> Column:
-    """Whether an access expression can only restrict: one restriction, or several joined by `and`."""
-    one = r"(?:isAuthenticated\(\)|isFullyAuthenticated\(\)|denyAll|(?:has(?:Any)?(?:Role|Authority)|hasIpAddress)\(\s*'[^'()]+'(?:\s*,\s*'[^'()]+')*\s*\))"
-    return F.coalesce(F.rlike(F.trim(expression), F.lit(rf"^{one}(?:\s+and\s+{one})*$")), F.lit(False))
+    """Whether an access expression can only restrict: one restriction, or several joined by `and`. Null expressions don't."""
+    # names become empty quotes, so that what they hold neither joins nor closes anything
+    plain = F.regexp_replace(F.trim(expression), "'[^'()]+'", "''")
+    parts = F.split(plain, r"\s+and\s+")
+
+    def is_call(part: Column) -> Column:
+        names = F.split(F.regexp_extract(part, r"^\w+\((.*)\)$", 1), ",")
+        return F.substring_index(part, "(", 1).isin(*RESTRICTING_CALLS) & F.forall(names, lambda n: F.trim(n) == "''")
+
+    return F.coalesce(F.forall(parts, lambda p: p.isin(*RESTRICTIONS) | is_call(p)), F.lit(False))
+
+
+def met_patterns(routes: DataFrame, patterns: DataFrame) -> DataFrame:
+    """route, pattern, outcome of every pair that meets at least in part: routes (route), patterns (pattern).
+
+    Each route and pattern is looked at once. Pairs are made by the first segment where
+    both have a plain one; only patterns or routes that begin with a wildcard or a variable
+    are paired with all of the other side's.
+    """
+    head = lambda c: F.get(F.filter(F.split(c, "/"), lambda s: s != ""), F.lit(0))
+    loose = lambda c: F.coalesce(F.rlike(head(c), F.lit(r"[*?{}]")), F.lit(True))
+    left = routes.select("route").where("route is not null").distinct().select("route", head(F.col("route")).alias("_head"), loose(F.col("route")).alias("_loose"))
+    right = patterns.select("pattern").where("pattern is not null").distinct().select("pattern", head(F.col("pattern")).alias("_head"), loose(F.col("pattern")).alias("_any"))
+    plain = left.where("not _loose").join(right.where("not _any").drop("_any"), "_head").select("route", "pattern")
+    wide = left.select("route", "_loose", F.lit(0).alias("_k")).join(right.select("pattern", "_any", F.lit(0).alias("_k")), "_k").where("_loose or _any").select("route", "pattern")
+    return plain.unionByName(wide).withColumn("outcome", path_match(F.col("pattern"), F.col("route"))).where(F.col("outcome") > NONE)
 
 
 def outcomes(endpoints: DataFrame, rules: DataFrame) -> DataFrame:
     """Endpoints with every rule of their chain and how it meets them. endpoints: endpoint, chain, verb, route; rules: chain, place, verb, pattern, readable, never, and more.
 
-    Rules are joined by chain; a chain's rules are written by hand, so a key has few of them.
+    Rules are joined by chain; a chain's rules are written by hand, so a key has few of
+    them. Paths are compared once for each route and pattern.
     """
     told = rules.withColumnsRenamed({"verb": "rule_verb"})
-    met = F.when(F.col("never"), NONE).when(~F.col("readable"), SOME).otherwise(F.least(verb_match(F.col("rule_verb"), F.col("verb")), path_match(F.col("pattern"), F.col("route"))))
-    each = endpoints.join(told, "chain").withColumn("outcome", met)
+    paths = met_patterns(endpoints, rules.where("readable and not never")).withColumnRenamed("outcome", "_path")
+    met = F.when(F.col("never"), NONE).when(~F.col("readable"), SOME).otherwise(F.least(verb_match(F.col("rule_verb"), F.col("verb")), F.coalesce("_path", F.lit(NONE))))
+    each = endpoints.join(told, "chain").join(paths, ["route", "pattern"], "left").withColumn("outcome", met)
     return each.groupBy(*endpoints.columns, "place").agg(F.max("outcome").alias("outcome"), F.first("pattern").alias("pattern"))
 
 
@@ -93,8 +127,8 @@ def chosen_chain(applies: DataFrame) -> DataFrame:
 
 
 def excluded(endpoints: DataFrame, ignored: DataFrame) -> DataFrame:
-    """Endpoints that an ignored pattern may meet: those are gaps, never matched further. The patterns are written by hand, so they are few."""
-    return endpoints.join(F.broadcast(ignored.select(F.col("pattern").alias("ignored"))), F.lit(True)).where(path_match(F.col("ignored"), F.col("route")) > NONE).select(*endpoints.columns).distinct()
+    """Endpoints that an ignored pattern may meet: those are gaps, never matched further."""
+    return endpoints.join(met_patterns(endpoints, ignored).select("route").distinct(), "route", "left_semi").select(*endpoints.columns)
 
 
 def endpoints(mappings: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def bounded_tile(spark, sf_dir):
     """A tile of depth 3 with fan-out and budgets; order and cuts have no SQL twin, tests hold it against an independent walk."""
     rows = derived.located(spark, sf_dir).unionByName(derived.placed_by(spark, sf_dir)).select(F.xxhash64("subject", "relation", "object").alias("occ_id"), "subject", "relation", "object")
     steps = [graph.Step("IN_REGION", "IN"), graph.Step("IN_NATION", "IN"), graph.Step("PLACED_BY", "IN")]
-    return graph.elements_frame(spark, graph.tile(graph.ranked_both(rows), "region:1", steps, 3, graph.Limits(nodes=150, edges=150, bytes=200_000), fanout=20))
+    return graph.elements_frame(spark, graph.tile(graph.both_directions(rows), "region:1", steps, 3, graph.Limits(nodes=150, edges=150, bytes=200_000), fanout=20))
 
 
 @query("""
@@ -131,7 +131,7 @@ SELECT seq::INT AS seq, far FROM (SELECT row_number() OVER (ORDER BY 'part:' ||
 def one_hop_tile(spark, sf_dir):
     """The tile of one step is the adjacency's first occurrences."""
     rows = facts.find_facts(derived.supplied_by(spark, sf_dir), object="supplier:7").select("subject", "relation", "object").distinct().withColumn("occ_id", F.xxhash64("subject"))
-    return graph.elements_frame(spark, graph.tile(graph.ranked_both(rows), "supplier:7", [graph.Step("SUPPLIED_BY", "IN")], 1, graph.Limits(nodes=1000, edges=200, bytes=1_000_000))).select("seq", "far")
+    return graph.elements_frame(spark, graph.tile(graph.both_directions(rows), "supplier:7", [graph.Step("SUPPLIED_BY", "IN")], 1, graph.Limits(nodes=1000, edges=200, bytes=1_000_000))).select("seq", "far")
 
 
 def _halves(spark, sf_dir):

@@ -6,9 +6,10 @@ import functools
 import os
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a batch between Spark and Python. Spark's own bound (64 MB) lets a batch of long texts, and its copies on both sides, fill an executor.
 BATCH_BYTES = 4 << 20
@@ -48,6 +49,13 @@ def shared_base(spark: SparkSession) -> str:
     return base
 
 
+def cut(df: DataFrame, purpose: str = "step") -> DataFrame:
+    """df as a table in the shared folder: computed once, with no lineage behind it."""
+    path = f"{shared_base(df.sparkSession).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ready(f: Callable) -> Callable:
     """f(spark, ...) in a session whose workers can import this package."""
 

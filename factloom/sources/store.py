@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.canonical import flat_identity
-from factloom.operators.facts import adjacency_rank
+from factloom.operators.facts import ranks_of_large
 
 VERSION = 1
 _ANALYSES = "analysis_id string, commit string, created_at timestamp, state string, batch string, layout int"
@@ -83,7 +83,7 @@ class FactStore:
         before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
         order = Window.partitionBy("_range").orderBy("identity_hash", "producer_id", "execution_id", F.coalesce("details", F.lit("")))
         rows = rows.withColumn("_inner", F.row_number().over(order)).join(F.broadcast(before), "_range").withColumn("occ_id", (F.col("_before") + F.col("_inner")).cast("long"))
-        ranked = adjacency_rank(rows, "subject", "object", "identity_hash", "occ_id").withColumnRenamed("rank", "out_rank")
+        ranked = ranks_of_large(rows, "subject", "object", "identity_hash", "occ_id").withColumnRenamed("rank", "out_rank")
         out = ranked.withColumns({"analysis_id": F.lit(analysis_id), "batch": F.lit(batch)})
         names = [c.strip().split(" ")[0] for c in _OCCURRENCES.split(",")]
         out.select(*names).write.mode("append").partitionBy("analysis_id").parquet(f"{self.path}/occurrences")

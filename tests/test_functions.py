@@ -104,6 +104,10 @@ def test_name_columns(spark):
         ("commits de 2024-02", "PERIOD", None, "2024-02-01", "2024-02-29"),
         ("avant 2024-03-01", "PERIOD", None, None, "2024-02-29"),
         ("entre 2024-01-05 et 2024-12", "PERIOD", None, "2024-01-05", "2024-12-31"),
+        ("a partir du 2026-01", "PERIOD", None, "2026-01-01", None),
+        ("à partir de 2026-01-15", "PERIOD", None, "2026-01-15", None),
+        ("du 2026-01-05 au 2026-02-03", "PERIOD", None, "2026-01-05", "2026-02-03"),
+        ("from 2026-01 until 2026-03", "PERIOD", None, "2026-01-01", "2026-03-31"),
         ("tout", "GLOBAL", None, None, None),
         (None, "GLOBAL", None, None, None),
     ],
@@ -115,6 +119,7 @@ def test_phrases(phrase, kind, count, since, until):
 def test_commit_phrases():
     assert dates.request("commit 1234567").commit == "1234567"
     assert dates.request("montre abc1234").commit == "abc1234"
+    assert dates.request("commit " + "a1" * 32).commit == "a1" * 32
     for bad in ("depuis 2024-05 jusqu'a 2024-01", "0 derniers commits", "2024-13"):
         with pytest.raises(ValueError):
             dates.request(bad)
@@ -225,7 +230,7 @@ TEXTS = st.lists(st.sampled_from(["a", "b", "c", ""]), max_size=9).map("\n".join
 def test_diffs_hold_both_sides(before, after):
     rows = diff.rows(before, after)
     assert (before == after) == (not rows)
-    a, b = before.splitlines(keepends=True), after.splitlines(keepends=True)
+    a, b = diff.lines(before), diff.lines(after)
     for kind, i, x, k, y in rows:
         assert i is None or a[i - 1] == x
         assert k is None or b[k - 1] == y
@@ -240,6 +245,17 @@ def test_changed_lines(spark):
     assert sorted(map(tuple, diff.changed_lines(rows, "id").collect())) == [(1, "after", 2), (1, "before", 2), (2, "after", 1)]
 
 
+def test_only_line_feeds_end_lines():
+    assert diff.lines("a\x0bb\u2028c\r\nd") == ["a\x0bb\u2028c\r\n", "d"] and diff.lines("") == [] and diff.lines("\n") == ["\n"]
+
+
+def test_large_texts_are_aligned_too():
+    before = "\n".join(f"line {k}" for k in range(2500))
+    after = before.replace("line 7\n", "other\n").replace("line 2000\n", "")
+    kinds = [r[0] for r in diff.rows("x\n" + before + "\ny", "z\n" + after + "\nw")]
+    assert kinds.count("CHANGED") == 3 and kinds.count("REMOVED") == 1 and "ADDED" not in kinds
+
+
 def test_line_ends_count():
     assert [r[0] for r in diff.rows("a\r\n", "a\n")] == ["CHANGED"]
     assert re.match("SAME|CHANGED", diff.rows("a\nb", "a\nb\n")[-1][0])

@@ -98,8 +98,12 @@ def test_cursor_tokens_are_bound():
 def test_tile_over_frames(spark):
     edges = [(0, "R", 1), (0, "R", 2), (1, "S", 2), (2, "R", 0)]
     frame = spark.createDataFrame([(i, f"n:{a}", r, f"n:{b}") for i, (a, r, b) in enumerate(edges)], "occ_id long, subject string, relation string, object string")
-    own = graph.tile(graph.ranked_both(frame), "n:0", graph.both_ways(["R", "S"]), 2)
-    assert [(e["occ_id"], e["node"], e["far"]) for e in own.elements] == walk(edges, graph.both_ways(["R", "S"]), 2)
+    for sides in (graph.ranked_both(frame), graph.both_directions(frame)):
+        own = graph.tile(sides, "n:0", graph.both_ways(["R", "S"]), 2)
+        assert [(e["occ_id"], e["node"], e["far"]) for e in own.elements] == walk(edges, graph.both_ways(["R", "S"]), 2)
+    wide = spark.createDataFrame([(i, "n:0", "R", f"n:{i}") for i in range(1, 60)], "occ_id long, subject string, relation string, object string")
+    page = graph.tile(graph.both_directions(wide), "n:0", [graph.Step("R")], 1, graph.Limits(edges=10), start=graph.Cursor("n:0", 0, 20))
+    assert [e["rank"] for e in page.elements] == list(range(21, 31)) and page.stop["after"] == 30
     assert graph.unexpanded(own, 2) == []
 
 
@@ -108,6 +112,10 @@ def test_reach_and_climb(spark):
     start = spark.createDataFrame([("a",)], "reference string")
     assert {(r.reference, r.level) for r in graph.reach(edges, start, 2).collect()} == {("a", 0), ("b", 1), ("c", 2)}
     assert {r.reference: r.path for r in graph.closure_with_paths(edges, start).collect()}["d"] == ["a", "b", "c", "d"]
+    chain = spark.createDataFrame([(str(k), str(k + 1)) for k in range(9)], "src string, dst string")
+    origin = spark.createDataFrame([("0",)], "reference string")
+    assert {int(r.reference): r.level for r in graph.reach(chain, origin).collect()} == {k: k for k in range(10)}
+    assert max(len(r.path) for r in graph.closure_with_paths(chain, origin).collect()) == 10
     holders = spark.createDataFrame([("file:x", "symbol:T"), ("symbol:T", "symbol:m"), ("file:y", "symbol:U"), ("file:z", "symbol:U")], "subject string, object string")
     got = graph.climb(holders, spark.createDataFrame([("symbol:m",), ("symbol:U",)], "reference string")).collect()
     assert {r.reference: r.holder for r in got} == {"symbol:m": "file:x", "symbol:U": None}
@@ -118,7 +126,10 @@ def test_ranks(spark):
     frame = spark.createDataFrame(rows, "s string, relation string, o string")
     one = {r.o: r["rank"] for r in facts.adjacency_rank(frame, "s", "o").collect()}
     assert one == {"aa": 1, "ab": 2, "z": 3, "\U0001f600": 4, "\ufb33": 5}
-    assert one == {r.o: r["rank"] for r in facts.ranks_of_large(frame, "s", "o", prefix=1).collect()}
+    assert one == {r.o: r["rank"] for r in facts.ranks_of_large(frame, "s", "o").collect()}
+    many = spark.createDataFrame([("hot", "R", f"n:{k * 7919 % 500}") for k in range(500)] + [("cold", "R", "x"), ("cold", "S", "y")], "s string, relation string, o string")
+    by_ranges, whole = (sorted(map(tuple, df.select("s", "relation", "o", "rank").collect())) for df in (facts.ranks_of_large(many.repartition(3), "s", "o", large=100), facts.adjacency_rank(many, "s", "o")))
+    assert by_ranges == whole
 
 
 def test_spelled(spark):
@@ -151,8 +162,18 @@ def test_rules(spark):
     assert [r.endpoint for r in rules.excluded(ends, spark.createDataFrame([("/z",)], "pattern string")).collect()] == ["e3"]
     made = rules.endpoints(spark.createDataFrame([("h", ["/a", "/b"], ["/x"], ["GET", "PUT"]), ("i", [], [], [])], "handler string, prefixes array<string>, paths array<string>, verbs array<string>"))
     assert {r.endpoint for r in made.collect()} == {"endpoint:GET /a/x", "endpoint:PUT /a/x", "endpoint:GET /b/x", "endpoint:PUT /b/x", "endpoint:ANY /"}
-    seen = spark.createDataFrame([("hasRole('A') and isAuthenticated()",), ("hasRole('A') or permitAll",), (None,)], "x string").select(rules.restrictive(F.col("x"))).collect()
-    assert [r[0] for r in seen] == [True, False, False]
+    told = [("hasRole('A') and isAuthenticated()", True), ("hasRole('A') or permitAll", False), (None, False), ("hasAnyRole( 'A and B' , 'C' )  and denyAll", True), ("hasRole(role)", False), ("hasRole('A') andalso denyAll", False), ("permitAll", False), ("", False), ("hasRole('A'", False), (" denyAll ", True)]
+    seen = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(told)], "i int, x string").select("i", rules.restrictive(F.col("x")).alias("r")).orderBy("i").collect()
+    assert [r.r for r in seen] == [x for _, x in told]
+    verbs = [(None, "GET", 2), (None, "ANY", 2), ("GET", "GET", 2), ("GET", "PUT", 0), ("GET", "ANY", 1)]
+    assert [r[0] for r in spark.createDataFrame([(a, b) for a, b, _ in verbs], "a string, b string").select(rules.verb_match(F.col("a"), F.col("b"))).collect()] == [v for *_, v in verbs]
+
+
+def test_met_patterns_are_all_pairs(spark):
+    patterns = ["/**", "/a/*", "/a/b", "/{x}/b", "/*b/**", "/", "/c?/d", None]
+    routes = ["/a/b", "/a", "/", "/{id}/b", "/ab/x", "/c1/d", "/{*rest}", None, "/a/b"]
+    found = rules.met_patterns(spark.createDataFrame([(r,) for r in routes], "route string"), spark.createDataFrame([(p,) for p in patterns], "pattern string"))
+    assert sorted(map(tuple, found.collect())) == sorted((r, p, rules.meets(p, r)) for r in set(routes) - {None} for p in patterns if p and rules.meets(p, r))
 
 
 def test_compare_with_itself(spark):
@@ -180,6 +201,8 @@ def test_verdicts(spark):
 def test_log_order():
     assert project.ordered({"a": 1.0, "b": 2.0, "c": 3.0, "d": 3.0}, {"d": ["b", "gone"], "c": ["b", "a"], "b": ["a"]}) == ["c", "d", "b", "a"]
     assert project.ordered({"x": 0.0, "y": 0.0}, {}) == ["x", "y"]
+    assert project.ordered({"c:10": 0.0, "c:1": 0.0, "c:2": 1.0}, {"c:2": ["c:1"]}) == ["c:2", "c:1", "c:10"]
+    assert project.ordered({"a": 1.0, "b": 2.0, "c": 0.0}, {"a": ["b"], "b": ["a"]}) == ["c"]  # a cycle has no order
 
 
 def test_routes(spark):
@@ -228,6 +251,10 @@ def test_budgets(spark):
         if total <= 120:
             kept += 1
     assert tuple(budget.counted_prefix(rows, ["id"], F.col("size"), 120).first()) == (kept, 100 - kept)
+    named = rows.withColumn("name", F.lpad(F.col("id").cast("string"), 3, "0"))  # an order column of text
+    assert tuple(budget.counted_prefix(named, ["name"], F.col("size"), 120).first()) == (kept, 100 - kept)
+    short = budget.short_references(spark.createDataFrame([("b", 5), ("a", 2), ("b", 1), ("c", 2)], "k string, seq int"), "k")
+    assert {r.k: r.short for r in short.collect()} == {"b": "F1", "a": "F2", "c": "F3"}
     lines = spark.createDataFrame([(["a", "b", "", "c"],)], "l array<string>")
     assert lines.select(budget.source_piece(F.col("l"), 1, 3)).first()[0] == "a\nb"
     assert lines.select(budget.source_piece(F.col("l"), 2, 200)).first()[0] == "b\n\nc"
