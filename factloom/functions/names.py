@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,9 +56,16 @@ def plain(text: str) -> str:
 
 
 
+def with_folded(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """The rows with a search key of a column: normal form C, case folded, cut to KEY_LENGTH. ASCII never leaves the JVM: Spark would send each row of one expression to Python."""
+    ascii_ = F.length(column) == F.octet_length(column)
+    plain = rows.where(F.coalesce(ascii_, F.lit(True))).withColumn(name, F.substring(F.lower(column), 1, KEY_LENGTH))
+    return plain.unionByName(rows.where(~ascii_).withColumn(name, _fold(column)))
+
+
 def fold(text: Column) -> Column:
-    """Search key: normal form C, case folded, cut to KEY_LENGTH. ASCII never leaves the JVM."""
-    return F.when(F.length(text) == F.octet_length(text), F.substring(F.lower(text), 1, KEY_LENGTH)).otherwise(_fold(text))
+    """The search key of each value, by Python."""
+    return _fold(text)
 
 
 @F.pandas_udf(T.StringType())

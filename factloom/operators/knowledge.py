@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.facts import covers, unread
@@ -39,25 +39,41 @@ def languages_complete(inventory: DataFrame) -> DataFrame:
     return inventory.agg((F.coalesce(F.bool_and(F.col("status") == "SUCCESS"), F.lit(False)) & ~F.coalesce(F.bool_or(unread()), F.lit(False))).alias("complete"))
 
 
-def analyzers_of(claims: DataFrame, analyzers: DataFrame) -> DataFrame:
+def _is_container(scope: Column) -> Column:
+    return F.substring_index(scope, ":", 1).isin("repository", "directory")
+
+
+def analyzers_of(claims: DataFrame, analyzers: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
     """Claims with every analyzer whose catalog has the relation, and whether it covers the subject.
 
     claims: claim_id, subject, relation, object, needed (languages or null). analyzers: analyzer_id,
-    relations, failed, unsupported, reads, languages, coverage (array of type, subject, include, exclude):
-    a row for each producer of an analysis, so it is small.
+    relations, failed, unsupported, reads, languages: a row for each producer of an analysis,
+    so they are broadcast. coverage: analyzer_id, coverage_type, subject, include, exclude,
+    of any size, or an array of these in a column of analyzers. Coverage of single
+    references is joined by reference; only scopes that hold others (repositories and
+    directories, or with exclusions), which analyzers declare by hand, are gathered.
     """
-    able = analyzers.select("*", F.explode("relations").alias("relation")).drop("relations")
-    rows = claims.join(F.broadcast(able), "relation", "left")
-    analysed = F.filter("coverage", lambda c: c["coverage_type"] == "ANALYSED")
-    inside = F.exists(analysed, lambda c: covers(c["include"], c["exclude"], F.col("subject")))
-    blind = F.exists("coverage", lambda c: unread(c["coverage_type"]) & c["subject"].isin(F.col("subject"), F.col("object")))
-    rows = rows.withColumn("has_analysed", F.coalesce(F.size(analysed) > 0, F.lit(False))).withColumn("covered", F.coalesce(inside, F.lit(False)))
+    if coverage is None:
+        coverage = analyzers.select("analyzer_id", F.inline("coverage"))
+    analysed = coverage.where("coverage_type = 'ANALYSED'")
+    wide = F.exists("include", _is_container) | (F.coalesce(F.size("exclude"), F.lit(0)) > 0)
+    single = analysed.where(~F.coalesce(wide, F.lit(False))).select("analyzer_id", F.explode("include").alias("subject")).distinct().withColumn("named", F.lit(True))
+    scopes = analysed.where(wide).groupBy("analyzer_id").agg(F.collect_set(F.struct("include", "exclude")).alias("scopes"))
+    some = analysed.select("analyzer_id").distinct().withColumn("has_analysed", F.lit(True))
+    blind = coverage.where(unread()).select("analyzer_id", F.col("subject").alias("seen")).distinct()
+
+    able = analyzers.select("analyzer_id", "failed", "unsupported", "reads", "languages", F.explode("relations").alias("relation")).join(scopes, "analyzer_id", "left").join(some, "analyzer_id", "left")
+    rows = claims.join(F.broadcast(able), "relation", "left").join(single, ["analyzer_id", "subject"], "left")
+    for side in ("subject", "object"):
+        rows = rows.join(blind.select("analyzer_id", F.col("seen").alias(side), F.lit(True).alias(f"blind_{side}")), ["analyzer_id", side], "left")
+    inside = F.exists("scopes", lambda c: covers(c["include"], c["exclude"], F.col("subject")))
+    rows = rows.withColumn("has_analysed", F.coalesce("has_analysed", F.lit(False))).withColumn("covered", F.coalesce("named", F.lit(False)) | F.coalesce(inside, F.lit(False)))
     capable = F.col("analyzer_id").isNotNull() & (F.col("failed") | ~F.col("has_analysed") | F.col("covered"))
-    return rows.withColumn("capable", capable).withColumn("blind", F.col("analyzer_id").isNotNull() & capable & (F.col("failed") | F.coalesce(blind, F.lit(False))))
+    return rows.withColumn("capable", capable).withColumn("blind", capable & (F.col("failed") | F.col("blind_subject").isNotNull() | F.col("blind_object").isNotNull()))
 
 
-def verdicts(claims: DataFrame, established: DataFrame, analyzers: DataFrame, present: list[str], complete: bool) -> DataFrame:
-    """claim_id, verdict and reason.
+def verdicts(claims: DataFrame, established: DataFrame, analyzers: DataFrame, present: list[str], complete: bool, coverage: DataFrame | None = None) -> DataFrame:
+    """claim_id, verdict and reason. Analyzers and coverage are those of analyzers_of().
 
     CONFIRMED: the same object is established. REFUTED: another one is, for an exclusive
     relation. Else NOT_PROVEN with the first reason that holds: nobody could state it
@@ -70,10 +86,10 @@ def verdicts(claims: DataFrame, established: DataFrame, analyzers: DataFrame, pr
         F.coalesce(F.bool_or(F.col("there") & F.col("stated").eqNullSafe(F.col("object"))), F.lit(False)).alias("same"),
         F.coalesce(F.bool_or(F.col("object").isNotNull() & F.col("stated").isNotNull() & (F.col("stated") != F.col("object")) & F.col("relation").isin(*EXCLUSIVE)), F.lit(False)).alias("other"),
     )
-    rows = analyzers_of(claims, analyzers)
+    rows = analyzers_of(claims, analyzers, coverage)
     reaching = F.col("analyzer_id").isNotNull() & ~F.col("failed") & ~F.col("unsupported") & F.col("covered") & reads_present(F.col("reads"), F.col("languages"), known)
     flags = rows.withColumn("reaching", F.coalesce(reaching, F.lit(False))).groupBy("claim_id", F.to_json("needed").alias("_n")).agg(
-        F.first("needed").alias("needed"),
+        F.any_value("needed").alias("needed"),
         F.coalesce(F.bool_or("capable"), F.lit(False)).alias("capable"),
         F.coalesce(F.bool_or("blind"), F.lit(False)).alias("blind"),
         F.bool_or("reaching").alias("reached"),
@@ -90,8 +106,30 @@ def verdicts(claims: DataFrame, established: DataFrame, analyzers: DataFrame, pr
 def known_objects(claims: DataFrame, established: DataFrame, most: int = 10) -> DataFrame:
     """Of each claim's subject and relation up to `most` established objects, the asked one first, and how many more there are."""
     rows = claims.select("claim_id", "subject", "relation", F.col("object").alias("asked")).join(established.select("subject", "relation", "object").distinct(), ["subject", "relation"])
-    sorted_ = F.array_sort(F.collect_set(F.struct((~F.col("object").eqNullSafe(F.col("asked"))).alias("later"), F.col("object"))))
-    return rows.groupBy("claim_id").agg(sorted_.alias("all")).select("claim_id", F.transform(F.slice("all", 1, most), lambda x: x["object"]).alias("objects"), F.greatest(F.size("all") - most, F.lit(0)).alias("more"))
+    later = ~F.col("object").eqNullSafe(F.col("asked"))
+    counts = rows.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"))
+    # each task keeps the first rows of a claim before they are shuffled
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("claim_id").orderBy(later, "object"))).where(F.col("place") <= most)
+    listed = first.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("place", "object"))).alias("all"))
+    return listed.join(counts, "claim_id").select("claim_id", F.transform("all", lambda x: x["object"]).alias("objects"), F.greatest(F.col("n") - most, F.lit(0)).cast("int").alias("more"))
+
+
+def limited_claims(facts: DataFrame, limits: DataFrame, decisive: tuple[str, ...] = EXCLUSIVE) -> DataFrame:
+    """Limits (subject, relation, limit) that hold for the asked facts (subject, relation): those of the relation or of the subject as a whole (null relation); for a relation that is decisive by itself those of the subject are dropped."""
+    asked = facts.select("subject", "relation").distinct()
+    own = limits.where("relation is not null").select("subject", "relation", "limit")
+    whole = limits.where("relation is null").select("subject", "limit")
+    return asked.join(own, ["subject", "relation"]).unionByName(asked.where(~F.col("relation").isin(*decisive)).join(whole, "subject")).distinct()
+
+
+def claim_order(facts: DataFrame, asked: str) -> DataFrame:
+    """Facts of a claim, the asked object first, then by object."""
+    return facts.orderBy(~F.col("object").eqNullSafe(F.lit(asked)), "object")
+
+
+def outside(references: DataFrame, repository: str) -> DataFrame:
+    """OUT_OF_SCOPE rows for references (subject) to other repositories than the analysed one."""
+    return references.where(F.startswith("subject", F.lit("repository:")) & (F.col("subject") != f"repository:{repository}")).select("subject", F.lit("OUT_OF_SCOPE").alias("coverage_type"))
 
 
 def coverage_report(coverage: DataFrame, by: str) -> DataFrame:

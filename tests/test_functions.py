@@ -87,6 +87,8 @@ def test_names():
 
 def test_name_columns(spark):
     rows = spark.createDataFrame([("symbol:a.B#m()",), ("symbol:a.B#f",), ("symbol:a.B",), ("file:\u00df",), (None,)], "r string")
+    keyed = {r.r: r.k for r in names.with_folded(rows, "r", "k").collect()}
+    assert keyed == {r.r: r.k for r in rows.withColumn("k", names.fold(F.col("r"))).collect()} and keyed["file:\u00df"] == "file:ss"
     got = rows.select(names.nature(F.col("r")).alias("n"), names.fold(F.col("r")).alias("f"), names.key_of(F.col("r")).alias("k"), names.untoken(names.token(F.col("r"))).alias("t"), "r").collect()
     assert [r.n for r in got] == ["METHOD", "MEMBER", "TYPE", "FILE", None]
     assert [r.f for r in got][3:] == ["file:ss", None] and got[0].k == "a.B#m()" and all(r.t == r.r for r in got)
