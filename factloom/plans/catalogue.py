@@ -635,3 +635,6 @@ def evidence_gaps(spark, sf_dir):
     proofs = rows.select(ref("document", "doc_id").alias("node"), F.col("source").alias("path"))
     languages = rows.select(ref("document", "doc_id").alias("node"), F.concat(F.lit("lang "), "lang").alias("reason"))
     return project.evidence_gaps(proofs, gaps).join(languages, ["node", "reason"], "left_semi").select("node", "subject", "reason")
+
+
+from factloom.plans import parts  # noqa: E402,F401  registers its queries, by the decorator above
