@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,12 @@ def imports(text: str) -> list[str]:
     return [m[2] for line in blanked(text).split("\n") if (m := _import.match(line))]
 
 
+def java_sources(files: DataFrame, most_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """Files (path, content as bytes) that can be read as Java, with their text; and the others that are named so, each with a reason: TOO_LARGE or NOT_UTF8."""
+    named = files.where(F.endswith("path", F.lit(".java"))).withColumn("reason", F.when(F.octet_length("content") > most_bytes, "TOO_LARGE").when(~F.is_valid_utf8(F.col("content").cast("string")), "NOT_UTF8"))
+    return named.where("reason is null").select("path", F.col("content").cast("string").alias("text")), named.where("reason is not null").select("path", "reason")
+
+
 def line_of(text: Column, offset: Column) -> Column:
     """The line, from 1, of an offset from 0."""
     return F.size(F.split(F.substring(text, F.lit(1), offset), "\n"))

@@ -24,6 +24,13 @@ def prefix(rows: DataFrame, order: list[str], size: Column, budget: int, ranges:
     return dealt.join(F.broadcast(before), "_range").withColumn("used", F.col("_before") + running).where(F.col("used") <= budget).drop("_size", "_range", "_before")
 
 
+def with_size(envelope: Column, field: str = "bytes") -> Column:
+    """A JSON object's text with a last field that holds the UTF-8 size of the whole, that field included: a number of k digits fits if the rest and k add up to one of k digits."""
+    rest = F.octet_length(envelope) + F.when(envelope == "{}", 0).otherwise(1) + len(f'"{field}":')
+    size = F.coalesce(*[F.when(F.length((rest + k).cast("string")) == k, rest + k) for k in range(1, 12)])
+    return F.concat(F.substr(envelope, F.lit(1), F.length(envelope) - 1), F.when(envelope == "{}", "").otherwise(","), F.lit(f'"{field}":'), size.cast("string"), F.lit("}"))
+
+
 def counted_prefix(rows: DataFrame, order: list[str], size: Column, budget: int) -> DataFrame:
     """sent and not_sent: how many rows fit, and how many don't."""
     sent = prefix(rows, order, size, budget).agg(F.count(F.lit(1)).alias("sent"))

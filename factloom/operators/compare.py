@@ -102,6 +102,31 @@ def same_schema(before: Column, after: Column) -> Column:
     return (F.size(before) == 0) | (F.size(after) == 0) | (F.array_sort(F.array_distinct(before)) == F.array_sort(F.array_distinct(after)))
 
 
+def recorded_pair(analyses: DataFrame, before: str, after: str) -> tuple[str, str]:
+    """The latest complete analyses of two commits; a commit without one, or the same commit twice, is refused."""
+    if before == after:
+        raise ValueError("two commits are needed")
+    found = {r.commit: r.analysis_id for r in latest_complete(analyses.where(F.col("commit").isin(before, after))).collect()}  # two rows at most
+    for commit in (before, after):
+        if commit not in found:
+            raise ValueError(f"commit {commit} has no complete analysis")
+    return found[before], found[after]
+
+
+def commit_impact(before: DataFrame, after: DataFrame, slot: list[str] = ["subject", "relation"], value: str = "object") -> DataFrame:  # noqa: B006
+    """category, subject, relation, object, before: what a change introduced, removed or modified, in the order of the category.
+
+    A slot with one removed and one added value is modified; all other identities of one
+    side alone are introduced or removed. Sides: subject, relation, object.
+    """
+    keys = [*slot, value]
+    gone, new = only(before, after, keys), only(after, before, keys)
+    changed = pair_modified(gone, new, slot, value)
+    rest = lambda side, name: side.join(changed.select(*slot), slot, "left_anti").select(F.lit(name).alias("category"), *slot, value, F.lit(None).cast("string").alias("before"))
+    modified = changed.select(F.lit("MODIFIED").alias("category"), *slot, F.col("after").alias(value), "before")
+    return impact_order(modified.unionByName(rest(new, "INTRODUCED")).unionByName(rest(gone, "REMOVED")))
+
+
 def impact_order(changes: DataFrame) -> DataFrame:
     first = F.when(F.col("category") == "MODIFIED", 0).when(F.col("category") == "INTRODUCED", 1).otherwise(2)
     return changes.orderBy(first, "subject", "relation", "object")

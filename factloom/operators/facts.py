@@ -84,6 +84,24 @@ def evidence_summary(evidence: Column) -> Column:
     return F.transform(evidence, lambda e: F.struct(*[e[f].alias(f) for f in ("path", "line_start", "line_end", "symbol", "method")]))
 
 
+EVIDENCE = "array<struct<repository:string,commit:string,method:string,path:string,content_hash:string,line_start:int,line_end:int,symbol:string>>"
+
+
+def evidence_of(facts: DataFrame, asked: DataFrame) -> DataFrame:
+    """occ_id, position and the parts of each piece of evidence of the asked occurrences (occ_id). Facts carry it in details (JSON); one without evidence has no row."""
+    own = facts.join(asked.select("occ_id").distinct(), "occ_id", "left_semi")
+    pieces = F.from_json(F.get_json_object("details", "$.evidence"), EVIDENCE)
+    return own.select("occ_id", F.posexplode(pieces).alias("position", "e")).select("occ_id", "position", "e.*")
+
+
+def entry_points(facts: DataFrame, annotations: list[str]) -> DataFrame:
+    """reference, why: what runs from outside: handlers of routes (ROUTE), methods with one of the entry annotations (ANNOTATION), and main methods (MAIN)."""
+    handled = facts.where("relation = 'HANDLED_BY'").select(F.col("object").alias("reference"), F.lit("ROUTE").alias("why"))
+    marked = facts.where((F.col("relation") == "ANNOTATED_WITH") & F.substring_index("object", ":", -1).isin(*annotations)).select(F.col("subject").alias("reference"), F.lit("ANNOTATION").alias("why"))
+    held = facts.where("relation = 'CONTAINS'").select(F.col("object").alias("reference"), F.lit("MAIN").alias("why")).where(F.endswith("reference", F.lit("#main(String[])")))
+    return handled.unionByName(marked).unionByName(held).distinct()
+
+
 def identities(facts: DataFrame) -> DataFrame:
     """identity_hash and occurrences of assertions without qualifiers; a hash aggregate with partial sums, so copies meet before the shuffle."""
     return facts.groupBy("kind", "subject", "relation", "object").agg(F.count(F.lit(1)).alias("occurrences")).withColumn("identity_hash", flat_identity(F.col("kind"), F.col("subject"), F.col("relation"), F.col("object")))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -212,10 +213,23 @@ def elements_frame(spark, own: Tile) -> DataFrame:
     return spark.createDataFrame([(i, e["occ_id"], e["node"], e["step"], e["level"], e["far"], e["rank"], e["revisit"]) for i, e in enumerate(own.elements)], schema)
 
 
-def cursor_token(cursor: Cursor, snapshot: str, parameters: dict, revision: int) -> str:
-    """An opaque continuation, bound to snapshot, parameters and fact generation."""
-    bound = hashlib.sha256(json.dumps([snapshot, parameters, revision], sort_keys=True).encode()).hexdigest()[:16]
-    return base64.urlsafe_b64encode(json.dumps([1, bound, cursor.node, cursor.step, cursor.after]).encode()).decode().rstrip("=")
+def guarded(facts: DataFrame, walk: Callable[[], Tile]) -> Tile:
+    """The tile of a walk over facts (occ_id) whose generation didn't change meanwhile; else it is refused."""
+    latest = lambda: facts.agg(F.coalesce(F.max("occ_id"), F.lit(0))).first()[0]
+    before = latest()
+    own = walk()
+    if latest() != before:
+        raise ValueError("facts were added during the walk")
+    return own
+
+
+def cursor_token(cursor: Cursor, snapshot: str, parameters: dict, revision: int, version: int = 2) -> str:
+    """An opaque continuation, bound to snapshot and fact generation, and to the parameters: all of them, or, in version 1, those that version 1 had (depth and steps)."""
+    if version not in (1, 2):
+        raise ValueError("unknown version of a continuation")
+    own = parameters if version == 2 else {k: v for k, v in parameters.items() if k in ("depth", "steps")}
+    bound = hashlib.sha256(json.dumps([version, snapshot, own, revision], sort_keys=True).encode()).hexdigest()[:16]
+    return base64.urlsafe_b64encode(json.dumps([version, bound, cursor.node, cursor.step, cursor.after]).encode()).decode().rstrip("=")
 
 
 def read_cursor(token: str, snapshot: str, parameters: dict, revision: int) -> Cursor:
@@ -224,8 +238,7 @@ def read_cursor(token: str, snapshot: str, parameters: dict, revision: int) -> C
         version, bound, node, step, after = json.loads(base64.urlsafe_b64decode(token + "=" * (-len(token) % 4)))
     except ValueError:
         raise ValueError("not a continuation") from None
-    same = json.loads(base64.urlsafe_b64decode((t := cursor_token(Cursor(node, step, after), snapshot, parameters, revision)) + "=" * (-len(t) % 4)))
-    if version != 1 or bound != same[1]:
+    if token != cursor_token(Cursor(node, step, after), snapshot, parameters, revision, version):
         raise ValueError("the continuation belongs to another request or generation")
     return Cursor(node, step, after)
 

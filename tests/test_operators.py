@@ -88,6 +88,10 @@ def test_cursors_go_on_where_a_tile_stopped(monkeypatch, edges, most):
 def test_cursor_tokens_are_bound():
     token = graph.cursor_token(graph.Cursor("n:1", 2, 3), "s", {"depth": 1}, 7)
     assert graph.read_cursor(token, "s", {"depth": 1}, 7) == graph.Cursor("n:1", 2, 3)
+    old = graph.cursor_token(graph.Cursor("n:1"), "s", {"depth": 1, "fanout": 3}, 7, version=1)
+    assert graph.read_cursor(old, "s", {"depth": 1, "fanout": 9}, 7) == graph.Cursor("n:1")  # version 1 doesn't know fan-out
+    with pytest.raises(ValueError):
+        graph.read_cursor(graph.cursor_token(graph.Cursor("n:1"), "s", {"depth": 1, "fanout": 3}, 7), "s", {"depth": 1, "fanout": 9}, 7)
     for other in (("s", {"depth": 1}, 8), ("t", {"depth": 1}, 7), ("s", {"depth": 2}, 7)):
         with pytest.raises(ValueError):
             graph.read_cursor(token, *other)
@@ -446,6 +450,59 @@ def test_guards_and_gaps(spark):
     assert {(r.producer_id, r.coverage_type) for r in validate.engine_coverage(runs, "r").collect()} == {("p", "NOT_INTERPRETED"), ("q", "OUT_OF_SCOPE")}
 
 
+def test_evidence_and_entry_points(spark):
+    rows = [(1, "endpoint:GET /a", "HANDLED_BY", "symbol:C#m()", '{"evidence":[{"path":"a","line_start":1},{"path":"b"}]}'), (2, "symbol:J#run()", "ANNOTATED_WITH", "annotation:Scheduled", "{}"), (3, "symbol:M", "CONTAINS", "symbol:M#main(String[])", None), (4, "symbol:M", "CONTAINS", "symbol:M#x()", '{"evidence":[]}')]
+    frame = spark.createDataFrame(rows, "occ_id long, subject string, relation string, object string, details string")
+    asked = spark.createDataFrame([(1,), (1,), (2,), (3,), (9,)], "occ_id long")
+    assert sorted((r.occ_id, r.position, r.path, r.line_start) for r in facts.evidence_of(frame, asked).collect()) == [(1, 0, "a", 1), (1, 1, "b", None)]
+    assert {tuple(r) for r in facts.entry_points(frame, ["Scheduled"]).collect()} == {("symbol:C#m()", "ROUTE"), ("symbol:J#run()", "ANNOTATION"), ("symbol:M#main(String[])", "MAIN")}
+
+
+def test_commit_impact(spark):
+    rows = lambda *xs: spark.createDataFrame(list(xs), "subject string, relation string, object string")
+    got = compare.commit_impact(rows(("a", "R", "1"), ("b", "R", "1"), ("c", "R", "1"), ("c", "R", "2")), rows(("a", "R", "2"), ("b", "R", "1"), ("c", "R", "3"), ("d", "S", "x"))).collect()
+    assert [tuple(r) for r in got] == [("MODIFIED", "a", "R", "2", "1"), ("INTRODUCED", "c", "R", "3", None), ("INTRODUCED", "d", "S", "x", None), ("REMOVED", "c", "R", "1", None), ("REMOVED", "c", "R", "2", None)]
+    runs = spark.createDataFrame([("x", "A1", 1, "COMPLETE"), ("x", "A2", 2, "COMPLETE"), ("y", "B1", 1, "COMPLETE"), ("z", "C1", 1, "FAILED")], "commit string, analysis_id string, created_at int, state string")
+    assert compare.recorded_pair(runs, "x", "y") == ("A2", "B1")
+    for pair in (("x", "x"), ("x", "z")):
+        with pytest.raises(ValueError):
+            compare.recorded_pair(runs, *pair)
+
+
+def test_sizes_include_themselves(spark):
+    import json
+
+    texts = ["{}", *('{"a":"' + "é" * n + 'x"}' for n in range(0, 60)), *('{"a":"' + "y" * n + '"}' for n in range(970, 990))]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select(budget.with_size(F.col("t")).alias("s")).collect():
+        assert json.loads(r.s)["bytes"] == len(r.s.encode())
+
+
+def test_java_sources(spark):
+    from factloom.functions import sources
+
+    rows = spark.createDataFrame([("A.java", bytearray(b"class A {}")), ("B.java", bytearray(b"\xff\xfe")), ("C.java", bytearray(b"x" * 50)), ("d.txt", bytearray(b"x"))], "path string, content binary")
+    read, left = sources.java_sources(rows, 40)
+    assert [tuple(r) for r in read.collect()] == [("A.java", "class A {}")]
+    assert {tuple(r) for r in left.collect()} == {("B.java", "NOT_UTF8"), ("C.java", "TOO_LARGE")}
+
+
+def test_walks_are_guarded(spark):
+    frame = spark.createDataFrame([(1,)], "occ_id long")
+    assert graph.guarded(frame, graph.Tile).elements == []
+    state = [frame]
+
+    class Moving:
+        def agg(self, *a):
+            return state[0].agg(*a)
+
+    def walk():
+        state[0] = frame.unionByName(spark.createDataFrame([(2,)], "occ_id long"))
+        return graph.Tile()
+
+    with pytest.raises(ValueError, match="during the walk"):
+        graph.guarded(Moving(), walk)
+
+
 def test_compact_form_is_exact(spark):
     rows = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "b", "x")], "id int, p string, q string")
     short, common = budget.compact(rows, ["p", "q"])
