@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a batch between Spark and Python. Spark's own bound (64 MB) lets a batch of long texts, and its copies on both sides, fill an executor.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 _SHARED = "spark.factloom.shared"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
