@@ -7,8 +7,9 @@
    message for each block and bucket, so that each pre-token reaches one task and
    is encoded there once.
 3. The ids go back to the blocks that asked, and the texts are reassembled by position.
-4. Decoding joins the token-byte table, whose place in a row is the id. It is as large as
-   the vocabulary, so it is broadcast as one row, and no token becomes a row of its own.
+4. Decoding joins the token-byte table by id. It is as large as the vocabulary, so it is
+   broadcast, and no token becomes a row of its own: where ids are at hand as arrays,
+   the join takes the table's bytes for a whole document at once.
 
 A block's number is a hash of its content and place. If a lost executor makes a task
 run again on rows in another order, numbers no longer agree, and the join of ids
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,8 +103,15 @@ def encoded_words(messages: DataFrame, path: str, pattern: str) -> DataFrame:
     return messages.mapInArrow(run, _ANSWER)
 
 
+def joined_bytes(offsets: np.ndarray, values: np.ndarray, ids: np.ndarray) -> bytes:
+    """Ids joined to the token-byte table (bounds and bytes of all tokens end to end), gathered in order."""
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(offsets) - 1):
+        raise ValueError("unknown token id")
+    return ragged_take(offsets, values, ids)[0].tobytes()
+
+
 def encoded(documents: DataFrame, path: str, pattern: str, buckets: int | None = None) -> DataFrame:
-    """doc_id, ids (array<int>) and ids_sha256 (of decimal ids, joined by spaces) of every row.
+    """doc_id and ids (array<int>) of every row.
 
     documents: doc_id, text. A null text counts as empty and has no ids; a null doc_id
     stays null; repeated rows are encoded each for itself; an empty table gives an empty
@@ -111,6 +119,15 @@ def encoded(documents: DataFrame, path: str, pattern: str, buckets: int | None =
     rank file; pattern: the splitting pattern; buckets: how many hash buckets, each a
     task, the distinct pre-tokens are dealt to (spark.sql.shuffle.partitions).
     """
+
+    def rows(doc_ids: pa.Array, flat: np.ndarray, ends: np.ndarray) -> pa.Table:
+        return pa.table({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))})
+
+    return _reassembled(documents, path, pattern, buckets, rows, "doc_id long, ids array<int>")
+
+
+def _reassembled(documents: DataFrame, path: str, pattern: str, buckets: int | None, rows: Callable[[pa.Array, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """What `rows` makes of each block's documents: their doc_ids, all ids end to end, and the bounds of each document's."""
     buckets = buckets or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = exploded(documents, pattern).repartition("block")
 
@@ -138,11 +155,9 @@ def encoded(documents: DataFrame, path: str, pattern: str, buckets: int | None =
         flat, each = ragged_take(offsets, np.frombuffer(b"".join(per_word), "<i4"), np.ascontiguousarray(raw).view("<u4").ravel())
         ends = bounds(each)[bounds(np.frombuffer(row["counts"], "<u4").astype(np.int64))]
         known, doc_ids = np.frombuffer(row["known"], "u1"), np.frombuffer(row["doc_ids"], "<i8")
-        shown = [str(i).encode() for i in range(int(flat.max(initial=0)) + 1)]
-        digests = [hashlib.sha256(b" ".join(map(shown.__getitem__, flat[a:b].tolist()))).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64(), mask=known == 0), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), "ids_sha256": digests})
+        return rows(pa.array(doc_ids, pa.int64(), mask=known == 0), flat, ends)
 
-    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, "doc_id long, ids array<int>, ids_sha256 string")
+    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, schema)
 
 
 def decoded(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -160,5 +175,14 @@ def decoded(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 def encode_and_decode(documents: DataFrame, path: str, pattern: str, buckets: int | None = None) -> DataFrame:
     """Per document: n_tokens, the hash of its ids and the hash of the bytes that they decode to. Rows are treated as by encoded()."""
-    rows = decoded(encoded(documents, path, pattern, buckets), path)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+    table = token_bytes(path)
+    kept = documents.sparkSession.sparkContext.broadcast((bounds(np.fromiter(map(len, table), np.int64, len(table))), np.frombuffer(b"".join(table), "u1")))  # a row for each token of the vocabulary
+
+    def rows(doc_ids: pa.Array, flat: np.ndarray, ends: np.ndarray) -> pa.Table:
+        shown = [str(i).encode() for i in range(len(kept.value[0]))]
+        cuts = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        ids_hash = [hashlib.sha256(b" ".join(map(shown.__getitem__, flat[a:b].tolist()))).hexdigest() for a, b in cuts]
+        bytes_hash = [hashlib.sha256(joined_bytes(*kept.value, flat[a:b])).hexdigest() for a, b in cuts]
+        return pa.table({"doc_id": doc_ids, "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids_sha256": ids_hash, "decoded_sha256": bytes_hash})
+
+    return _reassembled(documents, path, pattern, buckets, rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -33,6 +33,8 @@ SHARE = 0.5
 LEAST = 4
 #: Tokens that an item without any window needs to be sought as a whole, as it is written; shorter ones say too little.
 LEAST_TOKENS = 4
+#: Bytes of text that a task holds at once.
+TEXT_BYTES = 1 << 20
 #: Words of a name at most; longer runs of capitalised words are read word by word.
 NAME_WORDS = 4
 #: Bits of the filter of words: its size is fixed, whatever the benchmark's.
@@ -191,7 +193,7 @@ def template_windows(rows: DataFrame, key: str, known, width: int = WINDOW, lite
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, TEXT_BYTES):
             found = Templates(column(block, "text"), known)
             keys = column(block, "key")
             sets = [(width, found.windows(width, literals), found.ends, False)]

@@ -84,6 +84,11 @@ def test_decoding_joins_the_table(spark, odd):
     assert sorted(bytes(r.bytes).decode() for r in bpe.decoded(rows, RANKS).collect()) == ["", "", "Grüße, 日本!"]
     with pytest.raises(Exception, match="unknown token id"):
         bpe.decoded(spark.createDataFrame([(1, [999_999])], "doc_id int, ids array<int>"), RANKS).collect()
+    table = pretokens.token_bytes(RANKS)
+    parts = bounds(np.array([len(t) for t in table])), np.frombuffer(b"".join(table), "u1")
+    assert bpe.joined_bytes(*parts, np.array(reference().encode_ordinary("Grüße, 日本!"))).decode() == "Grüße, 日本!" and bpe.joined_bytes(*parts, np.zeros(0, int)) == b""
+    with pytest.raises(ValueError, match="unknown token id"):
+        bpe.joined_bytes(*parts, np.array([len(table)]))
     back = bpe.decoded(bpe.encoded(odd, RANKS, PATTERN, buckets=2), RANKS)
     assert {r.doc_id: bytes(r.bytes).decode() for r in back.collect()} == {i: t or "" for i, t in enumerate(ODD)}
 
