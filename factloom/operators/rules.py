@@ -82,20 +82,28 @@ def restrictive(expression: Column) -> Column:
     return F.coalesce(F.forall(parts, lambda p: p.isin(*RESTRICTIONS) | is_call(p)), F.lit(False))
 
 
+#: Distinct patterns that one set of rules holds at most: they are written by hand, and each reaches every task.
+MOST_PATTERNS = 10_000
+
+
 def met_patterns(routes: DataFrame, patterns: DataFrame) -> DataFrame:
-    """route, pattern, outcome of every pair that meets at least in part: routes (route), patterns (pattern).
+    """route, pattern, outcome of every pair that meets at least in part: routes (route), of any number; patterns (pattern), MOST_PATTERNS at most, or it is refused.
 
     Each route and pattern is looked at once. Pairs are made by the first segment where
     both have a plain one; only patterns or routes that begin with a wildcard or a variable
-    are paired with all of the other side's.
+    are paired with all of the other side's, by a broadcast of the patterns.
     """
     head = lambda c: F.get(F.filter(F.split(c, "/"), lambda s: s != ""), F.lit(0))
     loose = lambda c: F.coalesce(F.rlike(head(c), F.lit(r"[*?{}]")), F.lit(True))
     left = routes.select("route").where("route is not null").distinct().select("route", head(F.col("route")).alias("_head"), loose(F.col("route")).alias("_loose"))
     right = patterns.select("pattern").where("pattern is not null").distinct().select("pattern", head(F.col("pattern")).alias("_head"), loose(F.col("pattern")).alias("_any"))
-    plain = left.where("not _loose").join(right.where("not _any").drop("_any"), "_head").select("route", "pattern")
-    wide = left.select("route", "_loose", F.lit(0).alias("_k")).join(right.select("pattern", "_any", F.lit(0).alias("_k")), "_k").where("_loose or _any").select("route", "pattern")
-    return plain.unionByName(wide).withColumn("outcome", path_match(F.col("pattern"), F.col("route"))).where(F.col("outcome") > NONE)
+    if right.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
+    plain = F.broadcast(right.where("not _any").drop("_any"))
+    pairs = left.where("not _loose").join(plain, "_head").select("route", "pattern")
+    pairs = pairs.unionByName(left.where("_loose").select("route").join(F.broadcast(right.where("not _any").select("pattern")), F.lit(True)))
+    pairs = pairs.unionByName(left.select("route").join(F.broadcast(right.where("_any").select("pattern")), F.lit(True)))
+    return pairs.withColumn("outcome", path_match(F.col("pattern"), F.col("route"))).where(F.col("outcome") > NONE)
 
 
 def outcomes(endpoints: DataFrame, rules: DataFrame) -> DataFrame:

@@ -178,6 +178,8 @@ def test_met_patterns_are_all_pairs(spark):
     routes = ["/a/b", "/a", "/", "/{id}/b", "/ab/x", "/c1/d", "/{*rest}", None, "/a/b"]
     found = rules.met_patterns(spark.createDataFrame([(r,) for r in routes], "route string"), spark.createDataFrame([(p,) for p in patterns], "pattern string"))
     assert sorted(map(tuple, found.collect())) == sorted((r, p, rules.meets(p, r)) for r in set(routes) - {None} for p in patterns if p and rules.meets(p, r))
+    with pytest.raises(ValueError, match="patterns"):
+        rules.met_patterns(spark.createDataFrame([("/a",)], "route string"), spark.range(rules.MOST_PATTERNS + 1).select(F.concat(F.lit("/"), "id").alias("pattern")))
 
 
 def test_compare_with_itself(spark):
