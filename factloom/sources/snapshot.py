@@ -18,6 +18,7 @@ LANGUAGES = {".java": "Java", ".py": "Python", ".ts": "TypeScript", ".tsx": "Typ
 IGNORED = (".git", "node_modules", ".venv", "venv", "dist", "build", "target", "__pycache__", ".python-packages")
 #: Files that are never shown, and files that tools make (fixed values).
 CONFIDENTIAL = r"(^|/)\.env(\.[^/]*)?$"
+#: Names and endings of generated files (fixed values).
 GENERATED_NAMES = ("package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "poetry.lock", "pipfile.lock", "uv.lock", "cargo.lock", "go.sum", "composer.lock", "gemfile.lock", "gradle.lockfile")
 GENERATED_ENDS = (".min.js", ".min.css", ".map", ".snap")
 
@@ -31,8 +32,14 @@ def working_tree(spark: SparkSession, path: str) -> DataFrame:
     return files.select(below.alias("path"), F.col("length").alias("size"), "content").where(~F.rlike("path", F.lit(CONFIDENTIAL)) & ~F.startswith("path", F.lit(".git/")))
 
 
+#: Files of a tree whose fingerprint is made at most: one short line of each meets the others.
+MOST_FILES = 1_000_000
+
+
 def fingerprint(files: DataFrame) -> DataFrame:
-    """SHA-256 over the digests of all files by path, line ends normalized: digests are made by file, and only these (one short line a file) meet."""
+    """SHA-256 over the digests of all files by path, line ends normalized: digests are made by file, and only these (one short line a file) meet. A tree of over MOST_FILES files is refused."""
+    if files.select("path").limit(MOST_FILES + 1).count() > MOST_FILES:
+        raise ValueError(f"a tree of more than {MOST_FILES} files")
     text = F.replace(F.decode("content", "ISO-8859-1"), F.lit("\r\n"), F.lit("\n"))
     each = files.select(normal_form(F.col("path")).alias("path"), F.sha2(F.encode(text, "ISO-8859-1"), 256).alias("digest"))
     return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "digest"))), lambda x: F.concat_ws(" ", x["path"], x["digest"])), "\n"), 256).alias("content_fingerprint"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -137,15 +138,24 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def revisions(events: DataFrame) -> DataFrame:
-    """The same fold over a table whose events are in order: the number of accepted events by job."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        revision = conflicts = 0
-        for expected in group.sort_values("event_id").expected:
-            if expected == revision:
-                revision += 1
-            else:
-                conflicts += 1
-        return pd.DataFrame({"job_id": [group.job_id.iloc[0]], "revision": [revision], "conflicts": [conflicts]})
-
-    return events.select("job_id", "event_id", "expected").groupBy("job_id").applyInPandas(run, "job_id long, revision long, conflicts long")
+    """The same fold over a table: job_id, revision and conflicts. Jobs are dealt out and sorted by Spark; a task reads them batch by batch and carries two numbers, however many events a job has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, revision, conflicts, some = None, 0, 0, False
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"job_id": [job], "revision": [revision], "conflicts": [conflicts]}, schema=pa.schema([(n, pa.int64()) for n in ("job_id", "revision", "conflicts")]))
+
+        for batch in batches:
+            for now, expected in zip(batch.column("job_id").to_pylist(), batch.column("expected").to_pylist(), strict=True):
+                if some and now != job:
+                    yield done()
+                    revision = conflicts = 0
+                job, some = now, True
+                taken = expected == revision
+                revision, conflicts = revision + taken, conflicts + (not taken)
+        if some:
+            yield done()
+
+    rows = events.select(F.col("job_id").cast("long").alias("job_id"), "event_id", F.col("expected").cast("long").alias("expected"))
+    return rows.repartition("job_id").sortWithinPartitions("job_id", "event_id").mapInArrow(run, "job_id long, revision long, conflicts long")
