@@ -353,6 +353,8 @@ def _families(keyed: DataFrame, radius: int) -> DataFrame:
             if over:
                 columns = [np.full(len(fps), key), nodes, fps]
             else:
+                order = np.argsort(nodes)  # the smallest node is a tree's root in every bucket, so that buckets tell the same edges
+                fps, nodes = fps[order], nodes[order]
                 found = np.array(families(fps, radius), dtype=np.int64).reshape(-1, 2)
                 columns = [pa.nulls(len(found), pa.int64()), nodes[found[:, 0]], nodes[found[:, 1]]]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "a", "b"])
