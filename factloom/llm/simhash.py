@@ -404,7 +404,9 @@ def near_copies(documents: DataFrame, words: int = COPY_WORDS, share: float = CO
     tables = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t"), F.lit(_signed(m)).alias("mask")) for k in range(prints) for t, m in enumerate(masks(radius))])
     each = classes.select("node", "fps", F.explode(tables).alias("x")).select("node", F.get("fps", F.col("x.k")).alias("fp"), "x")
     keyed = each.select(F.xxhash64("x.k", "x.t", F.col("fp").bitwiseAND(F.col("x.mask"))).alias("key"), "fp", "node")
-    found = components(_families(keyed, radius))
+    # a node's roots, of which there is one a table at most, are joined to the smallest of them: about as many edges as nodes are left
+    roots = _families(keyed, radius).groupBy("b").agg(F.collect_set("a").alias("roots"))
+    found = components(roots.select(F.explode(F.concat(F.array("b"), "roots")).alias("a"), F.array_min("roots").alias("b")).distinct())
     family = written(classes.join(found.hint("merge"), "node").select("root", "node", "fps", "bytes"), shared_dir(spark, "copy-families"))
     # written, so that the join has exchanges of its own and a large family's rows can be split
     parts = written(family.groupBy("root").agg(F.greatest(F.ceil(F.sum("bytes") / TILE_BYTES), F.lit(1)).alias("parts")), shared_dir(spark, "copy-parts"))
