@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, chat, decontaminate, edit_counts, planes, quality, secrets, shards, simhash, toxicity
+from factloom.llm import bpe, chat, decontaminate, divergence, edit_counts, planes, quality, secrets, shards, simhash, toxicity, yinyang
 from factloom.llm.common import shared_dir, table, written
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -108,10 +108,55 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.cluster(table(spark, sf_dir, "embeddings")).drop("measured")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_byte_bpe, op3_token_planes, op4_secret_scan, op5_chat_format, op6_edit_counts, op7_simhash, op8_virtual_slots, op9_quality_rules, op10_toxicity)
-}
+    for f in (
+        op1_decontamination, op2_byte_bpe, op3_token_planes, op4_secret_scan, op5_chat_format, op6_edit_counts, op7_simhash, op8_virtual_slots, op9_quality_rules, op10_toxicity,
+        op12_source_divergence, op13_yinyang,
+    )
+}
+
+
+def _clustering_sql(rounds: int = 3) -> str:
+    """The rounds of the clustering one after the other, every distance measured."""
+    floor = "(sum(x)::HUGEINT - ((sum(x)::HUGEINT % count(*)) + count(*)) % count(*)) // count(*)"
+    steps = [
+        """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM kept ORDER BY sha256('1:' || vec_id), v LIMIT 16
+)"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT r, vec_id, kept.v, min((d, c)) AS m FROM (
+    SELECT kept.r, kept.vec_id, kept.v, c{k}.c, list_sum(list_transform(list_zip(kept.v, c{k}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept, c{k}
+  ) AS kept GROUP BY ALL
+)""")
+        if k < rounds:
+            steps.append(f"""c{k + 1} AS MATERIALIZED (
+  SELECT c, coalesce(m.v, c{k}.v) AS v FROM c{k} LEFT JOIN (
+    SELECT c, list(f ORDER BY i) AS v FROM (
+      SELECT c, i, CAST({floor} AS BIGINT) AS f FROM (SELECT m[2] AS c, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{k}) GROUP BY c, i
+    ) GROUP BY c
+  ) AS m USING (c)
+)""")
+    last = f"""
+SELECT vec_id, CAST(m[2] AS INTEGER) AS cluster, m[1] AS distance, CAST(sum(m[1]) OVER (PARTITION BY m[2]) AS BIGINT) AS cluster_inertia, CAST(sum(m[1]) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = m[2]"""
+    return ", ".join(steps) + last
+
 
 ORACLE_SQL: dict[str, str] = {
     "op5_chat_format": r"""
@@ -149,4 +194,30 @@ WITH d AS (
     + 8 * (2 * n_dup_lines > n_lines)::INT + 16 * (word_chars > 25 * n_words)::INT + 32 * (2 * word_chars < 3 * n_words)::INT AS BIGINT) AS failed FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed & 63 = 0 AS kept, failed, CASE WHEN bit_count(failed & 63) = 1 THEN failed & 63 ELSE 0 END AS failed_alone FROM f""",
+    "op12_source_divergence": r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), n AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(ts) AS term FROM d) GROUP BY ALL
+), often AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(ts)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 30
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), dense AS (
+  SELECT lang, g.source, term, coalesce(n.n, 0) AS n FROM g JOIN often USING (lang) LEFT JOIN n USING (lang, source, term)
+), p AS MATERIALIZED (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p FROM dense
+), q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q FROM (SELECT lang, term, sum(n)::BIGINT AS n FROM dense GROUP BY ALL)
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+)
+SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', term, CAST(p - q AS BIGINT), CAST(row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) AS INTEGER) AS rank
+FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q QUALIFY rank <= 50""",
+    "op13_yinyang": _clustering_sql(),
 }
