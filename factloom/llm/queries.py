@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, chat, decontaminate, divergence, edit_counts, planes, quality, secrets, shards, simhash, toxicity, yinyang
+from factloom.llm import bpe, chat, decontaminate, divergence, edit_counts, planes, prefix_free, quality, secrets, shards, simhash, toxicity, yinyang
 from factloom.llm.common import shared_dir, table, written
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -108,6 +108,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -120,7 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_byte_bpe, op3_token_planes, op4_secret_scan, op5_chat_format, op6_edit_counts, op7_simhash, op8_virtual_slots, op9_quality_rules, op10_toxicity,
-        op12_source_divergence, op13_yinyang,
+        op11_suffix_dedup, op12_source_divergence, op13_yinyang,
     )
 }
 

@@ -42,7 +42,7 @@ def first_centroids(kept: DataFrame, clusters: int = CLUSTERS, seed: str = "1:")
     """The vectors with the smallest SHA-256 of seed and vec_id, as rows; equal hashes by components, null ids last; fewer vectors give fewer centroids."""
     hashed = kept.select(F.sha2(F.concat(F.lit(seed), F.col("vec_id").cast("string")).cast("binary"), 256).alias("hash"), "v")
     rows = hashed.orderBy(F.asc_nulls_last("hash"), "v").limit(clusters).collect()  # one row a cluster
-    return np.array([r.v for r in rows], dtype=np.int64).reshape(len(rows), -1)
+    return np.array([r.v for r in rows], dtype=np.int64).reshape(len(rows), len(rows[0].v) if rows else 0)
 
 
 def squared(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
