@@ -28,6 +28,15 @@ def prefix(text: str) -> str:
     return out
 
 
+def successor(text: str) -> str | None:
+    """The smallest string behind all that begin with the text, by code points without surrogates; None if there is none."""
+    for k in range(len(text) - 1, -1, -1):
+        if text[k] != chr(0x10FFFF):
+            after = ord(text[k]) + 1
+            return text[:k] + chr(0xE000 if 0xD800 <= after < 0xE000 else after)
+    return None
+
+
 def endings(reference: str) -> list[str]:
     """All names of a reference: its key from each segment on; those of a callable with and without the list of parameters."""
     kind, _, key = reference.partition(":")

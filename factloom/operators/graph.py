@@ -83,9 +83,11 @@ def _adjacencies(edges: DataFrame, wanted: list[tuple[str, int]], steps: list[St
     edges: both directions, with stored ranks or without. Without, only wanted adjacencies
     are ordered, and each task keeps as many rows of one as can be asked for.
     """
-    spark = edges.sparkSession
+    spark = edges.table.spark if hasattr(edges, "edges_of") else edges.sparkSession
     rows = [(node, k, steps[k].relation, steps[k].direction, start.after if (node, k) == (start.node, start.step) else 0) for node, k in wanted]
     asked = spark.createDataFrame(rows, "anchor string, step int, relation string, direction string, after int")
+    if hasattr(edges, "edges_of"):
+        edges = edges.edges_of(sorted({node for node, _ in wanted}))
     own = edges.where(F.col("relation").isin(*{s.relation for s in steps})).join(F.broadcast(asked), ["anchor", "relation", "direction"])  # a row for each node of a level, which budgets bound
     if "rank" not in edges.columns:
         order = Window.partitionBy("anchor", "direction", "relation", "step").orderBy(F.encode("far", "UTF-16BE"), "occ_id")
@@ -104,7 +106,7 @@ class _Stop(Exception):
 
 
 def tile(edges: DataFrame, root: str, steps: list[Step], depth: int, limits: Limits = Limits(), fanout: int | None = None, capable: set[str] | None = None, start: Cursor | None = None, size=None, is_node=lambda far: far is not None and ":" in far) -> Tile:
-    """Breadth first, node by node, step by step, in rank order; the first budget that refuses ends the tile, a full fan-out only its node. edges: from both_directions() or ranked_both().
+    """Breadth first, node by node, step by step, in rank order; the first budget that refuses ends the tile, a full fan-out only its node. edges: from both_directions() or ranked_both(), or stored ones (sources.adjacency), of which only files with asked nodes are read.
 
     An occurrence is shown once, a node entered once; a node met again is marked as a
     revisit. capable: relations that some producer can state; others are skipped without
