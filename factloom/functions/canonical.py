@@ -12,7 +12,7 @@ import math
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,9 +173,43 @@ def fact_identity(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+#: Characters that JSON writes as they are and that no normal form changes: printable ASCII but for quotes and backslashes.
+PLAIN = r"^[ !#-\[\]-~]*$"
+
+
+def is_flat(*parts: Column) -> Column:
+    """Whether flat_identity() holds for parts: each is there and plain."""
+    out = F.lit(True)
+    for part in parts:
+        out = out & F.coalesce(F.rlike(part, F.lit(PLAIN)), F.lit(False))
+    return out
+
+
 def flat_identity(kind: Column, subject: Column, relation: Column, obj: Column) -> Column:
-    """The identity hash of an assertion without qualifiers whose parts are plain ASCII, by built-in functions."""
-    return F.sha2(F.concat_ws("|", kind, subject, relation, obj), 256)
+    """identity_hash() of an assertion without qualifiers whose parts are plain, by built-in functions: its canonical JSON, keys in order."""
+    text = F.concat(F.lit(TAG.decode() + '{"kind":"'), kind, F.lit('","object":"'), obj, F.lit('","relation":"'), relation, F.lit('","subject":"'), subject, F.lit('"}'))
+    return F.sha2(text, 256)
+
+
+#: Columns that identities of stored facts are made of; qualifiers and scope are JSON.
+STORED_FIELDS = ("kind", "subject", "relation", "object", "qualifiers", "coverage_type", "scope", "producer_id", "pattern", "method")
+
+
+def with_identity(rows: DataFrame) -> DataFrame:
+    """The rows with identity_hash; of STORED_FIELDS those that they have.
+
+    Plain assertions are hashed in the JVM; all others are put together as JSON and hashed
+    by their canonical form in Python. A fact that has none (unknown kind, repeated keys,
+    numbers beyond the safe range) gets null.
+    """
+    have = [c for c in STORED_FIELDS if c in rows.columns]
+    plain = (F.col("kind") == "ASSERTION") & is_flat(*map(F.col, ("subject", "relation", "object")))
+    if "qualifiers" in have:
+        plain = plain & F.col("qualifiers").isNull()
+    quick = rows.where(F.coalesce(plain, F.lit(False))).withColumn("identity_hash", flat_identity(*map(F.col, ("kind", "subject", "relation", "object"))))
+    parts = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f'"{c}":'), F.col(c) if c in ("qualifiers", "scope") else F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", ""))) for c in have]
+    other = rows.where(~F.coalesce(plain, F.lit(False))).withColumn("identity_hash", fact_identity(F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}"))))
+    return quick.unionByName(other)
 
 
 def utf16_key(text: Column) -> Column:

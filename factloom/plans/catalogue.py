@@ -51,7 +51,7 @@ def find_facts_by_subject(spark, sf_dir):
     return found.groupBy("subject", "relation", "object").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
-@query("SELECT sha256('ASSERTION|part:' || l_partkey || '|SUPPLIED_BY|supplier:' || l_suppkey) AS identity_hash, count(*) AS occurrences FROM lineitem GROUP BY l_partkey, l_suppkey")
+@query("""SELECT sha256('fact-identity/1' || chr(10) || '{"kind":"ASSERTION","object":"supplier:' || l_suppkey || '","relation":"SUPPLIED_BY","subject":"part:' || l_partkey || '"}') AS identity_hash, count(*) AS occurrences FROM lineitem GROUP BY l_partkey, l_suppkey""")
 def identity_split(spark, sf_dir):
     """Identities and their occurrences (1.3, C8, X22)."""
     return facts.identities(derived.supplied_by(spark, sf_dir)).select("identity_hash", "occurrences")

@@ -315,8 +315,52 @@ def test_store(spark, tmp_path):
     assert facts.revision(store.facts("A")).first().revision == 3
     plan = store.facts("A")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(analysis_id" in plan
-    store.migrate(str(tmp_path / "new"), 2)
-    assert FactStore(spark, str(tmp_path / "new")).facts("A").count() == 3
+    new = FactStore(spark, str(tmp_path / "new"))
+    assert not store.migrate(str(tmp_path / "new"), 3, most=2) and new.analyses().count() == new.facts().count() == 0
+    assert not store.migrate(str(tmp_path / "new"), 3, most=1) and store.migrate(str(tmp_path / "new"), 3) and store.migrate(str(tmp_path / "new"), 3)
+    assert new.facts("A").count() == 3 and {r.layout for r in new.analyses().collect()} == {3}
+    shown = lambda df: sorted(map(str, df.collect()))
+    assert shown(new.facts()) == shown(store.facts()) and shown(new.identities()) == shown(store.identities())
+    assert shown(new.edges("A").edges()) == shown(store.edges("A").edges())
+    assert [r.reference for r in new.references.by_prefix("", limit=9).collect()] == [r.reference for r in store.references.by_prefix("", limit=9).collect()] == ["file:a", "symbol:b", "symbol:c"]
+    assert [(r.rank, r.far) for r in store.edges("A").page("file:a", "CONTAINS").collect()] == [(1, "symbol:b"), (2, "symbol:b"), (3, "symbol:c")]
+
+
+FACT = "kind string, subject string, relation string, object string, producer_id string, execution_id string, qualifiers string, coverage_type string, scope string"
+
+
+def test_store_identities(spark, tmp_path):
+    import datetime as dt
+    import json
+    import threading
+
+    from factloom.functions import canonical
+
+    store = FactStore(spark, str(tmp_path / "store"))
+    pair = lambda s, r, o, q=None: ("ASSERTION", s, r, o, "p", "x", q, None, None)
+    cover = lambda s, t, scope, p="p": ("COVERAGE", s, None, None, p, "x", None, t, scope)
+    rows = [
+        pair("commit:a", "CHILD_OF", "commit:b", '{"position": 0}'), pair("commit:a", "CHILD_OF", "commit:b", '{"position": 1}'), pair("commit:a", "CHILD_OF", "commit:b"),
+        pair("a|R|b", "R", "c"), pair("a", "R", "b|R|c"), pair("file:caf\u00e9", "R", "x:1"), pair("file:cafe\u0301", "R", "x:1"), pair('q:"', "R", "b:\\"), pair("x:1", "R", None),
+        cover("file:a", "ANALYSED", '{"include": ["b", "a"]}'), cover("file:a", "ANALYSED", '{"include": ["a", "b", "a"]}'), cover("file:a", "READ_ERROR", '{"include": ["a", "b"]}'), cover("file:a", "ANALYSED", '{"include": ["a", "b"]}', "q"),
+    ]
+    frame = spark.createDataFrame(rows, FACT)
+    names = [c.split()[0] for c in FACT.split(", ")]
+    facts_ = [{k: json.loads(v) if k in ("qualifiers", "scope") else v for k, v in zip(names, r, strict=True) if v is not None} for r in rows]
+    expected = {canonical.identity_hash(f) for f in facts_}
+    assert store.add("A", "c", dt.datetime(2024, 1, 1), frame) == len(rows)
+    assert len(expected) == 11 == store.identities().count() and {r.identity_hash for r in store.identities().collect()} == expected
+    assert {r.identity_hash for r in store.facts("A").collect()} == expected
+    assert {r.qualifiers for r in store.facts("A").where("relation = 'CHILD_OF'").collect()} == {None, '{"position": 0}', '{"position": 1}'}
+    with pytest.raises(ValueError, match="canonical"):
+        store.add("B", "c", None, spark.createDataFrame([pair("a:1", "R", "b:1", '{"n": 1, "n": 2}')], FACT))
+    more = spark.createDataFrame([pair("new:1", "R", "new:2"), *rows[:2]], FACT)
+    threads = [threading.Thread(target=lambda k=k: store.add(f"T{k}", "c", None, more)) for k in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert store.identities().count() == 12 and sorted(r.analysis_id for r in store.analyses().collect()) == ["A", "T0", "T1"]
 
 
 def test_pushdown(spark):
