@@ -1,18 +1,19 @@
 """Removal of long repeated strings by prefix-free parsing.
 
-A rolling hash over a few bytes triggers phrase borders, so equal passages are parsed
-alike wherever they stand. A string of `length` bytes is then the end of one phrase, whole
-phrases from its first trigger to its last (its run in the parse), and the beginning of
-another phrase. Strings that begin in one phrase and have one run lie side by side: they
-share a context, a few hundred bytes that are read once for all of them.
-
-Corpus order is needed only where it isn't plain already: a run that the parse has once
-can't repeat, and a context that the corpus has twice repeats whole. Other contexts of
-one run are put in the order of their phrases' ends (the dictionary's suffixes, sorted)
-and of what follows the run (the parse's suffixes, sorted), with common lengths between
-neighbours. Both orders together are the corpus order of all strings of the run: strings
-are equal if neither order parts them at their depth. Runs with very many contexts are
-dealt out; blocks of them tell each other one row for each different string.
+A rolling hash over a few bytes triggers phrase borders: a place is a trigger if its hash
+is the least of a string of `length` bytes. So equal passages are parsed alike wherever
+they stand, and each string has one trigger that is its own: it is the end of the phrase
+before, the trigger, and the beginning of what follows in the parse. Neighbouring strings
+with one trigger share a context, a few hundred bytes that are read once for all of them.
+
+Corpus order is needed only where it isn't plain already: a context that the corpus has
+twice repeats whole, and a trigger with one context repeats no further. Other contexts of
+one trigger are put in the order of the phrases' ends before it (the dictionary's
+suffixes, sorted) and of what follows it (the parse's suffixes, sorted), with common
+lengths between neighbours. Both orders together are the corpus order of all strings of
+the trigger: strings are equal if neither order parts them at their depth. Triggers with
+very many contexts are dealt out; blocks of them tell each other one row for each
+different string.
 """
 
 from __future__ import annotations
@@ -29,60 +30,59 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import FILTER_BITS, bit_filter, blocks, bounds, held_bits, scratch, shared_dir, texts, written
 
-#: Bytes of a string that must not repeat; bytes that a trigger is made of; one place in so many is a trigger.
-LENGTH, WINDOW, EVERY = 400, 12, 64
-#: Bits of the filters over hashes of runs: they only spare work, joins and orders decide.
+#: Bytes of a string that must not repeat, and bytes that a trigger is made of (at most half of them).
+LENGTH, WINDOW = 400, 32
+#: Bits of the filters over hashes of triggers: they only spare work, joins and orders decide.
 FILTER = 1 << 27
 #: Bytes of text that are parsed at once (longer texts go piece by piece), and bytes of contexts that are ordered at once.
-PARSED, ORDERED = 1 << 20, 2 << 20
-#: Contexts of a run from which on it is dealt out, occurrences of a context from which on they are, and parts that they are dealt out to.
+PARSED, ORDERED = 1 << 18, 2 << 20
+#: Contexts of a trigger from which on it is dealt out, occurrences of a context from which on they are, and parts that they are dealt out to.
 CROWD, HOT, DEALT = 4096, 1024, 64
 #: Bytes of a document whose spans are merged as one row.
 CHUNK = 1 << 16
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # any odd numbers
 
 
-def triggers(data: np.ndarray, window: int = WINDOW, every: int = EVERY) -> np.ndarray:
-    """Whether a window of bytes that begins here has a rolling hash that ends a phrase; an array as long as data."""
-    out = np.zeros(len(data), dtype=bool)
-    if len(data) >= window:
-        power, have, rolled, own = _BASE, 1, None, data.astype(np.uint64)  # numbers wrap at 64 bits
-        at = 0
-        for bit in range(window.bit_length()):  # windows of 1, 2, 4, ... bytes, joined to one of `window`
-            if window >> bit & 1:
-                part = own[at : at + len(data) - window + 1]
-                rolled = part if rolled is None else rolled * power + part
-                at += have
-            own = own[:-have] * power + own[have:] if len(own) > have else own[:0]
-            power, have = np.uint64(int(power) ** 2 % 2**64), 2 * have
-        mixed = (rolled ^ (rolled >> np.uint64(29))) * _MIX
-        out[: len(rolled)] = (mixed >> np.uint64(32)) % np.uint64(every) == 0
-    return out
-
-
-def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """first, last (starts of strings that share first trigger and last trigger), run_from, run_to: places in data, which holds texts end to end.
-
-    Strings without a trigger stand alone and are their own run.
-    """
-    found = triggers(data)
-    ends = offsets[1:]
-    cross = (ends[:, None] - np.arange(1, window)).ravel()
-    found[cross[cross >= 0]] = False
-    count = bounds(found)
-    places = np.append(np.flatnonzero(found), 0)
-    sizes = np.maximum(ends - offsets[:-1] - length + 1, 0)
+def rolling(data: np.ndarray, window: int) -> np.ndarray:
+    """A hash of the `window` bytes from each place on, by which places are compared."""
+    n, power, have, rolled, own, at = len(data) - window + 1, int(_BASE), 1, None, data.astype(np.uint64), 0
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    for bit in range(window.bit_length()):  # windows of 1, 2, 4, ... bytes, joined to one of `window`; numbers wrap at 64 bits
+        if window >> bit & 1:
+            part = own[at : at + n]
+            rolled = part if rolled is None else rolled * np.uint64(power) + part
+            at += have
+        own = own[:-have] * np.uint64(power) + own[have:] if len(own) > have else own[:0]
+        power, have = power * power % 2**64, 2 * have
+    return (rolled ^ (rolled >> np.uint64(29))) * _MIX
+
+
+def least(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of each `width` values in a row, the first of equal ones."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64)
+    ranked = np.full(-(-len(values) // width) * width, np.iinfo(np.uint64).max)
+    ranked[: len(values)] = (values & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(values), dtype=np.uint64)
+    rows = ranked.reshape(-1, width)
+    from_here = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    to_here = np.minimum.accumulate(rows, axis=1).ravel()
+    return (np.minimum(from_here[:n], to_here[width - 1 : width - 1 + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """first, last (starts of neighbouring strings with one trigger), trigger (places), hash (of the trigger); data holds texts end to end."""
+    window = min(WINDOW, length // 2)
+    sizes = np.maximum(offsets[1:] - offsets[:-1] - length + 1, 0)
     starts = np.arange(int(sizes.sum())) + np.repeat(offsets[:-1] - bounds(sizes)[:-1], sizes)
+    hashes = rolling(data, window)
     if not len(starts):
-        return (np.zeros(0, dtype=np.int64),) * 4
-    f, z = count[starts], count[starts + length - window + 1] - 1
-    alone = f > z
-    new = np.ones(len(starts), dtype=bool)
-    new[1:] = alone[1:] | alone[:-1] | (f[1:] != f[:-1]) | (z[1:] != z[:-1]) | (starts[1:] != starts[:-1] + 1)
+        return (np.zeros(0, dtype=np.int64),) * 3 + (hashes[:0],)
+    own = least(hashes, length - window + 1)[starts]
+    new = np.append(True, (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1))
     at = np.flatnonzero(new)
-    first, last = starts[at], starts[np.append(at[1:], len(starts)) - 1]
-    f, z, alone = f[at], z[at], alone[at]
-    return first, last, np.where(alone, first, places[np.where(alone, 0, f)]), np.where(alone, first + length, places[np.where(alone, 0, z)] + window)
+    return starts[at], starts[np.append(at[1:], len(starts)) - 1], own[at], hashes[own[at]]
 
 
 def _digests(view: memoryview, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,36 +108,39 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np
                 yield uid[k : k + 1], np.array([at]), own, np.array([0, len(own)])
 
 
-def _parse(rows: DataFrame, kind: str, length: int, kept=None) -> DataFrame:
-    """Every context's run (`runs`), its digests and place (`places`), or its bytes about the run (`bytes`); of runs in a filter, where one is given."""
-    schema = {
-        "runs": "hash long",
-        "places": "run long, c1 long, c2 long, uid long, at int, width int",
-        "bytes": "run long, run2 long, size int, c1 long, c2 long, before binary, after binary",
-    }[kind]
+_PLACES = "run long, c1 long, c2 int, uid long, at int, width int"
+_BYTES = "run long, c1 long, c2 int, before binary, trigger binary, after binary"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _parse(rows: DataFrame, length: int, kept=None) -> DataFrame:
+    """Every context: run (hash of its trigger), c1 and c2 (96 bits of its XXH3), and its place; or its bytes, of triggers in a filter.
+
+    96 bits tell some 10^12 contexts apart with a chance of 10^-5 that any two are mixed up.
+    """
+    schema, window = _BYTES if kept else _PLACES, min(WINDOW, length // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in schema.split(", ")]
         for uid, base, data, offsets in _pieces(batches, length):
-            first, last, a, b = contexts(data, offsets, length)
+            first, last, at, hashes = contexts(data, offsets, length)
+            if kept:
+                pick = np.flatnonzero(held_bits(kept, hashes))
+                first, last, at, hashes = first[pick], last[pick], at[pick], hashes[pick]
             if not len(first):
                 continue
             view = memoryview(np.ascontiguousarray(data))
-            own = _digests(view, a, b)
-            if kind == "runs":
-                yield pa.RecordBatch.from_arrays([pa.array(own[:, 0])], names=names)
-                continue
-            pick = np.flatnonzero(held_bits(kept, own[:, 0].view("<u8")))
-            own, first, last, a, b = own[pick], first[pick], last[pick], a[pick], b[pick]
             whole = _digests(view, first, last + length)
-            cols = {"run": own[:, 0], "run2": own[:, 1], "c1": whole[:, 0], "c2": whole[:, 1], "size": (b - a).astype("i4"), "width": (last - first).astype("i4")}
-            if kind == "places":
-                text = np.searchsorted(offsets, first, side="right") - 1
-                cols |= {"uid": uid[text], "at": (first - offsets[text] + base[text]).astype("i4")}
+            cols = {"run": hashes.view("<i8"), "c1": whole[:, 0], "c2": whole[:, 1].astype("i4")}
+            if kept:
+                cut = lambda x, y: pa.array([bytes(view[i:j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)], pa.binary())
+                cols |= {"before": cut(first, at), "trigger": cut(at, at + window), "after": cut(at + window, last + length)}
             else:
-                cut = lambda x, y: [bytes(view[i:j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
-                cols |= {"before": pa.array(cut(first, a), pa.binary()), "after": pa.array(cut(b, last + length), pa.binary())}
-            yield pa.RecordBatch.from_arrays([pa.array(cols[c]) for c in names], names=names)
+                text = np.searchsorted(offsets, first, side="right") - 1
+                cols |= {"uid": uid[text], "at": (first - offsets[text] + base[text]).astype("i4"), "width": (last - first).astype("i4")}
+            yield pa.RecordBatch.from_arrays([pa.array(cols[c]) for c in _names(schema)], names=_names(schema))
 
     return rows.select("uid", "text").mapInArrow(run, schema)
 
@@ -154,11 +157,11 @@ def _sorted(keys: list[bytes], run: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order, common
 
 
-def corpus_order(run: np.ndarray, size: np.ndarray, before: list[bytes], after: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each depth t (bytes before the run): the contexts that have a string there, and a number that equal strings share.
+def corpus_order(run: np.ndarray, size: int, before: list[bytes], after: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each depth t (bytes before the trigger): the contexts that have a string there, and a number that equal strings share.
 
-    `before` is ordered from the run backwards, `after` from the run on. A string of depth t
-    takes t bytes before and length - size - t after its run.
+    `before` is ordered from the trigger backwards, `after` from the trigger on. A string of
+    depth t takes t bytes before and length - size - t after its trigger of `size` bytes.
     """
     deepest = np.array([len(x) for x in before])
     least = length - size - np.array([len(x) for x in after])
@@ -169,21 +172,22 @@ def corpus_order(run: np.ndarray, size: np.ndarray, before: list[bytes], after:
         active = np.flatnonzero((least <= t) & (t <= deepest))
         if len(active):
             left[ends] = np.cumsum(ends_common < t)
-            right[begins] = np.cumsum(begins_common < (length - t - size)[begins])
+            right[begins] = np.cumsum(begins_common < length - t - size)
             yield t, active, left[active] * (len(run) + 1) + right[active]
 
 
-_FOUND = "c1 long, c2 long, low int, high int, s1 long, s2 long, weight int"
+_FOUND = "c1 long, c2 int, low int, high int, s1 long, s2 long, weight int"
 
 
 def _ordered(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Contexts, sorted by run, to the offsets of their repeated strings (low, high), and strings of crowded runs (s1, s2) with their number here."""
+    """Contexts, sorted by trigger, to the offsets of their repeated strings (low, high), and strings of crowded triggers (s1, s2) with their number here."""
+    size = min(WINDOW, length // 2)
 
     def block(rows: pa.Table) -> pa.RecordBatch:
         get = lambda c: np.asarray(rows.column(c).combine_chunks())
-        run, size, n, crowded = get("run"), get("size").astype(np.int64), get("n"), get("crowded")
-        own = np.cumsum(np.append(True, (run[1:] != run[:-1]) | (get("run2")[1:] != get("run2")[:-1])))
-        before, after = rows.column("before").to_pylist(), rows.column("after").to_pylist()
+        n, crowded = get("n"), get("crowded")
+        before, trigger, after = (rows.column(c).to_pylist() for c in ("before", "trigger", "after"))
+        own = np.cumsum([True, *(x != y for x, y in zip(trigger[1:], trigger[:-1], strict=True))])
         deepest = np.array([len(x) for x in before])
         low, high = np.full(len(own), length), np.full(len(own), -1)
         told: list[tuple[int, int, bytes, int]] = []
@@ -195,8 +199,7 @@ def _ordered(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             low[more], high[more] = np.minimum(low[more], offset), np.maximum(high[more], offset)
             for k, i in enumerate(active[at].tolist()):
                 if crowded[i]:
-                    r = length - t - int(size[i])
-                    key = b"%d %d %d " % (run[i], rows.column("run2")[i].as_py(), t) + before[i][len(before[i]) - t :] + after[i][:r]
+                    key = b"%d " % t + before[i][len(before[i]) - t :] + trigger[i] + after[i][: length - t - size]
                     told.append((i, int(deepest[i] - t), xxhash.xxh3_128_digest(key), min(int(weight[k]), 2)))
         pick = np.flatnonzero(high >= 0)
         rep = np.array([x[0] for x in told], dtype=np.int64)
@@ -206,8 +209,8 @@ def _ordered(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         cat = lambda x, y, kind: pa.concat_arrays([pa.array(x, kind), pa.array(y, kind)])
         offsets = [x[1] for x in told]
         return pa.RecordBatch.from_arrays(
-            [cat(c1[pick], c1[rep], pa.int64()), cat(c2[pick], c2[rep], pa.int64()), cat(low[pick], offsets, pa.int32()), cat(high[pick], offsets, pa.int32()), pa.concat_arrays([pad, pa.array(strings[:, 0])]), pa.concat_arrays([pad, pa.array(strings[:, 1])]), cat(np.zeros(len(pick), dtype=np.int32), [x[3] for x in told], pa.int32())],
-            names=[c.split()[0] for c in _FOUND.split(", ")],
+            [cat(c1[pick], c1[rep], pa.int64()), cat(c2[pick], c2[rep], pa.int32()), cat(low[pick], offsets, pa.int32()), cat(high[pick], offsets, pa.int32()), pa.concat_arrays([pad, pa.array(strings[:, 0])]), pa.concat_arrays([pad, pa.array(strings[:, 1])]), cat(np.zeros(len(pick), dtype=np.int32), [x[3] for x in told], pa.int32())],
+            names=_names(_FOUND),
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +228,7 @@ def _ordered(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 continue
             key = np.asarray(batch.column("run"))
             crowded = np.asarray(batch.column("crowded"))
-            # a block may end where a run ends, or anywhere within a crowded one
+            # a block may end where a trigger ends, or anywhere within a crowded one
             before = np.append(held[-1].column("run")[-1].as_py() if held else key[0], key[:-1])
             cuts = np.flatnonzero((key != before) | crowded)
             sizes = np.cumsum(np.asarray(pc.binary_length(batch.column("before"))) + np.asarray(pc.binary_length(batch.column("after"))) + 64)
@@ -287,14 +290,11 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD, ho
     """uid and spans (starts and ends in turn) of the bytes to remove, from a written table of uid and text (binary); texts without any have no row."""
     spark = rows.sparkSession
     send = lambda hashes, bits=FILTER_BITS: spark.sparkContext.broadcast(bit_filter(hashes, bits))  # noqa: E731  of a fixed size
-    runs = _parse(rows, "runs", length).groupBy("hash").count().where("count > 1")
-    places = written(_parse(rows, "places", length, send(runs, FILTER)), shared_dir(spark, "contexts"), compression="zstd")
+    places = written(_parse(rows, length), shared_dir(spark, "contexts"), compression="zstd")
     counts = written(places.groupBy("c1", "c2").agg(F.min("run").alias("run"), F.count(F.lit(1)).alias("n")), shared_dir(spark, "context-counts"), compression="zstd")
-
-    shared = written(counts.groupBy("run").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1"), shared_dir(spark, "shared-runs"))
-    about = _parse(rows, "bytes", length, send(shared.select(F.col("run").alias("hash")), FILTER))
-    about = about.groupBy("run", "run2", "size", "c1", "c2", "before", "after").agg(F.count(F.lit(1)).alias("n"))
-    about = written(about, shared_dir(spark, "context-bytes"), compression="zstd")
+    shared = written(counts.groupBy("run").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1"), shared_dir(spark, "shared-triggers"))
+    about = _parse(rows, length, send(shared.select(F.col("run").alias("hash")), FILTER))
+    about = about.groupBy(*_names(_BYTES)).agg(F.count(F.lit(1)).alias("n"))
     crowded = send(shared.where(F.col("contexts") > crowd).select(F.col("run").alias("hash")))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +304,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD, ho
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(many), pa.array(deal, pa.int64())], names=[*batch.schema.names, "crowded", "deal"])
 
     dealt = about.mapInArrow(marked, f"{', '.join(f'{c} {t}' for c, t in about.dtypes)}, crowded boolean, deal long")
-    found = dealt.repartition("run", "deal").sortWithinPartitions("run", "run2", "deal").mapInArrow(_ordered(length), _FOUND)
+    found = dealt.repartition("run", "deal").sortWithinPartitions("run", "trigger").mapInArrow(_ordered(length), _FOUND)
     found = written(found, shared_dir(spark, "repeated-strings"), compression="zstd")
     strings = found.where("s1 is not null")
     twice = strings.groupBy("s1", "s2").agg(F.sum("weight").alias("n")).where("n > 1").select("s1", "s2")
@@ -331,7 +331,7 @@ def deduplicated(documents: DataFrame, length: int = LENGTH, keep_texts: bool =
     spark = documents.sparkSession
     out = shared_dir(spark, "kept-bytes")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<int>" * keep_texts
-    names = [c.split()[0] for c in schema.split(", ")]
+    names = _names(schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in blocks(batches, PARSED):

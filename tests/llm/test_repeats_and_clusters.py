@@ -89,13 +89,23 @@ def test_no_texts(spark):
     assert removed(spark, [], 40) == []
 
 
-def test_triggers_depend_on_their_window_alone():
-    data = np.random.default_rng(1).integers(97, 101, 4000).astype("u1")
-    found = prefix_free.triggers(data)
-    assert 20 < found.sum() < 200
-    for at in (1, 7, 100):
-        assert (prefix_free.triggers(data[at:]) == found[at:]).all()
-    assert not prefix_free.triggers(data[:11]).any() and not prefix_free.triggers(data[:0]).any()
+def test_strings_have_one_trigger_wherever_they_stand():
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 101, 3000).astype("u1")
+    moved = np.concatenate([rng.integers(97, 101, 77).astype("u1"), data])
+    ends = lambda x: np.array([0, len(x)])
+    of = lambda x: {s: (t - s) for a, b, t in zip(*(y.tolist() for y in prefix_free.contexts(x, ends(x), 200)[:3]), strict=True) for s in range(a, b + 1)}
+    own, other = of(data), of(moved)
+    assert len(own) == 2801 and all(other[s + 77] == t for s, t in own.items())
+    assert len(prefix_free.contexts(data, ends(data), 200)[0]) < 100
+    assert not len(prefix_free.contexts(data[:10], np.array([0, 4, 10]), 200)[0])
+
+
+def test_least_is_the_first_of_the_least():
+    rng = np.random.default_rng(2)
+    for n, width in ((50, 7), (21, 21), (20, 21), (0, 3), (64, 1)):
+        values = rng.integers(0, 5, n).astype(np.uint64) << np.uint64(32)
+        assert prefix_free.least(values, width).tolist() == [i + int(values[i : i + width].argmin()) for i in range(n - width + 1)]
 
 
 def test_merge():
