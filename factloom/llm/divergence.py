@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import shared_dir, written
 
-#: Runs of ASCII letters and of characters beyond ASCII (fixed value).
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms, which are runs of ASCII letters and of characters beyond ASCII (fixed value).
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Documents of its language that a kept term is in, what is added to each count, and how many terms of a group are listed.
 LEAST, ADDED, TOP = 30, 5, 50
 #: Parts that a language's vocabulary is dealt out to when it meets the language's groups: there are few languages, and one may hold most.
@@ -26,14 +26,16 @@ _UNIT = 1_000_000_000
 def term_counts(documents: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (rows with the term); nulls count as ''.
 
-    A row's terms are sorted, so that the first of equal ones is known where it stands:
-    one explode and one count, partial before the shuffle, give both numbers.
+    A row's terms are sorted and each is put beside the one before it, so that the first of
+    equal ones is known where it stands: one explode and one count, partial before the
+    shuffle, give both numbers.
     """
     own = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
     lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
-    found = documents.select(*own).select("lang", "source", F.array_sort(F.regexp_extract_all(lower, F.lit(TERM), F.lit(0))).alias("found"))
-    first = F.transform("found", lambda t, i: F.struct(t.alias("term"), F.when(F.get("found", i - 1).eqNullSafe(t), 0).otherwise(1).alias("first")))
-    return found.select("lang", "source", F.inline(first)).groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("docs"))
+    found = documents.select(*own).select("lang", "source", F.sort_array(F.split(lower, BETWEEN)).alias("found"))
+    beside = F.arrays_zip(F.col("found").alias("term"), F.concat(F.array(F.lit(None).cast("string")), "found").alias("former"))
+    terms = found.select("lang", "source", F.inline(beside)).where("term <> ''")
+    return terms.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("term").eqNullSafe(F.col("former"))).alias("docs"))
 
 
 def share(count: Column, total: Column, kept: Column, added: int = ADDED) -> Column:
@@ -52,12 +54,13 @@ def audit(documents: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame
     other columns aren't read.
     """
     spark = documents.sparkSession
-    counts = written(term_counts(documents), shared_dir(spark, "term-counts"))
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).drop("docs")
-    kept = written(kept, shared_dir(spark, "kept-terms"))
+    own = Window.partitionBy("lang", "term")  # a row for each source
+    sums = {"lang_n": F.sum("n").over(own), "lang_docs": F.sum("docs").over(own)}
+    present = term_counts(documents).withColumns(sums).where(F.col("lang_docs") >= least).select("lang", "source", "term", "n", "lang_n")
+    present = written(present, shared_dir(spark, "kept-counts"))
+    kept = present.groupBy("lang", "term").agg(F.max("lang_n").alias("lang_n"))
     langs = kept.groupBy("lang").agg(F.sum("lang_n").alias("lang_total"), F.count(F.lit(1)).alias("kept"))
     groups = documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
-    present = counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n")
     totals = present.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     sized = groups.join(totals, ["lang", "source"], "left").fillna(0, ["total"]).join(langs, "lang", "left")
     sized = written(sized, shared_dir(spark, "group-totals"))
@@ -70,7 +73,7 @@ def audit(documents: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame
 
     dealt = kept.select("lang", "term", F.pmod(F.xxhash64("term"), F.lit(DEALT)).alias("deal"))
     everywhere = sized.where("kept > 0").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))))
-    dense = dealt.join(everywhere, ["lang", "deal"]).join(counts.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left")
+    dense = dealt.join(everywhere, ["lang", "deal"]).join(present.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left")
     dense = dense.select("lang", "source", "term", share(F.coalesce("n", F.lit(0)), F.col("total"), F.col("kept")).alias("p"))
     other = dense.select("lang", "term", F.col("source").alias("other"), F.col("p").alias("other_p"))
     # each two groups once: the distance is the same from both sides
