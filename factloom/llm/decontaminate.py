@@ -5,9 +5,10 @@ placeholders <num>, <name> and <unit> for numbers, for names and for units behin
 number; what a placeholder replaced is its slot. Names are words that the benchmark
 has in capitalised form only, or not at all, and capitalised words within a
 sentence; capitalised names side by side are one. Windows of template tokens are
-joined by hash between documents and benchmark items, and a match counts only if
-slots correspond one to one along it: then a question with other numbers, names or
-units is still the same question.
+joined by hash between documents and benchmark items, and slots are checked along a
+match: each value of the item has to stand for one value of the document, though two may
+become one. So a question with other numbers, names or units is still the same question;
+one whose people change on the way is another, unless it is as written but for that place.
 """
 
 from __future__ import annotations
@@ -232,8 +233,10 @@ def benchmark_words(benchmark: DataFrame) -> DataFrame:
 def contaminated(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, literals: int = LITERALS, share: float = SHARE) -> DataFrame:
     """One row for each document and the benchmark item that it holds: doc_id, item_id, n_windows (of the item), n_matched, n_slots, same_slots (false: other values in the slots).
 
-    A document holds an item if it has `share` of the item's windows at one distance, and
-    LEAST of them or all, with slots that correspond one to one. An item without a window
+    A document holds an item if it has `share` of the item's windows, and LEAST of them or
+    all. Windows at one distance count if an item's value always stands for one value of
+    the document (two values may become one). If all values stand for themselves but for
+    one place, the windows without that place count. An item without a window
     (fewer than `width` tokens, or hardly a word among numbers) is sought as it is written,
     from LEAST_TOKENS tokens on; shorter ones match nothing.
 
@@ -256,11 +259,13 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW
     pairs = F.transform(F.arrays_zip("item_slots", "doc_slots"), lambda x: F.struct(x["item_slots"].alias("i"), x["doc_slots"].alias("d")))
     matches = own.join(asked, ["hash", "template"]).select("doc_id", "item_id", "pos", (F.col("at") - F.col("pos")).alias("shift"), pairs.alias("pairs"))
     # an item's windows and slots bound each set
-    runs = matches.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("pos").alias("found"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    apart = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    agree = runs.where((apart("i") == F.size("pairs")) & (apart("d") == F.size("pairs")))
-    same = F.size(F.filter("pairs", lambda p: ~p["i"].eqNullSafe(p["d"]))) == 0
-    each = agree.select("doc_id", "item_id", F.size("pairs").alias("slots"), same.alias("same"), F.explode("found").alias("pos"))
+    runs = matches.groupBy("doc_id", "item_id", "shift").agg(F.collect_set(F.struct("pos", "pairs")).alias("windows")).withColumn("pairs", F.array_distinct(F.flatten("windows.pairs")))
+    strays = lambda pairs: F.size(F.filter(pairs, lambda p: ~p["i"].eqNullSafe(p["d"])))
+    others = F.size("pairs") - F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
+    runs = runs.withColumn("others", others).withColumn("strays", strays(F.col("pairs"))).where("others = 0 or (others = 1 and strays = 1)")
+    counted = F.when(F.col("others") == 0, F.col("windows")).otherwise(F.filter("windows", lambda w: strays(w["pairs"]) == 0))
+    slots, same = F.size("pairs") - F.col("others"), F.col("strays") == F.col("others")
+    each = runs.select("doc_id", "item_id", slots.alias("slots"), same.alias("same"), F.explode(counted).alias("w")).withColumn("pos", F.col("w.pos"))
     places = each.groupBy("doc_id", "item_id", "pos").agg(F.max("slots").alias("slots"), F.max("same").alias("same"))
     found = places.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_matched"), F.max("slots").cast("long").alias("n_slots"), F.min("same").alias("same_slots"))
     enough = F.greatest(F.lit(share) * F.col("n_windows"), F.least(F.col("n_windows"), F.lit(LEAST)))

@@ -87,7 +87,7 @@ class Subsequences:
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         out = np.full((len(words), int(lengths.max(initial=0)) if len(words) else 0), self.base - 1, dtype=np.int32)
         flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
-        out[np.arange(out.shape[1]) < lengths[:, None]] = self.number[flat & 0xFFFF]
+        out[np.arange(out.shape[1]) < lengths[:, None]] = np.where(flat < 1 << 16, self.number[flat & 0xFFFF], len(self.letters) + flat % SHARED)
         return out, lengths
 
     def norms(self, lengths: np.ndarray) -> np.ndarray:
@@ -210,7 +210,12 @@ def words_of(text: str) -> list[str]:
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model from the texts of at most `sample` labelled documents of each class, those first by a hash of the id. None without texts of both classes; an error if no word tells them apart."""
+    """A model from the texts of at most `sample` labelled documents of each class, those first by a hash of the id.
+
+    Where labelled texts are too few for a gram to be proven, words that are commoner in
+    toxic texts than in others are the first candidates; if there is no such word, or no
+    text of one class, there is no model (None), and all texts score 0.
+    """
     spark, chosen = documents.sparkSession, None
     for kind in (1, 0):
         some = trainable(labels).where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -244,10 +249,15 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     first = grams.where(apart()).join(marked, "gram", "left_semi").select("word", "t").distinct().orderBy(F.desc("t"), "word").limit(WORDS)
     positive = {r.word: float(min(r.t, least)) for r in first.toLocalIterator()}
     if not positive:
-        raise ValueError("no word tells toxic texts from others")
+        commoner = words.where(F.col("o") * total.t < F.col("t") * total.o).orderBy(F.desc("t"), "o", "word").limit(WORDS)
+        positive = {r.word: float(r.t) for r in commoner.select("word", "t").toLocalIterator()}
+    if not positive:
+        return None
     often = words.where("o > 0").orderBy(F.desc("o"), "word").limit(WORDS // 2)
     mixed = words.where("o > 0").orderBy(F.xxhash64("word"), "word").limit(WORDS // 2)
     plain = {r.word: 1.0 for r in often.unionByName(mixed).select("word").toLocalIterator() if r.word not in positive}
+    if not plain:
+        return None
     model = fit(positive, plain)
     for _ in range(ROUNDS):
         picked = _picked(read, model)

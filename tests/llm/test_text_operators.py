@@ -453,11 +453,29 @@ def test_shards(spark, odd, none):
     assert all(b in (a, 6) for a, b in both.values()) and any(b == 6 for _, b in both.values())
     equal = documents(spark, ["same"] * 300, [1] * 300).repartition(3)
     shards.make_map(equal, 2, again := shared_dir(spark, "map"))
-    assert sorted(r.slot for r in shards.assign(equal, again).collect()) == list(range(300))
+    alike = shards.assign(equal, again).collect()
+    assert len(alike) == 300 and all(sorted(r.slot for r in alike if r.shard == k) == list(range(sum(r.shard == k for r in alike))) for k in (0, 1))
+    by_shard = Counter(r.shard for r in shards.assign(documents(spark, ["same"] * 4000, [1] * 4000).repartition(3), again).collect())
+    assert min(by_shard.values()) > 1500  # equal rows fill many slots
     shards.make_map(none, 6, empty := shared_dir(spark, "map"))
     assert shards.assign(none, empty).collect() == []
 
 
+def test_a_map_places_documents_that_it_was_not_made_of(spark):
+    path, few = shared_dir(spark, "map"), documents(spark, [f"t{i}" for i in range(30)])
+    docs = documents(spark, [f"t{i}" * (i % 7) for i in range(400)])
+    shards.make_map(few, 5, path, slots=128)
+    assert shards.load_map(spark, path, 1).count() == 128
+    shards.grow_map(spark, path, 1, 5, docs)
+    for version, n in ((1, 5), (2, 6)):
+        places = {}
+        for r in shards.assign(docs, path, version, slots=128).collect():
+            places.setdefault(r.shard, []).append(r.slot)
+        assert sum(map(len, places.values())) == 400 and set(places) == set(range(n))
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert shards.load_map(spark, path, 2).agg(F.sum("rows")).first()[0] == 400
+
+
 def test_growing_moves_slots_into_the_new_shard_alone():
     rng = random.Random(6)
     sums = [(s, rng.randint(1, 1000)) for s in range(500)]
@@ -586,9 +604,12 @@ def held_by_hand(texts, items):
             matched = set()
             for shift in range(-len(docs[d]) - 80, len(docs[d]) + 80):
                 hit = {i: (w, doc[i + shift : i + shift + 5]) for i, w in mine.items() if i + shift >= 0 and [t for t, _ in doc[i + shift : i + shift + 5]] == [t for t, _ in w]}
-                pairs = {(a, b) for w, v in hit.values() for (_, a), (_, b) in zip(w, v, strict=True) if a is not None}
-                if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
-                    matched |= set(hit)
+                own = {i: {(a, b) for (_, a), (_, b) in zip(w, v, strict=True) if a is not None} for i, (w, v) in hit.items()}
+                pairs = set().union(*own.values())
+                strays = {(a, b) for a, b in pairs if a != b}
+                others = len(pairs) - len({a for a, _ in pairs})
+                if others == 0 or others == len(strays) == 1:
+                    matched |= {i for i, p in own.items() if others == 0 or not p & strays}
             if len(matched) >= max(0.5 * len(mine), min(len(mine), 4)):
                 found[d, item] = len(matched)
     return found
@@ -633,6 +654,33 @@ def test_reparameterised_questions_are_found(spark):
     print(f"recall of questions with other names, numbers and units {recall:.3f} of {len(wanted)}")
 
 
+def test_coinciding_and_changed_values_are_found(spark):
+    rng = random.Random(33)
+    items = {i: asked(rng, q) for i, q in enumerate(QUESTIONS)}
+    passage = "Before noon Anna walked to the mill with Peter and gave 12 coins to the miller because Anna had lost the key of the old gate near the river that Peter found"
+    items[50] = passage
+    texts, wanted = [], []
+    for i, q in enumerate(QUESTIONS):
+        for _ in range(6):
+            a, b = rng.choice(PEOPLE), rng.choice(PEOPLE)
+            n, m, k = (rng.choice([4, 5]) for _ in range(3))  # values become one
+            texts.append("said before. " + q.format(A=a, B=b, n=n, m=m, k=k) + " said after")
+            wanted.append((len(texts) - 1, i))
+            words = q.format(A="Zoe", B="Tim", n=n, m=m, k=k).split()
+            words.insert(len(words) // 2, "really")
+            texts.append(" ".join(words))
+            wanted.append((len(texts) - 1, i))
+    texts += [passage.replace("because Anna", "because Greta"), passage.replace("that Peter", "that Oskar")]
+    wanted += [(len(texts) - 2, 50), (len(texts) - 1, 50)]
+    clean = ["Anna has a mill near the river . Peter gave the key to the miller", "How many weeks does it take to read the old books ? Nobody in the town had counted the apples of the year", "A train leaves the town and the car follows the river to the gate after the rain stops"]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = decontaminate.contaminated(documents(spark, texts + clean), bench).collect()
+    got = {(r.doc_id, r.item_id): r.n_matched for r in rows}
+    assert got == held_by_hand(texts + clean, items)
+    assert not {d for d, _ in got} & {len(texts) + k for k in range(len(clean))}
+    assert sum(w in got for w in wanted) >= 0.9 * len(wanted) and {(len(texts) - 2, 50), (len(texts) - 1, 50)} <= set(got)
+
+
 def toxic_corpus(n, seed):
     rng = random.Random(seed)
     syllables = ["an", "ere", "tho", "ing", "ble", "sti", "ou", "ha", "ned", "wor", "li", "pa"]
@@ -666,6 +714,48 @@ def test_toxicity_on_held_out_documents(spark, none):
     assert (again.weights.rows == model.weights.rows).all() and again.shift == model.shift
 
 
+def test_few_or_useless_labels_give_rows(spark):
+    texts = ["you utter grobnik", "what a grobnik day", "grobnik again here", "a quiet day", "what a garden", "here again"] + ["same words here"] * 6
+    docs = documents(spark, texts)
+    usable = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    few = spark.createDataFrame([(i, int(i < 3)) for i in range(6) if i in usable], "doc_id long, toxic int")
+    got = sorted(toxicity.scored(docs, toxicity.train(docs, few)).collect())
+    assert len(got) == len(texts) and all(0 <= r.score <= 1 for r in got)
+    assert min(r.score for r in got[:3]) > max(r.score for r in got[3:6])
+    blind = spark.createDataFrame([(i, i % 2) for i in range(6, 12) if i in usable], "doc_id long, toxic int")
+    assert len(toxicity.scored(docs, toxicity.train(docs, blind)).collect()) == len(texts)
+
+
+def test_scores_as_by_hand(spark):
+    """A text's score from every subsequence of every word, one at a time; letters beyond the alphabet and beyond 16 bits too."""
+    rows = toxic_corpus(250, 4)
+    docs = documents(spark, [t for _, t, _ in rows])
+    model = toxicity.train(docs, spark.createDataFrame([(i, b) for i, _, b in rows], "doc_id long, toxic int"))
+    kernel = toxicity.Subsequences(model.letters)
+    number = lambda c: model.letters.index(c) if c in model.letters else len(model.letters) + ord(c) % toxicity.SHARED
+
+    def value(word):
+        best = -np.inf
+        for piece in toxicity.pieces(word):
+            total, norm = 0.0, 0.0
+            for i in range(len(piece)):
+                for j in range(i + 1, len(piece)):
+                    for k in range(j + 1, min(len(piece), i + toxicity.SPAN)):
+                        decay = toxicity.DECAY ** (k - i - 2)
+                        at = (number(piece[i]) * kernel.base + number(piece[j])) * kernel.base + number(piece[k])
+                        total += decay * float(model.weights.rows[model.weights.index[at]])
+                        norm += decay**2
+            best = max(best, total / max(norm, 1e-12) ** 0.5 + model.shift)
+        return best
+
+    texts = [t for _, t, _ in rows[:40]] + ["", "\n", "grobnik𝔘𝔫", "日本 zulvatch", "!!!", "ha " * 9 + "w" * 70]
+    got = {r.doc_id: r.score for r in toxicity.scored(documents(spark, texts), model).collect()}
+    for i, text in enumerate(texts):
+        words = toxicity.words_of(text)
+        by_hand = 1 / (1 + np.exp(-(model.steep * max(map(value, words)) + np.log(0.3 / 0.7)))) if words else 0.0
+        assert abs(got[i] - by_hand) < 1e-4, text
+
+
 def test_no_model_without_labels(spark, odd):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(odd, labels)
