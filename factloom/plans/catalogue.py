@@ -638,3 +638,4 @@ def evidence_gaps(spark, sf_dir):
 
 
 from factloom.plans import parts  # noqa: E402,F401  registers its queries, by the decorator above
+from factloom.plans import stored  # noqa: E402,F401
