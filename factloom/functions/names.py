@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import unicodedata
 
 import pandas as pd
@@ -37,18 +39,22 @@ def successor(text: str) -> str | None:
     return None
 
 
+#: A callable's key: up to the member's name, and the list of its parameters.
+_callable = re.compile(r"(.*#[^./#:$(]*)(\([^#]*\))", re.DOTALL).fullmatch
+
+
 def endings(reference: str) -> list[str]:
-    """All names of a reference: its key from each segment on; those of a callable with and without the list of parameters."""
-    kind, _, key = reference.partition(":")
-    key = unicodedata.normalize("NFC", key)
-    tails = [""]
-    at = key.rfind("#")
-    opening = key.find("(", at) if at >= 0 else -1
-    if kind == "symbol" and opening > 0 and key.endswith(")") and not set(key[at + 1 : opening]) & set(SEPARATORS):
-        key, tails = key[:opening], ["", key[opening:]]
-    starts = [0, *(i + 1 for i, c in enumerate(key) if c in SEPARATORS)]
-    names = {(key[s:] + tail).casefold().translate(_same) for s in starts if s < len(key) for tail in tails}
-    return sorted(n for n in names if len(n) <= KEY_LENGTH)
+    """All names of a reference: its key from each segment on; those of a callable with and without the list of parameters.
+
+    The key is put together again from its last segment backwards; each step is a name.
+    """
+    kind, _, key = unicodedata.normalize("NFC", reference).partition(":")
+    own = _callable(key) if kind == "symbol" else None
+    head, listed = ((own[1], own[2]) if own else (key, ""))
+    alike = lambda t: t.casefold().translate(_same)
+    found = itertools.accumulate(reversed(alike(head).split(".")), lambda tail, segment: f"{segment}.{tail}")
+    shown = {name for tail in found if tail for name in (tail, tail + alike(listed))}
+    return sorted(n for n in shown if len(n) <= KEY_LENGTH)
 
 
 def name(text: str) -> str:

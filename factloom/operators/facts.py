@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.canonical import flat_identity, utf16_key
-from factloom.functions.names import normal_form
+from factloom.functions.names import key_of, kind_of, normal_form
 from factloom.session import cut
 
 #: Coverage types of what wasn't read (fixed values).
@@ -63,9 +63,10 @@ def coverage_of(coverage: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def contains(scope: Column, reference: Column) -> Column:
-    """Whether a scope holds a reference: a repository all but other repositories, a directory what its path begins, any other itself."""
-    kind, key = F.substring_index(scope, ":", 1), F.substring_index(scope, ":", -1)
-    inside = F.startswith(F.substring_index(reference, ":", -1), F.concat(F.rtrim(key, F.lit("/")), F.lit("/"))) & F.substring_index(reference, ":", 1).isin("directory", "file")
+    """Whether a scope holds a reference: a repository all but other repositories, a directory what its path begins, any other itself. A path may hold colons: a kind ends at the first."""
+    kind = F.substring_index(scope, ":", 1)
+    folder = F.concat(F.rtrim(key_of(scope), F.lit("/")), F.lit("/"))
+    inside = F.startswith(key_of(reference), folder) & kind_of(reference).isin("directory", "file")
     return F.when(scope == reference, True).when(kind == "repository", ~F.startswith(reference, F.lit("repository:"))).when(kind == "directory", inside).otherwise(False)
 
 

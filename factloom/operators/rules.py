@@ -48,9 +48,14 @@ def meets(pattern: str, route: str) -> int:
     return below[0]
 
 
+#: Segments that meets() compares: two stars, a variable, or text with single stars and question marks.
+_known = r"\*\*|\{[^/{}]+\}|(?:\*?[^/*{}\[\]])*\*?"
+_whole_path = re.compile(rf"(?:/(?:{_known}))+").fullmatch
+
+
 def readable(pattern: str) -> bool:
     """Whether a pattern holds nothing that meets() can't compare."""
-    return pattern.startswith("/") and all(s == "**" or bool(_variable(s)) or not re.search(r"[{}\[\]]|\*\*", s) for s in pattern.split("/") if s)
+    return bool(_whole_path(pattern))
 
 
 @F.pandas_udf(T.IntegerType())

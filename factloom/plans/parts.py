@@ -38,11 +38,12 @@ def revision(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, source = 'src1' AND lang <> 'de' OR lang = 'fr' AS covered FROM documents""")
+SELECT doc_id, source = 'src1' AND lang <> 'de' OR lang = 'fr' OR lang = 'es' AND doc_id % 2 = 0 AS covered FROM documents""")
 def covered_scopes(spark, sf_dir):
-    """Included scopes less excluded ones, over files in directories of sources and languages."""
-    path = F.concat(F.lit("file:"), "source", F.lit("/"), "lang", F.lit("/"), "doc_id")
-    include = F.array(F.lit("directory:src1"), F.when(F.col("lang") == "fr", path).otherwise("file:none"))
+    """Included scopes less excluded ones, over files in directories of sources and languages; some paths hold colons."""
+    path = F.concat(F.lit("file:"), "source", F.lit("/"), "lang", F.lit("/"), F.when(F.col("doc_id") % 2 == 0, "a:").otherwise(""), F.col("doc_id").cast("string"))
+    even = F.concat(F.lit("directory:"), "source", F.lit("/es/"), F.when(F.col("doc_id") % 2 == 0, "").otherwise("none"))
+    include = F.array(F.lit("directory:src1"), even, F.when(F.col("lang") == "fr", path).otherwise("file:none"))
     return table(spark, sf_dir, "documents").select("doc_id", facts.covers(include, F.array(F.lit("directory:src1/de/")), path).alias("covered"))
 
 

@@ -110,6 +110,15 @@ def test_name_columns(spark):
         ("à partir de 2026-01-15", "PERIOD", None, "2026-01-15", None),
         ("du 2026-01-05 au 2026-02-03", "PERIOD", None, "2026-01-05", "2026-02-03"),
         ("from 2026-01 until 2026-03", "PERIOD", None, "2026-01-01", "2026-03-31"),
+        ("les 3 last commits", "LATEST", 3, None, None),
+        ("10  derniers commits", "LATEST", 10, None, None),
+        ("5 last commits", "LATEST", 5, None, None),
+        ("jusqu au 2026-01-15", "PERIOD", None, None, "2026-01-15"),
+        ("jusqu'au  2026-01-15", "PERIOD", None, None, "2026-01-15"),
+        ("a  partir  du 2026-01", "PERIOD", None, "2026-01-01", None),
+        ("2026-01-05 2026-02", "PERIOD", None, "2026-01-05", "2026-02-28"),
+        ("depuis le 2026-01-05 avant 2026-03", "PERIOD", None, "2026-01-05", "2026-02-28"),
+        ("last one", "LATEST", 1, None, None),
         ("tout", "GLOBAL", None, None, None),
         (None, "GLOBAL", None, None, None),
     ],
@@ -118,6 +127,21 @@ def test_phrases(phrase, kind, count, since, until):
     assert dates.request(phrase) == dates.Request(kind, count, None, since, until)
 
 
+def test_names_of_callables_and_odd_keys():
+    assert names.endings("symbol:a.B#m(x.Y)") == sorted({"a.b.m", "b.m", "m", "a.b.m(x.y)", "b.m(x.y)", "m(x.y)"})
+    assert names.endings("symbol:a#") == ["a."] and names.endings("file:") == [] and names.endings("symbol:.a") == [".a", "a"]
+    assert names.endings("symbol:a#b(c#d)") == sorted({"a.b(c.d)", "b(c.d)", "d)"})
+    assert names.endings("file:Stra\u00dfe/" + "x" * 260) == []
+
+
+def test_readable_patterns():
+    from factloom.operators.rules import readable
+
+    good = ["/", "/a", "/a/", "//a", "/**", "/a/**/b", "/{id}/x", "/a*b/?", "/*", "/a*", "/{id:[0-9]+}/x"]
+    bad = ["a", "", "/a{id}", "/[ab]", "/a**", "/***", "/{}", "/{a/b}", "/a}b"]
+    assert all(map(readable, good)) and not any(map(readable, bad))
+
+
 def test_commit_phrases():
     assert dates.request("commit 1234567").commit == "1234567"
     assert dates.request("montre abc1234").commit == "abc1234"
