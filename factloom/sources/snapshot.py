@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import operator
 import re
 import subprocess
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 
 from factloom.functions.names import normal_form
 
@@ -80,24 +81,88 @@ def inventory(files: DataFrame, repository: str) -> DataFrame:
     return rows.dropDuplicates(["subject", "relation", "object"])
 
 
-class _Range(InputPartition):
-    def __init__(self, skip: int, count: int):
-        self.skip, self.count = skip, count
+class _Log(InputPartition):
+    """A part of a log: `revisions` as git reads them, all of them or `count` behind the first `skip`."""
+
+    def __init__(self, revisions: list[str], skip: int = 0, count: int | None = None):
+        self.revisions, self.skip, self.count = revisions, skip, count
+
+
+def _git(path: str, *args: str) -> str:
+    return subprocess.run(["git", "-C", path, *args], capture_output=True, check=True).stdout.decode(errors="replace")
+
+
+def _log_parts(path: str, revisions: list[str], parts: int) -> list[_Log]:
+    n = int(_git(path, "rev-list", "--count", *revisions, "--"))
+    each = max(1, -(-n // parts))
+    return [_Log(revisions, k, each) for k in range(0, n, each)]
+
+
+def _read_log(path: str, part: _Log) -> Iterator[tuple]:
+    """The rows of a part, from git's output as it comes: one commit at a time."""
+    form = "%x1e%H%x1f%P%x1f%an%x1f%ae%x1f%aI%x1f%cI%x1f%s%x1f"
+    some = ["--no-walk=unsorted"] if part.count is None else [f"--skip={part.skip}", f"-n{part.count}"]
+    with subprocess.Popen(["git", "-C", path, "log", *some, "-M", "--name-status", f"--format={form}", *part.revisions, "--"], stdout=subprocess.PIPE, text=True, errors="replace") as child:
+        held = ""
+        while more := child.stdout.read(1 << 16):
+            whole, mark, begun = (held + more).rpartition("\x1e")  # what stands before the last mark is whole
+            yield from parse_log(whole)
+            held = mark + begun
+        yield from parse_log(held)
+    if child.returncode:
+        raise OSError(f"git log ended with {child.returncode}")
+
+
+def _values(f: Filter, column: str) -> list | None:
+    """The values that a filter asks of a column, if it asks for some of a list."""
+    if isinstance(f, EqualTo) and f.attribute == (column,):
+        return [f.value]
+    return list(f.value) if isinstance(f, In) and f.attribute == (column,) else None
 
 
 class GitLogReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.parts = options["path"], int(options.get("partitions", 4))
+        self.path, self.parts, self.shas = options["path"], int(options.get("partitions", 4)), None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Commits by id are looked up, without a walk over the log."""
+        for f in filters:
+            found = _values(f, "sha")
+            if found is None or self.shas is not None or not all(re.fullmatch("[0-9a-f]{40}|[0-9a-f]{64}", v or "") for v in found):
+                yield f
+            else:
+                self.shas = found
 
     def partitions(self) -> list[InputPartition]:
-        n = int(subprocess.run(["git", "-C", self.path, "rev-list", "--count", "HEAD"], capture_output=True, check=True, text=True).stdout)
-        each = max(1, -(-n // self.parts))
-        return [_Range(k, each) for k in range(0, n, each)]
+        if self.shas is None:
+            return _log_parts(self.path, ["HEAD"], self.parts)
+        reached = [s for s in dict.fromkeys(self.shas) if not subprocess.run(["git", "-C", self.path, "merge-base", "--is-ancestor", s, "HEAD"], capture_output=True).returncode]
+        return [_Log(reached)] if reached else []
+
+    def read(self, part: _Log | None) -> Iterator[tuple]:
+        yield from _read_log(self.path, part) if part else ()  # None stands for no parts at all
+
 
-    def read(self, part: _Range) -> Iterator[tuple]:
-        form = "%x1e%H%x1f%P%x1f%an%x1f%ae%x1f%aI%x1f%cI%x1f%s%x1f"
-        out = subprocess.run(["git", "-C", self.path, "log", f"--skip={part.skip}", f"-n{part.count}", "-M", "--name-status", f"--format={form}"], capture_output=True, check=True, text=True, errors="replace").stdout
-        yield from parse_log(out)
+class GitLogStream(DataSourceStreamReader):
+    """New commits of HEAD: an offset is the commit that HEAD was at."""
+
+    def __init__(self, options: dict):
+        self.path, self.parts = options["path"], int(options.get("partitions", 4))
+
+    def initialOffset(self) -> dict:
+        return {"commit": ""}
+
+    def latestOffset(self) -> dict:
+        found = subprocess.run(["git", "-C", self.path, "rev-parse", "-q", "--verify", "HEAD"], capture_output=True, text=True)
+        return {"commit": found.stdout.strip()}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        if not end["commit"] or start == end:
+            return []
+        return _log_parts(self.path, [end["commit"], *([f"^{start['commit']}"] if start["commit"] else [])], self.parts)
+
+    def read(self, part: _Log | None) -> Iterator[tuple]:
+        yield from _read_log(self.path, part) if part else ()  # None stands for no parts at all
 
 
 def parse_log(text: str) -> Iterator[tuple]:
@@ -113,7 +178,7 @@ def parse_log(text: str) -> Iterator[tuple]:
 
 
 class GitLogSource(DataSource):
-    """spark.read.format("git-log").option("path", ...): commits with parents, people, times and changes; a child process a partition."""
+    """spark.read (or readStream) .format("git-log").option("path", ...): commits with parents, people, times and changes; a child process a partition. A stream gives each commit once, as HEAD moves on."""
 
     @classmethod
     def name(cls) -> str:
@@ -125,43 +190,82 @@ class GitLogSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return GitLogReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return GitLogStream(self.options)
+
+
+class _Blobs(InputPartition):
+    def __init__(self, rows: list[tuple[str, str, int]]):
+        self.rows = rows
+
+
+#: Files and bytes of a partition of a tree.
+FILES_PER_TASK, BYTES_PER_TASK = 2_000, 32 << 20
+
 
 class GitTreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.commit, self.most = options["path"], options.get("commit", "HEAD"), int(options.get("mostBytes", 1 << 20))
-        self.parts = int(options.get("partitions", 4))
+        self.tests: list[tuple[str, str, object]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Filters of path, oid and size decide before any blob is read."""
+        bounds = {LessThan: "lt", LessThanOrEqual: "le", GreaterThan: "gt", GreaterThanOrEqual: "ge"}
+        for f in filters:
+            column = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
+            if column in ("path", "oid", "size") and (found := _values(f, column)) is not None:
+                self.tests.append((column, "in", found))
+            elif column in ("path", "oid") and isinstance(f, StringStartsWith):
+                self.tests.append((column, "starts", f.value))
+            elif column == "size" and type(f) in bounds:
+                self.tests.append((column, bounds[type(f)], f.value))
+            else:
+                yield f
 
     def _listed(self) -> list[tuple[str, str, int]]:
-        out = subprocess.run(["git", "-C", self.path, "ls-tree", "-r", "-z", "-l", self.commit], capture_output=True, check=True).stdout.decode(errors="replace")
+        """path, oid and size of the files that filters let through; a tree is listed once, paths that are asked for alone where they are."""
+        asked = next((v for c, test, v in self.tests if c == "path" and test == "in"), None)
         rows = []
-        for entry in filter(None, out.split("\0")):
+        for entry in filter(None, _git(self.path, "ls-tree", "-r", "-z", "-l", self.commit, *(["--", *filter(None, asked)] if asked and any(asked) else [])).split("\0")):
             meta, path = entry.split("\t", 1)
             mode, kind, oid, size = meta.split()
-            if kind == "blob" and mode != "120000" and not re.search(CONFIDENTIAL, path):
+            if kind == "blob" and mode != "120000" and not re.search(CONFIDENTIAL, path) and self._passes({"path": path, "oid": oid, "size": int(size)}):
                 rows.append((path, oid, int(size)))
         return rows
 
+    def _passes(self, row: dict) -> bool:
+        own = {"in": lambda x, v: x in v, "starts": lambda x, v: x.startswith(v), "lt": operator.lt, "le": operator.le, "gt": operator.gt, "ge": operator.ge}
+        return all(own[test](row[c], value) for c, test, value in self.tests)
+
     def partitions(self) -> list[InputPartition]:
-        n = len(self._listed())
-        each = max(1, -(-n // self.parts))
-        return [_Range(k, each) for k in range(0, n, each)]
-
-    def read(self, part: _Range) -> Iterator[tuple]:
-        rows = self._listed()[part.skip : part.skip + part.count]
-        wanted = [r for r in rows if r[2] <= self.most]
-        out = subprocess.run(["git", "-C", self.path, "cat-file", "--batch"], input="".join(f"{oid}\n" for _, oid, _ in wanted).encode(), capture_output=True, check=True).stdout
-        content, at = {}, 0
-        for _, oid, _ in wanted:
-            end = out.index(b"\n", at)
-            size = int(out[at:end].split()[2])
-            content[oid] = out[end + 1 : end + 1 + size]
-            at = end + 2 + size
-        for path, oid, size in rows:
-            yield path, oid, size, content.get(oid)
+        out: list[list] = []
+        held = 0
+        for row in self._listed():
+            size = row[2] if row[2] <= self.most else 0
+            if not out or len(out[-1]) >= FILES_PER_TASK or held + size > BYTES_PER_TASK:
+                out.append([])
+                held = 0
+            out[-1].append(row)
+            held += size
+        return [_Blobs(rows) for rows in out]
+
+    def read(self, part: _Blobs | None) -> Iterator[tuple]:
+        """One blob after the other is asked of one child process."""
+        if part is None:  # no parts at all
+            return
+        with subprocess.Popen(["git", "-C", self.path, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as child:
+            for path, oid, size in part.rows:
+                content = None
+                if size <= self.most:
+                    child.stdin.write(f"{oid}\n".encode())
+                    child.stdin.flush()
+                    content = child.stdout.read(int(child.stdout.readline().split()[2]) + 1)[:-1]
+                yield path, oid, size, content
+            child.stdin.close()
 
 
 class GitTreeSource(DataSource):
-    """spark.read.format("git-tree"): path, oid, size and content (null beyond mostBytes) of a commit's files; one batch process a partition."""
+    """spark.read.format("git-tree"): path, oid, size and content (null beyond mostBytes) of a commit's files; one batch process a partition, which reads what filters of path, oid and size leave."""
 
     @classmethod
     def name(cls) -> str:
@@ -175,6 +279,8 @@ class GitTreeSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """The sources of this module, with filters handed to them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (GitLogSource, GitTreeSource):
         spark.dataSource.register(source)
 

@@ -420,6 +420,49 @@ def test_git_sources(spark, tmp_path):
         snapshot.recent(log, 0)
 
 
+def test_git_filters_and_stream(spark, tmp_path):
+    import subprocess
+
+    root = tmp_path / "repo"
+    root.mkdir()
+    git = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=Ada", "-c", "user.email=a@b.org", *a], check=True, capture_output=True, text=True).stdout
+    git("init", "-q")
+    log = lambda reader: reader.format("git-log").option("path", str(root)).load()
+    snapshot.register(spark)
+    out, place = str(tmp_path / "out"), str(tmp_path / "place")
+
+    def batch():
+        query = log(spark.readStream).select("sha", "subject").writeStream.format("parquet").option("checkpointLocation", place).trigger(availableNow=True).start(out)
+        query.awaitTermination(120)
+        return [r.subject for r in spark.read.schema("sha string, subject string").parquet(out).collect()]
+
+    for k in range(7):
+        (root / f"f{k}.txt").write_text("x" * k)
+        (root / "big.bin").write_text("b" * (100 + k))
+        git("add", "-A")
+        git("commit", "-qm", f"c{k}")
+        if k == 3:
+            assert sorted(batch()) == ["c0", "c1", "c2", "c3"]
+    assert sorted(batch()) == [f"c{k}" for k in range(7)] == sorted(batch())
+
+    tree = spark.read.format("git-tree").option("path", str(root)).load()
+    assert [(r.path, bytes(r.content)) for r in tree.where("path = 'f3.txt'").collect()] == [("f3.txt", b"xxx")]
+    some = tree.where("path like 'f%' and size > 4")
+    assert sorted(r.path for r in some.collect()) == ["f5.txt", "f6.txt"]
+    assert sorted(r.path for r in tree.where("path in ('f1.txt', 'big.bin') and size <= 100").collect()) == ["f1.txt"]
+    oid = git("rev-parse", "HEAD:f2.txt").strip()
+    assert [r.path for r in tree.where(F.col("oid") == oid).collect()] == ["f2.txt"] and tree.where("path = ''").collect() == []
+    from pyspark.sql.datasource import EqualTo, StringContains
+
+    reader = snapshot.GitTreeReader({"path": str(root)})
+    left = list(reader.pushFilters([EqualTo(("path",), "f3.txt"), StringContains(("path",), "3")]))
+    assert len(left) == 1 and [p.rows for p in reader.partitions()] == [[("f3.txt", git("rev-parse", "HEAD:f3.txt").strip(), 3)]]  # one blob is read
+    shas = git("rev-list", "HEAD").split()
+    assert [r.subject for r in log(spark.read).where(F.col("sha") == shas[2]).collect()] == ["c4"]
+    assert sorted(r.subject for r in log(spark.read).where(F.col("sha").isin(shas[0], shas[6], "0" * 40)).collect()) == ["c0", "c6"]
+    assert len(snapshot.GitLogReader({"path": str(root)}).partitions()) == 4 and log(spark.read).count() == 7
+
+
 def test_journal_stream_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame([(1, 1, "progress", "a", None), (1, 2, "done", "b", None), (2, 3, "progress", "c", None)], "job_id long, event_id long, type string, data string, ts timestamp")
     rows.write.parquet(str(tmp_path / "events"))
