@@ -91,12 +91,6 @@ def reference_families(spark, sf_dir):
     return references.families(_references(spark, sf_dir, ("part", "part", "p_partkey"), ("supplier", "supplier", "s_suppkey"), ("customer", "customer", "c_custkey"), ("orders", "order", "o_orderkey")))
 
 
-@query("SELECT 'customer:' || c_name AS reference FROM customer WHERE starts_with(lower(c_name), 'customer#00000001') ORDER BY lower(c_name) LIMIT 51")
-def reference_prefix_search(spark, sf_dir):
-    """Prefix search, one row more than a page."""
-    return references.by_prefix(_references(spark, sf_dir, ("customer", "customer", "c_name")), "Customer#00000001").select("reference")
-
-
 @query("SELECT DISTINCT 'part:' || replace(p_name, ' ', '.') AS reference FROM part WHERE string_split(lower(p_name), ' ')[-1] = 'ring'")
 def reference_name_search(spark, sf_dir):
     """References by the last segments of their names."""

@@ -66,6 +66,12 @@ def stored_references(spark, sf_dir):
     return reference_index(spark, sf_dir).keyed.all().select("type", "reference", "search_key")
 
 
+@query("SELECT 'customer:' || c_name AS reference FROM customer WHERE starts_with(lower(c_name), 'customer#00000001') ORDER BY lower(c_name) LIMIT 51")
+def reference_prefix_search(spark, sf_dir):
+    """Prefix search in the stored index, one row more than a page."""
+    return reference_index(spark, sf_dir).by_prefix("Customer#00000001", "customer").select("reference")
+
+
 @query(f"SELECT type || ':' || name AS reference FROM {_NAMED} WHERE starts_with(lower(name), 's') AND type = 'supplier' ORDER BY lower(name) LIMIT 51")
 def stored_prefix_page(spark, sf_dir):
     """A page of a prefix and a kind from the files of its range."""
