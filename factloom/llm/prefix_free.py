@@ -11,9 +11,12 @@ twice repeats whole, and a trigger with one context repeats no further. Other co
 one trigger are put in the order of the phrases' ends before it (the dictionary's
 suffixes, sorted) and of what follows it (the parse's suffixes, sorted), with common
 lengths between neighbours. Both orders together are the corpus order of all strings of
-the trigger: strings are equal if neither order parts them at their depth. Triggers with
-very many contexts are dealt out; blocks of them tell each other one row for each
-different string.
+the trigger: strings are equal if neither order parts them at their depth. A trigger with
+very many contexts is divided by depth: strings that begin far before it share bytes
+before it, others share more bytes after it, so each quarter of the depths falls into
+smaller groups by these bytes, and so on until groups are small or depths single. What
+contexts have in a part of the depths is cut to what its strings hold: pieces that are
+equal repeat whole, and one of them goes on.
 """
 
 from __future__ import annotations
@@ -28,16 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import FILTER_BITS, bit_filter, blocks, bounds, held_bits, scratch, shared_dir, texts, written
+from factloom.llm.common import bit_filter, blocks, bounds, discard, held_bits, scratch, shared_dir, texts, written
 
 #: Bytes of a string that must not repeat, and bytes that a trigger is made of (at most half of them).
 LENGTH, WINDOW = 400, 32
-#: Bits of the filters over hashes of triggers: they only spare work, joins and orders decide.
-FILTER = 1 << 27
-#: Bytes of text that are parsed at once (longer texts go piece by piece), and bytes of contexts that are ordered at once.
-PARSED, ORDERED = 1 << 18, 2 << 20
-#: Contexts of a trigger from which on it is dealt out, occurrences of a context from which on they are, and parts that they are dealt out to.
-CROWD, HOT, DEALT = 4096, 1024, 64
+#: Least and most bits of the filters over hashes, eight for each hash within: they only spare work, joins and orders decide.
+FILTERS = (1 << 20, 1 << 29)
+#: Bytes of text that are parsed at once (longer texts go piece by piece), and bytes of contexts that are ordered at once; parts that depths are divided into.
+PARSED, ORDERED, WAYS = 1 << 18, 2 << 20, 4
+#: Contexts that are ordered together at most; occurrences of a context from which on they are dealt out, and parts that they are dealt out to.
+CROWD, HOT, DEALT = 200, 1024, 64
 #: Bytes of a document whose spans are merged as one row.
 CHUNK = 1 << 16
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # any odd numbers
@@ -157,14 +160,15 @@ def _sorted(keys: list[bytes], run: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order, common
 
 
-def corpus_order(run: np.ndarray, size: int, before: list[bytes], after: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def corpus_order(run: np.ndarray, size: int, before: list[bytes], after: list[bytes], length: int, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each depth t (bytes before the trigger): the contexts that have a string there, and a number that equal strings share.
 
     `before` is ordered from the trigger backwards, `after` from the trigger on. A string of
     depth t takes t bytes before and length - size - t after its trigger of `size` bytes.
+    low, high: the depths that are asked for of each context.
     """
-    deepest = np.array([len(x) for x in before])
-    least = length - size - np.array([len(x) for x in after])
+    deepest = np.minimum(high, [len(x) for x in before])
+    least = np.maximum(low, length - size - np.array([len(x) for x in after]))
     ends, ends_common = _sorted([x[::-1] for x in before], run)
     begins, begins_common = _sorted(after, run)
     left, right = np.empty(len(run), dtype=np.int64), np.empty(len(run), dtype=np.int64)
@@ -176,89 +180,112 @@ def corpus_order(run: np.ndarray, size: int, before: list[bytes], after: list[by
             yield t, active, left[active] * (len(run) + 1) + right[active]
 
 
-_FOUND = "c1 long, c2 int, low int, high int, s1 long, s2 long, weight int"
+_ASKED = f"{_BYTES}, n long, deep int, low int, high int, k1 long, k2 long"
+_DIVIDED = f"{_ASKED}, s1 long, s2 long"
+_FOUND = "c1 long, c2 int, low int, high int"
 
 
 def _ordered(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Contexts, sorted by trigger, to the offsets of their repeated strings (low, high), and strings of crowded triggers (s1, s2) with their number here."""
+    """Contexts with the depths asked for, sorted by group (k1, k2), to the first and last offset of their strings that repeat in the group."""
     size = min(WINDOW, length // 2)
 
     def block(rows: pa.Table) -> pa.RecordBatch:
         get = lambda c: np.asarray(rows.column(c).combine_chunks())
-        n, crowded = get("n"), get("crowded")
+        n, k1, k2, deepest = get("n"), get("k1"), get("k2"), get("deep")
         before, trigger, after = (rows.column(c).to_pylist() for c in ("before", "trigger", "after"))
-        own = np.cumsum([True, *(x != y for x, y in zip(trigger[1:], trigger[:-1], strict=True))])
-        deepest = np.array([len(x) for x in before])
+        other = [x != y for x, y in zip(trigger[1:], trigger[:-1], strict=True)]
+        own = np.cumsum(np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | np.array(other, dtype=bool)))
         low, high = np.full(len(own), length), np.full(len(own), -1)
-        told: list[tuple[int, int, bytes, int]] = []
-        for t, active, number in corpus_order(own, size, before, after, length):
-            _, at, back = np.unique(number, return_index=True, return_inverse=True)
-            weight = np.bincount(back, weights=np.minimum(n[active], 2)).astype(np.int64)
-            more = active[(weight[back] > 1) & (n[active] == 1)]
+        for t, active, number in corpus_order(own, size, before, after, length, get("low"), get("high")):
+            _, back = np.unique(number, return_inverse=True)
+            more = active[(np.bincount(back)[back] > 1) & (n[active] == 1)]
             offset = deepest[more] - t
             low[more], high[more] = np.minimum(low[more], offset), np.maximum(high[more], offset)
-            for k, i in enumerate(active[at].tolist()):
-                if crowded[i]:
-                    key = b"%d " % t + before[i][len(before[i]) - t :] + trigger[i] + after[i][: length - t - size]
-                    told.append((i, int(deepest[i] - t), xxhash.xxh3_128_digest(key), min(int(weight[k]), 2)))
         pick = np.flatnonzero(high >= 0)
-        rep = np.array([x[0] for x in told], dtype=np.int64)
-        strings = np.frombuffer(b"".join(x[2] for x in told), "<i8").reshape(-1, 2)
-        c1, c2 = get("c1"), get("c2")
-        pad = pa.nulls(len(pick), pa.int64())
-        cat = lambda x, y, kind: pa.concat_arrays([pa.array(x, kind), pa.array(y, kind)])
-        offsets = [x[1] for x in told]
-        return pa.RecordBatch.from_arrays(
-            [cat(c1[pick], c1[rep], pa.int64()), cat(c2[pick], c2[rep], pa.int32()), cat(low[pick], offsets, pa.int32()), cat(high[pick], offsets, pa.int32()), pa.concat_arrays([pad, pa.array(strings[:, 0])]), pa.concat_arrays([pad, pa.array(strings[:, 1])]), cat(np.zeros(len(pick), dtype=np.int32), [x[3] for x in told], pa.int32())],
-            names=_names(_FOUND),
-        )
+        return pa.RecordBatch.from_arrays([pa.array(get("c1")[pick]), pa.array(get("c2")[pick]), pa.array(low[pick], pa.int32()), pa.array(high[pick], pa.int32())], names=_names(_FOUND))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        bytes_held = 0
-
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal held, bytes_held
-            if held:
-                yield block(pa.Table.from_batches(held).combine_chunks())
-            held, bytes_held = [], 0
-
+        bytes_held, last = 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.asarray(batch.column("run"))
-            crowded = np.asarray(batch.column("crowded"))
-            # a block may end where a trigger ends, or anywhere within a crowded one
-            before = np.append(held[-1].column("run")[-1].as_py() if held else key[0], key[:-1])
-            cuts = np.flatnonzero((key != before) | crowded)
+            key = np.asarray(batch.column("k1"))
+            ends = np.flatnonzero(np.append(last is not None and last != key[0], key[1:] != key[:-1]))  # a block ends where a group ends
             sizes = np.cumsum(np.asarray(pc.binary_length(batch.column("before"))) + np.asarray(pc.binary_length(batch.column("after"))) + 64)
             at = 0
-            for c in cuts.tolist():
+            for c in ends.tolist():
                 if bytes_held + (sizes[c - 1] if c else 0) - (sizes[at - 1] if at else 0) >= ORDERED:
                     if c > at:
                         held.append(batch.slice(at, c - at))
-                    yield from close()
-                    at = c
+                    yield block(pa.Table.from_batches(held).combine_chunks())
+                    held, bytes_held, at = [], 0, c
             held.append(batch.slice(at))
             bytes_held += int(sizes[-1] - (sizes[at - 1] if at else 0))
-        yield from close()
+            last = key[-1]
+        if held:
+            yield block(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
-def _parted(df: DataFrame, kept, all_parts: bool) -> DataFrame:
-    """With `deal`: 0, but for hot contexts (in a filter by c1) a part by place, or every part."""
+def _divided(rows: DataFrame, length: int) -> DataFrame:
+    """Each context once for each part of its depths that it has strings of, cut to what these strings hold.
+
+    k1, k2: the group, by the bytes that all strings of the part hold; only within it can
+    strings be equal. s1, s2: the piece, by all bytes that are left.
+    """
+    size = min(WINDOW, length // 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, new = [], {c: [] for c in ("before", "after", "low", "high")}
+            keys, pieces = [], []
+            parts = (batch.column(c).to_pylist() for c in ("before", "trigger", "after", "low", "high"))
+            for k, (before, trigger, after, a, b) in enumerate(zip(*parts, strict=True)):
+                cuts = [a + (b - a + 1) * j // WAYS for j in range(WAYS + 1)]
+                for x, y in zip(cuts, [c - 1 for c in cuts[1:]]):
+                    low, high = max(x, length - size - len(after)), min(y, len(before))
+                    if x > y or low > high:
+                        continue
+                    left, right = before[len(before) - high :], after[: length - size - low]
+                    at.append(k)
+                    for c, value in zip(new, (left, right, x, y), strict=True):
+                        new[c].append(value)
+                    keys.append(xxhash.xxh3_128_digest(b"%d %d " % (x, y) + left[len(left) - x :] + trigger + right[: length - size - y]))
+                    pieces.append(xxhash.xxh3_128_digest(b"%d %d %d %d " % (x, y, low, high) + left + trigger + right))
+            taken = batch.take(pa.array(at, pa.int64()))
+            (k1, k2), (s1, s2) = (np.frombuffer(b"".join(d), "<i8").reshape(-1, 2).T for d in (keys, pieces))
+            own = {**{c: pa.array(new[c], pa.binary()) for c in ("before", "after")}, **{c: pa.array(new[c], pa.int32()) for c in ("low", "high")}}
+            own |= {c: pa.array(v.copy()) for c, v in zip(("k1", "k2", "s1", "s2"), (k1, k2, s1, s2), strict=True)}
+            yield pa.RecordBatch.from_arrays([own[c] if c in own else taken.column(c) for c in _names(_DIVIDED)], names=_names(_DIVIDED))
+
+    return rows.mapInArrow(run, _DIVIDED)
+
+
+def _passed(rows: DataFrame, column: str, kept, inside: bool = True) -> DataFrame:
+    """Rows whose column is in a broadcast filter, or isn't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(held_bits(kept, np.asarray(batch.column(column)).view("<u8")) == inside))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _parted(df: DataFrame, kept, key: str, by: str | None = None) -> DataFrame:
+    """With `deal`: 0, but for hot keys (in a filter) a part by another column, or every part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hot = held_bits(kept, np.asarray(batch.column("c1")).view("<u8"))
-            if all_parts:
+            hot = held_bits(kept, np.asarray(batch.column(key)).view("<u8"))
+            if by is None:
                 times = np.where(hot, DEALT, 1)
                 rows = np.repeat(np.arange(batch.num_rows), times)
                 deal = np.arange(len(rows)) - np.repeat(bounds(times)[:-1], times)
                 batch = batch.take(pa.array(rows))
             else:
-                deal = np.where(hot, np.asarray(batch.column("uid")) % DEALT, 0)
+                deal = np.where(hot, np.asarray(batch.column(by)) % DEALT, 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(deal, pa.int64())], names=[*batch.schema.names, "deal"])
 
     return df.mapInArrow(run, f"{', '.join(f'{c} {t}' for c, t in df.dtypes)}, deal long")
@@ -289,31 +316,51 @@ def merge(spans: list[int]) -> list[int]:
 def repeated_spans(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD, hot: int = HOT) -> DataFrame:
     """uid and spans (starts and ends in turn) of the bytes to remove, from a written table of uid and text (binary); texts without any have no row."""
     spark = rows.sparkSession
-    send = lambda hashes, bits=FILTER_BITS: spark.sparkContext.broadcast(bit_filter(hashes, bits))  # noqa: E731  of a fixed size
+
+    def send(hashes: DataFrame):
+        size = 1 << max(0, 8 * hashes.count() - 1).bit_length()
+        return spark.sparkContext.broadcast(bit_filter(hashes, min(max(size, FILTERS[0]), FILTERS[1])))
+
     places = written(_parse(rows, length), shared_dir(spark, "contexts"), compression="zstd")
     counts = written(places.groupBy("c1", "c2").agg(F.min("run").alias("run"), F.count(F.lit(1)).alias("n")), shared_dir(spark, "context-counts"), compression="zstd")
     shared = written(counts.groupBy("run").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1"), shared_dir(spark, "shared-triggers"))
-    about = _parse(rows, length, send(shared.select(F.col("run").alias("hash")), FILTER))
+    about = _parse(rows, length, send(shared.select(F.col("run").alias("hash"))))
     about = about.groupBy(*_names(_BYTES)).agg(F.count(F.lit(1)).alias("n"))
-    crowded = send(shared.where(F.col("contexts") > crowd).select(F.col("run").alias("hash")))
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            many = held_bits(crowded, np.asarray(batch.column("run")).view("<u8"))
-            deal = np.where(many, np.asarray(batch.column("c1")) % DEALT, 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(many), pa.array(deal, pa.int64())], names=[*batch.schema.names, "crowded", "deal"])
-
-    dealt = about.mapInArrow(marked, f"{', '.join(f'{c} {t}' for c, t in about.dtypes)}, crowded boolean, deal long")
-    found = dealt.repartition("run", "deal").sortWithinPartitions("run", "trigger").mapInArrow(_ordered(length), _FOUND)
-    found = written(found, shared_dir(spark, "repeated-strings"), compression="zstd")
-    strings = found.where("s1 is not null")
-    twice = strings.groupBy("s1", "s2").agg(F.sum("weight").alias("n")).where("n > 1").select("s1", "s2")
-    beyond = strings.where("weight = 1").join(twice, ["s1", "s2"]).select("c1", "c2", "low", "high")
-    parts = found.where("s1 is null").select("c1", "c2", "low", "high").unionByName(beyond).groupBy("c1", "c2").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    every = {"deep": F.octet_length("before").cast("int"), "low": F.lit(0), "high": F.lit(length - min(WINDOW, length // 2)), "k1": F.col("run"), "k2": F.lit(0).cast("long")}
+    held = shared_dir(spark, "context-bytes")
+    rows_of = written(about.withColumns(every).select(*_names(_ASKED)), held, compression="zstd")
+    sizes = shared.select(F.col("run").alias("k1"), F.col("contexts"))
+    parts, depths = spark.createDataFrame([], _FOUND), length - min(WINDOW, length // 2) + 1
+    while True:
+        crowds = written(sizes.where(F.col("contexts") > crowd).select(F.col("k1").alias("hash")), shared_dir(spark, "crowds"))
+        many = send(crowds)
+        small = _passed(rows_of, "k1", many, inside=False)
+        found = small.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "trigger").mapInArrow(_ordered(length), _FOUND)
+        parts = parts.unionByName(written(found, shared_dir(spark, "repeated-strings"), compression="zstd"))
+        if crowds.isEmpty():
+            break
+        divided = written(_divided(_passed(rows_of, "k1", many), length), next_held := shared_dir(spark, "divided"), compression="zstd")
+        discard(spark, held)  # of the level before
+        held = next_held
+        own = ["run", "trigger", "before", "after", "low", "high", "k1", "k2", "s1", "s2"]
+        pieces = divided.groupBy(*own).agg(F.min("c1").alias("c1"), F.min("c2").alias("c2"), F.min("deep").alias("deep"), F.sum("n").alias("n"))
+        pieces = written(pieces, shared_dir(spark, "pieces"), compression="zstd")
+        # what a context has in common with others in this part of the depths repeats whole
+        big = send(pieces.where(F.col("n") > hot).select(F.col("s1").alias("hash")))
+        least, most = F.greatest("low", F.lit(length - min(WINDOW, length // 2)) - F.octet_length("after")), F.least("high", F.octet_length("before"))
+        single = divided.where("n = 1").select("c1", "c2", (F.col("deep") - most).cast("int").alias("low"), (F.col("deep") - least).cast("int").alias("high"), "s1", "s2")
+        equal = _parted(single, big, "s1", "c1").join(_parted(pieces.where("n > 1").select("s1", "s2"), big, "s1"), ["s1", "s2", "deal"])
+        parts = parts.unionByName(written(equal.select("c1", "c2", "low", "high"), shared_dir(spark, "equal-pieces"), compression="zstd"))
+        depths = -(-depths // WAYS)
+        if depths == 1:  # a piece is one string
+            break
+        sizes = written(pieces.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1"), shared_dir(spark, "group-sizes"))
+        rows_of = _passed(pieces.select(*_names(_ASKED)), "k1", send(sizes.select(F.col("k1").alias("hash"))))
+    parts = parts.groupBy("c1", "c2").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     whole = counts.where("n > 1").select("c1", "c2", F.lit(0).alias("low"), F.lit(None).cast("int").alias("high"))
 
     popular = send(counts.where(F.col("n") >= hot).select(F.col("c1").alias("hash")))
-    left, right = _parted(places.select("c1", "c2", "uid", "at", "width"), popular, False), _parted(whole.unionByName(parts), popular, True)
+    left, right = _parted(places.select("c1", "c2", "uid", "at", "width"), popular, "c1", "uid"), _parted(whole.unionByName(parts), popular, "c1")
     spans = left.join(right, ["c1", "c2", "deal"]).select("uid", (F.col("at") + F.col("low")).alias("a"), (F.col("at") + F.coalesce("high", "width") + F.lit(length)).alias("b"))
     near = spans.groupBy("uid", F.floor(F.col("a") / CHUNK).alias("chunk")).agg(F.flatten(F.collect_list(F.array("a", "b"))).alias("spans"))
     merged = _merged(near.select("uid", "spans"), "uid long, spans array<int>")
