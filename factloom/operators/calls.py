@@ -52,12 +52,16 @@ def resolve(sites: DataFrame, supers: DataFrame, declared: DataFrame, external:
 
     sites: site_id, receiver_type, method, arity; supers: from hierarchy(); declared: type, method,
     arity, symbol; external: type. A hierarchy with a type outside of the sources proves nothing.
+    Each call that is written anywhere is resolved once, and of the declarations that share a
+    name at most two are looked at, as two tell that there are several; sites only look up the answer.
     """
-    up = sites.join(supers.withColumnRenamed("type", "receiver_type"), "receiver_type", "left")
-    outside = up.join(external.select(F.col("type").alias("reference")).distinct().withColumn("outside", F.lit(True)), "reference", "left").groupBy("site_id").agg(F.coalesce(F.bool_or("outside"), F.lit(False)).alias("outside"))
-    found = up.join(declared.select(F.col("type").alias("reference"), "method", "arity", F.col("symbol").alias("candidate")), ["reference", "method", "arity"])
-    best = nearest_single(found, ["site_id"])
-    rows = sites.select("site_id", "receiver_type").join(best, "site_id", "left").join(outside, "site_id")
+    call = ["receiver_type", "method", "arity"]
+    own = supers.withColumnRenamed("type", "receiver_type")
+    ends = declared.groupBy(F.col("type").alias("reference"), "method", "arity").agg(F.min("symbol").alias("first"), F.max("symbol").alias("last"))
+    few = ends.select("reference", "method", "arity", F.explode(F.array_distinct(F.array("first", "last"))).alias("candidate"))
+    best = nearest_single(sites.select(*call).distinct().join(own, "receiver_type").join(few, ["reference", "method", "arity"]), call)
+    outside = own.join(external.select(F.col("type").alias("reference")), "reference", "left_semi").select("receiver_type").distinct().withColumn("outside", F.lit(True))
+    rows = sites.select("site_id", *call).join(best, call, "left").join(outside, "receiver_type", "left")
     reason = F.when(F.col("receiver_type").isNull(), "RECEIVER_TYPE_UNKNOWN").when(F.col("outside"), "TARGET_TYPE_OUTSIDE_SNAPSHOT").when(F.col("reason") == "AMBIGUOUS", "OVERLOAD_AMBIGUOUS").when(F.col("candidate").isNull(), "NO_MATCHING_DECLARATION")
     return rows.select("site_id", F.when(reason.isNull(), F.col("candidate")).alias("target"), reason.alias("reason"))
 

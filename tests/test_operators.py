@@ -240,6 +240,18 @@ def test_calls(spark):
     assert [tuple(r) for r in impl.collect()] == [("A#m", "I#m")]
 
 
+def test_calls_are_resolved_once(spark):
+    declared = spark.range(3_000).select(F.lit("A").alias("type"), F.lit("m").alias("method"), F.lit(0).alias("arity"), F.concat(F.lit("A#"), "id").alias("symbol"))
+    declared = declared.unionByName(spark.createDataFrame([("A", "one", 0, "A#one"), ("A", "one", 0, "A#one")], declared.schema))
+    supers = spark.createDataFrame([("A", "A", 0)], "type string, reference string, level int")
+    sites = spark.range(40_000).select(F.when(F.col("id") > 0, F.col("id")).alias("site_id"), F.lit("A").alias("receiver_type"), F.when(F.col("id") % 2 == 0, "m").otherwise("one").alias("method"), F.lit(0).alias("arity"))
+    repeated = sites.unionByName(spark.createDataFrame([(1, "A", "m", 0)], sites.schema))
+    out = calls.resolve(repeated, supers, declared, spark.createDataFrame([], "type string"))
+    rows = out.groupBy("target", "reason").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("site_id").isNull()).alias("unnamed"))
+    # a row for each site, without an id and with a repeated one too
+    assert {tuple(r) for r in rows.collect()} == {(None, "OVERLOAD_AMBIGUOUS", 20_001, 1), ("A#one", None, 20_000, 0)}
+
+
 def test_summaries(spark):
     sites = spark.createDataFrame([("UNKNOWN",), ("UNKNOWN",), ("AMBIGUOUS",), (None,)], "category string")
     assert {(r.category, r.precision, r.n) for r in summaries.diagnostic_counts(sites, False).collect()} == {("UNKNOWN", "EXACT", 2), ("AMBIGUOUS", "EXACT", 1)}
