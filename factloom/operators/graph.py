@@ -68,8 +68,9 @@ class Tile:
 
 def both_directions(edges: DataFrame) -> DataFrame:
     """Edges from both of their ends: anchor, direction, relation, far, occ_id. edges: occ_id, subject, relation, object."""
-    out = edges.select(F.col("subject").alias("anchor"), F.lit("OUT").alias("direction"), "relation", F.col("object").alias("far"), "occ_id")
-    return out.unionByName(edges.where("object is not null").select(F.col("object").alias("anchor"), F.lit("IN").alias("direction"), "relation", F.col("subject").alias("far"), "occ_id"))
+    ends = [F.struct(F.col(a).alias("anchor"), F.lit(d).alias("direction"), F.col(b).alias("far")) for a, d, b in (("subject", "OUT", "object"), ("object", "IN", "subject"))]
+    both = edges.select("relation", "occ_id", F.inline(F.array(*ends)))  # in one pass, whatever made the edges
+    return both.where("direction = 'OUT' or anchor is not null").select("anchor", "direction", "relation", "far", "occ_id")
 
 
 def ranked_both(edges: DataFrame) -> DataFrame:

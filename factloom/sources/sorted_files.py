@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from factloom.session import cut
 from factloom.sources.commits import CommitLog, Conflict
 
+#: Rows that a task of a merge sorts; it writes them as several files.
+TASK_ROWS = 1_000_000
 #: Files of a table: their bounds go to every task of a merge. A table beyond it needs more rows a file.
 MOST_FILES = 100_000
 
@@ -124,7 +126,7 @@ class SortedFiles:
                     hit.update(range(max(0, min(bisect_left(ends, key), last)), max(0, last) + 1))
             yield pa.RecordBatch.from_arrays([pa.array(sorted(hit), pa.int32())], names=["at"])
 
-        return rows.select(*group).mapInArrow(run, "at int").distinct()
+        return rows.select(*group).distinct().mapInArrow(run, "at int").distinct()
 
     def holding(self, rows: DataFrame, group: list[str] | None = None) -> list[str]:
         """Files whose ranges the rows' keys (or the first columns of them) fall into."""
@@ -136,13 +138,15 @@ class SortedFiles:
         """The rows whose keys the table doesn't hold, each key once; only files that could hold them are read, and of these the keys."""
         return rows.dropDuplicates(self.keys).join(self.read(self.holding(rows)).select(*self.keys), self.keys, "left_anti")
 
-    def merge(self, batch: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame] | None = None, group: list[str] | None = None, tries: int = 10) -> dict[str, int]:
-        """Adds a batch: files that it falls into are rewritten as combine(their rows, batch), by default both without keys that are there.
+    def merge(self, batch: DataFrame, combine: Callable[[DataFrame, DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame] | None]] | None = None, group: list[str] | None = None, tries: int = 10) -> dict[str, int]:
+        """Adds a batch: files that it falls into are rewritten as what combine(their rows, batch) gives, by default both without keys that are there.
 
         group: the first key columns by which a batch finds its files, where it doesn't have
         all keys. Files of neighbouring ranges are rewritten together, in files of
-        rows_per_file rows; ranges of files never overlap. If another writer is faster the
-        merge is made anew on what it left. Returns numbers of files: kept, rewritten, written.
+        rows_per_file rows at most; ranges of files never overlap. combine gives rows with None,
+        or rows that may lack their last key and a function that makes it: it gets them dealt by
+        ranges of (segment, group) and returns them in the order of segment and keys. If another
+        writer is faster the merge is made anew on what it left. Returns numbers of files: kept, rewritten, written.
         """
         batch = cut(batch, "batch")
         size = batch.count()
@@ -154,12 +158,15 @@ class SortedFiles:
             lows, highs = [tuple(r.low) for r in listed], [tuple(r.high) for r in listed]
             hit = sorted(r["at"] for r in self._routed(batch, lows, highs, group or self.keys).collect()) if listed else []
             old = self.read([listed[k].file for k in hit])
-            new = (combine or self._added)(old, batch).select(*self.schema.names)
+            new, finish = (combine or self._added)(old, batch)
             folder = f"data-{uuid.uuid4().hex}"
             count = size + sum(listed[k]["rows"] for k in hit)
-            parts = max(1, -(-count // self.rows_per_file))
-            dealt = self._segments(new, lows, hit).repartitionByRange(parts, "segment", *self.keys).sortWithinPartitions("segment", *self.keys)
-            dealt.write.partitionBy("segment").parquet(f"{self.path}/{folder}")
+            # a task's rows are in order, so the files that it cuts them into are ranges too
+            parts = max(1, -(-count // max(TASK_ROWS, self.rows_per_file)))
+            placed = self._segments(new.select(*self.schema.names), lows, hit, len(group or self.keys))
+            dealt = placed.repartitionByRange(parts, "segment", *(group if finish else self.keys))
+            dealt = finish(dealt) if finish else dealt.sortWithinPartitions("segment", *self.keys)
+            dealt.write.option("maxRecordsPerFile", self.rows_per_file).partitionBy("segment").parquet(f"{self.path}/{folder}")
             made = self._bounds(folder)
             stay = [tuple(r) for k, r in enumerate(listed) if k not in set(hit)]
             manifest = f"manifest-{uuid.uuid4().hex}"
@@ -168,27 +175,30 @@ class SortedFiles:
                 return {"kept": len(stay), "rewritten": len(hit), "written": len(made)}
         raise Conflict(f"{self.path}: others were faster {tries} times")
 
-    def _added(self, old: DataFrame, batch: DataFrame) -> DataFrame:
-        return old.unionByName(batch.dropDuplicates(self.keys).join(old.select(*self.keys), self.keys, "left_anti").select(*self.schema.names))
+    def _added(self, old: DataFrame, batch: DataFrame) -> tuple[DataFrame, None]:
+        return old.unionByName(batch.dropDuplicates(self.keys).join(old.select(*self.keys), self.keys, "left_anti").select(*self.schema.names)), None
 
-    def _segments(self, rows: DataFrame, lows: list[tuple], hit: list[int]) -> DataFrame:
-        """With `segment`: neighbouring rewritten files are one; a file of the result never spans a file that stays."""
+    def _segments(self, rows: DataFrame, lows: list[tuple], hit: list[int], width: int) -> DataFrame:
+        """With `segment`: neighbouring rewritten files are one; a file of the result never spans a file that stays. Rows whose last key is still to be made go where their first `width` keys are."""
         of: dict[int, int] = {}
         for k in hit:
             of[k] = of[k - 1] if k - 1 in of else len(set(of.values()))
-        keys = self.keys
+        keys, starts = self.keys, [x[:width] for x in lows]
         if len(set(of.values())) < 2:
             return rows.withColumn("segment", F.lit(0))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = [of[max(0, bisect_right(lows, key) - 1)] for key in zip(*(batch.column(k).to_pylist() for k in keys), strict=True)]
+                at = [of[max(0, (bisect_right(starts, key[:width]) if key[-1] is None else bisect_right(lows, key)) - 1)] for key in zip(*(batch.column(k).to_pylist() for k in keys), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], names=[*batch.schema.names, "segment"])
 
         return rows.mapInArrow(run, T.StructType([*self.schema.fields, T.StructField("segment", T.IntegerType())]))
 
     def _bounds(self, folder: str) -> list[tuple]:
+        """A row a file: files are in order, so their first and last rows are their bounds."""
         rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}")
-        key = F.struct(*self.keys)
-        found = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("rows"))
-        return [(f"{folder}/{r.file.rsplit(f'/{folder}/', 1)[1]}", tuple(r.low), tuple(r.high), r["rows"]) for r in found.collect()]  # a row a file
+        place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]
+        sizes = {r.file: r["rows"] for r in rows.select(place[0]).groupBy("file").agg(F.count(F.lit(1)).alias("rows")).collect()}
+        wanted = self.spark.createDataFrame([(f, at) for f, n in sizes.items() for at in {0, n - 1}], "file string, at long")
+        ends = {(r.file, r["at"]): tuple(r[k] for k in self.keys) for r in rows.select(*place, *self.keys).join(F.broadcast(wanted), ["file", "at"]).collect()}
+        return [(f"{folder}/{f.rsplit(f'/{folder}/', 1)[1]}", ends[f, 0], ends[f, n - 1], n) for f, n in sizes.items()]

@@ -158,3 +158,29 @@ def test_stored_ranks(spark, tmp_path):
     for root in ("n:07", "n:33", "none:1"):
         plain, own = (graph.tile(e, root, steps, 2, graph.Limits(nodes=40, edges=60), fanout=5) for e in (ranked, stored))
         assert own.elements == plain.elements and own.cuts == plain.cuts and own.stop == plain.stop and own.nodes == plain.nodes
+
+
+@pytest.mark.parametrize("large", [1_000_000, 8])
+def test_a_task_of_a_merge_writes_several_files(spark, tmp_path, monkeypatch, large):
+    monkeypatch.setattr("factloom.sources.adjacency.LARGE", large)
+    stored, rng, known = RankedEdges(spark, str(tmp_path / "edges"), rows_per_file=10), random.Random(7), {}
+    monkeypatch.setattr("factloom.sources.sorted_files.TASK_ROWS", 100)
+    schema = "occ_id long, subject string, relation string, object string"
+    for subjects in (range(12), (1, 2, 3, 9), (5,)):
+        rows = [(i, f"s:{rng.choice(subjects)}", rng.choice("RS"), f"o:{rng.choice('ab😀￮')}{rng.randrange(40)}") for i in rng.sample(range(10_000), 200 if len(subjects) == 12 else 25)]
+        rows = [r for r in rows if r[0] not in known] + rng.sample(sorted(known.values()), min(len(known), 5))
+        known |= {r[0]: r for r in rows}
+        stored.add(spark.createDataFrame(rows + rows[:9], schema))
+        if len(known) <= 200:
+            files = [r.file.rsplit("/", 1)[1] for r in stored.table.files().collect()]
+            assert len(files) >= 40 and len({f.split("-")[1] for f in files}) <= 5
+        expected, listed = set(), {}
+        for occ, s, r, o in known.values():
+            for key, far in ((("OUT", s, r), o), (("IN", o, r), s)):
+                listed.setdefault(key, []).append((far.encode("utf-16-be"), occ, far))
+        for key, fars in listed.items():
+            expected |= {(*key, n, far, occ) for n, (_, occ, far) in enumerate(sorted(fars), 1)}
+        got = [tuple(x) for x in stored.edges().collect()]
+        assert len(got) == len(expected) and set(got) == expected
+        bounds = stored.table.files().orderBy("low").collect()
+        assert all(tuple(a.high) < tuple(b.low) for a, b in zip(bounds, bounds[1:])) and max(b["rows"] for b in bounds) <= 10
