@@ -290,11 +290,16 @@ def climb(holders: DataFrame, start: DataFrame, kind: str = "file", most: int =
     return now.select("reference", F.when(F.startswith("at", F.lit(f"{kind}:")), F.col("at")).alias("holder"))
 
 
-def nearest_single(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """Of each key the candidate of the nearest level, if that level has just one."""
-    levels = candidates.groupBy(*keys, "level").agg(F.min("candidate").alias("candidate"), F.countDistinct("candidate").alias("n"))
-    best = levels.groupBy(*keys).agg(F.min(F.struct("level", "n", "candidate")).alias("x"))
-    return best.select(*keys, F.when(F.col("x.n") == 1, F.col("x.candidate")).alias("candidate"), F.when(F.col("x.n") > 1, "AMBIGUOUS").alias("reason"))
+def nearest_single(candidates: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
+    """Of each key the candidate of the nearest level, if that level has just one.
+
+    parts: partitions that the rows are dealt to by key, for a large table; then they are
+    grouped where they are, without another shuffle.
+    """
+    dealt = candidates if parts is None else candidates.repartition(parts, *keys)
+    levels = dealt.groupBy(*keys, "level").agg(F.min("candidate").alias("candidate"), F.max("candidate").alias("last"))
+    best = levels.groupBy(*keys).agg(F.min(F.struct("level", "candidate", "last")).alias("x"))
+    return best.select(*keys, F.when(F.col("x.candidate") == F.col("x.last"), F.col("x.candidate")).alias("candidate"), F.when(F.col("x.candidate") != F.col("x.last"), "AMBIGUOUS").alias("reason"))
 
 
 def analysis_frontier(steps: list[Step], catalogs: DataFrame, executions: DataFrame, unread: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factloom.functions import dates, diff, names, protect, sources
 from factloom.operators import budget, calls, compare, facts, graph, knowledge, project, rules, summaries, validate
 from factloom.plans.catalogue import query
+from factloom.session import parts_of
 from factloom.sources import derived
 from factloom.sources.derived import ref, table
 from factloom.streaming import journal
@@ -121,7 +122,8 @@ WITH l AS (SELECT l_orderkey AS k, l_linenumber AS level, min(l_partkey) AS c, c
 SELECT k AS orderkey, CASE WHEN n = 1 THEN c END AS candidate, CASE WHEN n > 1 THEN 'AMBIGUOUS' END AS reason FROM l JOIN f USING (k, level)""")
 def nearest_candidates(spark, sf_dir):
     """The candidate of the nearest level, if that has just one."""
-    return graph.nearest_single(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("level"), F.col("l_partkey").alias("candidate")), ["orderkey"])
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("level"), F.col("l_partkey").alias("candidate"))
+    return graph.nearest_single(rows, ["orderkey"], parts_of(rows.count(), spark))
 
 
 @query("""
