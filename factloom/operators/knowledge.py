@@ -103,15 +103,33 @@ def verdicts(claims: DataFrame, established: DataFrame, analyzers: DataFrame, pr
     return joined.join(flags, "claim_id").select("claim_id", verdict.alias("verdict"), F.when(verdict == "NOT_PROVEN", reason).alias("reason"))
 
 
-def known_objects(claims: DataFrame, established: DataFrame, most: int = 10) -> DataFrame:
-    """Of each claim's subject and relation up to `most` established objects, the asked one first, and how many more there are."""
-    rows = claims.select("claim_id", "subject", "relation", F.col("object").alias("asked")).join(established.select("subject", "relation", "object").distinct(), ["subject", "relation"])
-    later = ~F.col("object").eqNullSafe(F.col("asked"))
-    counts = rows.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"))
-    # each task keeps the first rows of a claim before they are shuffled
-    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("claim_id").orderBy(later, "object"))).where(F.col("place") <= most)
-    listed = first.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("place", "object"))).alias("all"))
-    return listed.join(counts, "claim_id").select("claim_id", F.transform("all", lambda x: x["object"]).alias("objects"), F.greatest(F.col("n") - most, F.lit(0)).cast("int").alias("more"))
+#: Buckets that the objects of a subject and relation are dealt to, so a large one isn't in one task; a power of two.
+BUCKETS = 16
+
+
+def known_objects(claims: DataFrame, established: DataFrame, most: int = 10, parts: int | None = None) -> DataFrame:
+    """Of each claim's subject and relation up to `most` established objects, the asked one first, and how many more there are.
+
+    parts: partitions that a large table of facts is dealt to, where copies meet. Objects are
+    listed once for each subject and relation; claims meet these short lists, and look up
+    whether the asked object is among all.
+    """
+    pair = ["subject", "relation"]
+    deal = lambda x, *keys: x if parts is None else x.repartition(parts, *keys)
+    rows = established.select(*pair, "object", F.xxhash64("object").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket"))
+    rows = deal(rows, "subject", "bucket").distinct()  # not by relation: where that is constant Spark would shuffle again
+    counts = rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"))
+    # the first rows of a bucket stay, so few of a large pair are shuffled
+    best = lambda x, *keys: x.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("object"))).where(F.col("place") <= most)
+    first = best(deal(best(rows, *pair, "bucket").select(*pair, "object"), "subject"), *pair)
+    listed = first.groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct("place", "object"))).alias("all")).join(counts, pair)
+    asked = claims.select("claim_id", *pair, F.col("object").alias("asked"))
+    same = [asked[c] == rows[c] for c in pair]
+    held = asked.join(rows, [*same, asked["asked"].eqNullSafe(rows["object"])]).select("claim_id", F.lit(True).alias("held"))
+    names = F.transform("all", lambda x: x["object"])
+    led = F.when(F.col("held"), F.concat(F.array("asked"), F.filter(names, lambda o: ~o.eqNullSafe(F.col("asked"))))).otherwise(names)
+    out = asked.join(listed, pair).join(held, "claim_id", "left")
+    return out.select("claim_id", F.slice(led, 1, most).alias("objects"), F.greatest(F.col("n") - most, F.lit(0)).cast("int").alias("more"))
 
 
 def limited_claims(facts: DataFrame, limits: DataFrame, decisive: tuple[str, ...] = EXCLUSIVE) -> DataFrame:

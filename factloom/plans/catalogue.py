@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import canonical, dates, names, protect, scores
 from factloom.operators import budget, calls, compare, facts, graph, knowledge, project, references, rules, summaries
+from factloom.session import parts_of
 from factloom.sources import derived
 from factloom.sources.derived import ref, table
 from factloom.streaming import journal
@@ -568,7 +569,7 @@ def known_objects(spark, sf_dir):
     """The first ten established objects of a claim, and how many more there are."""
     edges = derived.supplied_by(spark, sf_dir).select(F.col("object").alias("subject"), F.lit("SUPPLIES").alias("relation"), F.col("subject").alias("object"))
     claims = table(spark, sf_dir, "supplier").select(ref("supplier", "s_suppkey").alias("claim_id"), ref("supplier", "s_suppkey").alias("subject"), F.lit("SUPPLIES").alias("relation"), F.lit("none").alias("object"))
-    return knowledge.known_objects(claims, edges).withColumn("objects", F.array_join("objects", ","))
+    return knowledge.known_objects(claims, edges, parts=parts_of(edges.count(), spark)).withColumn("objects", F.array_join("objects", ","))
 
 
 @query("SELECT 'document:' || d.doc_id AS subject, CASE WHEN l.doc_id IS NULL THEN 'NOT_ANALYSED' ELSE 'ANALYSED' END AS coverage_type FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")

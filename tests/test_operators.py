@@ -615,3 +615,27 @@ def test_output_issues(spark):
     told = spark.createDataFrame([("p", "ASSERTION", "CALLS", None), ("q", "COVERAGE", None, "ANALYSED")], "producer_id string, kind string, relation string, coverage_type string")
     catalog = spark.createDataFrame([("q", "ANALYSED")], "producer_id string, code string")
     assert {tuple(r) for r in validate.output_issues(told, catalog).collect()} == {("p", "UNDECLARED", "CALLS"), ("p", "NO_COVERAGE", None)}
+
+
+@pytest.mark.parametrize("parts", [None, 9])
+def test_known_objects_of_large_tables(spark, parts):
+    """Rows are dealt to as many partitions as were asked for, objects of one subject to several."""
+    facts_ = spark.range(4_000).select(F.concat(F.lit("s:"), F.col("id") % 2 * (F.col("id") % 3)).alias("subject"), F.lit("R").alias("relation"), F.when(F.col("id") > 5, F.concat(F.lit("o:"), F.col("id") % 500)).alias("object"))
+    claims = spark.createDataFrame([("a", "s:0", "R", "o:77"), ("b", "s:0", "R", "none"), ("c", "s:1", "R", "o:1"), ("d", "s:0", "R", None), ("e", "s:9", "R", "o:1")], "claim_id string, subject string, relation string, object string")
+    held = {}
+    for r in facts_.distinct().collect():
+        held.setdefault(r.subject, []).append(r.object)
+    out = knowledge.known_objects(claims, facts_, 3, parts)
+    expected = {}
+    for c in claims.collect():
+        if c.subject in held:
+            ordered = sorted(held[c.subject], key=lambda o: (o != c.object, o is not None, o or ""))
+            expected[c.claim_id] = (ordered[:3], max(0, len(ordered) - 3))
+    assert {r.claim_id: (r.objects, r.more) for r in out.collect()} == expected and len(expected) == 4
+
+
+def test_nearest_of_a_large_table_is_shuffled_once(spark):
+    rows = spark.createDataFrame([(7, 3, 5), (7, 1, 6), (7, 1, 6), (8, 2, 1), (8, 2, 2)], "k int, level int, candidate int")
+    best = graph.nearest_single(rows, ["k"], 9)
+    assert best._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert {tuple(r) for r in best.collect()} == {(7, 6, None), (8, None, "AMBIGUOUS")}
