@@ -27,10 +27,13 @@ KNOWN = (
     r"\bAIza[0-9A-Za-z_-]{35}\b",
     r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b",
 )
+#: What a text holds that has a known form: one of these, each form's in the order of KNOWN (fixed values).
+MARKS = (("-----BEGIN",), ("AKIA", "ASIA"), tuple(f"gh{c}_" for c in "pousr"), ("github_pat_",), tuple(f"xox{c}-" for c in "abposr"), ("sk-",), ("AIza",), ("eyJ",))
 #: A scheme, then a user and a password up to the at sign; both end where a path, a query or white space begins.
 URL = r"((?i:\b[a-z](?:[a-z\d]|[+.-])*)://)(?!@)[^@:/?#\s]+:[^@/?#\s]+@"
 #: Letters, digits and marks of any script around an at sign, the host in labels with single dots between.
-EMAIL = r"(?U)(?:\w|[-.!#$%&+?^`{|}~])+@(?:[\w-]+\.)*[\w-]+"
+#: It begins where such letters do, or behind the address before, so no run is read from each of its letters.
+EMAIL = r"(?U)(?:(?<![\w.!#$%&+?^`{|}~-])|\G)(?:\w|[-.!#$%&+?^`{|}~])++@(?:[\w-]+\.)*[\w-]+"
 #: Words that make a name one of a secret, written with or without marks between their parts (fixed values).
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "credential", "apikey", "accesskey", "privatekey")
 #: Keys of trailers, besides those that end in -by (fixed values).
@@ -39,28 +42,42 @@ TRAILERS = ("co-authored", "cc", "change-id")
 NO_SECRETS = ("", "null", "none", "true", "false")
 
 _named = re.compile(r"(?<![\w.-])([\w.-]++)[\"']?[ \t]*+(:=|=>|[:=(])[ \t]*+")
+_joints = str.maketrans("", "", "_-.")
 _word = re.compile(r"[^\s\"',;(){}\[\]]++")
 _quoted = {'"': re.compile(r"\\.|\"", re.DOTALL), "'": re.compile(r"\\.|''|'", re.DOTALL)}
 
 
+def _holds(text: Column, *marks: str) -> Column:
+    """Whether any of the marks is in the text: much cheaper than a pattern, which only texts with a mark are held against."""
+    out = F.contains(text, F.lit(marks[0]))
+    for m in marks[1:]:
+        out = out | F.contains(text, F.lit(m))
+    return out
+
+
 def known_secrets(text: Column) -> Column:
     """Known forms and credentials in URLs masked."""
-    for form in KNOWN:
-        text = F.regexp_replace(text, form, MASK)
-    return F.regexp_replace(text, URL, f"$1{MASK}:{MASK}@")
+    marked = F.lit(False)
+    out = text
+    for form, marks in zip(KNOWN, MARKS, strict=True):
+        out, marked = F.regexp_replace(out, form, MASK), marked | _holds(text, *marks)
+    out = F.when(marked, out).otherwise(text)  # masking makes no mark
+    return F.when(_holds(text, "://"), F.regexp_replace(out, URL, f"$1{MASK}:{MASK}@")).otherwise(out)
 
 
 def known_count(text: Column) -> Column:
     """How many known forms and credentials in URLs a text holds; forms are counted one after the other, each in what those before left."""
-    total = F.lit(0)
-    for form in (*KNOWN, URL):
-        total = total + F.regexp_count(text, F.lit(form))
-        text = F.regexp_replace(text, form, MASK)
-    return total
+    total, left, marked = F.lit(0), text, _holds(text, "://")
+    for form, marks in zip((*KNOWN, URL), (*MARKS, None), strict=True):
+        total = total + F.regexp_count(left, F.lit(form))
+        left = F.regexp_replace(left, form, MASK)
+        marked = marked if marks is None else marked | _holds(text, *marks)
+    return F.when(marked, total).otherwise(F.when(text.isNotNull(), 0))
 
 
 def emails(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))
+    none = F.when(text.isNotNull(), F.array().cast("array<string>"))
+    return F.when(_holds(text, "@"), F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))).otherwise(none)
 
 
 def is_secret_name(name: str) -> bool:
@@ -139,6 +156,9 @@ def _read(text: str, name: re.Match) -> tuple[int, int, str] | None:
 
 def without_assigned(text: str) -> tuple[str, int]:
     """The text with the values of secrets' names masked, and how many there were; names, quotes, comments and line ends stay."""
+    plain = text.lower().translate(_joints)
+    if not any(w in plain for w in SECRET_WORDS):  # so no name in it is one of a secret
+        return text, 0
     out, done, n, at = [], 0, 0, 0
     while name := _named.search(text, at):
         found = _read(text, name) if is_secret_name(name[1]) else None
@@ -235,7 +255,8 @@ def restored(texts: DataFrame, forms: DataFrame) -> DataFrame:
 
 def leaks(text: Column) -> Column:
     """Whether an e-mail, a known form of a secret or credentials still stand in what would be sent."""
-    return F.rlike(text, F.lit(EMAIL)) | F.rlike(text, F.lit("|".join(KNOWN))) | F.rlike(F.replace(text, F.lit(f"{MASK}:{MASK}@"), F.lit("")), F.lit(URL))
+    known = _holds(text, *(m for marks in MARKS for m in marks)) & F.rlike(text, F.lit("|".join(KNOWN)))
+    return (_holds(text, "@") & F.rlike(text, F.lit(EMAIL))) | known | _holds(text, "://") & F.rlike(F.replace(text, F.lit(f"{MASK}:{MASK}@"), F.lit("")), F.lit(URL))
 
 
 def protect(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -247,7 +268,7 @@ def protect(rows: DataFrame, text: str = "text") -> DataFrame:
     """
     known = rows.withColumn("_own", own_secrets(F.col(text))).withColumn("_known", known_secrets(F.col("_own.text"))).withColumn("_mails", F.transform(emails(F.col("_known")), F.lower))
     # what stands between mails, each followed by the pseudonym of the mail behind it
-    between = F.split("_known", EMAIL, -1)
+    between = F.when(F.size("_mails") > 0, F.split("_known", EMAIL, -1))
     number = lambda i: F.array_position(F.array_distinct("_mails"), F.get(F.col("_mails"), i)).cast("string")
     shown = F.array_join(F.transform(between, lambda t, i: F.when(i < F.size("_mails"), F.concat(t, F.lit("person-"), number(i))).otherwise(t)), "")
     out = known.withColumn("_shown", F.when(F.size("_mails") > 0, shown).otherwise(F.col("_known")))

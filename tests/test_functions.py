@@ -297,3 +297,18 @@ def test_source_text(spark):
     named = spark.createDataFrame([("b", "symbol:a.B"), ("c", "symbol:x.C"), ("c", "symbol:y.C")], "name_key string, reference string")
     asked = spark.createDataFrame([("B", "b"), ("C", "c"), ("D", "d")], "anchor string, name_key string")
     assert {r.anchor: r.status for r in sources.resolved(asked, named).collect()} == {"B": "RESOLVED", "C": "AMBIGUOUS", "D": "NOT_FOUND"}
+
+
+def test_patterns_are_held_against_marked_texts_alone(spark):
+    """Long runs without an address are read once, and addresses that touch are found as before."""
+    import time
+
+    run = "a.b-" * 20_000
+    texts = [run, f"{run} x@y.z", "a@b.!c@d", "a@b.c@d e@f", "@a@b", "é.ü@ä.ö, <a+b@c-d.e>", "see ://u and sk-short", "x://u:p@h", "", None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    began = time.monotonic()
+    got = {r.i: r for r in frame.select("i", protect.emails(F.col("text")).alias("m"), protect.known_count(F.col("text")).alias("n"), protect.known_secrets(F.col("text")).alias("k")).collect()}
+    assert time.monotonic() - began < 30
+    assert [got[i].m for i in range(10)] == [[], ["x@y.z"], ["a@b", ".!c@d"], ["a@b.c", "e@f"], ["a@b"], ["é.ü@ä.ö", "a+b@c-d.e"], [], ["p@h"], [], None]
+    assert [got[i].n for i in range(10)] == [0, 0, 0, 0, 0, 0, 0, 1, 0, None]
+    assert got[7].k == "x://***:***@h" and got[6].k == texts[6] and got[9].k is None
