@@ -18,6 +18,7 @@ it are opened.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -42,7 +43,7 @@ from factloom.llm.pretokens import latin
 BLOCK_IDS = 1 << 16
 #: Bytes of text that a task encodes at once.
 TEXT_BYTES = 8 << 20
-#: Pieces of words whose ids a task remembers (or a block's, if those are more), and as many that it met before these; others are encoded again, which changes no result.
+#: Pieces of words whose ids a Python worker remembers beside those of its last block, for all blocks and tasks that it runs; others are encoded again, which changes no result.
 REMEMBERED = 200_000
 
 #: piece_docs: of each document the place in the part and in the chunk, how many ids lie here, how many there are, and whether it begins here.
@@ -78,32 +79,43 @@ class WordIds:
             self.split = re.compile(latin(cut["pattern"]["Regex"]) + r"|\n").findall
             self.pieces = Tokenizer(self.whole.model)
             self.pieces.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # pieces met so far, the bounds of each one's ids, and these end to end; a line end is a piece without ids
+        self.known, self.at, self.ids = pa.array(["\n"], pa.large_string()), np.zeros(2, dtype=np.int64), np.zeros(0, dtype="<u4")
 
     def of(self, text: str) -> np.ndarray:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, end to end, and the bounds of each word's. Words hold no white space, so a line end can stand between them."""
-        coded = pa.array(self.split("\n".join([*words, ""]).lower()), pa.large_string()).dictionary_encode()
-        pieces = strings(coded.dictionary)
-        ids = list(map(self.new.get, pieces))
-        ids = [self.old.get(p) if got is None else got for p, got in zip(pieces, ids, strict=True)] if self.old else ids
-        if words:
-            ids[pieces.index("\n")] = b""
-        unknown = [k for k, got in enumerate(ids) if got is None]
+        coded = pa.array(self.split("\n".join([*strings(words), ""]).lower()), pa.large_string()).dictionary_encode()
+        pieces, codes = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
+        place = pc.index_in(pieces, value_set=self.known)
+        met, fresh = np.asarray(place.drop_null()).astype(np.int64), pieces.filter(place.is_null())
+        if len(self.known) + len(fresh) > REMEMBERED:
+            met = met if len(words) else np.zeros(1, dtype=np.int64)
+            self.ids, lengths = ragged_take(self.at, self.ids, met)
+            self.known, self.at = self.known.take(pa.array(met)), bounds(lengths)
+            place = pc.index_in(pieces, value_set=self.known)
+        new, lengths, unknown = array("I"), [], strings(fresh)
         for a in range(0, len(unknown), 2048):
-            some = unknown[a : a + 2048]
-            for k, got in zip(some, self.pieces.encode_batch_fast([pieces[k] for k in some], add_special_tokens=False), strict=True):
-                ids[k] = array("I", got.ids).tobytes()
-        if len(self.new) + len(unknown) > REMEMBERED:
-            self.old, self.new = self.new, {}
-        self.new.update(zip(pieces, ids, strict=True))
-        codes = np.asarray(coded.indices).astype(np.int64)
-        flat, each = ragged_take(bounds(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4), np.frombuffer(b"".join(ids), "<u4"), codes)
-        ends = np.nonzero(codes == (pieces.index("\n") if words else -1))[0]
-        return flat, np.append(0, np.cumsum(each)[ends])
+            for got in self.pieces.encode_batch_fast(unknown[a : a + 2048], add_special_tokens=False):
+                ids = got.ids
+                new.fromlist(ids)
+                lengths.append(len(ids))
+        own = np.asarray(place.fill_null(-1)).astype(np.int64)
+        own[own < 0] = len(self.known) + np.arange(len(fresh))
+        self.known = pa.concat_arrays([self.known, fresh])
+        self.at = np.append(self.at, self.at[-1] + np.cumsum(lengths, dtype=np.int64))
+        self.ids = np.append(self.ids, np.frombuffer(new, dtype="<u4"))
+        flat, each = ragged_take(self.at, self.ids, own[codes])
+        end = pc.index(pieces, "\n").as_py()
+        return flat, np.append(0, np.cumsum(each)[codes == end])
+
+
+@functools.lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a Python worker: reading the file takes as long as a MB of text, and half of a block's pieces are those of other blocks."""
+    return WordIds(path)
 
 
 def encoded(text: pa.Array, words: WordIds) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +131,7 @@ def encoded(text: pa.Array, words: WordIds) -> tuple[np.ndarray, np.ndarray]:
     inner = parts.values.slice(offsets[0], offsets[-1] - offsets[0]) if len(parts) else pa.array([], pa.large_string())
     coded = inner.dictionary_encode()
     offsets -= offsets[0]
-    values, at = words.learn(strings(coded.dictionary)) if len(coded.dictionary) else (np.zeros(0, "<u4"), np.zeros(1, np.int64))
+    values, at = words.learn(coded.dictionary) if len(coded.dictionary) else (np.zeros(0, "<u4"), np.zeros(1, np.int64))
     flat, each = ragged_take(at, values, np.asarray(coded.indices).astype(np.int64))
     counts = np.diff(bounds(each)[offsets])
     if not odd.any():
@@ -157,7 +169,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, part
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = WordIds(tokenizer), TaskContext.get().partitionId()
+        words, part = word_ids(tokenizer), TaskContext.get().partitionId()
         chunk, done, ordinal, held, size, docs = 0, 0, 0, [], 0, []
 
         def cut(n: int) -> pa.RecordBatch:
@@ -236,26 +248,51 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, part, ordinal within the part, start, n_tokens and ids_crc32.
 
     A document within one chunk is finished in the task that reads the chunk; only
-    those cut by a chunk's end send the bytes of their pieces on, to be joined in order.
+    those cut by a chunk's end send the bytes of their pieces on, which meet in order.
     """
-    piece = "part int, ordinal long, doc_id long, first long, n long, of long, crc32 long, bytes binary"
+    done = "part int, ordinal long, doc_id long, first long, n long, crc32 long"
+    longs = [(k, pa.int64()) for k in ("ordinal", "doc_id", "first", "n")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch], is_cut: bool) -> Iterator[pa.RecordBatch]:
+        last = ("of", pa.int64()), ("bytes", pa.binary())
+        schema = pa.schema([("part", pa.int32()), *longs, *(last if is_cut else [("crc32", pa.int64())])])
+        for batch in batches:
+            docs = batch.column("piece_docs")
+            d = dict(zip((f.name for f in docs.type.value_type), docs.flatten().flatten(), strict=True))
+            each = np.diff(np.asarray(docs.offsets))
+            offset, n = (np.asarray(d[k]).astype(np.int64) for k in ("offset", "n"))
+            mine, own, at = (n != np.asarray(d["of"])) == is_cut, [], 0
+            for part, chunk, planes, crc, k in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "planes", "crc32")), each.tolist(), strict=True):
+                raw = memoryview(checked(planes, crc, part, chunk)).cast("B")
+                here = slice(at, at + k)
+                runs = [raw[4 * a : 4 * b] for a, b in zip(offset[here][mine[here]].tolist(), (offset + n)[here][mine[here]].tolist(), strict=True)]
+                own += map(bytes, runs) if is_cut else map(zlib.crc32, runs)
+                at += k
+            first = np.repeat(np.asarray(batch.column("first")), each) + offset
+            values = [pa.array(np.repeat(np.asarray(batch.column("part")), each)), d["ordinal"], d["doc_id"], pa.array(first), pa.array(n), *([d["of"]] if is_cut else [])]
+            yield pa.RecordBatch.from_arrays([*(v.filter(pa.array(mine)) for v in values), pa.array(own, schema.types[-1])], schema=schema)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, have, crc, key, begin = pa.schema([("part", pa.int32()), *longs, ("crc32", pa.int64())]), 0, 0, None, 0
         for batch in batches:
-            out = {k: [] for k in ("part", "ordinal", "doc_id", "first", "n", "of", "crc32", "bytes")}
-            for part, chunk, first, planes, crc, docs in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "first", "planes", "crc32", "piece_docs")), strict=True):
-                raw = checked(planes, crc, part, chunk).tobytes()
-                for d in docs:
-                    whole = d["n"] == d["of"]
-                    own = raw[4 * d["offset"] : 4 * (d["offset"] + d["n"])]
-                    for k, v in zip(out, (part, d["ordinal"], d["doc_id"], first + d["offset"], d["n"], d["of"], zlib.crc32(own) if whole else None, None if whole else own), strict=True):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("part", pa.int32()), *((k, pa.int64()) for k in ("ordinal", "doc_id", "first", "n", "of", "crc32")), ("bytes", pa.binary())]))
-
-    pieces = spark.read.schema(_CHUNK).parquet(f"{path}/chunks").select("part", "chunk", "first", "planes", "crc32", "piece_docs").mapInArrow(run, piece)
-    cut = pieces.where("bytes is not null").groupBy("part", "ordinal", "doc_id").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("first", F.hex("bytes").alias("hex")))).alias("all"))
-    joined = cut.select("part", "ordinal", "doc_id", "first", "n", F.crc32(F.unhex(F.array_join(F.transform("all", lambda x: x["hex"]), ""))).alias("crc32"))
-    both = pieces.where("bytes is null").select("part", "ordinal", "doc_id", "first", "n", "crc32").unionByName(joined)
+            out = []
+            for part, ordinal, doc_id, first, n, of, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not have:
+                    key, begin, crc = (part, ordinal), first, 0
+                if key != (part, ordinal) or first != begin + have:
+                    raise ValueError(f"document {key[1]} of part {key[0]} lacks a piece")
+                have, crc = have + n, zlib.crc32(own, crc)
+                if have == of:
+                    out.append((part, ordinal, doc_id, begin, of, crc))
+                    have = 0
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in out], schema)
+        if have:
+            raise ValueError(f"document {key[1]} of part {key[0]} lacks a piece")
+
+    chunks = spark.read.schema(_CHUNK).parquet(f"{path}/chunks").select("part", "chunk", "first", "planes", "crc32", "piece_docs")
+    whole = chunks.mapInArrow(lambda batches: pieces(batches, False), done)
+    cut = chunks.mapInArrow(lambda batches: pieces(batches, True), done.replace("crc32 long", "of long, bytes binary"))
+    both = whole.unionByName(cut.repartition("part", "ordinal").sortWithinPartitions("part", "ordinal", "first").mapInArrow(joined, done))
     # the first chunk of each part says where the part begins: a row for each part
     begins = spark.read.parquet(f"{path}/chunk_index").where("chunk = 0").select("part", F.col("start").alias("before"))
     return both.join(F.broadcast(begins), "part").select("doc_id", (F.col("before") + F.col("first")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc32").alias("ids_crc32"), "part", "ordinal")

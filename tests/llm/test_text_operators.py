@@ -154,6 +154,42 @@ def test_word_ids_match_the_library():
     assert [flat[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_word_ids_are_kept_between_blocks_and_tasks(monkeypatch):
+    library, rng = Tokenizer.from_file(WORDS), random.Random(4)
+    library.encode_special_tokens = True
+    texts = [["".join(rng.choices(" \n'slLé½1.-ab", k=rng.randint(0, 30))) for _ in range(60)] for _ in range(8)]
+    planes.word_ids.cache_clear()
+    words, asked = planes.word_ids(WORDS), []
+    assert planes.word_ids(WORDS) is words  # a later task of the worker goes on with what it knows
+    inner = words.pieces
+    words.pieces = SimpleNamespace(encode_batch_fast=lambda some, **more: asked.extend(some) or inner.encode_batch_fast(some, **more))
+
+    def right(block):
+        flat, counts = planes.encoded(pa.array(block, pa.large_string()), words)
+        at = bounds(counts)
+        return [flat[at[i] : at[i + 1]].tolist() for i in range(len(block))] == [library.encode(t, add_special_tokens=False).ids for t in block]
+
+    assert all(map(right, texts)) and len(asked) == len(set(asked)) > 100
+    assert "\n" not in asked
+    met = len(asked)
+    assert all(map(right, texts)) and len(asked) == met
+    monkeypatch.setattr(planes, "REMEMBERED", 50)
+    assert all(map(right, ([], *texts, ["", " "], *texts))) and len(asked) > met and "\n" not in asked
+    assert len(words.known) <= 50 + max(len(set(" ".join(x).lower())) + sum(map(len, x)) for x in texts) and words.at[-1] == len(words.ids)
+    planes.word_ids.cache_clear()
+
+
+def test_a_missing_piece_of_a_document_is_told(spark):
+    path = shared_dir(spark, "planes")
+    planes.write(documents(spark, ["a b c d e f g h i j k l m n o p q r s t u v w x y z", "a"]), path, WORDS, parts=1, block_ids=5)
+    assert sorted(r.n_tokens for r in planes.read(spark, path).collect()) == [2, 27]
+    less = shared_dir(spark, "planes")
+    spark.read.parquet(f"{path}/chunks").where("chunk <> 2").write.parquet(f"{less}/chunks")
+    spark.read.parquet(f"{path}/chunk_index").write.parquet(f"{less}/chunk_index")
+    with pytest.raises(Exception, match="lacks a piece"):
+        planes.read(spark, less).collect()
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 
 
