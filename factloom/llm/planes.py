@@ -51,6 +51,8 @@ _CHUNK = "part int, chunk int, first long, n_ids int, planes array<binary>, size
 _PIECE = pa.struct([("doc_id", pa.int64()), ("ordinal", pa.int64()), ("offset", pa.int32()), ("n", pa.int32()), ("of", pa.int64()), ("begins", pa.bool_())])
 _CHUNK_TYPES = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("planes", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("crc32", pa.int64()), ("piece_docs", pa.list_(_PIECE))])
 
+_COMPRESSOR = zstandard.ZstdCompressor(level=3)
+
 
 def strings(values: pa.Array) -> list[str]:
     """The strings of an array without nulls, made in one call rather than a scalar each."""
@@ -60,9 +62,10 @@ def strings(values: pa.Array) -> list[str]:
 class WordIds:
     """Word (no white space inside) -> its ids, as little-endian 32-bit integers.
 
-    Words are lowered and cut by the file's own pattern, and the library encodes each
-    distinct piece; that gives the ids of a whole text only if the file asks for just
-    these steps, so any other file, or any other than a Latin letter, goes whole.
+    Words are lowered and cut by the file's own pattern, and the library's model looks
+    at each distinct piece, written by the library's byte level; that gives the ids of a
+    whole text only if the file asks for just these steps, so any other file, or any
+    other than a Latin letter, goes whole.
     """
 
     def __init__(self, path: str):
@@ -77,33 +80,42 @@ class WordIds:
         self.by_word = steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)] and (cut.get("type"), cut.get("behavior"), cut.get("invert"), rest, told["post_processor"]) == ("Split", "Removed", True, [level], None)
         if self.by_word:
             self.split = re.compile(latin(cut["pattern"]["Regex"]) + r"|\n").findall
-            self.pieces = Tokenizer(self.whole.model)
-            self.pieces.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+            self.tokenize = self.whole.model.tokenize
+            self.level = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+            self.end = self.level("\n")[0][0]
         # pieces met so far, the bounds of each one's ids, and these end to end; a line end is a piece without ids
         self.known, self.at, self.ids = pa.array(["\n"], pa.large_string()), np.zeros(2, dtype=np.int64), np.zeros(0, dtype="<u4")
 
     def of(self, text: str) -> np.ndarray:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
+    def by_bytes(self, pieces: pa.Array) -> list[str]:
+        """Pieces as the byte level writes them: visible ASCII stays as it is, all others are written in one call."""
+        out = strings(pieces)
+        others = np.nonzero(np.asarray(pc.match_substring_regex(pieces, "[^!-~]")))[0].tolist()
+        if others:
+            for k, piece in zip(others, self.level("\n".join([out[k] for k in others]))[0][0].split(self.end), strict=True):
+                out[k] = piece
+        return out
+
     def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, end to end, and the bounds of each word's. Words hold no white space, so a line end can stand between them."""
         coded = pa.array(self.split("\n".join([*strings(words), ""]).lower()), pa.large_string()).dictionary_encode()
         pieces, codes = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
         place = pc.index_in(pieces, value_set=self.known)
-        met, fresh = np.asarray(place.drop_null()).astype(np.int64), pieces.filter(place.is_null())
-        if len(self.known) + len(fresh) > REMEMBERED:
-            met = met if len(words) else np.zeros(1, dtype=np.int64)
+        unknown = np.asarray(place.is_null())
+        own, fresh = np.asarray(place.fill_null(0)).astype(np.int64), pieces.filter(pa.array(unknown))
+        if len(words) and len(self.known) + len(fresh) > REMEMBERED:
+            met = own[~unknown]
             self.ids, lengths = ragged_take(self.at, self.ids, met)
             self.known, self.at = self.known.take(pa.array(met)), bounds(lengths)
-            place = pc.index_in(pieces, value_set=self.known)
-        new, lengths, unknown = array("I"), [], strings(fresh)
-        for a in range(0, len(unknown), 2048):
-            for got in self.pieces.encode_batch_fast(unknown[a : a + 2048], add_special_tokens=False):
-                ids = got.ids
-                new.fromlist(ids)
-                lengths.append(len(ids))
-        own = np.asarray(place.fill_null(-1)).astype(np.int64)
-        own[own < 0] = len(self.known) + np.arange(len(fresh))
+            own[~unknown] = np.arange(len(met))
+        own[unknown] = len(self.known) + np.arange(len(fresh))
+        new, lengths = array("I"), []
+        for piece in self.by_bytes(fresh):
+            ids = [token.id for token in self.tokenize(piece)]
+            new.fromlist(ids)
+            lengths.append(len(ids))
         self.known = pa.concat_arrays([self.known, fresh])
         self.at = np.append(self.at, self.at[-1] + np.cumsum(lengths, dtype=np.int64))
         self.ids = np.append(self.ids, np.frombuffer(new, dtype="<u4"))
@@ -123,9 +135,10 @@ def encoded(text: pa.Array, words: WordIds) -> tuple[np.ndarray, np.ndarray]:
 
     The tokenizer drops white space and lets no piece cross it, so each distinct word
     of the block is looked at once. Texts with other than Latin letters are encoded as
-    a whole: their normal form may reach across words.
+    a whole: their normal form may reach across words, and beyond U+017F small letters
+    leave the classes by which words are cut (U+0181 becomes U+0253).
     """
-    odd = np.asarray(pc.match_substring_regex(text, r"[^\x00-\x{24f}]")) if words.by_word else np.ones(len(text), dtype=bool)
+    odd = np.asarray(pc.match_substring_regex(text, r"[^\x00-\x{17f}]")) if words.by_word else np.ones(len(text), dtype=bool)
     parts = pc.ascii_split_whitespace(text.filter(pa.array(~odd)) if odd.any() else text)
     offsets = np.asarray(parts.offsets).astype(np.int64)
     inner = parts.values.slice(offsets[0], offsets[-1] - offsets[0]) if len(parts) else pa.array([], pa.large_string())
@@ -149,7 +162,7 @@ def encoded(text: pa.Array, words: WordIds) -> tuple[np.ndarray, np.ndarray]:
 
 
 def to_planes(ids: np.ndarray) -> list[bytes]:
-    return [zstandard.compress(plane.tobytes(), 3) for plane in ids.astype("<u4").view("u1").reshape(-1, 4).T]
+    return [_COMPRESSOR.compress(plane) for plane in np.ascontiguousarray(ids.astype("<u4").view("u1").reshape(-1, 4).T)]
 
 
 def from_planes(planes: list[bytes]) -> np.ndarray:

@@ -161,8 +161,8 @@ def test_word_ids_are_kept_between_blocks_and_tasks(monkeypatch):
     planes.word_ids.cache_clear()
     words, asked = planes.word_ids(WORDS), []
     assert planes.word_ids(WORDS) is words  # a later task of the worker goes on with what it knows
-    inner = words.pieces
-    words.pieces = SimpleNamespace(encode_batch_fast=lambda some, **more: asked.extend(some) or inner.encode_batch_fast(some, **more))
+    inner = words.tokenize
+    words.tokenize = lambda piece: asked.append(piece) or inner(piece)
 
     def right(block):
         flat, counts = planes.encoded(pa.array(block, pa.large_string()), words)
@@ -170,15 +170,28 @@ def test_word_ids_are_kept_between_blocks_and_tasks(monkeypatch):
         return [flat[at[i] : at[i + 1]].tolist() for i in range(len(block))] == [library.encode(t, add_special_tokens=False).ids for t in block]
 
     assert all(map(right, texts)) and len(asked) == len(set(asked)) > 100
-    assert "\n" not in asked
+    assert not {"\n", words.end} & {*asked}
     met = len(asked)
     assert all(map(right, texts)) and len(asked) == met
     monkeypatch.setattr(planes, "REMEMBERED", 50)
-    assert all(map(right, ([], *texts, ["", " "], *texts))) and len(asked) > met and "\n" not in asked
+    assert all(map(right, ([], *texts, ["", " "], *texts))) and len(asked) > met and not {"\n", words.end} & {*asked}
     assert len(words.known) <= 50 + max(len(set(" ".join(x).lower())) + sum(map(len, x)) for x in texts) and words.at[-1] == len(words.ids)
     planes.word_ids.cache_clear()
 
 
+def test_pieces_by_bytes_go_to_the_model_as_in_the_library():
+    library, words = Tokenizer.from_file(WORDS), planes.WordIds(WORDS)
+    pieces = ["plain", "!?~", "é", "\x01\x7f", "ñandú", "ß", "\u0223", "\u2c65", "i\u0307", "\x1c", "9"]
+    want = [words.level(x)[0][0] for x in pieces]
+    assert words.by_bytes(pa.array(pieces, pa.large_string())) == want
+    assert words.by_bytes(pa.array([], pa.large_string())) == [] and words.by_bytes(pa.array(["a", "b"], pa.large_string())) == ["a", "b"]
+    texts = ["\x01é a\x7f \x1c!", "Ⱥb ȺȺ", "ñ" * 300 + " x", *(chr(k) + "a " + chr(k) for k in range(0x250))]
+    flat, counts = planes.encoded(pa.array(texts, pa.large_string()), words)
+    at = bounds(counts)
+    library.encode_special_tokens = True
+    assert [flat[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_a_missing_piece_of_a_document_is_told(spark):
     path = shared_dir(spark, "planes")
     planes.write(documents(spark, ["a b c d e f g h i j k l m n o p q r s t u v w x y z", "a"]), path, WORDS, parts=1, block_ids=5)
