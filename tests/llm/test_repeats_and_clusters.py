@@ -85,6 +85,18 @@ def test_strings_within_one_text_overlap(spark):
     assert [bytes(r.kept) for r in kept] == [b"", b"", b"zzyy"] and kept[2].spans == [2, 82]
 
 
+def test_passages_of_over_50_words_go_from_the_length_on(spark):
+    rng = random.Random(5)
+    fresh = lambda n, size: " ".join("".join(rng.choices("abcdefghijklm", k=size)) for _ in range(n))
+    shared = [fresh(51, 4), fresh(51, 5), fresh(60, 6)[:399], fresh(60, 6)[:400], fresh(90, 6)]
+    assert all(len(x.split()) > 50 for x in shared)
+    texts = [fresh(20, 5) + mark + x + mark + fresh(20, 5) for x in shared for mark in "<>"] + [fresh(90, 5) for _ in range(4)]
+    for length in (prefix_free.LENGTH, len(shared[0])):
+        rows = removed(spark, texts, length)
+        assert [r[1] for r in rows] == [len(x) * (len(x) >= length) for x in shared for _ in "<>"] + [0] * 4
+        assert rows == removed_by_hand(texts, length)
+
+
 def test_no_texts(spark):
     assert removed(spark, [], 40) == []
 
